@@ -5,9 +5,56 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import exact_dedup, language_id, quality_rules
+import public_tokenizers
+
+from driftline.llm import exact_dedup, language_id, mixing, near_dedup, packing, quality_model, quality_rules, records, sharding, substring_dedup
 from driftline.llm.common import documents
 
+#: Share of the expected tokens that each labelled domain is to have.
+TARGETS = {"high": 0.93, "low": 0.05, "toxic": 0.02}
+VOCABULARY = "byte_bpe_50k.json"
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates that bring the expected tokens of labelled domains to TARGETS, for every document."""
+    docs = documents(spark, sf_dir)
+    out, domains = mixing.mix(docs, mixing.label_domains(docs, table(spark, sf_dir, "labels")), TARGETS)
+    return out.select("doc_id", "n_tokens", *[F.col("posterior")[i].alias(f"p_{d}") for i, d in enumerate(domains)], "rate", "copies")
+
+
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near duplicates of all documents."""
+    return near_dedup.near_duplicates(documents(spark, sf_dir))
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of every document that an anchor document has too."""
+    return substring_dedup.repeated_passages(documents(spark, sf_dir))
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight shards of near equal bytes."""
+    out = sharding.shard(documents(spark, sf_dir), n_shards=8)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, written as binary records and read back."""
+    out = records.round_trip(documents(spark, sf_dir), public_tokenizers.path(VOCABULARY), end_id=2)
+    return out.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learnt from labels that aren't held out."""
+    docs = documents(spark, sf_dir)
+    labels = table(spark, sf_dir, "labels").where(~quality_model.held_out())
+    out = quality_model.fit(docs, labels).transform(docs.select("doc_id", "text"))
+    return out.select("doc_id", quality_model.held_out().alias("held_out"), "score", "predicted")
+
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Threshold rules over every document."""
@@ -21,6 +68,11 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(documents(spark, sf_dir), keep="largest")
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document in sequences of at most 2048 tokens."""
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path(VOCABULARY), capacity=2048, end_id=0)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learnt from rows that aren't held out."""
     docs = documents(spark, sf_dir)
@@ -28,7 +80,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
-QUERIES = {f.__name__: f for f in (op7_quality_rules, op8_exact_dedup, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_near_dedup, op3_substring_dedup, op4_sharding, op5_token_records, op6_quality_model, op7_quality_rules, op8_exact_dedup, op9_packing, op10_language_id)}
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 _LINES = r"list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]'))"
