@@ -1,6 +1,604 @@
-"""Registered engine queries and their DuckDB oracles."""
+"""Registered engine queries over the event tables, and their DuckDB oracles where SQL can express them."""
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from driftline.functions import columns, fits
+from driftline.operators import align, chains, cluster, grid, learning, moments, structure
+from driftline.plans.models import ARHMM, HMM, LDS, POISSON, SLDS
+from driftline.sources import sequences as source
+
+PI, P = [0.6, 0.4], np.array([[0.9, 0.1], [0.2, 0.8]])
+MEAN, VAR = [20.0, 90.0], [400.0, 3600.0]
+RATES = [math.log(2.0), math.log(8.0)]
+AR = {"coefficients": [0.3, 0.1], "bias": [15.0, 70.0], "variance": [500.0, 4000.0]}
+LDS1 = {"m0": 50.0, "s0": 2500.0, "a": 0.8, "b": 10.0, "q": 900.0, "c": 1.0, "d": 0.0, "r": 1600.0, "input": 0.5}
+CENTERS = [5.0, 40.0, 150.0]
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return register
+
+
+def r(col: Column | str, name: str, digits: int = 6) -> Column:
+    return (F.round(F.col(col) if isinstance(col, str) else col, digits) + F.lit(0.0)).alias(name)
+
+
+# Sources
+
+
+def k_input() -> Column:
+    return F.regexp_extract("props", r'"k": ([0-9]+)', 1).cast("double")
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet")
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def seqs(spark: SparkSession, sf_dir: str, counts: bool = False, sessions: bool = False) -> DataFrame:
+    y = F.array(F.floor(F.col("value") / 10).cast("double")) if counts else None
+    return source.from_events(events(spark, sf_dir), y, F.col("user_id") % 3 if sessions else None, F.array(k_input()))
+
+
+E = """e AS (SELECT 0 AS session, user_id AS seq, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::INT AS t, value AS y,
+    CAST(regexp_extract(props, '"k": ([0-9]+)', 1) AS DOUBLE) AS u, event_type <> 'error' AS visible, floor(value / 10) AS c FROM events)"""
+KEYS = ["session", "seq"]
+
+
+@query(f"WITH {E} SELECT session::INT AS session, seq, t, y, u, visible FROM e")
+def seq_build(spark, sf_dir):
+    return seqs(spark, sf_dir).select("session", "seq", "t", F.col("y")[0].alias("y"), F.col("u")[0].alias("u"), "visible")
+
+
+@query(f"WITH {E} SELECT session::INT AS session, seq, (max(t) + 1)::INT AS length FROM e GROUP BY ALL")
+def seq_lengths(spark, sf_dir):
+    return source.lengths(seqs(spark, sf_dir))
+
+
+@query(f"WITH {E} SELECT session::INT AS session, seq, count(*)::INT AS length, round(list(y ORDER BY t)[1], 6) + 0.0 AS first_y, round(list(y ORDER BY t)[-1], 6) + 0.0 AS last_y FROM e GROUP BY ALL")
+def seq_pack(spark, sf_dir):
+    packed = source.packed(seqs(spark, sf_dir))
+    return packed.select("session", "seq", "length", r(F.element_at("y", 1)[0], "first_y"), r(F.element_at("y", -1)[0], "last_y"))
+
+
+@query(f"""WITH {E}, s AS (SELECT session, seq, count(*) - count(DISTINCT t) + max(t) + 1 - count(DISTINCT t) AS gaps, count(*) FILTER (isnan(y) OR isinf(y) OR isnan(u) OR isinf(u)) AS nf,
+    count(*) FILTER (visible AND y IS NULL) AS vn FROM e GROUP BY ALL)
+    SELECT sum(gaps)::BIGINT AS gaps, 0::BIGINT AS ragged_y, 0::BIGINT AS ragged_u, 0::BIGINT AS sizes_y, 0::BIGINT AS sizes_u, sum(nf)::BIGINT AS not_finite, sum(vn)::BIGINT AS visible_nulls FROM s""")
+def dataset_validate(spark, sf_dir):
+    return source.violations(seqs(spark, sf_dir))
+
+
+@query("""SELECT (user_id % 3)::INT AS session, count(DISTINCT user_id) AS n_seqs, count(*) AS n_steps FROM events GROUP BY ALL""")
+def sessions_by_key(spark, sf_dir):
+    return seqs(spark, sf_dir, sessions=True).groupBy("session").agg(F.countDistinct("seq").alias("n_seqs"), F.count(F.lit(1)).alias("n_steps"))
+
+
+@query(f"WITH {E}, s AS (SELECT 0 AS session, t FROM e WHERE t < 20 UNION ALL SELECT 1, t - 20 FROM e WHERE t >= 20) SELECT session::INT AS session, count(*) AS n_steps, max(t)::INT AS last_t FROM s GROUP BY ALL")
+def dataset_stack(spark, sf_dir):
+    e = seqs(spark, sf_dir)
+    both = source.stack(structure.select_time(e, 0, 20), structure.select_time(e, 20))
+    return both.groupBy("session").agg(F.count(F.lit(1)).alias("n_steps"), F.max("t").alias("last_t"))
+
+
+# Structure
+
+
+@query(f"WITH {E} SELECT session::INT AS session, seq, count(*) AS n_steps, count(*) FILTER (visible) AS n_visible, round(count(*) FILTER (visible) / count(*), 6) + 0.0 AS fraction FROM e GROUP BY ALL")
+def visible_fraction(spark, sf_dir):
+    return structure.visible_fraction(seqs(spark, sf_dir)).withColumn("fraction", r("fraction", "f"))
+
+
+@query(f"WITH {E} SELECT session::INT AS session, seq, round(coalesce(sum(y) FILTER (visible), 0), 4) + 0.0 AS total FROM e GROUP BY ALL")
+def weighted_sum(spark, sf_dir):
+    w = structure.weighted(seqs(spark, sf_dir))
+    return w.groupBy(*KEYS).agg(r(F.sum(F.col("w") * structure.safe(F.col("y")[0])), "total", 4))
+
+
+@query(f"WITH {E} SELECT session::INT AS session, seq, (t - 10)::INT AS t, y FROM e WHERE t >= 10 AND t < 20")
+def select_time(spark, sf_dir):
+    return structure.select_time(seqs(spark, sf_dir), 10, 20).select(*KEYS, "t", F.col("y")[0].alias("y"))
+
+
+@query(f"WITH {E} SELECT session::INT AS session, seq, t, u FROM e WHERE t >= 1")
+def transitions(spark, sf_dir):
+    return structure.transitions(seqs(spark, sf_dir)).select(*KEYS, "t", F.col("u")[0].alias("u"))
+
+
+@query(f"WITH {E}, p AS (SELECT *, lead(visible) OVER (PARTITION BY seq ORDER BY t) AS n FROM e) SELECT session::INT AS session, seq, t FROM p WHERE visible AND n")
+def adjacent_visible(spark, sf_dir):
+    return structure.adjacent_visible(seqs(spark, sf_dir)).select(*KEYS, "t")
+
+
+@query(f"""WITH {E}, p AS (SELECT *, lag(y, 1) OVER w AS y1, lag(y, 2) OVER w AS y2, lag(visible, 1) OVER w AS v1, lag(visible, 2) OVER w AS v2 FROM e WINDOW w AS (PARTITION BY seq ORDER BY t))
+    SELECT session::INT AS session, seq, (t - 2)::INT AS r, y, y1, y2, visible AND v1 AND v2 AS visible FROM p WHERE t >= 2""")
+def lag_windows(spark, sf_dir):
+    out = structure.lagged(seqs(spark, sf_dir), 2)
+    return out.select(*KEYS, "r", F.col("y")[0].alias("y"), F.col("lags")[0][0].alias("y1"), F.col("lags")[1][0].alias("y2"), "visible")
+
+
+_NEAR = """n AS (SELECT *, last_value(CASE WHEN visible THEN t END IGNORE NULLS) OVER b AS lt, first_value(CASE WHEN visible THEN t END IGNORE NULLS) OVER a AS rt,
+    last_value(CASE WHEN visible THEN y END IGNORE NULLS) OVER b AS ly, first_value(CASE WHEN visible THEN y END IGNORE NULLS) OVER a AS ry FROM e
+    WINDOW b AS (PARTITION BY seq ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY seq ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"""
+
+
+@query(f"WITH {E}, {_NEAR} SELECT session::INT AS session, seq, t, coalesce(lt, -1)::INT AS left_t, coalesce(rt, -1)::INT AS right_t FROM n")
+def nearest_visible(spark, sf_dir):
+    return structure.nearest_visible(seqs(spark, sf_dir)).select(*KEYS, "t", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("left_t", "right_t")])
+
+
+@query(f"""WITH {E}, {_NEAR} SELECT session::INT AS session, seq, t, round(CASE WHEN visible THEN y WHEN lt IS NOT NULL AND rt IS NOT NULL THEN ly + (ry - ly) * ((t - lt) / (rt - lt)) ELSE coalesce(ly, ry, 0) END, 6) + 0.0 AS completed FROM n""")
+def interpolate_hidden(spark, sf_dir):
+    return structure.interpolated(seqs(spark, sf_dir)).select(*KEYS, "t", r(F.col("completed")[0], "completed"))
+
+
+@query(f"""WITH {E}, p AS (SELECT *, lead(y) OVER (PARTITION BY seq ORDER BY t) - y AS dy, lead(u) OVER (PARTITION BY seq ORDER BY t) - u AS du FROM e), b AS (
+    SELECT least(floor(y / 20), 9)::INT AS i, least(floor(u / 10), 9)::INT AS j, dy, du FROM p WHERE dy IS NOT NULL AND y BETWEEN 0 AND 200 AND u BETWEEN 0 AND 100)
+    SELECT i, j, count(*) AS n, round(avg(dy), 4) + 0.0 AS dx, round(avg(du), 4) + 0.0 AS dy FROM b GROUP BY i, j""")
+def binned_displacement(spark, sf_dir):
+    e = seqs(spark, sf_dir).select(*KEYS, "t", F.col("y")[0].alias("y"), F.col("u")[0].alias("u"))
+    p = e.withColumns({"dy": F.lead("y").over(structure.order()) - F.col("y"), "du": F.lead("u").over(structure.order()) - F.col("u")}).where("dy is not null")
+    out = structure.displacement_bins(p, F.col("y"), F.col("u"), F.col("dy"), F.col("du"), ((0.0, 200.0), (0.0, 100.0)), 10)
+    return out.select("i", "j", "n", r("dx", "dx", 4), r("dy", "dy", 4))
+
+
+# Densities, moments, regressions
+
+
+def _gauss_sql(y: str, m: float, v: float) -> str:
+    return f"(-0.5 * (({y} - {m}) * ({y} - {m}) / {v} + {math.log(v) + columns.LOG_2PI!r}))"
+
+
+@query(f"WITH {E} SELECT seq, t, round({_gauss_sql('y', MEAN[0], VAR[0])}, 6) + 0.0 AS l0, round({_gauss_sql('y', MEAN[1], VAR[1])}, 6) + 0.0 AS l1 FROM e")
+def gauss_loglik_states(spark, sf_dir):
+    y = F.col("y")
+    return seqs(spark, sf_dir).select("seq", "t", *[r(columns.gaussian_log_prob(y, [m], [v]), f"l{k}") for k, (m, v) in enumerate(zip(MEAN, VAR, strict=True))])
+
+
+@query(f"WITH {E} SELECT seq, t, round(c * {RATES[0]!r} - 2 - lgamma(c + 1), 6) + 0.0 AS l0, round(c * {RATES[1]!r} - 8 - lgamma(c + 1), 6) + 0.0 AS l1 FROM e")
+def poisson_loglik_states(spark, sf_dir):
+    e = seqs(spark, sf_dir, counts=True).withColumn("lf", columns.log_factorial(F.col("y")[0]))
+    return e.select("seq", "t", *[r(columns.poisson_log_prob(F.col("y")[0], rate, F.col("lf")), f"l{k}") for k, rate in enumerate(RATES)])
+
+
+_COV2 = np.array([[500.0, 40.0], [40.0, 900.0]])
+_P2 = np.linalg.inv(_COV2)
+
+
+@query(f"""WITH {E}, d AS (SELECT seq, t, y - 40 AS a, u - 50 AS b FROM e) SELECT seq, t, round(-0.5 * (a * a * {float(_P2[0, 0])!r} + 2 * a * b * {float(_P2[0, 1])!r} + b * b * {float(_P2[1, 1])!r} + {float(np.linalg.slogdet(_COV2)[1]) + 2 * columns.LOG_2PI!r}), 6) + 0.0 AS lp FROM d""")
+def full_gaussian_loglik(spark, sf_dir):
+    e = seqs(spark, sf_dir)
+    return e.select("seq", "t", r(columns.full_gaussian_log_prob(F.concat("y", "u"), [40.0, 50.0], _COV2), "lp"))
+
+
+@query("SELECT vec_id, round(0.5 * embedding[1]::DOUBLE - 0.25 * embedding[2]::DOUBLE + 1, 6) + 0.0 AS z0, round(2 * embedding[3]::DOUBLE + embedding[1]::DOUBLE - 1, 6) + 0.0 AS z1 FROM embeddings")
+def affine_apply(spark, sf_dir):
+    x = F.transform(F.slice("embedding", 1, 3), lambda v: v.cast("double"))
+    z = columns.affine(x, np.array([[0.5, -0.25, 0.0], [1.0, 0.0, 2.0]]), [1.0, -1.0])
+    return table(spark, sf_dir, "embeddings").select("vec_id", r(z[0], "z0"), r(z[1], "z1"))
+
+
+@query("SELECT event_id, round((value - avg(value) OVER w) / stddev_pop(value) OVER w, 6) + 0.0 AS z FROM events WINDOW w AS (PARTITION BY event_type)")
+def zscore(spark, sf_dir):
+    return moments.zscore(events(spark, sf_dir), "value", ["event_type"]).select("event_id", r("z", "z"))
+
+
+_FIT_SQL = """WITH d AS (SELECT l_returnflag, {w} AS w, l_quantity AS a, l_extendedprice / 1000 AS b FROM lineitem),
+    s AS (SELECT l_returnflag, sum(w) AS n, sum(w * a) / sum(w) AS m0, sum(w * b) / sum(w) AS m1, sum(w * a * a) / sum(w) AS q00, sum(w * a * b) / sum(w) AS q01, sum(w * b * b) / sum(w) AS q11 FROM d GROUP BY ALL)
+    SELECT l_returnflag, round(n, 4) + 0.0 AS n, round(m0, 4) + 0.0 AS m0, round(m1, 4) + 0.0 AS m1, round(q00 - m0 * m0, 4) + 0.0 AS c0_0, round(q01 - m0 * m1, 4) + 0.0 AS c0_1, round(q11 - m1 * m1, 4) + 0.0 AS c1_1 FROM s"""
+
+
+def _lineitem_fit(spark, sf_dir, weight):
+    out = moments.weighted_moments(table(spark, sf_dir, "lineitem"), [F.col("l_quantity"), F.col("l_extendedprice") / 1000], weight, ["l_returnflag"])
+    return out.select("l_returnflag", *[r(c, c, 4) for c in ("n", "m0", "m1", "c0_0", "c0_1", "c1_1")])
+
+
+@query(_FIT_SQL.format(w="1 - l_discount"))
+def weighted_gaussian_fit(spark, sf_dir):
+    return _lineitem_fit(spark, sf_dir, 1 - F.col("l_discount"))
+
+
+@query(_FIT_SQL.format(w="1.0"))
+def grouped_gaussian_fit(spark, sf_dir):
+    return _lineitem_fit(spark, sf_dir, F.lit(1.0))
+
+
+@query("SELECT l_returnflag, count(*)::DOUBLE AS n, round(ln(greatest(avg(l_quantity), 1e-8)), 6) + 0.0 AS log_rate FROM lineitem GROUP BY ALL")
+def grouped_poisson_fit(spark, sf_dir):
+    out = moments.weighted_poisson(table(spark, sf_dir, "lineitem"), F.col("l_quantity"), F.lit(1.0), ["l_returnflag"])
+    return out.select("l_returnflag", "n", r("log_rate", "log_rate"))
+
+
+_REG_SQL = f"""WITH {E}, p AS (SELECT y, lag(y) OVER w AS x, visible AND lag(visible) OVER w AS v FROM e WINDOW w AS (PARTITION BY seq ORDER BY t)),
+    s AS (SELECT avg(x) AS mx, avg(y) AS my, avg(x * x) - avg(x) * avg(x) AS xx, avg(x * y) - avg(x) * avg(y) AS xy, avg(y * y) - avg(y) * avg(y) AS yy FROM p WHERE v AND x IS NOT NULL),
+    f AS (SELECT *, xy / (xx * (1 + 1e-6)) AS w FROM s)"""
+
+
+@query(f"{_REG_SQL} SELECT round(w, 5) + 0.0 AS coefficient, round(my - w * mx, 4) + 0.0 AS bias, round(yy - 2 * w * xy + w * w * xx + 1e-6 * yy, 2) + 0.0 AS variance FROM f")
+def ridge_regression(spark, sf_dir):
+    rows = structure.lagged(seqs(spark, sf_dir), 1).where("visible").withColumn("x", F.flatten("lags"))
+    w, b, c = moments.regression(rows, F.col("x"), F.col("y"), (1, 1))[()]
+    return spark.createDataFrame([(round(float(w[0, 0]), 5), round(float(b[0]), 4), round(float(c[0, 0]), 2))], "coefficient double, bias double, variance double")
+
+
+@query("""SELECT label, count(*) AS n, round(avg(embedding[1]::DOUBLE), 6) + 0.0 AS m0, round(avg(embedding[2]::DOUBLE), 6) + 0.0 AS m1, round(avg(embedding[1]::DOUBLE * embedding[2]::DOUBLE) - avg(embedding[1]::DOUBLE) * avg(embedding[2]::DOUBLE), 6) + 0.0 AS c0_1 FROM embeddings GROUP BY ALL""")
+def lda_class_moments(spark, sf_dir):
+    x = [F.col("embedding")[i].cast("double") for i in range(2)]
+    out = moments.weighted_moments(table(spark, sf_dir, "embeddings"), x, F.lit(1.0), ["label"])
+    return out.select("label", F.col("n").cast("long").alias("n"), r("m0", "m0"), r("m1", "m1"), r("c0_1", "c0_1"))
+
+
+@query("""SELECT round(avg(embedding[1]::DOUBLE), 6) + 0.0 AS m0, round(avg(embedding[2]::DOUBLE), 6) + 0.0 AS m1, round(var_pop(embedding[1]::DOUBLE) + var_pop(embedding[2]::DOUBLE), 5) + 0.0 AS total FROM embeddings""")
+def pca_mean_cov(spark, sf_dir):
+    x = F.transform(F.slice("embedding", 1, 2), lambda v: v.cast("double"))
+    mean, _, values = cluster.pca(table(spark, sf_dir, "embeddings"), x, 2, 2)
+    return spark.createDataFrame([(round(float(mean[0]), 6), round(float(mean[1]), 6), round(float(values.sum()), 5))], "m0 double, m1 double, total double")
+
+
+@query()
+def lda_directions(spark, sf_dir):
+    """Discriminant directions of embedding labels."""
+    rows = table(spark, sf_dir, "embeddings").select("label", F.transform("embedding", lambda v: v.cast("double")).alias("x"))
+    size = len(rows.first()["x"])
+    sums = moments.joint_sums(rows, F.slice("x", 1, min(size, 8)), F.lit(1.0), min(size, 8), ["label"])
+    labels = sorted(sums)
+    n, s, q = (np.array([sums[k][i] for k in labels]) for i in range(3))
+    directions, _ = align.lda_directions(n, s / n[:, None], q)
+    return spark.createDataFrame([(i, j, float(v)) for i, row in enumerate(directions) for j, v in enumerate(row)], "dimension int, direction int, weight double")
+
+
+# Clustering
+
+_ASSIGN = "CASE WHEN abs(y - {0}) <= abs(y - {1}) AND abs(y - {0}) <= abs(y - {2}) THEN 0 WHEN abs(y - {1}) <= abs(y - {2}) THEN 1 ELSE 2 END"
+
+
+@query(f"WITH {E} SELECT seq, t, {_ASSIGN.format(*CENTERS)}::INT AS k FROM e")
+def kmeans_assign(spark, sf_dir):
+    return seqs(spark, sf_dir).select("seq", "t", cluster.assign(F.col("y"), np.array(CENTERS)[:, None]).alias("k"))
+
+
+def _kmeans_sql(steps: int) -> str:
+    parts = [f"{E}", f"c0 AS (SELECT {CENTERS[0]}::DOUBLE AS a, {CENTERS[1]}::DOUBLE AS b, {CENTERS[2]}::DOUBLE AS c)"]
+    for k in range(steps):
+        g = _ASSIGN.format(f"c{k}.a", f"c{k}.b", f"c{k}.c")
+        parts.append(f"g{k} AS (SELECT y, {g} AS k FROM e, c{k} WHERE visible)")
+        parts.append(f"c{k + 1} AS (SELECT coalesce((SELECT avg(y) FROM g{k} WHERE k = 0), a) AS a, coalesce((SELECT avg(y) FROM g{k} WHERE k = 1), b) AS b, coalesce((SELECT avg(y) FROM g{k} WHERE k = 2), c) AS c FROM c{k})")
+    return f"WITH {', '.join(parts)} SELECT round(a, 4) + 0.0 AS c0, round(b, 4) + 0.0 AS c1, round(c, 4) + 0.0 AS c2 FROM c{steps}".replace("SELECT y, CASE", "SELECT e.y, CASE")
+
+
+@query(_kmeans_sql(5))
+def kmeans_steps(spark, sf_dir):
+    c = cluster.kmeans(seqs(spark, sf_dir).where("visible"), F.col("y"), np.array(CENTERS)[:, None], 5)
+    return spark.createDataFrame([tuple(round(float(v), 4) for v in c[:, 0])], "c0 double, c1 double, c2 double")
+
+
+# Hidden Markov models
+
+
+def hmm() -> HMM:
+    return HMM({"initial_probs": PI, "transition_probs": P, "emissions": [{"mean": np.array(MEAN)[:, None], "covariance": np.array(VAR)[:, None, None]}]})
+
+
+def hmm_counts() -> HMM:
+    return HMM({"initial_probs": PI, "transition_probs": P, "emissions": [{"log_rates": np.array(RATES)[:, None]}]}, POISSON)
+
+
+def _chain_sql(l0: str, l1: str, rows: str = "e") -> str:
+    """Forward (f) and backward (b) recursions of a two-state chain over log factors; g has both."""
+    p = [[repr(float(x)) for x in row] for row in P]
+    return f"""l AS (SELECT *, exp(l0 - m) AS e0, exp(l1 - m) AS e1 FROM (SELECT *, greatest(l0, l1) AS m FROM (SELECT *, {l0} AS l0, {l1} AS l1 FROM {rows}))),
+    f AS (SELECT seq, t, m, e0, e1, {PI[0]} * e0 + {PI[1]} * e1 AS c, {PI[0]} * e0 / ({PI[0]} * e0 + {PI[1]} * e1) AS a0, {PI[1]} * e1 / ({PI[0]} * e0 + {PI[1]} * e1) AS a1 FROM l WHERE t = 0
+        UNION ALL SELECT seq, t, m, e0, e1, v0 + v1, v0 / (v0 + v1), v1 / (v0 + v1) FROM (
+            SELECT l.seq, l.t, l.m, l.e0, l.e1, (a0 * {p[0][0]} + a1 * {p[1][0]}) * l.e0 AS v0, (a0 * {p[0][1]} + a1 * {p[1][1]}) * l.e1 AS v1 FROM f JOIN l ON l.seq = f.seq AND l.t = f.t + 1)),
+    n AS (SELECT seq, max(t) AS last FROM f GROUP BY ALL),
+    b AS (SELECT seq, last AS t, 1.0::DOUBLE AS b0, 1.0::DOUBLE AS b1 FROM n
+        UNION ALL SELECT f.seq, f.t - 1, ({p[0][0]} * f.e0 * b0 + {p[0][1]} * f.e1 * b1) / f.c, ({p[1][0]} * f.e0 * b0 + {p[1][1]} * f.e1 * b1) / f.c FROM b JOIN f ON f.seq = b.seq AND f.t = b.t WHERE f.t > 0),
+    g AS (SELECT f.*, b0, b1, a0 * b0 / (a0 * b0 + a1 * b1) AS g0, a1 * b1 / (a0 * b0 + a1 * b1) AS g1 FROM f JOIN b USING (seq, t))"""
+
+
+_L = [f"CASE WHEN visible THEN {_gauss_sql('y', m, v)} ELSE 0 END" for m, v in zip(MEAN, VAR, strict=True)]
+_HMM = f"WITH RECURSIVE {E}, {_chain_sql(*_L)}"
+
+
+def _local(e: DataFrame) -> DataFrame:
+    parts = [F.when(F.col("visible"), columns.gaussian_log_prob(F.col("y"), [m], [v])).otherwise(0.0) for m, v in zip(MEAN, VAR, strict=True)]
+    return columns.pack_local(e, F.array(*parts))
+
+
+@query(f"{_HMM} SELECT seq, round(sum(ln(c) + m), 4) + 0.0 AS log_likelihood FROM f GROUP BY ALL")
+def hmm_forward_ll(spark, sf_dir):
+    """Native forward recursion: one fold over each packed sequence."""
+    packed = _local(seqs(spark, sf_dir)).select("seq", columns.forward(F.col("ell"), PI, P).alias("f"))
+    return packed.select("seq", r("f.log_likelihood", "log_likelihood", 4))
+
+
+@query(f"{_HMM} SELECT seq, t, round(a0, 6) + 0.0 AS a0, round(a1, 6) + 0.0 AS a1 FROM f")
+def hmm_filter(spark, sf_dir):
+    packed = _local(seqs(spark, sf_dir)).select("seq", columns.forward(F.col("ell"), PI, P).alias("f"))
+    return packed.select("seq", F.posexplode("f.steps").alias("t", "a")).select("seq", "t", r(F.col("a")[0], "a0"), r(F.col("a")[1], "a1"))
+
+
+@query(f"{_HMM} SELECT seq, t, round(g0, 6) + 0.0 AS g0, round(g1, 6) + 0.0 AS g1 FROM g")
+def hmm_gamma(spark, sf_dir):
+    return hmm().infer(seqs(spark, sf_dir)).select("seq", "t", r(F.col("gamma")[0], "g0"), r(F.col("gamma")[1], "g1"))
+
+
+@query(f"""{_HMM} SELECT x.seq, x.t, round(x.a0 * {float(P[0, 0])} * y.e0 * y.b0 / y.c, 6) + 0.0 AS x00, round(x.a0 * {float(P[0, 1])} * y.e1 * y.b1 / y.c, 6) + 0.0 AS x01,
+    round(x.a1 * {float(P[1, 0])} * y.e0 * y.b0 / y.c, 6) + 0.0 AS x10, round(x.a1 * {float(P[1, 1])} * y.e1 * y.b1 / y.c, 6) + 0.0 AS x11 FROM g x JOIN g y ON x.seq = y.seq AND y.t = x.t + 1""")
+def hmm_xi(spark, sf_dir):
+    rows = hmm().infer(seqs(spark, sf_dir)).where("xi_next is not null")
+    return rows.select("seq", "t", *[r(F.col("xi_next")[i][j], f"x{i}{j}") for i in range(2) for j in range(2)])
+
+
+@query(f"{_HMM} SELECT seq, t, CASE WHEN g0 >= g1 THEN 0 ELSE 1 END::INT AS state FROM g")
+def hmm_decode(spark, sf_dir):
+    return hmm().decode(seqs(spark, sf_dir)).select("seq", "t", "state")
+
+
+_XI = " + ".join(f"CASE WHEN v{i}{j} > 0 THEN v{i}{j} * ln(v{i}{j}) ELSE 0 END" for i in range(2) for j in range(2))
+
+
+@query(f"""{_HMM}, x AS (SELECT x.seq, x.t, x.a0 * {float(P[0, 0])} * y.e0 * y.b0 / y.c AS v00, x.a0 * {float(P[0, 1])} * y.e1 * y.b1 / y.c AS v01, x.a1 * {float(P[1, 0])} * y.e0 * y.b0 / y.c AS v10, x.a1 * {float(P[1, 1])} * y.e1 * y.b1 / y.c AS v11
+        FROM g x JOIN g y ON x.seq = y.seq AND y.t = x.t + 1),
+    h AS (SELECT seq, t, CASE WHEN g0 > 0 THEN g0 * ln(g0) ELSE 0 END + CASE WHEN g1 > 0 THEN g1 * ln(g1) ELSE 0 END AS own FROM g)
+    SELECT h.seq, round(sum(CASE WHEN t > 0 AND t < last THEN own ELSE 0 END) - coalesce(any_value(pairs), 0), 4) + 0.0 AS entropy, round(any_value(ll), 4) + 0.0 AS elbo
+    FROM h JOIN n USING (seq) LEFT JOIN (SELECT seq, sum({_XI}) AS pairs FROM x GROUP BY ALL) USING (seq) JOIN (SELECT seq, sum(ln(c) + m) AS ll FROM f GROUP BY ALL) USING (seq) GROUP BY h.seq""")
+def hmm_entropy_elbo(spark, sf_dir):
+    return hmm().entropy(seqs(spark, sf_dir)).select("seq", r("entropy", "entropy", 4), r("elbo", "elbo", 4))
+
+
+@query(f"{_HMM} SELECT seq, t, round(g0 * {MEAN[0]} + g1 * {MEAN[1]}, 5) + 0.0 AS mean FROM g")
+def hmm_observation_mean(spark, sf_dir):
+    return hmm().observation_mean(seqs(spark, sf_dir)).select("seq", "t", r(F.col("mean")[0], "mean", 5))
+
+
+_COUNTS = f"""{_HMM}, k AS (SELECT sum(CASE WHEN t = 0 THEN g0 END) AS i0, sum(CASE WHEN t = 0 THEN g1 END) AS i1 FROM g),
+    x AS (SELECT sum(x.a0 * {float(P[0, 0])} * y.e0 * y.b0 / y.c) AS x00, sum(x.a0 * {float(P[0, 1])} * y.e1 * y.b1 / y.c) AS x01, sum(x.a1 * {float(P[1, 0])} * y.e0 * y.b0 / y.c) AS x10, sum(x.a1 * {float(P[1, 1])} * y.e1 * y.b1 / y.c) AS x11
+        FROM g x JOIN g y ON x.seq = y.seq AND y.t = x.t + 1),
+    w AS (SELECT sum(g0) AS n0, sum(g1) AS n1, sum(g0 * y) / sum(g0) AS m0, sum(g1 * y) / sum(g1) AS m1, sum(g0 * y * y) / sum(g0) AS q0, sum(g1 * y * y) / sum(g1) AS q1 FROM g JOIN e USING (seq, t) WHERE visible)"""
+
+
+@query(f"{_COUNTS} SELECT round(i0, 3) + 0.0 AS i0, round(i1, 3) + 0.0 AS i1, round(x00, 3) + 0.0 AS x00, round(x01, 3) + 0.0 AS x01, round(x10, 3) + 0.0 AS x10, round(x11, 3) + 0.0 AS x11, round(n0, 3) + 0.0 AS n0, round(n1, 3) + 0.0 AS n1 FROM k, x, w")
+def hmm_expected_counts(spark, sf_dir):
+    model = hmm()
+    with learning.Packed(seqs(spark, sf_dir)) as data:
+        s = data.sums(lambda b: model._statistics(b, model._infer(b)[0]))[0]
+    flat = [*s["first"], *s["pairs"].ravel(), *s["n"]]
+    return spark.createDataFrame([tuple(round(float(v), 3) for v in flat)], ", ".join(f"{n} double" for n in ("i0", "i1", "x00", "x01", "x10", "x11", "n0", "n1")))
+
+
+@query(f"""{_COUNTS} SELECT round(i0 / (i0 + i1), 5) + 0.0 AS pi0, round(x00 / (x00 + x01), 5) + 0.0 AS p00, round(x10 / (x10 + x11), 5) + 0.0 AS p10, round(m0, 3) + 0.0 AS m0, round(m1, 3) + 0.0 AS m1,
+    round((q0 - m0 * m0) * (1 + 1e-6), 1) + 0.0 AS v0, round((q1 - m1 * m1) * (1 + 1e-6), 1) + 0.0 AS v1 FROM k, x, w""")
+def hmm_em_step(spark, sf_dir):
+    p = hmm().fit(seqs(spark, sf_dir), 1).model.params
+    e = p["emissions"][0]
+    values = (round(p["initial_probs"][0], 5), round(p["transition_probs"][0, 0], 5), round(p["transition_probs"][1, 0], 5), *[round(x, 3) for x in e["mean"][:, 0]], *[round(x, 1) for x in e["covariance"][:, 0, 0]])
+    return spark.createDataFrame([tuple(map(float, values))], ", ".join(f"{n} double" for n in ("pi0", "p00", "p10", "m0", "m1", "v0", "v1")))
+
+
+@query()
+def hmm_fit_trace(spark, sf_dir):
+    """Objective of every EM step, from a K-means start."""
+    e = seqs(spark, sf_dir)
+    return HMM.initialize(e, 2).fit(e, 5).trace_table(spark)
+
+
+@query(f"""WITH RECURSIVE {E}, {_chain_sql(*[f"CASE WHEN visible THEN c * {rate!r} - {math.exp(rate)!r} - lgamma(c + 1) ELSE 0 END" for rate in RATES])} SELECT seq, round(sum(ln(f.c) + f.m), 4) + 0.0 AS log_likelihood FROM f GROUP BY ALL""")
+def hmm_poisson_ll(spark, sf_dir):
+    return hmm_counts().objective(seqs(spark, sf_dir, counts=True)).select("seq", r("objective", "log_likelihood", 4))
+
+
+@query()
+def hmm_sessions_fit(spark, sf_dir):
+    """A multi-session HMM: shared chain, emissions for each session."""
+    e = seqs(spark, sf_dir, sessions=True)
+    return HMM.initialize(e, 2).fit(e, 3).trace_table(spark)
+
+
+@query("SELECT * FROM (VALUES (0, 1), (1, 0)) AS v(target, source)")
+def state_match(spark, sf_dir):
+    order = align.match_by_mean(np.array(MEAN)[:, None], np.array([[100.0], [10.0]]))
+    return spark.createDataFrame(list(enumerate(map(int, order))), "target int, source int")
+
+
+@query(f"{_HMM} SELECT seq, t, round(g1, 6) + 0.0 AS g0, round(g0, 6) + 0.0 AS g1 FROM g")
+def permute_states(spark, sf_dir):
+    return hmm().permute_states([1, 0]).infer(seqs(spark, sf_dir)).select("seq", "t", r(F.col("gamma")[0], "g0"), r(F.col("gamma")[1], "g1"))
+
+
+# Autoregressive models
+
+_AR_ROWS = "a AS (SELECT * FROM (SELECT seq, (t - 1)::INT AS t, y, lag(y) OVER w AS x, visible AND lag(visible) OVER w AS visible FROM e WINDOW w AS (PARTITION BY seq ORDER BY t)) WHERE t >= 0)"
+_AR_L = [f"CASE WHEN visible THEN {_gauss_sql('y', 0, v).replace('y - 0', f'y - {c} * x - {b}')} ELSE 0 END" for c, b, v in zip(AR["coefficients"], AR["bias"], AR["variance"], strict=True)]
+
+
+def arhmm() -> ARHMM:
+    e = {"coefficients": np.array(AR["coefficients"])[:, None, None], "bias": np.array(AR["bias"])[:, None], "covariance": np.array(AR["variance"])[:, None, None]}
+    return ARHMM({"initial_probs": PI, "transition_probs": P, "emissions": [e]})
+
+
+@query(f"WITH RECURSIVE {E}, {_AR_ROWS}, {_chain_sql(*_AR_L, rows='a')} SELECT seq, round(sum(ln(c) + m), 4) + 0.0 AS log_likelihood FROM f GROUP BY ALL")
+def arhmm_forward_ll(spark, sf_dir):
+    return arhmm().objective(seqs(spark, sf_dir)).select("seq", r("objective", "log_likelihood", 4))
+
+
+@query(f"WITH RECURSIVE {E}, {_AR_ROWS}, {_chain_sql(*_AR_L, rows='a')} SELECT seq, (t + 1)::INT AS t, round(g0, 6) + 0.0 AS g0 FROM g")
+def arhmm_gamma(spark, sf_dir):
+    return arhmm().infer(seqs(spark, sf_dir)).select("seq", "t", r(F.col("gamma")[0], "g0"))
+
+
+@query()
+def arhmm_fit_trace(spark, sf_dir):
+    e = seqs(spark, sf_dir)
+    return ARHMM.initialize(e, 2, 2).fit(e, 3).trace_table(spark)
+
+
+@query()
+def arhmm_poisson_fit(spark, sf_dir):
+    e = seqs(spark, sf_dir, counts=True)
+    return ARHMM.initialize(e, 2, 1, POISSON).fit(e, 2).trace_table(spark)
+
+
+# Linear dynamical systems
+
+
+def lds(inputs: bool = False) -> LDS:
+    p = LDS1
+    shared = {"initial_mean": [p["m0"]], "initial_covariance": [[p["s0"]]], "dynamics_coefficients": [[p["a"]]], "dynamics_bias": [p["b"]], "dynamics_covariance": [[p["q"]]]}
+    if inputs:
+        shared["dynamics_input_coefficients"] = [[p["input"]]]
+    return LDS(shared | {"emissions": [{"coefficients": [[p["c"]]], "bias": [p["d"]], "covariance": [[p["r"]]]}]})
+
+
+def _kalman_sql(inputs: bool) -> str:
+    p = LDS1
+    drive = f"{p['b']} + {p['input']} * e.u" if inputs else f"{p['b']}"
+    update = """CASE WHEN visible THEN pm + pv / (pv + {r}) * (y - pm) ELSE pm END AS m, CASE WHEN visible THEN pv * {r} / (pv + {r}) ELSE pv END AS v,
+        CASE WHEN visible THEN -0.5 * ((y - pm) * (y - pm) / (pv + {r}) + ln(pv + {r}) + {c!r}) ELSE 0 END AS ll""".format(r=p["r"], c=columns.LOG_2PI)
+    return f"""WITH RECURSIVE {E},
+    k AS (SELECT seq, t, pm, pv, {update} FROM (SELECT seq, t, y, visible, {p["m0"]}::DOUBLE AS pm, {p["s0"]}::DOUBLE AS pv FROM e WHERE t = 0)
+        UNION ALL SELECT seq, t, pm, pv, {update} FROM (SELECT e.seq, e.t, e.y, e.visible, {p["a"]} * m + {drive} AS pm, {p["a"] ** 2!r} * v + {p["q"]} AS pv FROM k JOIN e ON e.seq = k.seq AND e.t = k.t + 1)),
+    n AS (SELECT seq, max(t) AS last FROM e GROUP BY ALL),
+    s AS (SELECT k.seq, k.t, m AS sm, v AS sv, 0.0::DOUBLE AS cross_next FROM k JOIN n ON k.seq = n.seq AND k.t = last
+        UNION ALL SELECT seq, t, m + j * (sm - npm), v + j * j * (sv - npv), j * sv FROM (
+            SELECT k.seq, k.t, k.m, k.v, s.sm, s.sv, x.pm AS npm, x.pv AS npv, k.v * {p["a"]} / x.pv AS j FROM s JOIN k ON k.seq = s.seq AND k.t = s.t - 1 JOIN k x ON x.seq = s.seq AND x.t = s.t))"""
+
+
+@query(f"{_kalman_sql(False)} SELECT seq, t, round(sm, 4) + 0.0 AS mean, round(sv, 4) + 0.0 AS variance FROM s")
+def lds_smooth_scalar(spark, sf_dir):
+    return lds().infer(seqs(spark, sf_dir)).select("seq", "t", r(F.col("mean")[0], "mean", 4), r(F.col("cov")[0][0], "variance", 4))
+
+
+@query(f"{_kalman_sql(False)} SELECT seq, round(sum(ll), 4) + 0.0 AS log_likelihood FROM k GROUP BY ALL")
+def lds_ll_scalar(spark, sf_dir):
+    return lds().objective(seqs(spark, sf_dir)).select("seq", r("objective", "log_likelihood", 4))
+
+
+@query(f"{_kalman_sql(True)} SELECT seq, t, round(sm, 4) + 0.0 AS mean, round(sv, 4) + 0.0 AS variance FROM s")
+def lds_controlled(spark, sf_dir):
+    return lds(True).infer(seqs(spark, sf_dir)).select("seq", "t", r(F.col("mean")[0], "mean", 4), r(F.col("cov")[0][0], "variance", 4))
+
+
+@query(f"{_kalman_sql(False)} SELECT seq, t, round(cross_next, 4) + 0.0 AS cross_cov FROM s JOIN n USING (seq) WHERE t < last")
+def lds_cross_covariance(spark, sf_dir):
+    return lds().infer(seqs(spark, sf_dir)).where("cross_next is not null").select("seq", "t", r(F.col("cross_next")[0][0], "cross_cov", 4))
+
+
+@query(f"{_kalman_sql(False)} SELECT seq, round(sum(ll), 3) + 0.0 AS elbo FROM k GROUP BY ALL")
+def lds_elbo(spark, sf_dir):
+    return lds().elbo(seqs(spark, sf_dir)).select("seq", r("elbo", "elbo", 3))
+
+
+@query(f"{_kalman_sql(False)} SELECT seq, t, round({LDS1['c']} * sm + {LDS1['d']}, 4) + 0.0 AS mean FROM s")
+def lds_observation_mean(spark, sf_dir):
+    return lds().observation_mean(seqs(spark, sf_dir)).select("seq", "t", r(F.col("mean")[0], "mean", 4))
+
+
+@query(f"""{_kalman_sql(False)}, z AS (SELECT x.sm AS mx, y.sm AS my, x.sv + x.sm * x.sm AS xx, y.sv + y.sm * y.sm AS yy, x.cross_next + x.sm * y.sm AS xy FROM s x JOIN s y ON x.seq = y.seq AND y.t = x.t + 1),
+    q AS (SELECT avg(mx) AS mx, avg(my) AS my, avg(xx) - avg(mx) * avg(mx) AS xx, avg(yy) - avg(my) * avg(my) AS yy, avg(xy) - avg(mx) * avg(my) AS xy FROM z), w AS (SELECT *, xy / (xx * (1 + 1e-6)) AS a FROM q)
+    SELECT round(a, 4) + 0.0 AS a, round(my - a * mx, 3) + 0.0 AS b, round(yy - 2 * a * xy + a * a * xx + 1e-6 * yy, 1) + 0.0 AS q FROM w""")
+def lds_em_step_scalar(spark, sf_dir):
+    p = lds().fit(seqs(spark, sf_dir), 1).model.params
+    row = (round(float(p["dynamics_coefficients"][0, 0]), 4), round(float(p["dynamics_bias"][0]), 3), round(float(p["dynamics_covariance"][0, 0]), 1))
+    return spark.createDataFrame([row], "a double, b double, q double")
+
+
+@query()
+def lds_fit_trace(spark, sf_dir):
+    e = source.from_events(events(spark, sf_dir), F.array("value", k_input()))
+    return LDS.initialize(e, 2).fit(e, 3).trace_table(spark)
+
+
+def _counts2(spark, sf_dir) -> DataFrame:
+    return source.from_events(events(spark, sf_dir), F.array(F.floor(F.col("value") / 10).cast("double"), F.floor(k_input() / 10)))
+
+
+@query()
+def poisson_lds_mode(spark, sf_dir):
+    """Laplace posterior of a Poisson LDS."""
+    e = _counts2(spark, sf_dir)
+    return LDS.initialize(e, 2, POISSON).infer(e).select("seq", "t", F.col("mean")[0].alias("x0"), F.col("mean")[1].alias("x1"))
+
+
+@query()
+def poisson_lds_fit(spark, sf_dir):
+    e = _counts2(spark, sf_dir)
+    return LDS.initialize(e, 2, POISSON).fit(e, 2).trace_table(spark)
+
+
+@query()
+def slds_infer(spark, sf_dir):
+    """Mean-field posterior of a switching system."""
+    e = source.from_events(events(spark, sf_dir), F.array("value", k_input()))
+    return SLDS.initialize(e, 2, 2).infer(e).select("seq", "t", "state", F.col("gamma")[0].alias("g0"), F.col("mean")[0].alias("x0"))
+
+
+@query()
+def slds_fit_trace(spark, sf_dir):
+    e = source.from_events(events(spark, sf_dir), F.array("value", k_input()))
+    return SLDS.initialize(e, 2, 2).fit(e, 3).trace_table(spark)
+
+
+@query()
+def slds_poisson_infer(spark, sf_dir):
+    e = _counts2(spark, sf_dir)
+    return SLDS.initialize(e, 2, 2, POISSON).infer(e).select("seq", "t", "state", F.col("mean")[0].alias("x0"))
+
+
+@query(f"{_kalman_sql(False)} SELECT seq, round(sum(ll), 3) + 0.0 AS elbo FROM k GROUP BY ALL")
+def slds_one_state_elbo(spark, sf_dir):
+    """With one state the bound is the LDS log-likelihood."""
+    p = lds().params
+    one = SLDS({
+        "initial_probs": [1.0], "transition_probs": [[1.0]], "latent_initial_means": p["initial_mean"][None], "latent_initial_covariances": p["initial_covariance"][None],
+        "dynamics_coefficients": p["dynamics_coefficients"][None], "dynamics_bias": p["dynamics_bias"][None], "dynamics_covariances": p["dynamics_covariance"][None], "emissions": p["emissions"],
+    })
+    return one.elbo(seqs(spark, sf_dir)).select("seq", r("elbo", "elbo", 3))
+
+
+# Sampling and grids
+
+
+@query("SELECT s::INT AS session, n::BIGINT AS seq, (10 + n)::BIGINT AS n_steps FROM range(2) a(s), range(5) b(n)")
+def sample_shapes(spark, sf_dir):
+    two = hmm().replace(emissions=hmm().params["emissions"] * 2)
+    rows = two.sample(spark, {s: [10 + n for n in range(5)] for s in range(2)}, seed=1)
+    return rows.groupBy("session", "seq").agg(F.count(F.lit(1)).alias("n_steps"))
+
+
+@query()
+def occupancy_grid(spark, sf_dir):
+    """Time-averaged posterior mass of each cell."""
+    post = lds().infer(seqs(spark, sf_dir))
+    return grid.occupancy(post, [np.linspace(-50, 250, 31)], [0]).select("seq", F.col("cell")[0].alias("cell"), r("mass", "mass"))
+
+
+@query()
+def chain_entropy(spark, sf_dir):
+    """Entropy of the Gaussian posterior path of each sequence."""
+    model = lds()
+
+    def make(b: learning.Batch):
+        return learning.pd.DataFrame({"session": np.int32(b.session), "seq": b.seq, "entropy": model._infer(b)[0].entropy()})
+
+    return learning.rows(learning.packed(seqs(spark, sf_dir)), "session int, seq long, entropy double", make)
+
+
+__all__ = ["ORACLES", "QUERIES", "chains", "fits"]
