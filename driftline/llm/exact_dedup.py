@@ -12,6 +12,8 @@ input are not touched. Rows with equal digests but different texts (never seen)
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,7 +55,8 @@ class DigestIndex:
         self._write(f"level0-{len(self.runs)}", merged.sortWithinPartitions("run", "digest"), by_run=True)
 
     def read(self) -> DataFrame:
-        return self.spark.read.schema("digest binary, id long, n long").parquet(*[f"{self.scratch.path}/{r}" for r in self.runs]).select("digest", "id", "n")
+        runs = [self.spark.read.schema("digest binary, id long, n long").parquet(f"{self.scratch.path}/{r}").select("digest", "id", "n") for r in self.runs]
+        return reduce(DataFrame.union, runs)
 
     def compact(self) -> None:
         """Merges all runs into one."""
