@@ -44,3 +44,18 @@ def load_params(spark: SparkSession, path: str) -> tuple[str, dict]:
     if row["format_version"] != VERSION:
         raise ValueError(f"format {row['format_version']}")
     return row["model_type"], decode(json.loads(row["params"]))
+
+
+def save_inferred(spark: SparkSession, path: str, model, posterior, sequences, overwrite: bool = False) -> None:
+    """A model, the posterior rows of its inference and the sequences they belong to, as three tables in one folder."""
+    mode = "overwrite" if overwrite else "errorifexists"
+    posterior.write.mode(mode).parquet(f"{path}/posterior")
+    sequences.write.mode(mode).parquet(f"{path}/sequences")
+    model.save(spark, f"{path}/model", overwrite)
+
+
+def load_inferred(spark: SparkSession, path: str):
+    """(model, posterior, sequences) as stored; nothing is inferred again."""
+    from driftline.plans.models import Model
+
+    return Model.load(spark, f"{path}/model"), spark.read.parquet(f"{path}/posterior"), spark.read.parquet(f"{path}/sequences")
