@@ -1,7 +1,7 @@
 """Online filtering of event streams: the forward recursion of an HMM with its state kept for each sequence.
 
 Rows of a micro-batch are taken in order of time within their sequence. A row that is not later than the last one taken
-for its sequence is late and is dropped and counted (``late``); state of idle sequences ends after ``idle_ms``.
+for its sequence is late and is dropped and counted (``late``); with ``idle_ms``, state of idle sequences ends after that time.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ def step(filtered: np.ndarray | None, local: np.ndarray, initial: np.ndarray, tr
     return joint / total, float(np.log(total) + top)
 
 
-def filter_stream(events: DataFrame, initial: np.ndarray, transition: np.ndarray, mean: np.ndarray, variance: np.ndarray, idle_ms: int = 3_600_000) -> DataFrame:
+def filter_stream(events: DataFrame, initial: np.ndarray, transition: np.ndarray, mean: np.ndarray, variance: np.ndarray, idle_ms: int | None = None) -> DataFrame:
     """Streaming (seq, ts, value) to OUTPUT rows; Gaussian observations of one dimension."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -48,7 +48,8 @@ def filter_stream(events: DataFrame, initial: np.ndarray, transition: np.ndarray
             out.append((key[0], ts, int(filtered.argmax()), float(filtered.max()), total, late))
         if filtered is not None:
             state.update((filtered.tolist(), total, last, late))
-            state.setTimeoutDuration(idle_ms)
+            if idle_ms:
+                state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
 
-    return events.groupBy("seq").applyInPandasWithState(run, OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.groupBy("seq").applyInPandasWithState(run, OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
