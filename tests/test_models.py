@@ -163,3 +163,19 @@ def test_validation_counts(spark):
     assert found["gaps"] == 1 and found["not_finite"] == 2
     with pytest.raises(ValueError):
         source.validate(bad)
+
+
+def test_collections_align_and_pool(spark):
+    from driftline.plans.collections import Collection
+
+    model = HMM(HMM_PARAMS | {"emissions": HMM_PARAMS["emissions"] * 2})
+    data = model.sample(spark, {0: [40] * 3, 1: [30] * 3}, seed=11).drop("z", "x").cache()
+    own = HMM(HMM_PARAMS)
+    both = Collection({0: own, 1: own.permute_states([1, 0])})
+    pooled = both.combine(data)
+    means = [e["mean"][:, 0].tolist() for e in pooled.params["emissions"]]
+    assert means[0] == means[1]
+    assert both.infer(data).count() == data.count()
+    assert both.get(1).params["emissions"][0]["mean"][0, 0] == 4
+    with pytest.raises(ValueError):
+        both.get()
