@@ -29,6 +29,8 @@ PASSES = 12
 COST = 1.0
 SMOOTHING = 1.0
 THRESHOLD = 0.3
+#: Texts whose 4-grams are sorted at once.
+CHUNK = 100
 RESULT = ("score", "predicted")
 
 
@@ -65,15 +67,19 @@ class NaiveBayesSvm:
         y = np.where(np.array(labels) == 1, 1.0, -1.0)
         if not len(y) or (y == y[0]).all():
             return cls(np.zeros(1 << BITS), 0.0, 0.0, 20.0 if len(y) and y[0] > 0 else -20.0 if len(y) else 0.0)
-        row, bucket = buckets(texts)
-        starts = np.searchsorted(row, np.arange(len(y) + 1))
-        held = [bucket[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)]
+        held = []
+        for i in range(0, len(texts), CHUNK):  # few texts at a time: sorting 4-grams takes many times their size
+            part = texts[i : i + CHUNK]
+            row, bucket = buckets(part)
+            starts = np.searchsorted(row, np.arange(len(part) + 1))
+            held += [bucket[a:b].astype(np.int32) for a, b in zip(starts[:-1], starts[1:], strict=True)]
         apart = np.arange(len(y)) % 4 == 3  # the curve is fitted on rows that the model hasn't seen
         if len(set(y[apart])) < 2 or len(set(y[~apart])) < 2:
             apart = np.zeros(len(y), bool)
         model = cls._descend(held, y, np.flatnonzero(~apart), seed)
         judged = apart if apart.any() else ~apart
-        margin, y = model._margins(row, bucket, len(y))[judged], y[judged]
+        margin = np.array([model._margins(np.zeros(len(held[i]), np.int64), held[i], 1)[0] for i in np.flatnonzero(judged)])
+        y = y[judged]
         slope, shift = 4.0, 0.0
         weight = len(y) / 2 / np.where(y > 0, max(1, (y > 0).sum()), max(1, (y < 0).sum()))  # classes weigh the same
         for _ in range(50):  # Newton steps of a logistic fit, with a little ridge
@@ -89,16 +95,18 @@ class NaiveBayesSvm:
     @classmethod
     def _descend(cls, held: list[np.ndarray], y: np.ndarray, rows: np.ndarray, seed: int) -> NaiveBayesSvm:
         """The linear model of ``rows`` by dual coordinate descent."""
-        seen = [np.bincount(np.concatenate([held[i] for i in rows if y[i] == c]), minlength=1 << BITS) + SMOOTHING for c in (1, -1)]
+        seen = [np.full(1 << BITS, SMOOTHING) for _ in range(2)]
+        for i in rows:
+            seen[0 if y[i] > 0 else 1][held[i]] += 1
         ratio = np.log(seen[0] / seen[0].sum()) - np.log(seen[1] / seen[1].sum())
-        scaled = {i: ratio[held[i]] / np.sqrt(max(1e-9, (ratio[held[i]] ** 2).sum())) for i in rows}  # of length one: long texts count as short ones
+        norm = {i: 1 / np.sqrt(max(1e-9, (ratio[held[i]] ** 2).sum())) for i in rows}  # rows of length one: long texts count as short ones
         w, bias, alpha = np.zeros(1 << BITS), 0.0, np.zeros(len(y))
         # Classes weigh the same in total.
         cost = COST * len(rows) / 2 / np.where(y > 0, (y[rows] > 0).sum(), (y[rows] < 0).sum())
         order = np.random.default_rng(seed)
         for _ in range(PASSES):
             for i in order.permutation(rows):
-                x, at = scaled[i], held[i]
+                x, at = ratio[held[i]] * norm[i], held[i]
                 gradient = y[i] * (w[at] @ x + bias) - 1
                 new = min(max(alpha[i] - gradient / 2, 0.0), cost[i])  # a row and its bias have length one each
                 if new != alpha[i]:
@@ -127,7 +135,7 @@ class NaiveBayesSvm:
         @F.pandas_udf("double")
         def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for batch in texts:
-                yield pd.Series(np.concatenate([model.value.score(batch.iloc[i : i + 200].tolist()) for i in range(0, len(batch), 200)] or [np.empty(0)]))
+                yield pd.Series(np.concatenate([model.value.score(batch.iloc[i : i + CHUNK].tolist()) for i in range(0, len(batch), CHUNK)] or [np.empty(0)]))
 
         out = df.select(*[c for c in df.columns if c not in RESULT], score(F.col(text)).alias("score"))
         return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
