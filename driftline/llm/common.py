@@ -53,6 +53,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.path = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        self.tables: dict[str, str] = {}
         _scratch.append((spark, self.path))
 
     def write(self, name: str, df: DataFrame) -> DataFrame:
@@ -61,8 +62,19 @@ class Scratch:
         df.write.mode("overwrite").parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)
 
+    def buckets(self, name: str, df: DataFrame, key: str) -> DataFrame:
+        """Writes a table in hash buckets of ``key``: later joins on ``key`` don't move its rows."""
+        n = partitions(self.spark)
+        table = f"{name}_{uuid.uuid4().hex}"
+        writer = df.repartition(n, key).write.format("parquet").option("compression", "zstd").option("path", f"{self.path}/{name}")
+        writer.bucketBy(n, key).saveAsTable(table)
+        self.tables[name] = table
+        return self.spark.table(table)
+
     def drop(self, *names: str) -> None:
         for name in names:
+            if name in self.tables:
+                self.spark.sql(f"DROP TABLE IF EXISTS {self.tables.pop(name)}")
             _delete(self.spark, f"{self.path}/{name}")
 
 

@@ -154,7 +154,7 @@ class ChosenPathJoin:
         """Pairs (a, b) whose full sets are similar enough."""
         pairs = self.scratch.write(f"{name}-pairs", pairs.distinct())
         wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        bodies = self.scratch.write(f"{name}-bodies", self.base.join(wanted, "id"))
+        bodies = self.scratch.write(f"{name}-bodies", self.texts.join(wanted, "id"))
         both = pairs.join(bodies.select(F.col("id").alias("a"), F.col("body").alias("x")), "a").join(bodies.select(F.col("id").alias("b"), F.col("body").alias("y")), "b")
         n, percent = self.words, self.percent
 
@@ -247,7 +247,7 @@ class ChosenPathJoin:
         own = own.withColumn("x", F.pmod(F.xxhash64("rep"), blocks)).withColumn("z", F.pmod(F.xxhash64("rep", F.lit(1)), minors)).withColumn("minor", F.col("comp") != F.col("main"))
         everyone = own.select("node", "rep", "comp", "x", F.explode(F.sequence(F.lit(0), minors - 1)).alias("z"), F.lit(False).alias("minor"))
         asking = own.where("minor").select("node", "rep", "comp", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("x"), "z", "minor")
-        rows = everyone.unionByName(asking).withColumnRenamed("rep", "id").join(self.base, "id")
+        rows = everyone.unionByName(asking).withColumnRenamed("rep", "id").join(self.texts, "id")
         n, percent = self.words, self.percent
 
         def run(group: pd.DataFrame) -> pd.DataFrame:
@@ -257,6 +257,8 @@ class ChosenPathJoin:
 
     def components(self) -> DataFrame:
         s = self.scratch
+        # Confirmation reads texts by identifier several times: in buckets they move once, and joins bring only identifiers.
+        self.texts = s.buckets("texts", self.base, "id")
         docs = s.write("sketches", self._sketched())
         groups = docs.groupBy("digest").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.first("sketch").alias("sketch"))
         classes = s.write("classes", groups.where("n > 0").select("rep", "n", "digest", "sketch").repartition(partitions(self.spark)))
@@ -286,6 +288,7 @@ class ChosenPathJoin:
         more = self._confirmed(open_.select("a", "b"), "rest")
         if not more.isEmpty():
             comps = self._components(links.union(more), "all-comp")
+        s.drop("texts")
         wide = classes.select("digest", "rep").join(comps, "rep", "left").select("digest", F.coalesce("comp", "rep").alias("component_id"))
         out = docs.select("id", "n", "digest").join(wide, "digest", "left")
         return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
