@@ -1,7 +1,8 @@
 """Mixing sources to target weights by soft membership.
 
-A classifier learnt from a labelled table gives every document a posterior over domains (naive Bayes over the presence of
-hashed letter and sign runs, sharpened or flattened by one exponent that fits the labelled rows best). Document rates
+A classifier learnt from a labelled table gives every document a posterior over domains (naive Bayes over the presence and
+absence of the hashed letter and sign runs that tell domains apart, sharpened or flattened by one exponent that fits labelled
+rows it hasn't learnt from best). Document rates
 r >= 0 then minimise the weighted least squares between the expected domain token totals, sum_i r_i n_i p_i, and the
 targets. A projected gradient step in the metric of token counts is
 
@@ -29,13 +30,15 @@ from driftline.llm.common import Scratch
 
 #: Hash buckets of the classifier, labelled rows it learns from at most (about), and rows at the common rate of a bucket
 #: that are added to each domain.
-BUCKETS = 8192
+BUCKETS = 16384
 FIT_ROWS = 20_000
-SMOOTHING = 30.0
+SMOOTHING = 1.0
+#: Standard errors by which a domain's rate of a bucket has to differ from the others' rate for the bucket to count.
+SIGNIFICANCE = 12.0
 #: Exponents tried for the likelihood.
 EXPONENTS = (0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.6, 0.8, 1.0)
 #: Iterations, and the relative residual at which they end.
-MAX_STEPS = 40
+MAX_STEPS = 15
 TOLERANCE = 5e-4
 MAX_DOMAINS = 64
 
@@ -53,16 +56,18 @@ def tokens(text: Column) -> Column:
 
 def _doubles(values) -> Column:
     """A constant array; one literal, so that plans stay short."""
-    return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")
+    return F.split(F.lit(",".join(f"{float(v):.9g}" for v in values)), ",").cast("array<double>")
 
 
 @dataclass
 class DomainClassifier:
-    """Log prior and log ratios of bucket likelihoods against the first domain."""
+    """For each domain a log prior, and log odds of every selected bucket with their sum of absences."""
 
     domains: list[str]
     prior: np.ndarray
+    buckets: list[int]
     weights: np.ndarray = field(repr=False)
+    absent: np.ndarray = field(repr=False)
     exponent: float = 1.0
 
     @classmethod
@@ -85,8 +90,12 @@ class DomainClassifier:
         for r in learn.select("domain", F.explode("runs").alias("b")).groupBy("domain", "b").count().collect():
             seen[domains.index(r["domain"]), r["b"]] += r["count"]
         common = (seen.sum(0) + 0.5) / (size.sum() + 1)
-        likely = np.log((seen + SMOOTHING * common) / (size[:, None] + SMOOTHING))
-        model = cls(domains, np.log(size / size.sum()), likely[1:] - likely[0])
+        rates = np.minimum((seen + SMOOTHING * common) / (size[:, None] + SMOOTHING), 0.999)
+        others = np.maximum(size.sum() - size, 1)[:, None]
+        error = np.sqrt(common * (1 - common) * (1 / size[:, None] + 1 / others)) + 1e-12
+        chosen = np.flatnonzero((np.abs(seen / size[:, None] - (seen.sum(0) - seen) / others) / error).max(0) > SIGNIFICANCE)
+        present, absent = np.log(rates[:, chosen]), np.log1p(-rates[:, chosen])
+        model = cls(domains, np.log(size / size.sum()), chosen.tolist(), present - absent, absent.sum(1))
         at = F.array_position(F.array(*map(F.lit, domains)), F.col("domain")).cast("int")
         scored = rows.where("judge").where(F.col("domain").isin(domains)).select(at.alias("at"), *model._sums(F.col("runs")))
         losses = scored.agg(*[F.avg(-F.log(F.greatest(F.element_at(model._posterior(a), F.col("at")), F.lit(1e-12)))).alias(f"l{k}") for k, a in enumerate(EXPONENTS)]).first()
@@ -95,14 +104,22 @@ class DomainClassifier:
         return model
 
     def _sums(self, buckets: Column) -> list[Column]:
-        def total(w: Column) -> Column:
-            return F.aggregate(buckets, F.lit(0.0), lambda a, b: a + w[b])
+        """Log likelihood of a text's buckets in each domain; only selected buckets are walked."""
+        if not self.buckets:
+            return [F.lit(0.0).alias(f"_s{k}") for k in range(len(self.domains))]
+        known = F.split(F.lit(",".join(map(str, self.buckets))), ",").cast("array<int>")
+        hits = F.array_intersect(buckets, known)
 
-        return [total(_doubles(w)).alias(f"_s{k}") for k, w in enumerate(self.weights, 1)]
+        def total(weights: Column, base: float) -> Column:
+            return F.aggregate(hits, F.lit(base), lambda a, b: a + weights[b])
+
+        dense = np.zeros((len(self.domains), self.buckets[-1] + 1))
+        dense[:, self.buckets] = self.weights
+        return [total(_doubles(np.round(w, 6)), float(c)).alias(f"_s{k}") for k, (w, c) in enumerate(zip(dense, self.absent, strict=True))]
 
     def _posterior(self, exponent: float) -> Column:
         """An array in the order of ``domains``, from the columns of ``_sums``."""
-        logits = [F.lit(float(self.prior[0]))] + [F.col(f"_s{k}") * exponent + float(p) for k, p in enumerate(self.prior[1:], 1)]
+        logits = [F.col(f"_s{k}") * exponent + float(p) for k, p in enumerate(self.prior)]
         top = F.greatest(*logits) if len(logits) > 1 else logits[0]
         parts = [F.exp(x - top) for x in logits]
         return F.transform(F.array(*parts), lambda x: x / sum(parts[1:], parts[0]))
@@ -163,7 +180,7 @@ def fit_rates(table: DataFrame, targets: np.ndarray, max_rate: float | None = No
         else:
             break
         steps.append(step)
-        small = float(new @ metric @ new) > loss * (1 - 1e-4)
+        small = float(new @ metric @ new) > loss * (1 - 1e-2)
         gap, gram = new, new_gram
         if small:
             break
@@ -178,7 +195,7 @@ def mix(documents: DataFrame, labelled: DataFrame, targets: dict[str, float], bu
     """Adds n_tokens, posterior, rate and copies to the rows of ``documents`` without their text, and names the domains.
 
     ``targets`` gives each labelled domain its share of the expected tokens; ``budget`` is the total (default: the tokens
-    there are). ``copies`` is the rate rounded up or down by a hash of ``key``, with the rate as its mean.
+    there are; with ``max_rate`` the most that needs no higher rate). ``copies`` is the rate rounded up or down by a hash of ``key``, with the rate as its mean.
     """
     scratch = Scratch(documents.sparkSession, "mixing")
     model = DomainClassifier.fit(labelled, scratch, key, text, domain, fit_rows)
@@ -187,9 +204,13 @@ def mix(documents: DataFrame, labelled: DataFrame, targets: dict[str, float], bu
     keep = [c for c in documents.columns if c not in ("n_tokens", "posterior", "rate", "copies", text)]
     scored = model.transform(documents.withColumn("n_tokens", tokens(F.col(text))).select(*keep, text, "n_tokens"), text)
     table = scratch.write("posteriors", scored.select(*keep, "n_tokens", "posterior"))
-    total = budget if budget is not None else table.agg(F.sum("n_tokens")).first()[0] or 0
     weights = np.array([targets.get(x, 0.0) for x in model.domains])
-    residuals = fit_rates(table, weights / weights.sum() * total, max_rate)
+    weights = weights / weights.sum()
+    there = np.array([x or 0.0 for x in table.agg(*[F.sum(F.col("n_tokens") * F.col("posterior")[k]) for k in range(len(weights))]).first()])
+    total = budget
+    if total is None:
+        total = there.sum() if max_rate is None else max_rate * min(t / w for t, w in zip(there, weights, strict=True) if w > 0)
+    residuals = fit_rates(table, weights * total, max_rate)
     rated = table.withColumn("rate", rate(F.col("posterior"), residuals, max_rate))
     chance = F.pmod(F.xxhash64(F.col(key), F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
     copies = (F.floor("rate") + F.when(chance < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int")
