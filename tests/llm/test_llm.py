@@ -180,6 +180,23 @@ def test_chains_and_alignment():
     assert (start, end, match, match_end) == (30, 110, 0, 79) and longest == 80 and equal == 78
 
 
+def test_second_passage_of_a_pair_is_chained():
+    """The end of a long first passage is out of reach for the second one, which has a deleted word in its middle."""
+    rng = np.random.default_rng(15)
+
+    def fresh(n):
+        return rng.integers(0, 1 << 60, n).astype(np.uint64)
+
+    one, two = fresh(200), fresh(80)
+    edited = np.delete(two, 40)
+    a = np.concatenate([fresh(10), one, fresh(150), two, fresh(10)])
+    b = np.concatenate([fresh(20), np.delete(one, 90), fresh(130), edited, fresh(10)])
+    k = substring_dedup.K
+    x, y = (np.array(v) for v in zip(*[(i, j) for i in range(len(a) - k + 1) for j in range(len(b) - k + 1) if (a[i : i + k] == b[j : j + k]).all()], strict=True))
+    got = sorted(substring_dedup.passages(a, b, x, y, 50, 0.8))
+    assert [p[:4] for p in got] == [(10, 210, 20, 219), (360, 440, 349, 428)]
+
+
 def test_fenwick_equals_scan():
     rng = np.random.default_rng(6)
     tree, seen = substring_dedup.Fenwick(20), []
