@@ -35,9 +35,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Thins domains over their target; rates are at most 1, so no document is repeated."""
+    """Thins toxic and low documents to their shares in TARGETS at most; rates are at most 1, so no document is repeated.
+
+    High documents decide the total and stay, whatever there is of the others. Without a labelled high row nothing can be judged and all stay.
+    """
     labelled = mixing.label_domains(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    kept = mixing.mix(docs, labelled, TARGETS, max_rate=1.0)[0].where("copies > 0").select("doc_id")
+    if labelled.where("domain = 'high'").isEmpty():
+        return docs
+    kept = mixing.mix(docs, labelled, TARGETS, max_rate=1.0, upper=("low", "toxic"))[0].where("copies > 0").select("doc_id")
     return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
 
 

@@ -13,7 +13,7 @@ numbers a domain, and rates are a fold over the list of steps. No row is collect
 
 Only DataFrame operations are used on rows. Defined results: null and empty texts have no tokens, the prior as posterior
 and a rate; labelled rows without a document and null labels are not learnt from; repeated rows are separate rows; an
-empty table gives an empty table; a domain without labelled rows raises ValueError; columns of the input stay, result
+empty table gives an empty table; a domain without labelled rows raises ValueError, unless its target is an upper share; columns of the input stay, result
 columns replace clashing ones.
 """
 
@@ -79,8 +79,10 @@ class DomainClassifier:
         place = F.pmod(F.xxhash64(F.col(key), F.lit("mix")), F.lit(1 << 30))
         judge = F.pmod(F.xxhash64(F.col(key), F.lit("judge")), F.lit(4)) == 0  # the exponent is judged on rows not learnt from
         rows = scratch.write("labelled", have.where(place < share * (1 << 30)).select(F.col(domain).alias("domain"), runs(F.col(text)).alias("runs"), judge.alias("judge")))
-        learn = rows.where("not judge")
-        counts = {r["domain"]: r["count"] for r in learn.groupBy("domain").count().limit(MAX_DOMAINS + 1).collect()}
+        found = rows.groupBy("domain").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("judge")).alias("learnt")).limit(MAX_DOMAINS + 1).collect()
+        # A domain with held-back rows only is learnt from nevertheless.
+        learn = rows.where("not judge") if all(r["learnt"] for r in found) else rows
+        counts = {r["domain"]: r["learnt"] if all(x["learnt"] for x in found) else r["n"] for r in found}
         if not counts or len(counts) > MAX_DOMAINS:
             raise ValueError(f"{len(counts)} labelled domains")
         domains = sorted(counts)
@@ -191,26 +193,44 @@ def _inverse(gram: np.ndarray) -> np.ndarray:
     return np.linalg.pinv(gram + 1e-12 * np.trace(gram) * np.eye(len(gram)), hermitian=True)
 
 
-def mix(documents: DataFrame, labelled: DataFrame, targets: dict[str, float], budget: float | None = None, max_rate: float | None = None, key: str = "doc_id", text: str = "text", domain: str = "domain", fit_rows: int = FIT_ROWS) -> tuple[DataFrame, list[str]]:
+def upper_totals(there: np.ndarray, weights: np.ndarray, capped: np.ndarray) -> np.ndarray:
+    """Token totals of the domains out of those there are: the scarcest domain that isn't capped is kept whole, and
+    capped ones have their share of the sum at most."""
+    kept = ~capped & (weights > 0)
+    out = np.where(kept, weights * min((t / w for t, w in zip(there[kept], weights[kept], strict=True)), default=0.0), 0.0)
+    shares = np.where(capped, weights, 0.0) / max(1.0, weights.sum())
+    total = out.sum() / max(1e-9, 1 - shares.sum())
+    for _ in range(200):  # falls to the largest total that shares and tokens allow
+        total = out.sum() + np.minimum(there, shares * total).sum()
+    return np.where(capped, np.minimum(there, shares * total), out)
+
+
+def mix(documents: DataFrame, labelled: DataFrame, targets: dict[str, float], budget: float | None = None, max_rate: float | None = None, key: str = "doc_id", text: str = "text", domain: str = "domain", fit_rows: int = FIT_ROWS, upper: tuple[str, ...] = ()) -> tuple[DataFrame, list[str]]:
     """Adds n_tokens, posterior, rate and copies to the rows of ``documents`` without their text, and names the domains.
 
     ``targets`` gives each labelled domain its share of the expected tokens; ``budget`` is the total (default: the tokens
     there are; with ``max_rate`` the most that needs no higher rate). ``copies`` is the rate rounded up or down by a hash of ``key``, with the rate as its mean.
+
+    Targets of the domains in ``upper`` are upper shares: with ``max_rate`` and no ``budget`` the other domains decide the total,
+    and a domain of ``upper`` that has fewer tokens than its share, or no labelled row, lowers its own total only.
     """
     scratch = Scratch(documents.sparkSession, "mixing")
     model = DomainClassifier.fit(labelled, scratch, key, text, domain, fit_rows)
+    targets = {d: w for d, w in targets.items() if d in model.domains or d not in upper}
     if missing := set(targets) - set(model.domains):
         raise ValueError(f"no labelled rows of {sorted(missing)}")
     keep = [c for c in documents.columns if c not in ("n_tokens", "posterior", "rate", "copies", text)]
     scored = model.transform(documents.withColumn("n_tokens", tokens(F.col(text))).select(*keep, text, "n_tokens"), text)
     table = scratch.write("posteriors", scored.select(*keep, "n_tokens", "posterior"))
     weights = np.array([targets.get(x, 0.0) for x in model.domains])
-    weights = weights / weights.sum()
+    capped = np.array([x in upper for x in model.domains])
+    shares = weights / weights.sum()
     there = np.array([x or 0.0 for x in table.agg(*[F.sum(F.col("n_tokens") * F.col("posterior")[k]) for k in range(len(weights))]).first()])
-    total = budget
-    if total is None:
-        total = there.sum() if max_rate is None else max_rate * min(t / w for t, w in zip(there, weights, strict=True) if w > 0)
-    residuals = fit_rates(table, weights * total, max_rate)
+    if budget is None and max_rate is not None:
+        totals = upper_totals(max_rate * there, weights, capped)
+    else:
+        totals = shares * (there.sum() if budget is None else budget)
+    residuals = fit_rates(table, totals, max_rate)
     rated = table.withColumn("rate", rate(F.col("posterior"), residuals, max_rate))
     chance = F.pmod(F.xxhash64(F.col(key), F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
     copies = (F.floor("rate") + F.when(chance < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int")

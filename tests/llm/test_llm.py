@@ -343,6 +343,39 @@ def test_mixing_meets_targets(spark):
         mixing.mix(docs, labelled, {"xx": 1.0})
 
 
+@pytest.mark.parametrize("share", [0.12, 0.01, 0.0])
+def test_pipeline_mixing_keeps_clean_documents(spark, tmp_path, share):
+    """A scarce unwanted domain doesn't thin the clean one; one in excess is thinned."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(16)
+    pools = {"high": "river stone paper garden window letter".split(), "toxic": "grr argh ugh bah pfui tss".split()}
+    n = 1200
+    kinds = ["toxic" if i < share * n else "high" for i in range(n)]
+    docs = frame(spark, [" ".join(rng.choice(pools[k], 30)) for k in kinds])
+    labels = [(i, 1, int(k == "toxic")) for i, k in enumerate(kinds)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    left = {r["doc_id"] for r in corpus_pipeline.mix_domains(spark, docs, str(tmp_path)).select("doc_id").collect()}
+    kept = collections.Counter(kinds[i] for i in left)
+    assert kept["high"] >= 0.97 * kinds.count("high")
+    assert kept["toxic"] <= 0.08 * len(left)
+    assert kept["toxic"] >= 0.5 * min(kinds.count("toxic"), 0.05 * n)
+
+
+def test_pipeline_mixing_of_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.mix_domains(spark, spark.createDataFrame([], SCHEMA), str(tmp_path)).count() == 0
+    assert corpus_pipeline.mix_domains(spark, frame(spark, ODD), str(tmp_path)).count() == len(ODD)
+
+
+def test_upper_totals():
+    got = mixing.upper_totals(np.array([900.0, 500.0, 2.0]), np.array([0.9, 0.05, 0.05]), np.array([False, True, True]))
+    assert got[0] == 900 and got[2] == 2
+    np.testing.assert_allclose(got[1], 0.05 * got.sum(), rtol=1e-6)
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert near_dedup.near_duplicates(empty).count() == 0
