@@ -1,8 +1,8 @@
 """Mixing sources to target weights by soft membership.
 
 A classifier learnt from a labelled table gives every document a posterior over domains (naive Bayes over the presence and
-absence of the hashed letter and sign runs that tell domains apart, sharpened or flattened by one exponent that fits labelled
-rows it hasn't learnt from best). Document rates
+absence of hashed letter and sign runs, each by how sure its difference is, sharpened or flattened by one exponent that fits
+labelled rows it hasn't learnt from best). Document rates
 r >= 0 then minimise the weighted least squares between the expected domain token totals, sum_i r_i n_i p_i, and the
 targets. A projected gradient step in the metric of token counts is
 
@@ -33,13 +33,14 @@ from driftline.llm.common import Scratch
 BUCKETS = 16384
 FIT_ROWS = 20_000
 SMOOTHING = 1.0
-#: Standard errors by which a domain's rate of a bucket has to differ from the others' rate for the bucket to count.
-SIGNIFICANCE = 12.0
+#: A bucket counts by z^2 / (z^2 + DOUBT), z the standard errors by which the domain's rate differs from the others' rate.
+DOUBT = 4.0
 #: Exponents tried for the likelihood.
 EXPONENTS = (0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.6, 0.8, 1.0)
-#: Iterations, and the relative residual at which they end.
-MAX_STEPS = 15
+#: Iterations at most, the relative residual at which they end, and the relative gain of a step under which the loss is least.
+MAX_STEPS = 40
 TOLERANCE = 5e-4
+LEAST_GAIN = 1e-6
 MAX_DOMAINS = 64
 
 
@@ -61,11 +62,10 @@ def _doubles(values) -> Column:
 
 @dataclass
 class DomainClassifier:
-    """For each domain a log prior, and log odds of every selected bucket with their sum of absences."""
+    """For each domain a log prior, and log odds of every bucket with their sum of absences."""
 
     domains: list[str]
     prior: np.ndarray
-    buckets: list[int]
     weights: np.ndarray = field(repr=False)
     absent: np.ndarray = field(repr=False)
     exponent: float = 1.0
@@ -95,9 +95,11 @@ class DomainClassifier:
         rates = np.minimum((seen + SMOOTHING * common) / (size[:, None] + SMOOTHING), 0.999)
         others = np.maximum(size.sum() - size, 1)[:, None]
         error = np.sqrt(common * (1 - common) * (1 / size[:, None] + 1 / others)) + 1e-12
-        chosen = np.flatnonzero((np.abs(seen / size[:, None] - (seen.sum(0) - seen) / others) / error).max(0) > SIGNIFICANCE)
-        present, absent = np.log(rates[:, chosen]), np.log1p(-rates[:, chosen])
-        model = cls(domains, np.log(size / size.sum()), chosen.tolist(), present - absent, absent.sum(1))
+        sure = ((seen / size[:, None] - (seen.sum(0) - seen) / others) / error) ** 2
+        sure = sure / (sure + DOUBT)
+        # Log rates against the common one, drawn to it where the difference is in doubt.
+        present, absent = sure * (np.log(rates) - np.log(np.minimum(common, 0.999))), sure * (np.log1p(-rates) - np.log1p(-np.minimum(common, 0.999)))
+        model = cls(domains, np.log(size / size.sum()), present - absent, absent.sum(1))
         at = F.array_position(F.array(*map(F.lit, domains)), F.col("domain")).cast("int")
         scored = rows.where("judge").where(F.col("domain").isin(domains)).select(at.alias("at"), *model._sums(F.col("runs")))
         losses = scored.agg(*[F.avg(-F.log(F.greatest(F.element_at(model._posterior(a), F.col("at")), F.lit(1e-12)))).alias(f"l{k}") for k, a in enumerate(EXPONENTS)]).first()
@@ -106,18 +108,12 @@ class DomainClassifier:
         return model
 
     def _sums(self, buckets: Column) -> list[Column]:
-        """Log likelihood of a text's buckets in each domain; only selected buckets are walked."""
-        if not self.buckets:
-            return [F.lit(0.0).alias(f"_s{k}") for k in range(len(self.domains))]
-        known = F.split(F.lit(",".join(map(str, self.buckets))), ",").cast("array<int>")
-        hits = F.array_intersect(buckets, known)
+        """Log likelihood of a text's buckets in each domain, against the common rates."""
 
         def total(weights: Column, base: float) -> Column:
-            return F.aggregate(hits, F.lit(base), lambda a, b: a + weights[b])
+            return F.aggregate(buckets, F.lit(base), lambda a, b: a + weights[b])
 
-        dense = np.zeros((len(self.domains), self.buckets[-1] + 1))
-        dense[:, self.buckets] = self.weights
-        return [total(_doubles(np.round(w, 6)), float(c)).alias(f"_s{k}") for k, (w, c) in enumerate(zip(dense, self.absent, strict=True))]
+        return [total(_doubles(np.round(w, 6)), float(c)).alias(f"_s{k}") for k, (w, c) in enumerate(zip(self.weights, self.absent, strict=True))]
 
     def _posterior(self, exponent: float) -> Column:
         """An array in the order of ``domains``, from the columns of ``_sums``."""
@@ -146,8 +142,8 @@ def rate(posterior: Column, residuals: list[np.ndarray], max_rate: float | None)
     return F.aggregate(steps, F.lit(1.0), step)
 
 
-def fit_rates(table: DataFrame, targets: np.ndarray, max_rate: float | None = None, max_steps: int = MAX_STEPS) -> list[np.ndarray]:
-    """Steps that fit rates of ``table`` (n_tokens, posterior) to the totals ``targets``.
+def fit_rates(table: DataFrame, targets: np.ndarray, max_rate: float | None = None, max_steps: int = MAX_STEPS) -> tuple[list[np.ndarray], float]:
+    """Steps that fit rates of ``table`` (n_tokens, posterior) to the totals ``targets``, and the relative residual they leave.
 
     Steps use the metric of the rows that are free to move. One that doesn't lower the loss is cut to a quarter, and then
     gives way to the step in the metric of all rows, which always does.
@@ -182,11 +178,11 @@ def fit_rates(table: DataFrame, targets: np.ndarray, max_rate: float | None = No
         else:
             break
         steps.append(step)
-        small = float(new @ metric @ new) > loss * (1 - 1e-2)
+        small = float(new @ metric @ new) > loss * (1 - LEAST_GAIN)
         gap, gram = new, new_gram
         if small:
             break
-    return steps
+    return steps, float(np.abs(gap).max() / max(1.0, targets.sum()))
 
 
 def _inverse(gram: np.ndarray) -> np.ndarray:
@@ -206,10 +202,11 @@ def upper_totals(there: np.ndarray, weights: np.ndarray, capped: np.ndarray) ->
 
 
 def mix(documents: DataFrame, labelled: DataFrame, targets: dict[str, float], budget: float | None = None, max_rate: float | None = None, key: str = "doc_id", text: str = "text", domain: str = "domain", fit_rows: int = FIT_ROWS, upper: tuple[str, ...] = ()) -> tuple[DataFrame, list[str]]:
-    """Adds n_tokens, posterior, rate and copies to the rows of ``documents`` without their text, and names the domains.
+    """Adds n_tokens, posterior, rate, copies and residual to the rows of ``documents`` without their text, and names the domains.
 
     ``targets`` gives each labelled domain its share of the expected tokens; ``budget`` is the total (default: the tokens
-    there are; with ``max_rate`` the most that needs no higher rate). ``copies`` is the rate rounded up or down by a hash of ``key``, with the rate as its mean.
+    there are; with ``max_rate`` the most that needs no higher rate). ``copies`` is the rate rounded up or down by a hash of ``key``, with the rate as its mean;
+    ``residual`` is the largest miss of a domain's total as a share of the targets' sum, the same in every row.
 
     Targets of the domains in ``upper`` are upper shares: with ``max_rate`` and no ``budget`` the other domains decide the total,
     and a domain of ``upper`` that has fewer tokens than its share, or no labelled row, lowers its own total only.
@@ -219,7 +216,7 @@ def mix(documents: DataFrame, labelled: DataFrame, targets: dict[str, float], bu
     targets = {d: w for d, w in targets.items() if d in model.domains or d not in upper}
     if missing := set(targets) - set(model.domains):
         raise ValueError(f"no labelled rows of {sorted(missing)}")
-    keep = [c for c in documents.columns if c not in ("n_tokens", "posterior", "rate", "copies", text)]
+    keep = [c for c in documents.columns if c not in ("n_tokens", "posterior", "rate", "copies", "residual", text)]
     scored = model.transform(documents.withColumn("n_tokens", tokens(F.col(text))).select(*keep, text, "n_tokens"), text)
     table = scratch.write("posteriors", scored.select(*keep, "n_tokens", "posterior"))
     weights = np.array([targets.get(x, 0.0) for x in model.domains])
@@ -230,11 +227,11 @@ def mix(documents: DataFrame, labelled: DataFrame, targets: dict[str, float], bu
         totals = upper_totals(max_rate * there, weights, capped)
     else:
         totals = shares * (there.sum() if budget is None else budget)
-    residuals = fit_rates(table, totals, max_rate)
+    residuals, left = fit_rates(table, totals, max_rate)
     rated = table.withColumn("rate", rate(F.col("posterior"), residuals, max_rate))
     chance = F.pmod(F.xxhash64(F.col(key), F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
     copies = (F.floor("rate") + F.when(chance < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int")
-    return rated.withColumn("copies", copies), model.domains
+    return rated.withColumn("copies", copies).withColumn("residual", F.lit(left)), model.domains
 
 
 def label_domains(documents: DataFrame, labels: DataFrame) -> DataFrame:

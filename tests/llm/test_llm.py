@@ -343,6 +343,24 @@ def test_mixing_meets_targets(spark):
         mixing.mix(docs, labelled, {"xx": 1.0})
 
 
+def test_mixing_learns_from_few_rows_and_rare_words(spark):
+    """A hundred labelled rows tell domains apart; the residual is reported, also of targets out of reach."""
+    rng = np.random.default_rng(17)
+    common = vocabulary(rng, 50)
+    kinds = ["ab"[i % 2] for i in range(100)]
+    docs = frame(spark, [" ".join([*rng.choice(common, 20), *rng.choice([f"{k}{j}" for j in ("river", "stone", "paper", "garden")], 3)]) for k in kinds])
+    labelled = docs.select("doc_id", "text", F.element_at(F.array(F.lit("a"), F.lit("b")), (F.col("doc_id") % 2 + 1).cast("int")).alias("domain"))
+    out, domains = mixing.mix(docs, labelled, {"a": 0.8, "b": 0.2})
+    rows = out.collect()
+    right = sum(max(zip(r["posterior"], domains, strict=True))[1] == kinds[r["doc_id"]] for r in rows)
+    assert right >= 90
+    n, r, p = (np.array([x[c] for x in rows]) for c in ("n_tokens", "rate", "posterior"))
+    np.testing.assert_allclose((r * n) @ p / n.sum(), [0.8, 0.2], atol=2e-3)
+    assert rows[0]["residual"] <= 1e-3
+    beyond = mixing.mix(docs, labelled, {"a": 0.8, "b": 0.2}, budget=float(3 * n.sum()), max_rate=1.0)[0].first()["residual"]
+    assert beyond > 0.1
+
+
 @pytest.mark.parametrize("share", [0.12, 0.01, 0.0])
 def test_pipeline_mixing_keeps_clean_documents(spark, tmp_path, share):
     """A scarce unwanted domain doesn't thin the clean one; one in excess is thinned."""
