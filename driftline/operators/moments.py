@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +45,35 @@ def joint_sums(rows: DataFrame, vector: Column, weight: Column, size: int, keys:
     return out
 
 
+def vector_sums(rows: DataFrame, vector: str, key: str) -> dict[object, tuple[float, np.ndarray, np.ndarray]]:
+    """(n, first, second) of all coordinates of an array column for each key, as joint_sums gives them for short vectors.
+
+    A task sums its batches by matrix products; its sums are added up by coordinate before they reach the driver. Rows
+    whose key, vector or any coordinate is null aren't summed; all vectors have to be of one size.
+    """
+    whole = rows.where(F.col(key).isNotNull() & F.col(vector).isNotNull() & ~F.exists(vector, lambda v: v.isNull()))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[object, np.ndarray] = {}
+        for batch in batches:
+            for k, own in batch.groupby("k"):
+                x = np.stack(own["x"].to_numpy()).astype(float)
+                x = np.hstack([np.ones((len(x), 1)), x])
+                sums[k] = sums.get(k, 0.0) + x.T @ x
+        if sums:
+            yield pd.DataFrame({"k": list(sums), "s": [s.ravel() for s in sums.values()]})
+
+    kind = rows.schema[key].dataType.simpleString()
+    parts = whole.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("x")).mapInPandas(run, f"k {kind}, s array<double>")
+    added = parts.select("k", F.posexplode("s").alias("at", "v")).groupBy("k", "at").agg(F.sum("v").alias("v"))
+    out = {}
+    for r in added.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("at", "v"))).alias("s")).collect():
+        joint = np.array([v for _, v in r["s"]])
+        joint = joint.reshape(math.isqrt(len(joint)), -1)
+        out[r["k"]] = (float(joint[0, 0]), joint[0, 1:], joint[1:, 1:])
+    return out
+
+
 def regression(rows: DataFrame, inputs: Column, outputs: Column, sizes: tuple[int, int], weight: Column | None = None, keys: tuple[str, ...] = ()) -> dict[tuple, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Ridge regression of outputs on inputs for each key: (coefficients, bias, residual covariance)."""
     weight = F.lit(1.0) if weight is None else weight

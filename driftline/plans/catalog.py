@@ -254,10 +254,8 @@ def pca_mean_cov(spark, sf_dir):
 
 @query()
 def lda_directions(spark, sf_dir):
-    """Discriminant directions of embedding labels."""
-    rows = table(spark, sf_dir, "embeddings").select("label", F.transform("embedding", lambda v: v.cast("double")).alias("x"))
-    size = len(rows.first()["x"])
-    sums = moments.joint_sums(rows, F.slice("x", 1, min(size, 8)), F.lit(1.0), min(size, 8), ["label"])
+    """Discriminant directions of embedding labels, in all coordinates."""
+    sums = moments.vector_sums(table(spark, sf_dir, "embeddings"), "embedding", "label")
     labels = sorted(sums)
     n, s, q = (np.array([sums[k][i] for k in labels]) for i in range(3))
     directions, _ = align.lda_directions(n, s / n[:, None], q)

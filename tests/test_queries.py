@@ -43,3 +43,25 @@ def test_oracle(spark, duck, name):
 @pytest.mark.parametrize("name", ["occupancy_grid", "slds_infer", "poisson_lds_mode", "lda_directions", "chain_entropy"])
 def test_rows(spark, duck, name):
     assert catalog.QUERIES[name](spark, DATA).count() > 0
+
+
+def test_lda_directions_use_all_coordinates(spark, tmp_path):
+    """Labels that only the last coordinates tell apart, against sums by NumPy."""
+    import numpy as np
+
+    from driftline.operators import align
+
+    rng = np.random.default_rng(1)
+    labels = rng.integers(0, 3, 300)
+    x = rng.normal(size=(300, 20))
+    x[:, 18] += 4 * labels
+    x[:, 19] += 4 * (labels == 1)
+    rows = [(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, labels, strict=True))]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3).write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = np.zeros((20, 2))
+    for r in catalog.QUERIES["lda_directions"](spark, str(tmp_path)).collect():
+        got[r["dimension"], r["direction"]] = r["weight"]
+    own = [x[labels == k] for k in range(3)]
+    n, means, second = np.array([float(len(v)) for v in own]), np.array([v.mean(0) for v in own]), np.array([v.T @ v for v in own])
+    np.testing.assert_allclose(got, align.lda_directions(n, means, second)[0], atol=1e-8)
+    assert (np.abs(got).argmax(0) >= 18).all()
