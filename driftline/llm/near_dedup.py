@@ -1,9 +1,9 @@
 """Near-duplicate detection: a chosen-path set similarity join.
 
 Documents are sets of word shingles. Equal sets are one class from the start (one row in all that follows). Each class
-has a sketch of minwise tokens. In each of several independent trees a node hashes its path to one place of the sketch
-and sends a class to the child of the minwise token there, so two classes of similarity J stay together with
-probability J a level. A node that has become small is compared exhaustively; the number of trees follows from the
+has a sketch of minwise tokens, one of its own for each level of each tree, so that trees are independent. A node sends a
+class to the child of the minwise token of its level, so two classes of similarity J stay together with probability J a
+level. A node that has become small is compared exhaustively; the number of trees follows from the
 recall wanted at the deepest level. A star pass comes first: members of a node are linked to its first member, and what
 that confirms is contracted, so nodes within one component are done and large groups of copies never meet pair by pair.
 Large nodes at the deepest level compare members outside their main component with all members, block by block, exactly.
@@ -18,6 +18,7 @@ table; only the key and the text of the input are read.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 from collections.abc import Iterator
@@ -31,7 +32,7 @@ from driftline.llm.common import Scratch, partitions, prepare
 
 WORDS = 5
 SIMILARITY = 0.85
-#: Minwise tokens of a sketch, levels of a tree, recall wanted of a pair at the threshold that no node isolates early.
+#: Minwise tokens that are compared for agreement (a sketch has more where trees need more), levels of a tree, recall wanted of a pair at the threshold that no node isolates early.
 SKETCH = 64
 DEPTH = 6
 RECALL = 0.999
@@ -77,14 +78,16 @@ def shingles(text: str | None, n: int = WORDS) -> np.ndarray:
     return np.unique(out)
 
 
-_FACTORS = np.random.default_rng(20).integers(1, 2**63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+@functools.cache
+def _factors(n: int) -> np.ndarray:
+    return np.random.default_rng(20).integers(1, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def sketch(items: np.ndarray) -> np.ndarray:
+def sketch(items: np.ndarray, n_tokens: int = SKETCH) -> np.ndarray:
     """uint32 minwise tokens."""
-    out = np.full(SKETCH, 2**32 - 1, np.uint32)
+    out = np.full(n_tokens, 2**32 - 1, np.uint32)
     for i in range(0, len(items), 512):
-        out = np.minimum(out, ((items[i : i + 512, None] * _FACTORS) >> np.uint64(32)).astype(np.uint32).min(0))
+        out = np.minimum(out, ((items[i : i + 512, None] * _factors(n_tokens)) >> np.uint64(32)).astype(np.uint32).min(0))
     return out
 
 
@@ -92,12 +95,17 @@ def trees(similarity: float = SIMILARITY, depth: int = DEPTH, recall: float = RE
     return math.ceil(math.log(1 - recall) / math.log(1 - similarity**depth))
 
 
+def tokens(n_trees: int, depth: int = DEPTH) -> int:
+    """Tokens of a sketch: one for each level of each tree."""
+    return max(SKETCH, n_trees * depth)
+
+
 def paths(sketches: np.ndarray, n_trees: int, depth: int) -> np.ndarray:
-    """Node of each sketch in each tree at ``depth``: uint64 (rows, trees)."""
+    """Node of each sketch in each tree at ``depth``: uint64 (rows, trees). No two trees or levels read the same token."""
     node = _mix(np.broadcast_to(np.arange(1, n_trees + 1, dtype=np.uint64) * _MIX, (len(sketches), n_trees)).copy())
-    for _ in range(depth):
-        at = (_mix(node ^ _MIX) % np.uint64(SKETCH)).astype(np.int64)
-        node = _mix(node * np.uint64(3) + np.take_along_axis(sketches, at, 1).astype(np.uint64) + np.uint64(1))
+    for level in range(depth):
+        own = sketches[:, level * n_trees : (level + 1) * n_trees]
+        node = _mix(node * np.uint64(3) + own.astype(np.uint64) + np.uint64(1))
     return node
 
 
@@ -123,7 +131,7 @@ class ChosenPathJoin:
     # Sets and classes
 
     def _sketched(self) -> DataFrame:
-        n = self.words
+        n, n_tokens = self.words, tokens(self.trees)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
@@ -131,19 +139,19 @@ class ChosenPathJoin:
                 for doc, body in zip(batch["id"], batch["body"], strict=True):
                     items = shingles(body, n)
                     digest = hashlib.blake2b(items.tobytes(), digest_size=16).digest()
-                    out.append((doc, len(items), digest, sketch(items).tobytes()))
+                    out.append((doc, len(items), digest, sketch(items, n_tokens).tobytes()))
                 yield pd.DataFrame(out, columns=["id", "n", "digest", "sketch"])
 
         return self.base.mapInPandas(run, "id long, n long, digest binary, sketch binary")
 
     def _nodes(self, classes: DataFrame, depth: int) -> DataFrame:
         """(node, rep): a row for each class and tree."""
-        n_trees = self.trees
+        n_trees, n_tokens = self.trees, tokens(self.trees)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 if len(batch):
-                    node = paths(np.frombuffer(b"".join(batch["sketch"]), np.uint32).reshape(-1, SKETCH), n_trees, depth)
+                    node = paths(np.frombuffer(b"".join(batch["sketch"]), np.uint32).reshape(-1, n_tokens), n_trees, depth)
                     yield pd.DataFrame({"node": node.view(np.int64).ravel(), "rep": np.repeat(batch["rep"].to_numpy(), n_trees)})
 
         return classes.select("rep", "sketch").mapInPandas(run, "node long, rep long")
@@ -218,7 +226,7 @@ class ChosenPathJoin:
     def _small(self, members: DataFrame, classes: DataFrame) -> DataFrame:
         """(a, b, agree) of the candidates within small nodes."""
         least = self.least
-        full = members.join(classes.select("rep", "sketch"), "rep")
+        full = members.join(classes.select("rep", F.substring("sketch", 1, 4 * SKETCH).alias("sketch")), "rep")
         grouped = full.groupBy("node").agg(F.collect_list(F.struct("rep", "comp", "sketch")).alias("m"))
         lists = grouped.select(F.col("m.rep").alias("rep"), F.col("m.comp").alias("comp"), F.col("m.sketch").alias("sketch"))
 

@@ -157,6 +157,24 @@ def test_block_links_equal_all_pairs():
     assert set(links) == want
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_trees_have_the_recall_they_are_set_for(percent):
+    """Pairs at the threshold that meet at the deepest level only: as many are parted as independent trees part."""
+    rng = np.random.default_rng(18)
+    n_trees, pairs, n = near_dedup.trees(percent / 100), 6000, 200
+    own = n * (100 - percent) // (2 * percent)
+    size = near_dedup.tokens(n_trees)
+    both = own * 2 * percent // (100 - percent)
+    parted = 0
+    for _ in range(pairs):
+        items = rng.integers(0, 1 << 63, both + 2 * own, dtype=np.uint64) * np.uint64(2)
+        a, b = items[: both + own], np.concatenate([items[:both], items[both + own :]])
+        sketches = np.stack([near_dedup.sketch(a, size), near_dedup.sketch(b, size)])
+        x, y = near_dedup.paths(sketches, n_trees, near_dedup.DEPTH)
+        parted += not (x == y).any()
+    assert parted <= 0.0025 * pairs
+
+
 def test_large_nodes_take_the_exact_way(spark, monkeypatch):
     """With nodes of three members counted as large, everything goes through blocks."""
     monkeypatch.setattr(near_dedup, "SMALL", 2)
