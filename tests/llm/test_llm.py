@@ -245,6 +245,31 @@ def test_repeated_passages(spark):
     assert {r["doc_id"] for r in got if r["match_doc_id"] == len(ODD)} == set(range(len(ODD) + 1, clean))
 
 
+def test_every_alike_passage_shares_a_seed():
+    """Random edits of passages of 50 words and more, at 80 to 95 % equal words."""
+    rng = np.random.default_rng(19)
+    for _ in range(2000):
+        n = int(rng.integers(50, 90))
+        a = rng.integers(0, 1 << 60, n).astype(np.uint64)
+        b = a.copy()
+        at = rng.choice(n, int(n * rng.uniform(0.05, 0.2)), replace=False)
+        b[at] = rng.integers(0, 1 << 60, len(at)).astype(np.uint64)
+        assert len(np.intersect1d(substring_dedup.seeds(a)[0], substring_dedup.seeds(b)[0]))
+
+
+@pytest.mark.parametrize("every", [6, 8, 12])
+def test_passages_with_many_edits(spark, every):
+    rng = np.random.default_rng(20)
+    words = vocabulary(rng, 3000)
+    texts = []
+    for _ in range(20):
+        passage = list(rng.choice(words, 61))
+        edited = [f"new{i}" if i % every == every - 1 and i < 60 else w for i, w in enumerate(passage)]
+        texts += [" ".join([*rng.choice(words, 20), *own, *rng.choice(words, 20)]) for own in (passage, edited)]
+    got = {(r["match_doc_id"], r["doc_id"]) for r in substring_dedup.repeated_passages(frame(spark, texts)).collect()}
+    assert got == {(2 * k, 2 * k + 1) for k in range(20)}
+
+
 def test_exact_dedup(spark):
     texts = ["Same", "same", "SAME", "É", "é", None, "", "other", "x" * 100_000, "X" * 100_000] + ["hot"] * 50
     docs = frame(spark, texts).withColumn("digest", F.lit(1))
