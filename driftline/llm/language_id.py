@@ -19,8 +19,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import prepare
-
 #: Bytes of labelled text in one language's dictionary, and about how many labelled rows are read for it.
 DICTIONARY_BYTES = 112_640
 ROWS_PER_LANGUAGE = 200
@@ -93,7 +91,6 @@ class CompressionClassifier:
 
     def transform(self, df: DataFrame, text: str = "text") -> DataFrame:
         """Adds lang_pred, score, margin and rejected for every whole text."""
-        prepare(df.sparkSession)
         model = self
 
         @F.pandas_udf("lang_pred string, score double, margin double, rejected boolean")

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import Scratch, partitions, prepare
+from driftline.llm.common import Scratch, partitions
 
 WORDS = 5
 SIMILARITY = 0.85
@@ -122,7 +122,6 @@ class ChosenPathJoin:
 
     def __init__(self, documents: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, words: int = WORDS):
         self.spark = documents.sparkSession
-        prepare(self.spark)
         self.scratch = Scratch(self.spark, "near-dedup")
         self.base = documents.select(F.col(key).cast("long").alias("id"), F.col(text).alias("body"))
         self.percent, self.similarity, self.words = round(100 * similarity), similarity, words

@@ -20,12 +20,15 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import Scratch, prepare, with_slots
+from driftline.llm.common import Scratch, with_slots
 from driftline.llm.tokens import Encoder
 
+#: Documents that are encoded at once.
+ROWS = 2000
 #: Columns of a plan: pieces of ``length`` with ranks from ``rank`` on (``n`` of them) go to sequences from ``sequence`` on, at ``offset``.
 PLAN = ("length", "rank", "n", "sequence", "offset")
 
@@ -128,24 +131,24 @@ def place(pieces: DataFrame, capacity: int, scratch: Scratch, keys: list[str]) -
 
 def cut(documents: DataFrame, tokenizer: str, capacity: int, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every document with its end id."""
-    prepare(documents.sparkSession)
-    end = np.array([end_id], dtype="<u4").tobytes()
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(tokenizer)
         for batch in batches:
-            out = []
-            for doc, raw in zip(batch["id"], encoder.encode_all(batch["body"].tolist()), strict=True):
-                raw += end
-                n, start, piece = len(raw) // 4, 0, 0
-                size = n % capacity or capacity
-                while start < n:
-                    out.append((doc, piece, start, size, zlib.crc32(raw[4 * start : 4 * (start + size)])))
-                    start, piece, size = start + size, piece + 1, capacity
-            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+            for at in range(0, batch.num_rows, ROWS):
+                part, out = batch.slice(at, ROWS), []
+                for doc, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1)), strict=True):
+                    ids = np.append(ids, np.uint32(end_id)).astype("<u4", copy=False)
+                    n, start, piece = len(ids), 0, 0
+                    size = n % capacity or capacity
+                    while start < n:
+                        out.append((doc, piece, start, size, zlib.crc32(ids[start : start + size])))
+                        start, piece, size = start + size, piece + 1, capacity
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n == "piece" else pa.int64()) for n, c in zip(names, zip(*out, strict=True), strict=True)], names)
 
     rows = documents.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("body"))
-    return rows.mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(documents: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -19,8 +19,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import prepare
-
 #: Hash buckets of byte 4-grams, labelled rows to learn from at most (about), passes of the descent.
 BITS = 18
 FIT_ROWS = 6000
@@ -129,7 +127,6 @@ class NaiveBayesSvm:
 
     def transform(self, df: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
         """Adds score (0 to 1, higher: better) and predicted for every whole text."""
-        prepare(df.sparkSession)
         model = df.sparkSession.sparkContext.broadcast(self)  # of a fixed size: 2^BITS numbers
 
         @F.pandas_udf("double")

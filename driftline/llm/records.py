@@ -21,10 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm.common import Scratch, partitions, prepare
+from driftline.llm.common import Scratch, partitions, small_batches
 from driftline.llm.tokens import Encoder
 
 HEAD = struct.Struct("<QI")
@@ -32,6 +33,9 @@ KEY = struct.Struct("<qB")
 INDEX = struct.Struct("<qQQQ")
 _MASK = 0xA282EAD8
 
+#: Documents that are encoded at once.
+ROWS = 2000
+
 MANIFEST = "part long, records_file string, index_file string, n_records long, n_tokens long, first_key long, last_key long, bytes long"
 
 
@@ -61,12 +65,10 @@ def unframe(buffer: bytes, at: int) -> tuple[bytes, int]:
     return data, begin + length + 4
 
 
-def serialise(key: int, ids: bytes) -> bytes:
-    """``ids``: little-endian uint32; two bytes an id where all fit."""
-    values = np.frombuffer(ids, "<u4")
-    if len(values) and values.max() > 0xFFFF:
-        return KEY.pack(key, 4) + ids
-    return KEY.pack(key, 2) + values.astype("<u2").tobytes()
+def serialise(key: int, ids: np.ndarray) -> bytes:
+    """Two bytes an id where all fit."""
+    wide = len(ids) and ids.max() > 0xFFFF
+    return KEY.pack(key, 4 if wide else 2) + ids.astype("<u4" if wide else "<u2").tobytes()
 
 
 def deserialise(data: bytes) -> tuple[int, np.ndarray]:
@@ -110,42 +112,43 @@ def _store(folder: str):
 def write(documents: DataFrame, folder: str, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text", parts: int | None = None) -> DataFrame:
     """Encodes every document and writes record and index files in ascending order of ``key``; returns the manifest."""
     spark = documents.sparkSession
-    prepare(spark)
-    end = np.array([end_id], dtype="<u4").tobytes()
+    names = [c.split()[0] for c in MANIFEST.split(", ")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         encoder, part = Encoder.of(tokenizer), TaskContext.get().partitionId()
         store, base = _store(folder)
         name, sink, at, tokens, keys, index = f"part-{part:06d}-{uuid.uuid4().hex}", None, 0, 0, [], []
         for batch in batches:
-            if sink is None and len(batch):
+            if sink is None and batch.num_rows:
                 store.create_dir(base, recursive=True)
                 sink = store.open_output_stream(f"{base}/{name}.rec")
-            for doc, raw in zip(batch["id"], encoder.encode_all(batch["body"].tolist()), strict=True):
-                framed = frame(serialise(doc, raw + end))
-                sink.write(framed)
-                n = len(raw) // 4 + 1
-                index.append(index_entry(doc, at, len(framed), n))
-                at, tokens = at + len(framed), tokens + n
-                keys = [keys[0] if keys else doc, doc]
+            for first in range(0, batch.num_rows, ROWS):
+                own = batch.slice(first, ROWS)
+                for doc, ids in zip(own.column(0).to_pylist(), encoder.encode(own.column(1)), strict=True):
+                    framed = frame(serialise(doc, np.append(ids, np.uint32(end_id)).astype("<u4", copy=False)))
+                    sink.write(framed)
+                    index.append(index_entry(doc, at, len(framed), len(ids) + 1))
+                    at, tokens = at + len(framed), tokens + len(ids) + 1
+                    keys = [keys[0] if keys else doc, doc]
         if sink is not None:
             sink.close()
             with store.open_output_stream(f"{base}/{name}.idx") as out:
                 out.write(b"".join(index))
-            yield pd.DataFrame([(part, f"{name}.rec", f"{name}.idx", len(index), tokens, *keys, at)], columns=[c.split()[0] for c in MANIFEST.split(", ")])
+            row = (part, f"{name}.rec", f"{name}.idx", len(index), tokens, *keys, at)
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names)
 
     rows = documents.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("body"))
-    ordered = rows.repartitionByRange(parts or partitions(spark), "id").sortWithinPartitions("id")
-    made = ordered.mapInPandas(run, MANIFEST)
-    made.write.mode("overwrite").parquet(f"{folder}/manifest")
+    ordered = rows.repartitionByRange(parts or partitions(spark, documents), "id").sortWithinPartitions("id")
+    made = ordered.mapInArrow(run, MANIFEST)
+    with small_batches(spark):
+        made.write.mode("overwrite").parquet(f"{folder}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32, ids) of every record, checked; ``start`` counts the ids of all records before it."""
-    prepare(spark)
     manifest = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
     # One row for each file, so the numbering of files is small; ids before a file are the counts of the files before it.
     files = manifest.orderBy("part").collect()

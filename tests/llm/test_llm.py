@@ -33,7 +33,7 @@ def test_tokens_equal_the_library():
     t = Tokenizer.from_file(PATH)
     e = tokens.Encoder(PATH)
     rng = np.random.default_rng(0)
-    pool = ["a", " ", "  ", "\n", "\t", "é", "'s", "12", "<|endoftext|>", "!", "漢", " ", "\x1c", " The", "\r\n"]
+    pool = ["a", " ", "  ", "\n", "\t", "é", "'s", "12", "<|endoftext|>", "!", "漢", "語", "ж", "😀", "İ", "“", "\u00a0", "\n\n", "\0", "\x1c", " The", "\r\n"]
     texts = ["".join(rng.choice(pool, rng.integers(0, 15))) for _ in range(3000)] + ODD
     for text, ids in zip(texts, e.encode_all(texts), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == (t.encode(text, add_special_tokens=False).ids if text else [])
@@ -64,7 +64,7 @@ def test_records_round_trip_and_damage(spark, tmp_path):
         broken[i] ^= 1
         with pytest.raises(ValueError):
             records.unframe(bytes(broken), 0)
-    assert records.deserialise(records.serialise(7, np.array([70000, 1], "<u4").tobytes()))[1].tolist() == [70000, 1]
+    assert records.deserialise(records.serialise(7, np.array([70000, 1], "<u4")))[1].tolist() == [70000, 1]
 
 
 def test_packing_plan_is_whole_and_tight():
@@ -472,3 +472,62 @@ def test_pipeline_stages(spark):
             assert len(set(brute_components(texts, 80)[0])) == len(texts)
     packed = corpus_pipeline.STAGES[4][1](spark, docs, sf)
     assert packed.select("doc_id").distinct().count() == docs.count()
+
+
+def test_word_hashes_are_those_of_words():
+    from driftline.llm import words
+
+    texts = [*ODD, "A b  a\nB", "É é", "word" * 5000, "x " * 3000, ""]
+    got = words.hash_all(texts)
+    known = {}
+    for text, own in zip(texts, got, strict=True):
+        found = (text or "").encode().lower().split()
+        assert len(found) == len(own)
+        assert all(known.setdefault(a, b) == b for a, b in zip(found, own.tolist(), strict=True))
+    assert len(set(known.values())) == len(known)
+
+
+@pytest.mark.parametrize("identity", [0.8, 0.85, 0.9, 0.95, 1.0])
+def test_recall_of_fuzzy_passages(spark, identity):
+    """Pairs of documents with a passage of 55 to 90 words, words of it replaced, put in or left out at random; all pairs of
+    documents are aligned word by word to know which have one. At least nine in ten are found."""
+    rng = np.random.default_rng(23)
+    words = vocabulary(rng, 2000)
+    texts = []
+    for _ in range(60):
+        passage = list(rng.choice(words, int(rng.integers(55, 90))))
+        edited = list(passage)
+        for at in sorted(rng.choice(len(passage), int(round((1 - identity) * len(passage))), replace=False).tolist(), reverse=True):
+            kind = rng.integers(0, 6)
+            edited[at : at + 1] = [] if kind == 0 else [edited[at], "more"] if kind == 1 else [f"new{rng.integers(0, 10**6)}"]
+        texts += [" ".join([*rng.choice(words, 30), *own, *rng.choice(words, 30)]) for own in (passage, edited)]
+    hashed = [substring_dedup.words(t) for t in texts]
+    want = set()
+    for i in range(0, len(texts), 2):  # the common words of the two passages, without what stands around them
+        a, b = hashed[i][30:-30], hashed[i + 1][30:-30]
+        if substring_dedup.equal_words(a, b) >= 0.8 * max(len(a), len(b)):
+            want.add((i, i + 1))
+    got = {(r["match_doc_id"], r["doc_id"]) for r in substring_dedup.repeated_passages(frame(spark, texts)).collect()}
+    assert len(want) >= 30 and got <= {(i, i + 1) for i in range(0, len(texts), 2)}
+    assert len(got & want) >= 0.9 * len(want), (len(got & want), len(want))
+
+
+def test_frequent_seeds_take_the_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "HOT_ROWS", 1)
+    monkeypatch.setattr(substring_dedup, "HOT_LEAST", 5)
+    monkeypatch.setattr(substring_dedup, "ANCHOR_ROWS", 4)
+    rng = np.random.default_rng(24)
+    words = vocabulary(rng, 3000)
+    passage = " ".join(rng.choice(words, 70))
+    texts = [" ".join([*rng.choice(words, 20), passage, *rng.choice(words, 20)]) for _ in range(30)]
+    got = {(r["match_doc_id"], r["doc_id"], r["start_word"], r["end_word"]) for r in substring_dedup.repeated_passages(frame(spark, texts)).collect()}
+    assert {(0, i, 20, 90) for i in range(1, 30)} <= got
+
+
+def test_odd_rows_of_passages(spark):
+    rng = np.random.default_rng(25)
+    text = " ".join(rng.choice(vocabulary(rng, 900), 300))
+    rows = [(None, text), (5, text), (5, text), (2**60 + 1, "head " + text), (7, None), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit("clash")).withColumn("anchor", F.lit(1))
+    got = substring_dedup.repeated_passages(docs).collect()
+    assert {r["doc_id"] for r in got} == {5, 2**60 + 1} and {r["match_doc_id"] for r in got} >= {None}
