@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -77,16 +78,21 @@ class Scratch:
             df.write.mode("overwrite").parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)
 
-    def buckets(self, name: str, df: DataFrame, key: str) -> DataFrame:
-        """Writes a table in hash buckets of ``key``: later joins on ``key`` don't move its rows."""
+    def buckets(self, name: str, df: DataFrame, key: str, then: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+        """Writes a table in hash buckets of ``key``: later joins on ``key`` don't move its rows. ``then`` works on rows dealt to buckets."""
         n = partitions(self.spark, df)
         table = f"{name}_{uuid.uuid4().hex}"
         with small_batches(self.spark):
-            writer = df.repartition(n, key).write.format("parquet").option("compression", "zstd").option("path", f"{self.path}/{name}")
+            writer = then(df.repartition(n, key)).write.format("parquet").option("compression", "zstd").option("path", f"{self.path}/{name}")
             writer.bucketBy(n, key).saveAsTable(table)
         self.tables[name] = table
         return self.spark.table(table)
 
+    def release(self) -> None:
+        """Lets Spark delete shuffle files of jobs whose tables are written: it does so when the driver's garbage is collected."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *names: str) -> None:
         for name in names:
             if name in self.tables:
@@ -106,7 +112,7 @@ def partitions(spark: SparkSession, df: DataFrame | None = None) -> int:
     if df is None:
         return n
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    sizes = [leaves.apply(i).stats().sizeInBytes().bigInteger().longValueExact() for i in range(leaves.size())]
+    sizes = [leaves.apply(i).stats().sizeInBytes() for i in range(leaves.size())]
     return max(n, -(-sum(x for x in sizes if x < 1 << 60) // TASK_BYTES))  # a leaf of unknown size counts as 2^63 - 1
 
 
