@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Bytes of labelled text in one language's dictionary, and about how many labelled rows are read for it.
@@ -57,12 +57,19 @@ class CompressionClassifier:
             return cls({}, margin)
         place = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 30))
         share = F.coalesce(*[F.when(F.col(lang) == k, F.lit(min(1.0, rows_per_language / n))) for k, n in sorted(counts.items())])
-        got = have.where(place < share * (1 << 30)).select(F.col(lang).alias("l"), F.col(text).alias("t"), place.alias("p")).collect()
-        out: dict[str, bytes] = {k: b"" for k in sorted(counts)}
-        for r in sorted(got, key=lambda r: (r["p"], r["t"])):
-            if len(out[r["l"]]) < dictionary_bytes:
-                out[r["l"]] += letters(r["t"])[: 16 * BLOCK]
-        return cls({k: v[:dictionary_bytes] for k, v in out.items() if len(v) >= 8}, margin)
+
+        @F.pandas_udf("array<binary>")
+        def blocks(texts: pd.Series) -> pd.Series:
+            return pd.Series([[raw[i : i + BLOCK] for i in range(0, len(raw), BLOCK)] for raw in map(letters, texts)])
+
+        # Blocks of the whole texts compete by a hash for the room of a dictionary, so no text fills it by its length.
+        cut = have.where(place < share * (1 << 30)).select(F.col(lang).alias("l"), place.alias("p"), F.posexplode(blocks(F.col(text))).alias("k", "b"))
+        own = Window.partitionBy("l").orderBy(F.xxhash64("p", "k"), "p", "k", "b")
+        taken = cut.select("l", "b", F.sum(F.length("b")).over(own).alias("end"), F.row_number().over(own).alias("at")).where(F.col("end") - F.length("b") < dictionary_bytes)
+        out = dict.fromkeys(sorted(counts), b"")
+        for r in sorted(taken.collect(), key=lambda r: (r["l"], r["at"])):  # no more than a dictionary for each language
+            out[r["l"]] += bytes(r["b"])
+        return cls({k: v[:dictionary_bytes].ljust(8) for k, v in out.items()}, margin)
 
     def _compressors(self) -> list[tuple[str, object]]:
         import zstandard as z

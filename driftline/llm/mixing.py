@@ -212,11 +212,14 @@ def mix(documents: DataFrame, labelled: DataFrame, targets: dict[str, float], bu
     and a domain of ``upper`` that has fewer tokens than its share, or no labelled row, lowers its own total only.
     """
     scratch = Scratch(documents.sparkSession, "mixing")
+    keep = [c for c in documents.columns if c not in ("n_tokens", "posterior", "rate", "copies", "residual", text)]
+    if documents.isEmpty():
+        added = {"n_tokens": "long", "posterior": "array<double>", "rate": "double", "copies": "int", "residual": "double"}
+        return documents.select(*keep, *[F.lit(None).cast(kind).alias(name) for name, kind in added.items()]), sorted(targets)
     model = DomainClassifier.fit(labelled, scratch, key, text, domain, fit_rows)
     targets = {d: w for d, w in targets.items() if d in model.domains or d not in upper}
     if missing := set(targets) - set(model.domains):
         raise ValueError(f"no labelled rows of {sorted(missing)}")
-    keep = [c for c in documents.columns if c not in ("n_tokens", "posterior", "rate", "copies", "residual", text)]
     scored = model.transform(documents.withColumn("n_tokens", tokens(F.col(text))).select(*keep, text, "n_tokens"), text)
     table = scratch.write("posteriors", scored.select(*keep, "n_tokens", "posterior"))
     weights = np.array([targets.get(x, 0.0) for x in model.domains])

@@ -12,8 +12,8 @@ Every link is confirmed on the full shingle sets (of 64-bit hashes). Candidates
 best for each class, then all that still join two components.
 
 Defined results: null, empty and word-free texts have an empty set and are linked with nothing; texts with fewer words
-than a shingle have one shingle, the whole sequence; repeated texts share a component; an empty table gives an empty
-table; only the key and the text of the input are read.
+than a shingle have one shingle, the whole sequence; repeated texts share a component; a null identifier is the least one
+(-2^63 stands for it); an empty table gives an empty table; only the key and the text of the input are read.
 """
 
 from __future__ import annotations
@@ -25,9 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftline.llm import words as w
 from driftline.llm.common import Scratch, partitions
 
 WORDS = 5
@@ -43,39 +45,24 @@ BLOCK = 256
 #: Sketches that agree in fewer places than this many standard deviations under the threshold aren't candidates.
 SLACK = 5.0
 
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Stands for a null identifier while classes are joined.
+NO_KEY = -(1 << 63)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-class _Words(dict):
-    """64-bit hashes of words; forgets all when it has grown large."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        value = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return value
-
-
-_words = _Words()
+def shingle_sets(texts: list[str | None], n: int = WORDS) -> list[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its word shingles; A-Z count as a-z, words part at ASCII white space."""
+    out: list[np.ndarray] = []
+    for _, hashes, at in w.batches(pa.array(texts, pa.large_string())):
+        found, text, _ = w.runs(hashes, at, n)
+        ends = np.searchsorted(text, np.arange(len(at)))
+        for k, size in enumerate(np.diff(at).tolist()):
+            whole = found[ends[k] : ends[k + 1]] if size >= n or not size else w.runs(hashes[at[k] : at[k + 1]], np.array([0, size]), size)[0]
+            out.append(np.unique(whole))
+    return out
 
 
 def shingles(text: str | None, n: int = WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles; A-Z count as a-z, words part at ASCII white space."""
-    found = (text or "").encode().lower().split()
-    if not found:
-        return np.empty(0, np.uint64)
-    words = np.fromiter(map(_words.__getitem__, found), np.uint64, len(found))
-    n = min(n, len(words))
-    out = np.full(len(words) - n + 1, n, np.uint64)
-    for k in range(n):
-        out = _mix(out * _MIX + words[k : len(words) - n + 1 + k])
-    return np.unique(out)
+    return shingle_sets([text], n)[0]
 
 
 @functools.cache
@@ -102,10 +89,10 @@ def tokens(n_trees: int, depth: int = DEPTH) -> int:
 
 def paths(sketches: np.ndarray, n_trees: int, depth: int) -> np.ndarray:
     """Node of each sketch in each tree at ``depth``: uint64 (rows, trees). No two trees or levels read the same token."""
-    node = _mix(np.broadcast_to(np.arange(1, n_trees + 1, dtype=np.uint64) * _MIX, (len(sketches), n_trees)).copy())
+    node = w.mix(np.broadcast_to(np.arange(1, n_trees + 1, dtype=np.uint64) * w.MIX, (len(sketches), n_trees)).copy())
     for level in range(depth):
         own = sketches[:, level * n_trees : (level + 1) * n_trees]
-        node = _mix(node * np.uint64(3) + own.astype(np.uint64) + np.uint64(1))
+        node = w.mix(node * np.uint64(3) + own.astype(np.uint64) + np.uint64(1))
     return node
 
 
@@ -117,13 +104,17 @@ def linked(both: int, a: int, b: int, percent: int) -> bool:
     return 100 * both >= percent * (a + b - both)
 
 
+def _known(name: str) -> Column:
+    return F.when(F.col(name) != NO_KEY, F.col(name))
+
+
 class ChosenPathJoin:
     """``rows`` of the result: doc_id, n_shingles, component_id, kept."""
 
     def __init__(self, documents: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, words: int = WORDS):
         self.spark = documents.sparkSession
         self.scratch = Scratch(self.spark, "near-dedup")
-        self.base = documents.select(F.col(key).cast("long").alias("id"), F.col(text).alias("body"))
+        self.base = documents.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("id"), F.col(text).alias("body"))
         self.percent, self.similarity, self.words = round(100 * similarity), similarity, words
         self.trees, self.least = trees(similarity), least_agreement(similarity)
 
@@ -135,8 +126,7 @@ class ChosenPathJoin:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 out = []
-                for doc, body in zip(batch["id"], batch["body"], strict=True):
-                    items = shingles(body, n)
+                for doc, items in zip(batch["id"], shingle_sets(batch["body"].tolist(), n), strict=True):
                     digest = hashlib.blake2b(items.tobytes(), digest_size=16).digest()
                     out.append((doc, len(items), digest, sketch(items, n_tokens).tobytes()))
                 yield pd.DataFrame(out, columns=["id", "n", "digest", "sketch"])
@@ -167,12 +157,10 @@ class ChosenPathJoin:
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                sets: dict[int, np.ndarray] = {}
+                bodies = dict(zip(batch["a"], batch["x"], strict=True)) | dict(zip(batch["b"], batch["y"], strict=True))
+                sets = dict(zip(bodies, shingle_sets(list(bodies.values()), n), strict=True))
                 keep = []
-                for a, b, x, y in batch.itertuples(index=False):
-                    for doc, body in ((a, x), (b, y)):
-                        if doc not in sets:
-                            sets[doc] = shingles(body, n)
+                for a, b in zip(batch["a"], batch["b"], strict=True):
                     p, q = sets[a], sets[b]
                     keep.append(linked(len(np.intersect1d(p, q, assume_unique=True)), len(p), len(q), percent))
                 yield batch.loc[keep, ["a", "b"]]
@@ -258,7 +246,7 @@ class ChosenPathJoin:
         n, percent = self.words, self.percent
 
         def run(group: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame(block_links(group["id"].to_numpy(), group["comp"].to_numpy(), group["minor"].to_numpy(), [shingles(t, n) for t in group["body"]], percent), columns=["a", "b"])
+            return pd.DataFrame(block_links(group["id"].to_numpy(), group["comp"].to_numpy(), group["minor"].to_numpy(), shingle_sets(group["body"].tolist(), n), percent), columns=["a", "b"])
 
         return rows.groupBy("node", "x", "z").applyInPandas(run, "a long, b long").distinct()
 
@@ -298,7 +286,8 @@ class ChosenPathJoin:
         s.drop("texts")
         wide = classes.select("digest", "rep").join(comps, "rep", "left").select("digest", F.coalesce("comp", "rep").alias("component_id"))
         out = docs.select("id", "n", "digest").join(wide, "digest", "left")
-        return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+        out = out.select("id", "n", F.coalesce("component_id", "id").alias("to"))
+        return out.select(_known("id").alias("doc_id"), F.col("n").alias("n_shingles"), _known("to").alias("component_id"), (F.col("id") == F.col("to")).alias("kept"))
 
 
 def block_links(ids: np.ndarray, comps: np.ndarray, minor: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:

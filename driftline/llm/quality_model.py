@@ -50,6 +50,17 @@ def buckets(texts: list[str | None], bits: int = BITS) -> tuple[np.ndarray, np.n
     return both >> bits, both & ((1 << bits) - 1)
 
 
+def bucket_lists(texts: list[str | None]) -> list[np.ndarray]:
+    """The distinct buckets of each text."""
+    held = []
+    for i in range(0, len(texts), CHUNK):  # few texts at a time: sorting 4-grams takes many times their size
+        part = texts[i : i + CHUNK]
+        row, bucket = buckets(part)
+        starts = np.searchsorted(row, np.arange(len(part) + 1))
+        held += [bucket[a:b].astype(np.int32) for a, b in zip(starts[:-1], starts[1:], strict=True)]
+    return held
+
+
 @dataclass
 class NaiveBayesSvm:
     """``weights`` are those of the linear model times the log-count ratios."""
@@ -62,15 +73,14 @@ class NaiveBayesSvm:
 
     @classmethod
     def fit(cls, texts: list[str | None], labels: list[int], seed: int = 0) -> NaiveBayesSvm:
+        return cls.fit_buckets(bucket_lists(texts), labels, seed)
+
+    @classmethod
+    def fit_buckets(cls, held: list[np.ndarray], labels: list[int], seed: int = 0) -> NaiveBayesSvm:
+        """``held``: the distinct buckets of each text."""
         y = np.where(np.array(labels) == 1, 1.0, -1.0)
         if not len(y) or (y == y[0]).all():
             return cls(np.zeros(1 << BITS), 0.0, 0.0, 20.0 if len(y) and y[0] > 0 else -20.0 if len(y) else 0.0)
-        held = []
-        for i in range(0, len(texts), CHUNK):  # few texts at a time: sorting 4-grams takes many times their size
-            part = texts[i : i + CHUNK]
-            row, bucket = buckets(part)
-            starts = np.searchsorted(row, np.arange(len(part) + 1))
-            held += [bucket[a:b].astype(np.int32) for a, b in zip(starts[:-1], starts[1:], strict=True)]
         apart = np.arange(len(y)) % 4 == 3  # the curve is fitted on rows that the model hasn't seen
         if len(set(y[apart])) < 2 or len(set(y[~apart])) < 2:
             apart = np.zeros(len(y), bool)
@@ -147,6 +157,13 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", key: st
     known = labels.where(F.col(label).isNotNull()).select(key, F.col(label).alias("_y"))
     place = F.pmod(F.xxhash64(F.col(key), F.lit("fit")), F.lit(1 << 30))
     share = min(1.0, fit_rows / max(1, known.count()))
-    rows = documents.select(key, text).join(known.where(place < share * (1 << 30)), key).select(text, "_y", place.alias("p")).collect()
-    rows.sort(key=lambda r: (r["p"], r[text] or ""))
-    return NaiveBayesSvm.fit([r[text] for r in rows], [r["_y"] for r in rows])
+
+
+    @F.pandas_udf("array<int>")
+    def found(texts: pd.Series) -> pd.Series:
+        return pd.Series(bucket_lists(texts.tolist()))
+
+    # The driver gets bucket numbers, 2^BITS for a row at most, whatever the length of its text.
+    rows = documents.select(key, text).join(known.where(place < share * (1 << 30)), key).select(found(F.col(text)).alias("b"), "_y", place.alias("p")).collect()
+    rows.sort(key=lambda r: (r["p"], len(r["b"]), r["b"][:64]))
+    return NaiveBayesSvm.fit_buckets([np.array(r["b"], np.int32) for r in rows], [r["_y"] for r in rows])

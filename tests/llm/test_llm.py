@@ -295,13 +295,48 @@ def test_index_grows_by_batches_and_collisions_part(spark):
     before = sorted(map(tuple, index.lookup(a.select("digest").distinct()).select("keep_id", "group_size").collect()))
     index.compact()
     assert sorted(map(tuple, index.lookup(a.select("digest").distinct()).select("keep_id", "group_size").collect())) == before == [(0, 5), (1, 5), (2, 4), (3, 4)]
-    base = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "id long, body string")
-    probed = spark.createDataFrame([(bytearray(b"d"), i, 1, 3) for i in (1, 2, 3)], "digest binary, id long, keep_id long, group_size long")
-    bad = exact_dedup._unverified(common.Scratch(spark, "t"), base, probed.where("id <> keep_id").select("id", "keep_id", "digest"))
+    assert index.find([bytes([3]), bytes([9])]) == {bytes([3]): (3, 4)}
+    base = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "id long, body string").withColumn("digest", F.lit(bytearray(b"d")))
+    probed = spark.createDataFrame([(bytearray(b"d"), i, 1, 1, 3) for i in (1, 2, 3)], "digest binary, id long, n long, keep_id long, group_size long")
+    bad = exact_dedup._unverified(common.Scratch(spark, "t"), base, probed.select("id", "digest"))
     parted = exact_dedup._by_text(index, base, probed, bad)
     assert sorted(map(tuple, parted.select("id", "keep_id", "group_size").collect())) == [(1, 1, 2), (2, 2, 1), (3, 1, 2)]
 
 
+def test_exact_dedup_of_repeated_rows_and_identifiers(spark):
+    rows = [(1, "a"), (1, "a"), (1, "b"), (2, "a"), (3, "b"), (None, "c"), (None, "c"), (5, "C"), (6, None)]
+    got = exact_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    import hashlib
+
+    own = {body: sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["kept"], r["keep_id"], r["group_size"]) for r in got if r["text_sha256"] == hashlib.sha256(body.encode()).hexdigest()) for body in ("a", "b", "c", "")}
+    assert own["a"] == [(1, False, 1, 3), (1, True, 1, 3), (2, False, 1, 3)] and own["b"] == [(1, True, 1, 2), (3, False, 1, 2)]
+    assert own["c"] == [(-1, False, None, 3), (-1, True, None, 3), (5, False, None, 3)] and own[""] == [(6, True, 6, 1)]
+
+
+def test_hot_groups_are_joined_by_a_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "HOT_ROWS", 5)
+    monkeypatch.setattr(exact_dedup, "FAN_IN", 2)
+    texts = ["hot"] * 40 + ["cold"] * 3 + ["one"]
+    got = exact_dedup.deduplicate(frame(spark, texts), keep="largest", memtable_rows=4).collect()
+    assert sorted((r["doc_id"], r["keep_id"], r["group_size"]) for r in got) == [*[(i, 39, 40) for i in range(40)], *[(i, 42, 3) for i in range(40, 43)], (43, 43, 1)]
+
+
+def test_near_duplicates_of_odd_rows(spark):
+    text = "one two three four five six seven"
+    rows = [(None, text), (4, text.upper()), (4, text), (9, None), (10, "x " * 20_000), (11, "x " * 20_001)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").withColumn("id", F.lit(1))).collect()
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_shingles"], r["kept"], r["component_id"]) for r in got) == [(-1, 3, True, None), (4, 3, False, None), (4, 3, False, None), (9, 0, True, 9), (10, 1, True, 10), (11, 1, False, 10)]
+
+
+def test_dictionaries_hold_blocks_of_whole_texts(spark):
+    long = "aaa " * 50_000 + "zebra " * 50_000
+    docs = spark.createDataFrame([(0, long, "x"), (1, "k", "y")], "doc_id long, text string, lang string")
+    model = language_id.CompressionClassifier.fit(docs)
+    assert b"zebra" in model.dictionaries["x"] and b"aaa" in model.dictionaries["x"] and len(model.dictionaries["x"]) == language_id.DICTIONARY_BYTES
+    assert model.score("zebra zebra zebra")[0] == "x" and set(model.dictionaries) == {"x", "y"}
+
+
 def test_sharding(spark):
     rng = np.random.default_rng(8)
     texts = ODD[:-1] + ["w" * int(n) for n in rng.integers(1, 3000, 600)] + ["copy of a text"] * 400
@@ -440,6 +475,8 @@ def test_upper_totals():
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert near_dedup.near_duplicates(empty).count() == 0
+    mixed, domains = mixing.mix(empty, empty.select("doc_id", "text", F.lit("a").alias("domain")), {"a": 1.0})
+    assert mixed.count() == 0 and domains == ["a"] and {"rate", "copies", "residual", "posterior", "n_tokens"} <= set(mixed.columns)
     assert substring_dedup.repeated_passages(empty).count() == 0
     assert exact_dedup.deduplicate(empty).count() == 0
     assert sharding.shard(empty, n_shards=8).count() == 0
