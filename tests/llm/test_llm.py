@@ -568,3 +568,24 @@ def test_odd_rows_of_passages(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit("clash")).withColumn("anchor", F.lit(1))
     got = substring_dedup.repeated_passages(docs).collect()
     assert {r["doc_id"] for r in got} == {5, 2**60 + 1} and {r["match_doc_id"] for r in got} >= {None}
+
+
+def test_pipeline_of_odd_rows_and_empty_tables(spark, tmp_path):
+    """Null, empty, repeated and very long texts, null identifiers and clashing columns go through all stages."""
+    import corpus_pipeline
+
+    texts, langs = corpus(spark, 60)
+    rows = [(i, t, lang, "s", len(t)) for i, (t, lang) in enumerate(zip(texts, langs, strict=True))]
+    long = " ".join(texts) * 20
+    rows += [(100, None, "en", None, None), (101, "", None, None, 0), (102, texts[0], "en", "s", 1), (0, texts[0], "en", "s", 1), (None, "the house of green water and the winter " * 9, None, None, None), (103, long, "en", "s", 1), (104, long + " water", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    names, empty = docs.columns, spark.createDataFrame([], SCHEMA)
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        docs = common.Scratch(spark, "test").write("docs", stage(spark, docs.withColumn("margin", F.lit(1)).withColumn("digest", F.lit("x")), str(tmp_path)).select(*names))
+        assert stage(spark, empty, str(tmp_path)).count() == 0
+    kept = [r["doc_id"] for r in docs.collect()]
+    assert sorted(kept, key=str) == sorted(set(kept), key=str) and {0, 103, None} <= set(kept) and not {100, 101, 102, 104} & set(kept)
+    packed = corpus_pipeline.pack_sequences(spark, docs, str(tmp_path))
+    assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == set(kept)
+    assert corpus_pipeline.pack_sequences(spark, empty, str(tmp_path)).count() == 0
