@@ -8,8 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.functions import columns, fits
-from driftline.operators import align, chains, cluster, grid, learning, moments, structure
+from driftline.functions import columns
+from driftline.operators import align, cluster, grid, learning, moments, structure
 from driftline.plans.models import ARHMM, HMM, LDS, POISSON, SLDS
 from driftline.sources import sequences as source
 
@@ -151,12 +151,15 @@ def interpolate_hidden(spark, sf_dir):
 
 @query(f"""WITH {E}, p AS (SELECT *, lead(y) OVER (PARTITION BY seq ORDER BY t) - y AS dy, lead(u) OVER (PARTITION BY seq ORDER BY t) - u AS du FROM e), b AS (
     SELECT least(floor(y / 20), 9)::INT AS i, least(floor(u / 10), 9)::INT AS j, dy, du FROM p WHERE dy IS NOT NULL AND y BETWEEN 0 AND 200 AND u BETWEEN 0 AND 100)
-    SELECT i, j, count(*) AS n, round(avg(dy), 4) + 0.0 AS dx, round(avg(du), 4) + 0.0 AS dy FROM b GROUP BY i, j""")
+    SELECT i, j, count(*) AS n, floor((200 * sum(round(100 * dy)::BIGINT) + count(*))::DOUBLE / (2 * count(*))) / 10000 + 0.0 AS dx,
+        floor((200 * sum(round(100 * du)::BIGINT) + count(*))::DOUBLE / (2 * count(*))) / 10000 + 0.0 AS dy FROM b GROUP BY i, j""")
 def binned_displacement(spark, sf_dir):
+    """Values have two decimals: displacements are summed as whole hundredths, and means rounded half up to four digits as whole numbers."""
     e = seqs(spark, sf_dir).select(*KEYS, "t", F.col("y")[0].alias("y"), F.col("u")[0].alias("u"))
     p = e.withColumns({"dy": F.lead("y").over(structure.order()) - F.col("y"), "du": F.lead("u").over(structure.order()) - F.col("u")}).where("dy is not null")
-    out = structure.displacement_bins(p, F.col("y"), F.col("u"), F.col("dy"), F.col("du"), ((0.0, 200.0), (0.0, 100.0)), 10)
-    return out.select("i", "j", "n", r("dx", "dx", 4), r("dy", "dy", 4))
+    out = structure.displacement_bins(p, F.col("y"), F.col("u"), F.round(100 * F.col("dy")).cast("long"), F.round(100 * F.col("du")).cast("long"), ((0.0, 200.0), (0.0, 100.0)), 10)
+    whole = {c: F.floor((200 * F.round(F.col(c) * F.col("n")) + F.col("n")) / (2 * F.col("n"))) / 10000.0 for c in ("dx", "dy")}
+    return out.select("i", "j", "n", *[v.alias(c) for c, v in whole.items()])
 
 
 # Densities, moments, regressions
@@ -327,6 +330,14 @@ def hmm_forward_ll(spark, sf_dir):
     return packed.select("seq", r("f.log_likelihood", "log_likelihood", 4))
 
 
+@query(f"{_HMM} SELECT (seq % 2 + 1)::INT AS session, seq, round(sum(ln(c) + m), 4) + 0.0 AS log_likelihood FROM f GROUP BY ALL")
+def hmm_session_ids_ll(spark, sf_dir):
+    """Sessions 1 and 2, each with emissions of its own; emissions go by the session's identifier."""
+    e = seqs(spark, sf_dir).withColumn("session", (F.col("seq") % 2 + 1).cast("int"))
+    own = hmm().params["emissions"][0]
+    return hmm().replace(emissions={1: own, 2: own}).objective(e).select("session", "seq", r("objective", "log_likelihood", 4))
+
+
 @query(f"{_HMM} SELECT seq, t, round(a0, 6) + 0.0 AS a0, round(a1, 6) + 0.0 AS a1 FROM f")
 def hmm_filter(spark, sf_dir):
     packed = _local(seqs(spark, sf_dir)).select("seq", columns.forward(F.col("ell"), PI, P).alias("f"))
@@ -576,7 +587,7 @@ def slds_one_state_elbo(spark, sf_dir):
 
 @query("SELECT s::INT AS session, n::BIGINT AS seq, (10 + n)::BIGINT AS n_steps FROM range(2) a(s), range(5) b(n)")
 def sample_shapes(spark, sf_dir):
-    two = hmm().replace(emissions=hmm().params["emissions"] * 2)
+    two = hmm().replace(emissions=[hmm().params["emissions"][0]] * 2)
     rows = two.sample(spark, {s: [10 + n for n in range(5)] for s in range(2)}, seed=1)
     return rows.groupBy("session", "seq").agg(F.count(F.lit(1)).alias("n_steps"))
 
@@ -588,7 +599,8 @@ def occupancy_grid(spark, sf_dir):
     return grid.occupancy(post, [np.linspace(-50, 250, 31)], [0]).select("seq", F.col("cell")[0].alias("cell"), r("mass", "mass"))
 
 
-@query()
+@query(f"""{_kalman_sql(False)} SELECT seq, round(sum(0.5 * (1 + {columns.LOG_2PI!r} + ln(CASE WHEN t = last THEN v ELSE v * {LDS1['q']} / ({LDS1['a'] ** 2!r} * v + {LDS1['q']}) END))), 4) + 0.0 AS entropy
+    FROM k JOIN n USING (seq) GROUP BY seq""")
 def chain_entropy(spark, sf_dir):
     """Entropy of the Gaussian posterior path of each sequence."""
     model = lds()
@@ -596,7 +608,5 @@ def chain_entropy(spark, sf_dir):
     def make(b: learning.Batch):
         return learning.pd.DataFrame({"session": np.int32(b.session), "seq": b.seq, "entropy": model._infer(b)[0].entropy()})
 
-    return learning.rows(learning.packed(seqs(spark, sf_dir)), "session int, seq long, entropy double", make)
-
+    return learning.rows(learning.packed(seqs(spark, sf_dir)), "session int, seq long, entropy double", make).select("seq", r("entropy", "entropy", 4))
 
-__all__ = ["ORACLES", "QUERIES", "chains", "fits"]

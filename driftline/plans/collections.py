@@ -79,7 +79,7 @@ class Collection:
         """One model: chain from pooled counts, emissions of each session."""
         first, pairs = self._counts(sequences)
         some = next(iter(self.models.values()))
-        params = {"initial_probs": fits.categorical(first.sum(0)), "transition_probs": fits.categorical(pairs.sum(0)), "emissions": [m.params["emissions"][0] for m in self.models.values()]}
+        params = {"initial_probs": fits.categorical(first.sum(0)), "transition_probs": fits.categorical(pairs.sum(0)), "emissions": {s: next(iter(m.params["emissions"])) for s, m in self.models.items()}}
         return type(some)(params, some.observations)
 
     def combine(self, sequences: DataFrame, restarts: int = 10, seed: int = 0) -> HMM:

@@ -37,34 +37,71 @@ class Fit:
         return spark.createDataFrame(list(enumerate(map(float, self.trace))), "iter int, objective double")
 
 
+class Emissions:
+    """Emission parameters by session identifier; a list stands for sessions 0, 1, and so on. Iteration gives the parameters."""
+
+    def __init__(self, given):
+        pairs = given.items() if isinstance(given, dict | Emissions) else enumerate(given)
+        self._own = {int(s): {k: np.asarray(v, float) for k, v in e.items()} for s, e in pairs}
+        if not self._own:
+            raise ValueError("no session has emissions")
+
+    def __getitem__(self, session: int) -> dict[str, np.ndarray]:
+        if int(session) not in self._own:
+            raise KeyError(f"no emissions of session {session}; there are {sorted(self._own)}")
+        return self._own[int(session)]
+
+    def __iter__(self):
+        return iter(self._own.values())
+
+    def __len__(self) -> int:
+        return len(self._own)
+
+    def items(self):
+        return self._own.items()
+
+    def map(self, change: Callable[[dict], dict]) -> Emissions:
+        return Emissions({s: change(e) for s, e in self._own.items()})
+
+
 class Model:
-    """What the families share. ``params`` holds shared arrays and ``emissions``, a list with one dictionary a session."""
+    """What the families share. ``params`` holds shared arrays and ``emissions`` (see :class:`Emissions`).
+
+    With ``diagonal``, fits of Gaussian observations and of the dynamics noise estimate variances only; covariances are
+    stored as matrices without off-diagonal entries, and given ones that have some raise ValueError.
+    """
 
     family = ""
     offset = 0
+    noises = ("dynamics_covariance", "dynamics_covariances")
 
-    def __init__(self, params: dict, observations: str = GAUSSIAN):
+    def __init__(self, params: dict, observations: str = GAUSSIAN, diagonal: bool = False):
         if observations not in (GAUSSIAN, POISSON):
             raise ValueError(observations)
         self.params = {k: (v if k == "emissions" else np.asarray(v, float)) for k, v in params.items()}
-        self.params["emissions"] = [{k: np.asarray(v, float) for k, v in e.items()} for e in params["emissions"]]
-        self.observations = observations
+        self.params["emissions"] = Emissions(params["emissions"])
+        self.observations, self.diagonal = observations, diagonal
+        if diagonal:
+            for c in [*(self.params[k] for k in self.noises if k in self.params), *(e["covariance"] for e in self.params["emissions"] if "covariance" in e)]:
+                if (np.abs(c * (1 - np.eye(c.shape[-1]))) > 0).any():
+                    raise ValueError("a diagonal covariance has off-diagonal entries")
 
     @classmethod
-    def from_params(cls, params: dict, observations: str = GAUSSIAN) -> Model:
-        return cls(params, observations)
+    def from_params(cls, params: dict, observations: str = GAUSSIAN, diagonal: bool = False) -> Model:
+        return cls(params, observations, diagonal)
 
     def to_params(self) -> dict:
         return self.params
 
     def save(self, spark: SparkSession, path: str, overwrite: bool = False) -> None:
-        storage.save_params(spark, path, f"{self.observations}-{self.family}", self.params, overwrite)
+        kind = f"{self.observations}-{self.family}{'-diagonal' if self.diagonal else ''}"
+        storage.save_params(spark, path, kind, self.params | {"emissions": {str(s): e for s, e in self.params["emissions"].items()}}, overwrite)
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Model:
         name, params = storage.load_params(spark, path)
-        observations, family = name.split("-")
-        return FAMILIES[family](params | {"emissions": list(params["emissions"])}, observations)
+        observations, family, *more = name.split("-")
+        return FAMILIES[family](params, observations, "diagonal" in more)
 
     # What a family defines
 
@@ -140,7 +177,7 @@ class Model:
         return eta + rng.standard_normal(eta.shape) @ np.linalg.cholesky(e["covariance"]).T
 
     def replace(self, **changes) -> Model:
-        return type(self)(self.params | changes, self.observations)
+        return type(self)(self.params | changes, self.observations, self.diagonal)
 
 
 def draw_states(rng: np.random.Generator, initial: np.ndarray, transition: np.ndarray, steps: int) -> np.ndarray:
@@ -184,16 +221,16 @@ class HMM(Model):
         }
 
     def _maximise(self, sums: dict[int, dict[str, np.ndarray]], data: Packed) -> HMM:
-        emissions = []
-        for session, old in enumerate(self.params["emissions"]):
+        emissions = {}
+        for session, old in self.params["emissions"].items():
             s = sums.get(session)
             if s is None:
-                emissions.append(old)
+                emissions[session] = old
             elif self.observations == POISSON:
-                emissions.append({"log_rates": fits.poisson(s["n"], s["s"], old["log_rates"])})
+                emissions[session] = {"log_rates": fits.poisson(s["n"], s["s"], old["log_rates"])}
             else:
-                mean, cov = fits.gaussian(s["n"], s["s"], s["q"], (old["mean"], old["covariance"]))
-                emissions.append({"mean": mean, "covariance": cov})
+                mean, cov = fits.gaussian(s["n"], s["s"], s["q"], (old["mean"], old["covariance"]), diagonal=self.diagonal)
+                emissions[session] = {"mean": mean, "covariance": cov}
         return self.replace(**self._chain_step(sums), emissions=emissions)
 
     def _posterior(self, batch: Batch, post: chains.DiscretePosterior) -> pd.DataFrame:
@@ -231,7 +268,7 @@ class HMM(Model):
     def permute_states(self, order: np.ndarray) -> HMM:
         """New state k is old state order[k]."""
         order = np.asarray(order)
-        emissions = [{k: v[order] for k, v in e.items()} for e in self.params["emissions"]]
+        emissions = self.params["emissions"].map(lambda e: {k: v[order] for k, v in e.items()})
         return self.replace(initial_probs=self.params["initial_probs"][order], transition_probs=self.params["transition_probs"][np.ix_(order, order)], emissions=emissions)
 
     def match_states(self, means: np.ndarray, session: int = 0) -> HMM:
@@ -240,12 +277,12 @@ class HMM(Model):
         return self.permute_states(align.match_by_mean(np.exp(e["log_rates"]) if self.observations == POISSON else e["mean"], np.asarray(means, float)))
 
     @classmethod
-    def initialize(cls, sequences: DataFrame, num_states: int, observations: str = GAUSSIAN, seed: int = 0, steps: int = 20, centers: dict[int, np.ndarray] | None = None) -> HMM:
+    def initialize(cls, sequences: DataFrame, num_states: int, observations: str = GAUSSIAN, seed: int = 0, steps: int = 20, centers: dict[int, np.ndarray] | None = None, diagonal: bool = False) -> HMM:
         """Uniform initial and sticky transition probabilities; emissions from K-means of each session's visible observations."""
-        emissions = []
+        emissions = {}
         seen = sequences.where("visible")
-        for session in sorted(r[0] for r in sequences.select("session").distinct().collect()):
-            own = seen.where(F.col("session") == session)
+        for session in _sessions(sequences):
+            own = seen.where(F.col("session") == session).persist(StorageLevel.MEMORY_AND_DISK)
             start = cluster.farthest_first(own, F.col("y"), num_states, seed) if centers is None else centers[session]
             found = cluster.kmeans(own, F.col("y"), start, steps)
             d = found.shape[1]
@@ -254,12 +291,13 @@ class HMM(Model):
             sums = joint_sums(own.withColumn("k", cluster.assign(F.col("y"), found)), F.col("y"), F.lit(1.0), d, ["k"])
             pooled = tuple(sum(s[i] for s in sums.values()) for i in range(3))
             n, s, q = (np.array([sums.get((k,), pooled)[i] for k in range(num_states)]) for i in range(3))
+            own.unpersist()
             if observations == POISSON:
-                emissions.append({"log_rates": fits.poisson(n, s)})
+                emissions[session] = {"log_rates": fits.poisson(n, s)}
             else:
-                mean, cov = fits.gaussian(n, s, q, floor=fits.INIT_FLOOR)
-                emissions.append({"mean": mean, "covariance": cov})
-        return cls({"initial_probs": np.full(num_states, 1 / num_states), "transition_probs": sticky(num_states), "emissions": emissions}, observations)
+                mean, cov = fits.gaussian(n, s, q, floor=fits.INIT_FLOOR, diagonal=diagonal)
+                emissions[session] = {"mean": mean, "covariance": cov}
+        return cls({"initial_probs": np.full(num_states, 1 / num_states), "transition_probs": sticky(num_states), "emissions": emissions}, observations, diagonal)
 
     def _sample(self, rng, session, steps):
         z = draw_states(rng, self.params["initial_probs"], self.params["transition_probs"], steps)
@@ -271,6 +309,14 @@ class HMM(Model):
         return z, np.zeros((steps, 0)), y
 
 
+def _sessions(sequences: DataFrame) -> list[int]:
+    """Identifiers of the sessions; ValueError where there is none to learn from."""
+    found = sorted(r[0] for r in sequences.select("session").distinct().collect())
+    if not found:
+        raise ValueError("a table without sequences has nothing to start a model from")
+    return found
+
+
 def sticky(k: int, stay: float = 0.9) -> np.ndarray:
     return np.eye(k) if k == 1 else np.full((k, k), (1 - stay) / (k - 1)) + (stay - (1 - stay) / (k - 1)) * np.eye(k)
 
@@ -284,9 +330,9 @@ class ARHMM(HMM):
 
     family = "arhmm"
 
-    def __init__(self, params: dict, observations: str = GAUSSIAN):
-        super().__init__(params, observations)
-        e = self.params["emissions"][0]
+    def __init__(self, params: dict, observations: str = GAUSSIAN, diagonal: bool = False):
+        super().__init__(params, observations, diagonal)
+        e = next(iter(self.params["emissions"]))
         self.offset = e["coefficients"].shape[-1] // e["coefficients"].shape[-2]
 
     def windows(self, batch: Batch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -319,22 +365,22 @@ class ARHMM(HMM):
         return out
 
     def _maximise(self, sums, data: Packed) -> ARHMM:
-        emissions = []
+        emissions = {}
         newer = None
         if self.observations == POISSON:
             newer = _poisson_regressions(self, data)
-        for session, old in enumerate(self.params["emissions"]):
+        for session, old in self.params["emissions"].items():
             s = sums.get(session)
             if s is None:
-                emissions.append(old)
+                emissions[session] = old
                 continue
             weak = s["n"] < fits.MIN_OCCUPANCY
             if newer is not None:
                 w, b = newer[session]
-                emissions.append({"coefficients": np.where(weak[:, None, None], old["coefficients"], w), "bias": np.where(weak[:, None], old["bias"], b)})
+                emissions[session] = {"coefficients": np.where(weak[:, None, None], old["coefficients"], w), "bias": np.where(weak[:, None], old["bias"], b)}
             else:
-                w, b, c = fits.regression(s["n"], s["s"], s["q"], old["coefficients"].shape[-1])
-                emissions.append({"coefficients": np.where(weak[:, None, None], old["coefficients"], w), "bias": np.where(weak[:, None], old["bias"], b), "covariance": np.where(weak[:, None, None], old["covariance"], c)})
+                w, b, c = fits.regression(s["n"], s["s"], s["q"], old["coefficients"].shape[-1], diagonal=self.diagonal)
+                emissions[session] = {"coefficients": np.where(weak[:, None, None], old["coefficients"], w), "bias": np.where(weak[:, None], old["bias"], b), "covariance": np.where(weak[:, None, None], old["covariance"], c)}
         return self.replace(**self._chain_step(sums), emissions=emissions)
 
     def regressors(self, batch: Batch) -> dict[str, np.ndarray]:
@@ -357,27 +403,28 @@ class ARHMM(HMM):
         return learning.rows(learning.packed(self._check(sequences)), "session int, seq long, t int, mean array<double>", make)
 
     @classmethod
-    def initialize(cls, sequences: DataFrame, num_states: int, lags: int = 1, observations: str = GAUSSIAN, seed: int = 0, steps: int = 20) -> ARHMM:
+    def initialize(cls, sequences: DataFrame, num_states: int, lags: int = 1, observations: str = GAUSSIAN, seed: int = 0, steps: int = 20, diagonal: bool = False) -> ARHMM:
         """States from K-means of (observation, history); regressions within each."""
         from driftline.operators.moments import joint_sums
 
-        emissions = []
+        emissions = {}
         rows = lagged(sequences, lags).where("visible").withColumn("x", F.flatten("lags")).withColumn("v", F.concat("x", "y"))
-        for session in sorted(r[0] for r in sequences.select("session").distinct().collect()):
-            own = rows.where(F.col("session") == session)
+        for session in _sessions(sequences):
+            own = rows.where(F.col("session") == session).persist(StorageLevel.MEMORY_AND_DISK)
             found = cluster.kmeans(own, F.col("v"), cluster.farthest_first(own, F.col("v"), num_states, seed), steps)
             size = found.shape[1]
             inputs = size * lags // (lags + 1)
             sums = joint_sums(own.withColumn("k", cluster.assign(F.col("v"), found)), F.col("v"), F.lit(1.0), size, ["k"])
             pooled = tuple(sum(s[i] for s in sums.values()) for i in range(3))
             n, s, q = (np.array([sums.get((k,), pooled)[i] for k in range(num_states)]) for i in range(3))
+            own.unpersist()
             if observations == POISSON:
                 rate = fits.poisson(n, s[:, inputs:])
-                emissions.append({"coefficients": np.zeros((num_states, size - inputs, inputs)), "bias": rate})
+                emissions[session] = {"coefficients": np.zeros((num_states, size - inputs, inputs)), "bias": rate}
             else:
-                w, b, c = fits.regression(n, s, q, inputs, floor=fits.INIT_FLOOR)
-                emissions.append({"coefficients": w, "bias": b, "covariance": c})
-        return cls({"initial_probs": np.full(num_states, 1 / num_states), "transition_probs": sticky(num_states), "emissions": emissions}, observations)
+                w, b, c = fits.regression(n, s, q, inputs, floor=fits.INIT_FLOOR, diagonal=diagonal)
+                emissions[session] = {"coefficients": w, "bias": b, "covariance": c}
+        return cls({"initial_probs": np.full(num_states, 1 / num_states), "transition_probs": sticky(num_states), "emissions": emissions}, observations, diagonal)
 
     def _sample(self, rng, session, steps):
         z = draw_states(rng, self.params["initial_probs"], self.params["transition_probs"], steps)
@@ -405,7 +452,7 @@ def _poisson_regressions(model, data: Packed) -> dict[int, tuple[np.ndarray, np.
         return pd.DataFrame({"session": np.full(n, b.session, np.int32), "w": r["w"].tolist(), "x": r["x"].tolist(), "y": r["y"].tolist(), "spread": flat})
 
     table = learning.rows(data.table, schema, make).persist(StorageLevel.MEMORY_AND_DISK)
-    old = {s: (e["coefficients"], e["bias"]) for s, e in enumerate(model.params["emissions"]) if s in data.sessions}
+    old = {s: (e["coefficients"], e["bias"]) for s, e in model.params["emissions"].items() if s in data.sessions}
     shapes = {s: (np.atleast_3d(w).shape if w.ndim == 3 else (1, *w.shape)) for s, (w, _) in old.items()}
     start = np.concatenate([np.concatenate([w.reshape(shapes[s]), b.reshape(shapes[s][:2])[..., None]], -1).reshape(-1, shapes[s][2] + 1) for s, (w, b) in old.items()])
 
@@ -485,18 +532,18 @@ class LDS(Model):
             out |= _emission_statistics(batch, post)
         return out
 
-    def _emissions(self, sums, data: Packed) -> list[dict[str, np.ndarray]]:
+    def _emissions(self, sums, data: Packed) -> dict[int, dict[str, np.ndarray]]:
         newer = _poisson_regressions(self, data) if self.observations == POISSON else {}
-        out = []
-        for session, old in enumerate(self.params["emissions"]):
+        out = {}
+        for session, old in self.params["emissions"].items():
             s = sums.get(session)
             if s is None:
-                out.append(old)
+                out[session] = old
             elif self.observations == POISSON:
-                out.append({"coefficients": newer[session][0], "bias": newer[session][1]})
+                out[session] = {"coefficients": newer[session][0], "bias": newer[session][1]}
             else:
-                w, b, c = fits.regression(s["en"], s["es"], s["eq"], old["coefficients"].shape[-1])
-                out.append({"coefficients": w, "bias": b, "covariance": c} if s["en"] > 0 else old)
+                w, b, c = fits.regression(s["en"], s["es"], s["eq"], old["coefficients"].shape[-1], diagonal=self.diagonal)
+                out[session] = {"coefficients": w, "bias": b, "covariance": c} if s["en"] > 0 else old
         return out
 
     def _maximise(self, sums, data: Packed) -> LDS:
@@ -508,7 +555,7 @@ class LDS(Model):
         changes = {"initial_mean": mean, "initial_covariance": fits.floored(cov, fits.FIT_FLOOR, spread)}
         if add["tn"][0] > 0:
             inputs = add["ts"].shape[-1] - 2 * d
-            w, b, q = fits.regression(add["tn"][0], add["ts"][0], add["tq"][0], d + inputs)
+            w, b, q = fits.regression(add["tn"][0], add["ts"][0], add["tq"][0], d + inputs, diagonal=self.diagonal)
             changes |= {"dynamics_coefficients": w[:, :d], "dynamics_bias": b, "dynamics_covariance": q}
             if "dynamics_input_coefficients" in p:
                 changes["dynamics_input_coefficients"] = w[:, d:]
@@ -563,7 +610,7 @@ class LDS(Model):
         }
         if "dynamics_input_coefficients" in p:
             changes["dynamics_input_coefficients"] = w @ p["dynamics_input_coefficients"]
-        return self.replace(**changes)
+        return type(self)(p | changes, self.observations)
 
     def whiten(self) -> LDS:
         """Coordinates in which the dynamics noise is the identity."""
@@ -571,12 +618,11 @@ class LDS(Model):
         return self.align(Affine(w, np.zeros(len(w))))
 
     @classmethod
-    def initialize(cls, sequences: DataFrame, latent_dim: int, observations: str = GAUSSIAN) -> LDS:
+    def initialize(cls, sequences: DataFrame, latent_dim: int, observations: str = GAUSSIAN, diagonal: bool = False) -> LDS:
         """Principal components of each session's visible observations (log(1 + count) for counts); damped identity dynamics."""
-        emissions, spread = [], np.zeros(latent_dim)
+        emissions = {}
         seen = sequences.where("visible")
-        sessions = sorted(r[0] for r in sequences.select("session").distinct().collect())
-        for session in sessions:
+        for session in _sessions(sequences):
             own = seen.where(F.col("session") == session)
             size = len(own.select("y").first()[0])
             y = F.transform("y", F.log1p) if observations == POISSON else F.col("y")
@@ -588,11 +634,10 @@ class LDS(Model):
             if observations == GAUSSIAN:
                 rest = max(1e-2 * float(variances.sum()), 1e-6)
                 e["covariance"] = rest * np.eye(size)
-            emissions.append(e)
-            spread += 1
+            emissions[session] = e
         d = latent_dim
         shared = {"initial_mean": np.zeros(d), "initial_covariance": np.eye(d), "dynamics_coefficients": 0.9 * np.eye(d), "dynamics_bias": np.zeros(d), "dynamics_covariance": 0.2 * np.eye(d)}
-        return cls(shared | {"emissions": emissions}, observations)
+        return cls(shared | {"emissions": emissions}, observations, diagonal)
 
     def _sample(self, rng, session, steps):
         p = self.params
@@ -603,8 +648,8 @@ class LDS(Model):
         return np.zeros(steps, np.int32), x, self._noisy(rng, session, x)
 
 
-def _composed(emissions: list[dict], back: Affine) -> list[dict]:
-    return [e | {"coefficients": e["coefficients"] @ back.coefficients, "bias": e["bias"] + e["coefficients"] @ back.bias} for e in emissions]
+def _composed(emissions: Emissions, back: Affine) -> Emissions:
+    return emissions.map(lambda e: e | {"coefficients": e["coefficients"] @ back.coefficients, "bias": e["bias"] + e["coefficients"] @ back.bias})
 
 
 def _latent_statistics(batch: Batch, post: chains.GaussianPosterior, weight: np.ndarray, inputs: bool) -> dict[str, np.ndarray]:
@@ -694,7 +739,7 @@ class SLDS(LDS):
         _, spread = fits.moments(add["all_n"], add["all_s"], add["all_q"])
         cov = fits.floored(cov, fits.FIT_FLOOR, np.broadcast_to(spread, cov.shape))
         d = mean.shape[-1]
-        w, b, q = fits.regression(add["tn"], add["ts"], add["tq"], add["ts"].shape[-1] - d)
+        w, b, q = fits.regression(add["tn"], add["ts"], add["tq"], add["ts"].shape[-1] - d, diagonal=self.diagonal)
         weak0, weak = add["xn"] < fits.MIN_OCCUPANCY, add["tn"] < fits.MIN_OCCUPANCY
         changes = {
             "initial_probs": fits.categorical(add["first"], p["initial_probs"], np.finfo(float).tiny), "transition_probs": fits.categorical(add["pairs"], p["transition_probs"], fits.MIN_OCCUPANCY),
@@ -730,10 +775,10 @@ class SLDS(LDS):
         }
         if "dynamics_input_coefficients" in p:
             changes["dynamics_input_coefficients"] = w @ p["dynamics_input_coefficients"]
-        return self.replace(**changes)
+        return type(self)(p | changes, self.observations)
 
     @classmethod
-    def initialize(cls, sequences: DataFrame, num_states: int, latent_dim: int, observations: str = GAUSSIAN) -> SLDS:
+    def initialize(cls, sequences: DataFrame, num_states: int, latent_dim: int, observations: str = GAUSSIAN, diagonal: bool = False) -> SLDS:
         """Emissions of an LDS start; states differ by the damping of their dynamics."""
         base = LDS.initialize(sequences, latent_dim, observations).params
         k, d = num_states, latent_dim
@@ -741,7 +786,7 @@ class SLDS(LDS):
         return cls({
             "initial_probs": np.full(k, 1 / k), "transition_probs": sticky(k), "latent_initial_means": np.zeros((k, d)), "latent_initial_covariances": np.tile(np.eye(d), (k, 1, 1)),
             "dynamics_coefficients": damping[:, None, None] * np.eye(d), "dynamics_bias": np.zeros((k, d)), "dynamics_covariances": np.array([(1 - x * x + 0.05) * np.eye(d) for x in damping]), "emissions": base["emissions"],
-        }, observations)
+        }, observations, diagonal)
 
     def _sample(self, rng, session, steps):
         p = self.params

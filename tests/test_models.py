@@ -179,3 +179,62 @@ def test_collections_align_and_pool(spark):
     assert both.get(1).params["emissions"][0]["mean"][0, 0] == 4
     with pytest.raises(ValueError):
         both.get()
+
+
+def shifted(spark, ids):
+    """Two sessions with identifiers ``ids``, the second with two coordinates on another scale."""
+    rng = np.random.default_rng(31)
+    rows = []
+    for s, session in enumerate(ids):
+        for seq in range(3):
+            for t in range(40):
+                rows.append((session, seq, t, [float(v) for v in rng.normal(4.0 * (t // 10 % 2) + 10 * s, 1.0, s + 1)], [], True))
+    return spark.createDataFrame(rows, "session int, seq long, t int, y array<double>, u array<double>, visible boolean")
+
+
+def test_sessions_go_by_identifier(spark, tmp_path):
+    """Identifiers that don't begin at 0, or have gaps, give what sessions 0 and 1 give, in every family."""
+    plain, moved = shifted(spark, [0, 1]), shifted(spark, [5, 9])
+    for start in (lambda e: HMM.initialize(e, 2), lambda e: ARHMM.initialize(e, 2), lambda e: LDS.initialize(e, 1), lambda e: SLDS.initialize(e, 2, 1)):
+        a, b = start(plain), start(moved)
+        assert [s for s, _ in b.params["emissions"].items()] == [5, 9]
+        fa, fb = a.fit(plain, 2), b.fit(moved, 2)
+        np.testing.assert_allclose(fa.trace, fb.trace, rtol=1e-6)
+        for k, v in fa.model.params["emissions"][1].items():
+            np.testing.assert_allclose(v, fb.model.params["emissions"][9][k], rtol=1e-5, atol=1e-7)
+    fb.model.save(spark, str(tmp_path / "m"))
+    assert [s for s, _ in type(fb.model).load(spark, str(tmp_path / "m")).params["emissions"].items()] == [5, 9]
+    with pytest.raises(Exception, match="no emissions of session"):
+        a.infer(moved).collect()
+    with pytest.raises(ValueError):
+        HMM.initialize(plain.limit(0), 2)
+
+
+@pytest.mark.parametrize("family", ["hmm", "arhmm", "lds", "slds"])
+def test_diagonal_covariances(spark, tmp_path, family):
+    """Fits keep zeros off the diagonal, raise the objective and are stored as such; variances are those of weighted sums."""
+    rng = np.random.default_rng(32)
+    rows = []
+    for seq in range(4):
+        x = np.cumsum(rng.normal(size=60)) * 0.3
+        for t in range(60):
+            rows.append((0, seq, t, [float(x[t] + rng.normal() * 0.5), float(2 * x[t] + rng.normal())], [], True))
+    e = spark.createDataFrame(rows, "session int, seq long, t int, y array<double>, u array<double>, visible boolean")
+    model = {"hmm": lambda: HMM.initialize(e, 2, diagonal=True), "arhmm": lambda: ARHMM.initialize(e, 2, diagonal=True), "lds": lambda: LDS.initialize(e, 2, diagonal=True), "slds": lambda: SLDS.initialize(e, 2, 2, diagonal=True)}[family]()
+    fit = model.fit(e, 3)
+    assert all(b >= a - 1e-6 * abs(a) for a, b in zip(fit.trace, fit.trace[1:], strict=False)) or family == "slds"
+    own = [fit.model.params["emissions"][0]["covariance"], *[fit.model.params[k] for k in fit.model.noises if k in fit.model.params]]
+    assert all((np.abs(c * (1 - np.eye(2))) == 0).all() and (np.einsum("...ii->...i", c) > 0).all() for c in own)
+    fit.model.save(spark, str(tmp_path / "m"))
+    again = type(model).load(spark, str(tmp_path / "m"))
+    assert again.diagonal and type(again) is type(model)
+    if family == "hmm":
+        gamma = np.array([r["gamma"] for r in model.infer(e).orderBy("seq", "t").collect()])
+        y = np.array([r[3] for r in rows])
+        one = model.fit(e, 1).model.params["emissions"][0]
+        mean = gamma.T @ y / gamma.sum(0)[:, None]
+        np.testing.assert_allclose(one["mean"], mean, rtol=1e-6)
+        spread = np.array([(gamma[:, k, None] * (y - mean[k]) ** 2).sum(0) / gamma[:, k].sum() for k in range(2)])
+        np.testing.assert_allclose(np.einsum("kii->ki", one["covariance"]), spread, rtol=1e-4)
+        with pytest.raises(ValueError):
+            HMM(model.params | {"emissions": [one | {"covariance": np.ones((2, 2, 2))}]}, diagonal=True)
