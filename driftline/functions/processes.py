@@ -49,6 +49,34 @@ class GatedRandomWalk:
         eye = np.broadcast_to(np.eye(d), (b, max(t - 1, 0), d, d))
         return chains.linear_factors(np.zeros(d), self.initial, eye, np.zeros((b, max(t - 1, 0), d)), self.innovations[gates[:, 1:]], t, np.asarray(lengths))
 
+    def soft_factors(self, weights: np.ndarray, lengths: np.ndarray) -> chains.GaussianFactors:
+        """Log factors averaged over gates of probabilities ``weights`` (B, T, K); gate t rules the move into step t."""
+        b, t, _ = weights.shape
+        d = len(self.initial)
+        lengths = np.asarray(lengths)
+        pair = chains.valid(lengths, t)[:, 1:]
+        w = weights[:, 1:] * pair[..., None]
+        p = np.einsum("btk,kij->btij", w, np.linalg.inv(self.innovations))
+        diag, first = np.zeros((b, t, d, d)), lengths > 0
+        diag[:, 0] += np.linalg.inv(self.initial)
+        diag[:, 1:] += p
+        diag[:, :-1] += p
+        const = -0.5 * first * (np.linalg.slogdet(self.initial)[1] + d * chains.LOG_2PI) - 0.5 * (w @ (np.linalg.slogdet(self.innovations)[1] + d * chains.LOG_2PI)).sum(1)
+        return chains.GaussianFactors(diag, -p, np.zeros((b, t, d)), const, lengths)
+
+    def expected_gate_log_probs(self, posterior: chains.GaussianPosterior) -> np.ndarray:
+        """(B, T-1, K) expected log density of each move under each gate; 0 beyond a sequence."""
+        move = posterior.mean[:, 1:] - posterior.mean[:, :-1]
+        second = posterior.cov[:, 1:] + posterior.cov[:, :-1] - posterior.cross - chains.transpose(posterior.cross) + move[..., :, None] * move[..., None, :]
+        unit = np.linalg.slogdet(self.innovations)[1] + len(self.initial) * chains.LOG_2PI
+        out = -0.5 * (np.einsum("kij,btji->btk", np.linalg.inv(self.innovations), second) + unit)
+        return np.where(chains.valid(posterior.lengths - 1, move.shape[1])[..., None], out, 0.0)
+
+    def expected_gate_log_difference(self, posterior: chains.GaussianPosterior, active: int = 1, inactive: int = 0) -> np.ndarray:
+        """(B, T-1) expected log factor of the active gate less that of the inactive one."""
+        each = self.expected_gate_log_probs(posterior)
+        return each[..., active] - each[..., inactive]
+
     def permute_gates(self, order: np.ndarray) -> GatedRandomWalk:
         return GatedRandomWalk(self.initial, self.innovations[np.asarray(order)])
 
@@ -122,3 +150,37 @@ class HermiteCurves:
     def sample(self, rng: np.random.Generator, steps: int) -> np.ndarray:
         noise = np.einsum("dpq,qd->pd", np.linalg.cholesky(self.covariance), rng.standard_normal(self.mean.shape))
         return self.basis.values(steps) @ (self.mean + noise)
+
+    def potential(self, precision: np.ndarray, information: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Local Gaussian factors (T, D, D) and (T, D) as one over all coefficients, variable by variable."""
+        b = self.basis.values(len(information))
+        n = b.shape[1] * information.shape[1]
+        return np.einsum("tp,tij,tq->ipjq", b, precision, b).reshape(n, n), np.einsum("tp,ti->ip", b, information).ravel()
+
+    def infer(self, precision: np.ndarray, information: np.ndarray) -> CurvePosterior:
+        """Posterior of the coefficients given local factors -x'Jx/2 + h'x of every step; no step leaves the prior."""
+        p, d = self.mean.shape
+        prior = np.zeros((d, p, d, p))
+        for i in range(d):
+            prior[i, :, i] = np.linalg.inv(self.covariance[i])
+        prior = prior.reshape(d * p, d * p)
+        j, h = prior, prior @ self.mean.T.ravel()
+        if len(information):
+            more = self.potential(precision, information)
+            j, h = j + more[0], h + more[1]
+        cov = chains.symmetric(np.linalg.inv(chains.symmetric(j)))
+        return CurvePosterior(self.basis, (cov @ h).reshape(d, p).T, cov.reshape(d, p, d, p))
+
+
+@dataclass(frozen=True)
+class CurvePosterior:
+    """Coefficients (P, D) with their joint covariance (D, P, D, P)."""
+
+    basis: HermiteBasis
+    mean: np.ndarray
+    covariance: np.ndarray
+
+    def marginals(self, steps: int) -> tuple[np.ndarray, np.ndarray]:
+        """(steps, D) means and (steps, D, D) covariances."""
+        b = self.basis.values(steps)
+        return b @ self.mean, np.einsum("tp,ipjq,tq->tij", b, self.covariance, b)

@@ -26,6 +26,11 @@ def match_by_mean(source: np.ndarray, target: np.ndarray) -> np.ndarray:
     return match_permutation(np.linalg.norm(target[:, None] - source[None], axis=-1))
 
 
+def match_by_conditional_mean(source: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """For each target state, the source state to put there, by the squared distance of means (T, K, D) averaged over steps."""
+    return match_permutation(((target[:, :, None] - source[:, None]) ** 2).sum(-1).mean(0))
+
+
 def match_to_truth(occurrence: np.ndarray) -> np.ndarray:
     """For each true state, the inferred state that meets it most; ``occurrence`` (inferred, true)."""
     return match_permutation(-np.asarray(occurrence, float).T)
@@ -123,6 +128,14 @@ def signed_permutation(source: np.ndarray, target: np.ndarray) -> tuple[np.ndarr
     return order, np.where(signs == 0, 1.0, signs)
 
 
+def statewise_signed_permutation(source: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(orders (K, P), signs (K, P)) of motifs (K, P, ...), matched within each state up to order and sign."""
+    if source.shape != target.shape or source.ndim < 3:
+        raise ValueError("motifs of both sides have one shape (K, P, ...)")
+    found = [signed_permutation(s.reshape(len(s), -1).T, t.reshape(len(t), -1).T) for s, t in zip(source, target, strict=True)]
+    return np.array([o for o, _ in found]), np.array([g for _, g in found])
+
+
 def align_markov_counts(initial: np.ndarray, transitions: np.ndarray, max_sweeps: int = 50, seed: int = 0, restarts: int = 10) -> np.ndarray:
     """A permutation for each session that makes pooled Markov counts most likely; the session with most counts stays.
 

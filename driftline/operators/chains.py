@@ -125,6 +125,17 @@ class GaussianFactors:
         pair = -np.einsum("bti,btij,btj->bt", x[:, 1:], self.lower, x[:, :-1])
         return (own * on).sum(1) + (pair * valid(self.lengths - 1, pair.shape[1])).sum(1) + self.const
 
+    def dense_precision(self, sequence: int) -> np.ndarray:
+        """The precision (T * D, T * D) of one sequence as a whole."""
+        n, d = int(self.lengths[sequence]), self.info.shape[-1]
+        out = np.zeros((n, d, n, d))
+        for t in range(n):
+            out[t, :, t] = self.diag[sequence, t]
+            if t + 1 < n:
+                out[t + 1, :, t] = self.lower[sequence, t]
+                out[t, :, t + 1] = self.lower[sequence, t].T
+        return out.reshape(n * d, n * d)
+
 
 def gaussian_chain(f: GaussianFactors) -> GaussianPosterior:
     """Block elimination forward, moments backward."""

@@ -63,8 +63,14 @@ def pca(rows: DataFrame, y: Column, size: int, components: int) -> tuple[np.ndar
     """(mean, components (D, C), variances), each component's largest entry positive."""
     n, first, second = joint_sums(rows, y, F.lit(1.0), size, [])[()]
     mean = first / n
-    values, vectors = np.linalg.eigh(second / n - np.outer(mean, mean))
+    vectors, values = leading(second / n - np.outer(mean, mean), components)
+    return mean, vectors, values
+
+
+def leading(cov: np.ndarray, components: int) -> tuple[np.ndarray, np.ndarray]:
+    """(directions (D, C), variances) of a covariance, largest first, each direction's largest entry positive."""
+    values, vectors = np.linalg.eigh(cov)
     order = np.argsort(values)[::-1][:components]
     vectors = vectors[:, order]
     signs = np.sign(vectors[np.abs(vectors).argmax(0), np.arange(len(order))])
-    return mean, vectors * np.where(signs == 0, 1, signs), values[order]
+    return vectors * np.where(signs == 0, 1, signs), values[order]

@@ -65,3 +65,20 @@ def occupancy(posterior: DataFrame, edges: Sequence[np.ndarray], variables: Sequ
 
     parts = posterior.select("session", "seq", "mean", "cov").mapInPandas(run, "session int, seq long, cell array<int>, mass double, n long")
     return parts.groupBy("session", "seq", "cell").agg((F.sum("mass") / F.sum("n")).alias("mass"))
+
+
+def per_step(posterior: DataFrame, edges: Sequence[np.ndarray], variables: Sequence[int], order: int = 3) -> DataFrame:
+    """(session, seq, t, cell, mass): the mass of each cell at each step; its average over a sequence is :func:`occupancy`."""
+    at = list(variables)
+
+    def run(frames):
+        for frame in frames:
+            for own in (frame.iloc[i : i + 64] for i in range(0, len(frame), 64)):  # a bounded number of grids at once
+                mean = np.array(own["mean"].tolist())[:, at]
+                cov = np.array([np.vstack(c) for c in own["cov"]])[:, at][:, :, at]
+                mass = cell_masses(mean, cov, edges, order)
+                cells = mass[0].size
+                out = {k: np.repeat(own[k].to_numpy(), cells) for k in ("session", "seq", "t")}
+                yield pd.DataFrame(out | {"cell": [list(i) for i in np.ndindex(mass.shape[1:])] * len(own), "mass": mass.ravel()})
+
+    return posterior.select("session", "seq", "t", "mean", "cov").mapInPandas(run, "session int, seq long, t int, cell array<int>, mass double")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from driftline.functions import columns
 from driftline.operators import align, cluster, grid, learning, moments, structure
+from driftline.plans import starts
 from driftline.plans.models import ARHMM, HMM, LDS, POISSON, SLDS
 from driftline.sources import sequences as source
 
@@ -453,6 +454,13 @@ def arhmm_gamma(spark, sf_dir):
     return arhmm().infer(seqs(spark, sf_dir)).select("seq", "t", r(F.col("gamma")[0], "g0"))
 
 
+@query(f"WITH {E}, {_AR_ROWS} SELECT seq, (t + 1)::INT AS t, round({AR['coefficients'][0]} * x + {AR['bias'][0]}, 6) + 0.0 AS m0, round({AR['coefficients'][1]} * x + {AR['bias'][1]}, 6) + 0.0 AS m1 FROM a")
+def arhmm_state_means(spark, sf_dir):
+    """Mean of the next observation given each state and the history."""
+    rows = arhmm().state_means(seqs(spark, sf_dir))
+    return rows.select("seq", "t", *[r(F.col("means")[k][0], f"m{k}") for k in range(2)])
+
+
 @query()
 def arhmm_fit_trace(spark, sf_dir):
     e = seqs(spark, sf_dir)
@@ -529,6 +537,33 @@ def lds_em_step_scalar(spark, sf_dir):
     return spark.createDataFrame([row], "a double, b double, q double")
 
 
+@query(f"""WITH RECURSIVE {E}, m AS (SELECT seq, t, {LDS1['m0']}::DOUBLE AS m FROM e WHERE t = 0
+    UNION ALL SELECT e.seq, e.t, {LDS1['a']} * m + {LDS1['b']} + {LDS1['input']} * e.u FROM m JOIN e ON e.seq = m.seq AND e.t = m.t + 1) SELECT seq, t, round(m, 5) + 0.0 AS mean FROM m""")
+def lds_prior_mean(spark, sf_dir):
+    """Latent means before any observation, driven by inputs."""
+    return lds(True).prior_mean(seqs(spark, sf_dir)).select("seq", "t", r(F.col("mean")[0], "mean", 5))
+
+
+@query(f"""{_REG_SQL}, o AS (SELECT avg(y) AS mu, var_pop(y) AS v, avg(y) FILTER (t = 0) AS m0, var_pop(y) FILTER (t = 0) AS s0 FROM e WHERE visible), c AS (SELECT *, 1 / (1 + 1e-6) AS k FROM o)
+    SELECT round(m0 - mu, 4) + 0.0 AS m0, round(s0 + 1e-2 * v, 2) + 0.0 AS s0, round(w, 5) + 0.0 AS a, round(my - mu - w * (mx - mu), 4) + 0.0 AS b, round(yy - 2 * w * xy + w * w * xx + 1e-2 * yy, 2) + 0.0 AS q,
+    round(k, 6) + 0.0 AS c, round(mu, 4) + 0.0 AS d, round((1 - k) * (1 - k) * v + 1e-2 * v, 3) + 0.0 AS r FROM f, c""")
+def lds_via_pca(spark, sf_dir):
+    """The start of an LDS from pseudo-latents; with one coordinate they are the centred observations."""
+    e = seqs(spark, sf_dir).withColumn("u", F.array().cast("array<double>"))
+    p = starts.lds_via_pca(e, 1).params
+    o = p["emissions"][0]
+    row = [(p["initial_mean"][0], 4), (p["initial_covariance"][0, 0], 2), (p["dynamics_coefficients"][0, 0], 5), (p["dynamics_bias"][0], 4), (p["dynamics_covariance"][0, 0], 2), (o["coefficients"][0, 0], 6), (o["bias"][0], 4), (o["covariance"][0, 0], 3)]
+    return spark.createDataFrame([tuple(round(float(v), n) + 0.0 for v, n in row)], "m0 double, s0 double, a double, b double, q double, c double, d double, r double")
+
+
+@query()
+def poisson_lds_via_pca(spark, sf_dir):
+    """Emissions of a Poisson LDS regressed on pseudo-latents of log counts."""
+    e = _counts2(spark, sf_dir)
+    o = starts.lds_via_pca(e, 2, POISSON).params["emissions"][0]
+    return spark.createDataFrame([(i, float(b), *map(float, w)) for i, (w, b) in enumerate(zip(o["coefficients"], o["bias"], strict=True))], "coordinate int, bias double, c0 double, c1 double")
+
+
 @query()
 def lds_fit_trace(spark, sf_dir):
     e = source.from_events(events(spark, sf_dir), F.array("value", k_input()))
@@ -559,6 +594,13 @@ def slds_infer(spark, sf_dir):
     return SLDS.initialize(e, 2, 2).infer(e).select("seq", "t", "state", F.col("gamma")[0].alias("g0"), F.col("mean")[0].alias("x0"))
 
 
+@query()
+def slds_via_arhmm(spark, sf_dir):
+    """Posterior of a switching system started from an AR-HMM of pseudo-latents."""
+    e = source.from_events(events(spark, sf_dir), F.array("value", k_input()))
+    return starts.slds_via_arhmm(e, 2, 2, num_iters=3).infer(e).select("seq", "t", "state", F.col("mean")[0].alias("x0"))
+
+
 @query()
 def slds_fit_trace(spark, sf_dir):
     e = source.from_events(events(spark, sf_dir), F.array("value", k_input()))
@@ -592,13 +634,26 @@ def sample_shapes(spark, sf_dir):
     return rows.groupBy("session", "seq").agg(F.count(F.lit(1)).alias("n_steps"))
 
 
-@query()
+def _mass_sql(center: str) -> str:
+    """Three-point Gauss-Legendre mass of a cell of width 10 under N(sm, sv)."""
+    nodes, weights = np.polynomial.legendre.leggauss(3)
+    return " + ".join(f"5 * {float(w)!r} * exp({_gauss_sql(f'({center} + {5 * float(x)!r})', 0, 1).replace(' - 0', ' - sm').replace('/ 1', '/ sv').replace(repr(columns.LOG_2PI), f'ln(sv) + {columns.LOG_2PI!r}')})" for x, w in zip(nodes, weights, strict=True))
+
+
+@query(f"{_kalman_sql(False)}, c AS (SELECT k::INT AS cell, -45.0::DOUBLE + 10 * k AS mid FROM range(30) x(k)) SELECT seq, cell, round(avg({_mass_sql('mid')}), 6) + 0.0 AS mass FROM s, c GROUP BY ALL")
 def occupancy_grid(spark, sf_dir):
     """Time-averaged posterior mass of each cell."""
     post = lds().infer(seqs(spark, sf_dir))
     return grid.occupancy(post, [np.linspace(-50, 250, 31)], [0]).select("seq", F.col("cell")[0].alias("cell"), r("mass", "mass"))
 
 
+@query(f"{_kalman_sql(False)}, c AS (SELECT k::INT AS cell, -45.0::DOUBLE + 10 * k AS mid FROM range(30) x(k)) SELECT seq, t, cell, round({_mass_sql('mid')}, 6) + 0.0 AS mass FROM s, c")
+def grid_per_step(spark, sf_dir):
+    """Posterior mass of each cell at each step."""
+    rows = grid.per_step(lds().infer(seqs(spark, sf_dir)), [np.linspace(-50, 250, 31)], [0])
+    return rows.select("seq", "t", F.col("cell")[0].alias("cell"), r("mass", "mass"))
+
+
 @query(f"""{_kalman_sql(False)} SELECT seq, round(sum(0.5 * (1 + {columns.LOG_2PI!r} + ln(CASE WHEN t = last THEN v ELSE v * {LDS1['q']} / ({LDS1['a'] ** 2!r} * v + {LDS1['q']}) END))), 4) + 0.0 AS entropy
     FROM k JOIN n USING (seq) GROUP BY seq""")
 def chain_entropy(spark, sf_dir):

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -93,3 +94,31 @@ def _chain_counts(model: HMM):
         return {"first": post.gamma[:, 0].sum(0), "pairs": post.xi.sum((0, 1))}
 
     return count
+
+
+@dataclass
+class Restarts:
+    """Fits of one table from several starts."""
+
+    runs: list[Fit]
+
+    @classmethod
+    def fit(cls, sequences: DataFrame, starts: Iterable[Model], num_iters: int = 10) -> Restarts:
+        return cls([m.fit(sequences, num_iters) for m in starts])
+
+    def is_valid(self) -> list[bool]:
+        """Whether each objective is a number throughout."""
+        return [not np.isnan(f.trace).any() for f in self.runs]
+
+    def best_index(self) -> int:
+        """The first valid fit of the highest last objective."""
+        valid = [i for i, v in enumerate(self.is_valid()) if v]
+        if not valid:
+            raise ValueError("no fit has an objective without NaN")
+        return max(valid, key=lambda i: (self.runs[i].trace[-1], -i))
+
+    def get(self, index: int) -> Fit:
+        return self.runs[index]
+
+    def best(self) -> Fit:
+        return self.runs[self.best_index()]

@@ -152,21 +152,36 @@ class Model:
                     model = model._maximise(sums, data)
         return Fit(model, trace)
 
-    def sample(self, spark: SparkSession, lengths: dict[int, list[int]], seed: int = 0) -> DataFrame:
-        """Sequences of the model with the lengths of each session, and their latent truth; one random stream a sequence."""
-        plan = [(s, n, t) for s, ts in lengths.items() for n, t in enumerate(ts)]
+    def sample(self, spark: SparkSession, lengths: dict[int, list[int]] | None = None, seed: int = 0, inputs: DataFrame | None = None, history: np.ndarray | None = None) -> DataFrame:
+        """Sequences of the model with the lengths of each session, and their latent truth; one random stream a sequence.
+
+        ``inputs`` (session, seq, t, u) drive the dynamics, and set the lengths in place of ``lengths``. ``history`` (L, D),
+        most recent first, is what an AR-HMM continues; without one it starts from zeros.
+        """
+        if (lengths is None) == (inputs is None):
+            raise ValueError("either lengths or inputs")
+        if history is not None:
+            history = np.asarray(history, float)
+            if self.offset == 0 or history.ndim != 2 or len(history) != self.offset:
+                raise ValueError(f"a history has {self.offset} steps here")
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
-                for session, seq, steps in frame.itertuples(index=False):
+                for session, seq, steps, drive in frame.itertuples(index=False):
                     rng = np.random.default_rng([seed, session, seq])
-                    z, x, y = self._sample(rng, int(session), int(steps))
-                    yield pd.DataFrame({"session": np.int32(session), "seq": seq, "t": np.arange(steps, dtype=np.int32), "z": z, "x": x.tolist(), "y": y.tolist(), "u": [[]] * steps, "visible": True})
+                    u = np.zeros((steps, 0)) if drive is None else np.vstack([np.asarray(v, float) for v in drive])
+                    z, x, y = self._sample(rng, int(session), int(steps), u, history)
+                    yield pd.DataFrame({"session": np.int32(session), "seq": seq, "t": np.arange(steps, dtype=np.int32), "z": z, "x": x.tolist(), "y": y.tolist(), "u": u.tolist(), "visible": True})
 
-        table = spark.createDataFrame(plan, "session int, seq long, steps int").repartition("session", "seq")
+        if inputs is None:
+            plan = [(s, n, t, None) for s, ts in lengths.items() for n, t in enumerate(ts)]
+            table = spark.createDataFrame(plan, "session int, seq long, steps int, u array<array<double>>").repartition("session", "seq")
+        else:
+            steps = F.sort_array(F.collect_list(F.struct("t", "u")))
+            table = inputs.groupBy("session", "seq").agg(steps.alias("s")).select("session", "seq", F.size("s").alias("steps"), F.col("s.u").alias("u"))
         return table.mapInPandas(run, "session int, seq long, t int, z int, x array<double>, y array<double>, u array<double>, visible boolean")
 
-    def _sample(self, rng: np.random.Generator, session: int, steps: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _sample(self, rng: np.random.Generator, session: int, steps: int, u: np.ndarray, history: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         raise NotImplementedError
 
     def _noisy(self, rng: np.random.Generator, session: int, x: np.ndarray) -> np.ndarray:
@@ -265,6 +280,32 @@ class HMM(Model):
 
         return learning.rows(learning.packed(self._check(sequences)), "session int, seq long, t int, mean array<double>", make)
 
+    def _state_means(self, batch: Batch) -> np.ndarray:
+        """(B, R, K, D) mean observation of every state at each step."""
+        e = self.params["emissions"][batch.session]
+        means = np.exp(e["log_rates"]) if self.observations == POISSON else e["mean"]
+        return np.broadcast_to(means, (len(batch.seq), batch.steps, *means.shape))
+
+    def state_means(self, sequences: DataFrame) -> DataFrame:
+        """(session, seq, t, means): the mean observation given each state, (K, D) a step."""
+
+        def make(b: Batch) -> pd.DataFrame:
+            return learning.step_rows(b, {"means": self._state_means(b)}, self.offset, np.maximum(b.lengths - self.offset, 0))
+
+        return learning.rows(learning.packed(self._check(sequences)), "session int, seq long, t int, means array<array<double>>", make)
+
+    def match_conditional(self, sequences: DataFrame, target: HMM) -> HMM:
+        """States in the order that brings their means at the steps of ``sequences`` closest to those of ``target``."""
+
+        def costs(b: Batch) -> dict[str, np.ndarray]:
+            own, other = self._state_means(b), target._state_means(b)
+            gap = ((other[:, :, :, None] - own[:, :, None]) ** 2).sum(-1)
+            seen = chains.valid(np.maximum(b.lengths - self.offset, 0), gap.shape[1])
+            return {"costs": np.where(seen[..., None, None], gap, 0.0).sum((0, 1))}
+
+        with Packed(self._check(sequences)) as data:
+            return self.permute_states(align.match_permutation(sum(s["costs"] for s in data.sums(costs).values())))
+
     def permute_states(self, order: np.ndarray) -> HMM:
         """New state k is old state order[k]."""
         order = np.asarray(order)
@@ -299,7 +340,7 @@ class HMM(Model):
                 emissions[session] = {"mean": mean, "covariance": cov}
         return cls({"initial_probs": np.full(num_states, 1 / num_states), "transition_probs": sticky(num_states), "emissions": emissions}, observations, diagonal)
 
-    def _sample(self, rng, session, steps):
+    def _sample(self, rng, session, steps, u, history):
         z = draw_states(rng, self.params["initial_probs"], self.params["transition_probs"], steps)
         e = self.params["emissions"][session]
         if self.observations == POISSON:
@@ -390,15 +431,17 @@ class ARHMM(HMM):
         on = (w > 0) & chains.valid(lengths, y.shape[1])
         return {"w": post.gamma[on], "x": x[on], "y": y[on], "spread": None}
 
+    def _state_means(self, batch: Batch) -> np.ndarray:
+        e = self.params["emissions"][batch.session]
+        eta = LinearPoisson(e["coefficients"], e["bias"]).log_rates(self.windows(batch)[1])
+        return np.exp(eta) if self.observations == POISSON else eta
+
     def observation_mean(self, sequences: DataFrame) -> DataFrame:
         """(session, seq, t, mean) given each step's history."""
 
         def make(b: Batch) -> pd.DataFrame:
-            e = self.params["emissions"][b.session]
-            _, x, _, lengths = self.windows(b)
-            eta = LinearPoisson(e["coefficients"], e["bias"]).log_rates(x)
-            means = np.exp(eta) if self.observations == POISSON else eta
-            return learning.step_rows(b, {"mean": np.einsum("btk,btkd->btd", self._infer(b)[0].gamma, means)}, self.offset, lengths)
+            mean = np.einsum("btk,btkd->btd", self._infer(b)[0].gamma, self._state_means(b))
+            return learning.step_rows(b, {"mean": mean}, self.offset, np.maximum(b.lengths - self.offset, 0))
 
         return learning.rows(learning.packed(self._check(sequences)), "session int, seq long, t int, mean array<double>", make)
 
@@ -426,11 +469,11 @@ class ARHMM(HMM):
                 emissions[session] = {"coefficients": w, "bias": b, "covariance": c}
         return cls({"initial_probs": np.full(num_states, 1 / num_states), "transition_probs": sticky(num_states), "emissions": emissions}, observations, diagonal)
 
-    def _sample(self, rng, session, steps):
+    def _sample(self, rng, session, steps, u, history):
         z = draw_states(rng, self.params["initial_probs"], self.params["transition_probs"], steps)
         e = self.params["emissions"][session]
         d = e["bias"].shape[-1]
-        y, past = np.zeros((steps, d)), np.zeros((self.offset, d))  # sampling starts from a history of zeros
+        y, past = np.zeros((steps, d)), np.zeros((self.offset, d)) if history is None else history
         for t in range(steps):
             eta = e["coefficients"][z[t]] @ past.ravel() + e["bias"][z[t]]
             y[t] = rng.poisson(np.exp(eta)) if self.observations == POISSON else rng.multivariate_normal(eta, e["covariance"][z[t]])
@@ -452,7 +495,14 @@ def _poisson_regressions(model, data: Packed) -> dict[int, tuple[np.ndarray, np.
         return pd.DataFrame({"session": np.full(n, b.session, np.int32), "w": r["w"].tolist(), "x": r["x"].tolist(), "y": r["y"].tolist(), "spread": flat})
 
     table = learning.rows(data.table, schema, make).persist(StorageLevel.MEMORY_AND_DISK)
-    old = {s: (e["coefficients"], e["bias"]) for s, e in model.params["emissions"].items() if s in data.sessions}
+    try:
+        return regress_counts(table, {s: (e["coefficients"], e["bias"]) for s, e in model.params["emissions"].items() if s in data.sessions})
+    finally:
+        table.unpersist()
+
+
+def regress_counts(table: DataFrame, old: dict[int, tuple[np.ndarray, np.ndarray]], steps: int = 5) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Poisson regressions of rows (session, w, x, y, spread), from the coefficients and biases ``old`` of each session."""
     shapes = {s: (np.atleast_3d(w).shape if w.ndim == 3 else (1, *w.shape)) for s, (w, _) in old.items()}
     start = np.concatenate([np.concatenate([w.reshape(shapes[s]), b.reshape(shapes[s][:2])[..., None]], -1).reshape(-1, shapes[s][2] + 1) for s, (w, b) in old.items()])
 
@@ -488,10 +538,7 @@ def _poisson_regressions(model, data: Packed) -> dict[int, tuple[np.ndarray, np.
                 hessian.append(got[s][f"h{j}"] - rho * np.diag([1.0] * p + [0.0]))
         return np.concatenate(value), np.concatenate(gradient), np.concatenate(hessian)
 
-    try:
-        found = parts(fits.newton(start, measure, steps=5, tolerance=1e-6))
-    finally:
-        table.unpersist()
+    found = parts(fits.newton(start, measure, steps=steps, tolerance=1e-6))
     return {s: (found[s][..., :-1].reshape(old[s][0].shape), found[s][..., -1].reshape(old[s][1].shape)) for s in found}
 
 
@@ -586,6 +633,21 @@ class LDS(Model):
 
         return learning.rows(learning.packed(sequences), "session int, seq long, elbo double, entropy double", make)
 
+    def prior_mean(self, sequences: DataFrame) -> DataFrame:
+        """(session, seq, t, mean): the latents' mean before any observation counts, driven by the inputs."""
+        p = self.params
+        if "initial_mean" not in p:
+            raise TypeError("a switching system has no closed prior mean")
+
+        def make(b: Batch) -> pd.DataFrame:
+            drive, mean = self._drive(b), np.zeros((len(b.seq), b.steps, len(p["initial_mean"])))
+            mean[:, 0] = p["initial_mean"]
+            for t in range(1, b.steps):
+                mean[:, t] = mean[:, t - 1] @ p["dynamics_coefficients"].T + drive[:, t - 1]
+            return learning.step_rows(b, {"mean": mean})
+
+        return learning.rows(learning.packed(sequences), "session int, seq long, t int, mean array<double>", make)
+
     def observation_mean(self, sequences: DataFrame) -> DataFrame:
         """(session, seq, t, mean) of each step's observation under the posterior."""
 
@@ -639,11 +701,12 @@ class LDS(Model):
         shared = {"initial_mean": np.zeros(d), "initial_covariance": np.eye(d), "dynamics_coefficients": 0.9 * np.eye(d), "dynamics_bias": np.zeros(d), "dynamics_covariance": 0.2 * np.eye(d)}
         return cls(shared | {"emissions": emissions}, observations, diagonal)
 
-    def _sample(self, rng, session, steps):
+    def _sample(self, rng, session, steps, u, history):
         p = self.params
         x = np.zeros((steps, len(p["initial_mean"])))
+        drive = u @ p["dynamics_input_coefficients"].T if "dynamics_input_coefficients" in p and u.shape[1] else np.zeros_like(x)
         for t in range(steps):
-            mean, cov = (p["initial_mean"], p["initial_covariance"]) if t == 0 else (p["dynamics_coefficients"] @ x[t - 1] + p["dynamics_bias"], p["dynamics_covariance"])
+            mean, cov = (p["initial_mean"], p["initial_covariance"]) if t == 0 else (p["dynamics_coefficients"] @ x[t - 1] + p["dynamics_bias"] + drive[t], p["dynamics_covariance"])
             x[t] = rng.multivariate_normal(mean, cov)
         return np.zeros(steps, np.int32), x, self._noisy(rng, session, x)
 
@@ -788,13 +851,14 @@ class SLDS(LDS):
             "dynamics_coefficients": damping[:, None, None] * np.eye(d), "dynamics_bias": np.zeros((k, d)), "dynamics_covariances": np.array([(1 - x * x + 0.05) * np.eye(d) for x in damping]), "emissions": base["emissions"],
         }, observations, diagonal)
 
-    def _sample(self, rng, session, steps):
+    def _sample(self, rng, session, steps, u, history):
         p = self.params
         z = draw_states(rng, p["initial_probs"], p["transition_probs"], steps)
         x = np.zeros((steps, p["latent_initial_means"].shape[-1]))
+        drive = np.einsum("tdi,ti->td", p["dynamics_input_coefficients"][z], u) if "dynamics_input_coefficients" in p and u.shape[1] else np.zeros_like(x)
         for t in range(steps):
             k = z[t]
-            mean, cov = (p["latent_initial_means"][k], p["latent_initial_covariances"][k]) if t == 0 else (p["dynamics_coefficients"][k] @ x[t - 1] + p["dynamics_bias"][k], p["dynamics_covariances"][k])
+            mean, cov = (p["latent_initial_means"][k], p["latent_initial_covariances"][k]) if t == 0 else (p["dynamics_coefficients"][k] @ x[t - 1] + p["dynamics_bias"][k] + drive[t], p["dynamics_covariances"][k])
             x[t] = rng.multivariate_normal(mean, cov)
         return z, x, self._noisy(rng, session, x)
 
