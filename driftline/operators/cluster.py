@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftline.operators import learning
 from driftline.operators.moments import joint_sums
 
 
@@ -59,6 +63,63 @@ def farthest_first(rows: DataFrame, y: Column, k: int, seed: int = 0) -> np.ndar
     return np.array(centers, float)
 
 
+def spread_centers(rows: DataFrame, k: int, seed: int = 0) -> dict[int, np.ndarray]:
+    """:func:`farthest_first` of every session of rows (session, y) at once: ``k`` aggregations, however many sessions there are.
+
+    A session with fewer different rows than ``k`` has repeated centers.
+    """
+    centers: dict[int, list[np.ndarray]] = {}
+    for i in range(k):
+        u = (F.pmod(F.xxhash64("y", F.lit(seed), F.lit(i)), F.lit(1 << 40)) + 1) / float((1 << 40) + 1)
+
+        def run(frames: Iterator[pd.DataFrame], now: dict[int, list[np.ndarray]] = dict(centers)) -> Iterator[pd.DataFrame]:  # noqa: B006
+            for frame in frames:
+                for session, own in frame.groupby("session"):
+                    y, chance = np.vstack(own["y"].to_numpy()).astype(float), own["u"].to_numpy()
+                    d2 = np.ones(len(y)) if session not in now else np.min([((y - c) ** 2).sum(1) for c in now[session]], axis=0)
+                    with np.errstate(divide="ignore"):
+                        key = np.where(d2 > 0, np.log(chance) / d2, -np.inf)
+                    best = np.lexsort((chance, key))[-1]
+                    yield pd.DataFrame({"session": [session], "y": [y[best]], "key": [key[best]], "u": [chance[best]]})
+
+        picked = rows.select("session", "y", u.alias("u")).mapInPandas(run, "session int, y array<double>, key double, u double")
+        for r in picked.groupBy("session").agg(F.max_by("y", F.struct("key", "u")).alias("y")).collect():
+            centers[r["session"]] = [*centers.get(r["session"], []), np.array(r["y"], float)]
+    return {s: np.array(c) for s, c in centers.items()}
+
+
+def cluster_sums(rows: DataFrame, centers: dict[int, np.ndarray], second: bool = True) -> dict[int, dict[str, np.ndarray]]:
+    """n (K,), s (K, D) and q (K, D, D) of the rows (session, y) nearest to each center of their session."""
+
+    def pieces(frames: Iterator[pd.DataFrame]):
+        for frame in frames:
+            for session, own in frame.groupby("session"):
+                y = np.vstack(own["y"].to_numpy()).astype(float)
+                nearest = np.argmin([((y - c) ** 2).sum(1) for c in centers[session]], axis=0)
+                parts = [y[nearest == k] for k in range(len(centers[session]))]
+                found = {"n": np.array([float(len(v)) for v in parts]), "s": np.array([v.sum(0) for v in parts])}
+                yield session, found | ({"q": np.array([v.T @ v for v in parts])} if second else {})
+
+    return learning.total(rows.select("session", "y"), pieces)
+
+
+def partition(rows: DataFrame, k: int, seed: int = 0, steps: int = 20, centers: dict[int, np.ndarray] | None = None) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(n, s, q) of the K-means clusters of every session; one aggregation a step for all. Empty clusters have the sums of all rows."""
+    found = spread_centers(rows, k, seed) if centers is None else {s: np.asarray(c, float) for s, c in centers.items()}
+    for _ in range(steps):
+        sums = cluster_sums(rows, found, second=False)
+        moved = {s: np.where(g["n"][:, None] > 0, g["s"] / np.maximum(g["n"], 1)[:, None], found[s]) for s, g in sums.items()}
+        still = all(np.array_equal(c, found[s]) for s, c in moved.items())
+        found |= moved
+        if still:  # the steps left would not move a center either
+            break
+    out = {}
+    for session, got in cluster_sums(rows, found).items():
+        empty = got["n"] == 0
+        out[session] = tuple(np.where(empty.reshape(-1, *[1] * (v.ndim - 1)), v.sum(0), v) for v in (got["n"], got["s"], got["q"]))
+    return out
+
+
 def pca(rows: DataFrame, y: Column, size: int, components: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(mean, components (D, C), variances), each component's largest entry positive."""
     n, first, second = joint_sums(rows, y, F.lit(1.0), size, [])[()]

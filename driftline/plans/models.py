@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from driftline.functions import fits
 from driftline.functions.dists import Affine, Gaussian, LinearGaussian, LinearPoisson, Poisson, log_factorial
-from driftline.operators import align, chains, cluster, learning
+from driftline.operators import align, chains, cluster, learning, moments
 from driftline.operators.learning import Batch, Packed
 from driftline.operators.structure import lagged
 from driftline.sources import params as storage
@@ -321,18 +321,7 @@ class HMM(Model):
     def initialize(cls, sequences: DataFrame, num_states: int, observations: str = GAUSSIAN, seed: int = 0, steps: int = 20, centers: dict[int, np.ndarray] | None = None, diagonal: bool = False) -> HMM:
         """Uniform initial and sticky transition probabilities; emissions from K-means of each session's visible observations."""
         emissions = {}
-        seen = sequences.where("visible")
-        for session in _sessions(sequences):
-            own = seen.where(F.col("session") == session).persist(StorageLevel.MEMORY_AND_DISK)
-            start = cluster.farthest_first(own, F.col("y"), num_states, seed) if centers is None else centers[session]
-            found = cluster.kmeans(own, F.col("y"), start, steps)
-            d = found.shape[1]
-            from driftline.operators.moments import joint_sums
-
-            sums = joint_sums(own.withColumn("k", cluster.assign(F.col("y"), found)), F.col("y"), F.lit(1.0), d, ["k"])
-            pooled = tuple(sum(s[i] for s in sums.values()) for i in range(3))
-            n, s, q = (np.array([sums.get((k,), pooled)[i] for k in range(num_states)]) for i in range(3))
-            own.unpersist()
+        for session, (n, s, q) in _partition(sequences, sequences.where("visible").select("session", "y"), num_states, seed, steps, centers).items():
             if observations == POISSON:
                 emissions[session] = {"log_rates": fits.poisson(n, s)}
             else:
@@ -358,6 +347,20 @@ def _sessions(sequences: DataFrame) -> list[int]:
     return found
 
 
+def _partition(sequences: DataFrame, rows: DataFrame, k: int, seed: int, steps: int, centers: dict[int, np.ndarray] | None = None) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Sums of the K-means clusters of ``rows`` (session, y), by session; ValueError where one has no row that counts."""
+    sessions = _sessions(sequences)
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        found = cluster.partition(rows, k, seed, steps, centers)
+    finally:
+        rows.unpersist()
+    missing = [s for s in sessions if s not in found]
+    if missing:
+        raise ValueError(f"nothing visible to start from in sessions {missing}")
+    return {s: found[s] for s in sessions}
+
+
 def sticky(k: int, stay: float = 0.9) -> np.ndarray:
     return np.eye(k) if k == 1 else np.full((k, k), (1 - stay) / (k - 1)) + (stay - (1 - stay) / (k - 1)) * np.eye(k)
 
@@ -448,19 +451,11 @@ class ARHMM(HMM):
     @classmethod
     def initialize(cls, sequences: DataFrame, num_states: int, lags: int = 1, observations: str = GAUSSIAN, seed: int = 0, steps: int = 20, diagonal: bool = False) -> ARHMM:
         """States from K-means of (observation, history); regressions within each."""
-        from driftline.operators.moments import joint_sums
-
         emissions = {}
-        rows = lagged(sequences, lags).where("visible").withColumn("x", F.flatten("lags")).withColumn("v", F.concat("x", "y"))
-        for session in _sessions(sequences):
-            own = rows.where(F.col("session") == session).persist(StorageLevel.MEMORY_AND_DISK)
-            found = cluster.kmeans(own, F.col("v"), cluster.farthest_first(own, F.col("v"), num_states, seed), steps)
-            size = found.shape[1]
+        rows = lagged(sequences, lags).where("visible").select("session", F.concat(F.flatten("lags"), "y").alias("y"))
+        for session, (n, s, q) in _partition(sequences, rows, num_states, seed, steps).items():
+            size = s.shape[1]
             inputs = size * lags // (lags + 1)
-            sums = joint_sums(own.withColumn("k", cluster.assign(F.col("v"), found)), F.col("v"), F.lit(1.0), size, ["k"])
-            pooled = tuple(sum(s[i] for s in sums.values()) for i in range(3))
-            n, s, q = (np.array([sums.get((k,), pooled)[i] for k in range(num_states)]) for i in range(3))
-            own.unpersist()
             if observations == POISSON:
                 rate = fits.poisson(n, s[:, inputs:])
                 emissions[session] = {"coefficients": np.zeros((num_states, size - inputs, inputs)), "bias": rate}
@@ -683,12 +678,15 @@ class LDS(Model):
     def initialize(cls, sequences: DataFrame, latent_dim: int, observations: str = GAUSSIAN, diagonal: bool = False) -> LDS:
         """Principal components of each session's visible observations (log(1 + count) for counts); damped identity dynamics."""
         emissions = {}
-        seen = sequences.where("visible")
+        rows = sequences.where("visible")
+        sums = moments.vector_sums(rows.withColumn("y", F.transform("y", F.log1p)) if observations == POISSON else rows, "y", "session")
         for session in _sessions(sequences):
-            own = seen.where(F.col("session") == session)
-            size = len(own.select("y").first()[0])
-            y = F.transform("y", F.log1p) if observations == POISSON else F.col("y")
-            mean, directions, variances = cluster.pca(own, y, size, min(latent_dim, size))
+            if session not in sums:
+                raise ValueError(f"nothing visible to start from in session {session}")
+            n, first, second = sums[session]
+            mean, cov = fits.moments(np.asarray(n), first, second)
+            size = len(mean)
+            directions, variances = cluster.leading(cov, min(latent_dim, size))
             scale = np.sqrt(np.maximum(variances, 1e-6))
             w = np.zeros((size, latent_dim))
             w[:, : len(scale)] = directions * scale

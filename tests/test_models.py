@@ -238,3 +238,27 @@ def test_diagonal_covariances(spark, tmp_path, family):
         np.testing.assert_allclose(np.einsum("kii->ki", one["covariance"]), spread, rtol=1e-4)
         with pytest.raises(ValueError):
             HMM(model.params | {"emissions": [one | {"covariance": np.ones((2, 2, 2))}]}, diagonal=True)
+
+
+def test_starts_of_many_sessions_take_as_many_jobs_as_one(spark):
+    """Clusters of all sessions at once are those of each alone, and a session without a visible step is named."""
+    from driftline.operators import cluster
+
+    rng = np.random.default_rng(41)
+    rows = [(s, 0, t, [float(v) for v in rng.normal(5.0 * (t % 2) + s, 0.3, 1 + s % 2)], [], True) for s in range(6) for t in range(30)]
+    e = spark.createDataFrame(rows, "session int, seq long, t int, y array<double>, u array<double>, visible boolean").cache()
+    together = HMM.initialize(e, 2, seed=3)
+    for s in (0, 3, 5):
+        own = e.where(F.col("session") == s)
+        np.testing.assert_allclose(together.params["emissions"][s]["mean"], HMM.initialize(own, 2, seed=3).params["emissions"][s]["mean"])
+        start = cluster.farthest_first(own, F.col("y"), 2, 3)
+        np.testing.assert_allclose(cluster.spread_centers(e, 2, 3)[s], start)
+        n, first, _ = cluster.partition(e, 2, 3)[s]
+        np.testing.assert_allclose(first / n[:, None], cluster.kmeans(own, F.col("y"), start, 20))
+    same = e.withColumn("y", F.array(F.lit(1.0)))
+    n, first, _ = cluster.partition(same, 2)[0]
+    assert n.tolist() == [30, 30] and first.tolist() == [[30.0], [30.0]]
+    hidden = e.withColumn("visible", F.col("session") != 2)
+    for start in (lambda: HMM.initialize(hidden, 2), lambda: ARHMM.initialize(hidden, 2), lambda: LDS.initialize(hidden, 1)):
+        with pytest.raises(ValueError, match="2"):
+            start()
