@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from driftline.llm import exact_dedup, language_id, mixing, near_dedup, packing, quality_model, quality_rules, records, sharding, substring_dedup
+from driftline.llm import alignment, bpe, exact_dedup, language_id, mixing, near_dedup, packing, quality_model, quality_rules, records, sharding, substring_dedup, whitening
 from driftline.llm.common import documents
 
 #: Share of the expected tokens that each labelled domain is to have.
 TARGETS = {"high": 0.9, "low": 0.05, "toxic": 0.05}
 VOCABULARY = "byte_bpe_50k.json"
+WORD_VOCABULARY = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,7 +82,29 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_near_dedup, op3_substring_dedup, op4_sharding, op5_token_records, op6_quality_model, op7_quality_rules, op8_exact_dedup, op9_packing, op10_language_id)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors in their 32 leading principal components, each of unit variance."""
+    return whitening.fit(table(spark, sf_dir, "embeddings"), components=32).transform()
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document by prefix dynamic programming, and their text again."""
+    out = bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path(WORD_VOCABULARY))
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between the tokens of two vocabularies in every document."""
+    return alignment.align(documents(spark, sf_dir), public_tokenizers.path(VOCABULARY), public_tokenizers.path(PIECES))[0]
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_mixing, op2_near_dedup, op3_substring_dedup, op4_sharding, op5_token_records, op6_quality_model, op7_quality_rules, op8_exact_dedup, op9_packing, op10_language_id,
+        op11_whitening, op12_bpe, op13_alignment,
+    )
+}
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 _LINES = r"list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]'))"

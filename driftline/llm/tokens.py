@@ -21,6 +21,8 @@ import pyarrow.compute as pc
 CACHE = 700_000
 #: Bytes of text that are encoded at once.
 SLICE = 8 << 20
+#: Chunks of a text with strange characters that are looked up at once.
+CHUNKS = 500
 
 #: Ranges of characters that have been letters since early versions of Unicode, and signs that have been punctuation.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏЀ-ҁぁ-ゖァ-ヺ一-龥가-힣"
@@ -35,7 +37,7 @@ _WHITE = "[\t-\r \x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u2
 _RUN = re.compile(rf" {_WHITE}|{_WHITE} \Z")
 
 
-def _byte_letters() -> list[str]:
+def byte_letters() -> list[str]:
     """The letter that byte-level BPE writes for each byte: printable ones for themselves, others from 256 on."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
     others = iter(range(256, 512))
@@ -47,7 +49,7 @@ class _Ids(dict):
 
     def __init__(self, tokenizer):
         self.tokenizer, self.pool = tokenizer, array("I")
-        self.letters = dict(enumerate(_byte_letters()))
+        self.letters = dict(enumerate(byte_letters()))
         self.opens = np.zeros(tokenizer.get_vocab_size(), bool)  # ids of tokens that begin with a space
         for token, at in tokenizer.get_vocab().items():
             self.opens[at] = token.startswith("\u0120")
@@ -91,30 +93,32 @@ class _Ids(dict):
 
 
 class Encoder:
-    """Encodes texts to uint32 ids; one for each worker process and vocabulary file."""
+    """Encodes texts to uint32 ids; one for each worker process and vocabulary file. Without ``special``, strings of special
+    tokens in texts are ordinary text."""
 
-    _made: dict[str, Encoder] = {}
+    _made: dict[tuple[str, bool], Encoder] = {}
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         pre, model = self.tokenizer.pre_tokenizer, self.tokenizer.model
-        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.tokenizer.encode_special_tokens = not special
+        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
         known = self.tokenizer.get_vocab()
         self.parted = (
             isinstance(pre, pre_tokenizers.ByteLevel) and not pre.add_prefix_space and pre.use_regex and self.tokenizer.normalizer is None
             and isinstance(model, models.BPE) and not model.dropout and not model.continuing_subword_prefix and not model.end_of_word_suffix
-            and all(x in known for x in _byte_letters())
+            and all(x in known for x in byte_letters())
         )
         self.ids = _Ids(self.tokenizer)
 
     @classmethod
-    def of(cls, path: str) -> Encoder:
-        if path not in cls._made:
-            cls._made[path] = cls(path)
-        return cls._made[path]
+    def of(cls, path: str, special: bool = True) -> Encoder:
+        if (path, special) not in cls._made:
+            cls._made[path, special] = cls(path, special)
+        return cls._made[path, special]
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids if text else [], "<u4")
@@ -137,13 +141,18 @@ class Encoder:
         if _RUN.search(text):
             return self.whole(text)
         first, *rest = text.split(" ")
-        chunks = [first, *[f" {w}" for w in rest]]
-        new = [c for c in dict.fromkeys(chunks) if c not in self.ids]
-        for i in range(0, len(new), 1024):
-            part = new[i : i + 1024]
-            for chunk, made in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.ids.put(chunk, made.ids)
-        return self.ids.gather(np.fromiter(map(self.ids.__getitem__, chunks), np.int64, len(chunks)))[0]
+        chunks, out = [first, *[f" {w}" for w in rest]], []
+        for at in range(0, len(chunks), CHUNKS):
+            own = chunks[at : at + CHUNKS]
+            new = [c for c in dict.fromkeys(own) if c not in self.ids]
+            if len(self.ids) + len(new) > CACHE:
+                self.ids, new = _Ids(self.tokenizer), list(dict.fromkeys(own))
+            for i in range(0, len(new), 1024):
+                part = new[i : i + 1024]
+                for chunk, made in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                    self.ids.put(chunk, made.ids)
+            out.append(self.ids.gather(np.fromiter(map(self.ids.__getitem__, own), np.int64, len(own)))[0])
+        return np.concatenate(out)
 
     def encode(self, texts: pa.Array | pa.ChunkedArray) -> list[np.ndarray]:
         """uint32 ids of each whole text; none for null."""
