@@ -29,16 +29,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftline.llm.common import Scratch, partitions
-from driftline.llm.tokens import Encoder, byte_letters
+from driftline.llm.tokens import Encoder, Pool, byte_letters
 
 #: Bytes of text and documents of a chunk (about; one document at least).
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 CHUNK_ROWS = 20_000
 #: Stripes of B ids.
 STRIPES = 512
 #: Chunks whose pairs meet the scored pairs of a stripe in one group.
 MEETING = 256
-#: Units of text whose piece ids a worker keeps at most, and the longest that is kept.
+#: Units of text whose piece ids a worker keeps; it starts anew beyond them.
 UNITS = 700_000
 #: Bits of an A id in a pair's code.
 BITS = 20
@@ -88,7 +88,12 @@ class Pieces:
         spelt = [bytes([int(n[3:-1], 16)]) if self.model.is_byte(i) else b"" if self.model.is_control(i) or self.model.is_unknown(i) else n.replace("\u2581", " ").encode() for i, n in enumerate(names)]
         self.bytes = Bytes(spelt)
         self.feed = self.model.encode("\n")[-1]
-        self.known: dict[str, bytes] = {"\n": np.array([self.feed], "<u4").tobytes(), "": b""}
+        self._start()
+
+    def _start(self) -> None:
+        self.units = Pool()
+        self.units.put("", [])
+        self.units.put("\n", [self.feed])
 
     @classmethod
     def of(cls, path: str) -> Pieces:
@@ -96,41 +101,46 @@ class Pieces:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def _alone(self, unit: str) -> bytes:
-        return np.array(self.model.encode("\n" + unit, num_threads=1)[2:], "<u4").tobytes()
-
     def _learn(self, units: list[str]) -> None:
         """Encodes distinct units, many at once: a line feed is a byte piece of its own and keeps them, and the space that the model
-        puts first, apart. Units with the model's space sign are never spelt as they are; their texts have no tokens."""
-        self.known.update((u, b"") for u in units if "\u2581" in u)
+        puts first, apart. A unit that isn't spelt as it is, such as one with the model's own space sign, gets place -1."""
+        self.units.update((u, -1) for u in units if "\u2581" in u)
         units = [u for u in units if "\u2581" not in u]
         for i in range(0, len(units), 4096):
             part = units[i : i + 4096]
-            ids = np.array(self.model.encode("\n" + "\n".join(part), num_threads=1), np.int64)
-            ends = np.cumsum([2, *[len(u.encode()) + 1 for u in part]])  # bytes up to the line feed behind each
-            places = np.cumsum(self.bytes.sizes[ids])
-            if places[-1] + 1 != ends[-1]:  # something is spelt otherwise: its text's check finds it
-                self.known.update((u, self._alone(u)) for u in part)
+            whole = "\n" + "\n".join(part)
+            ids = np.array(self.model.encode(whole, num_threads=1), "<u4")
+            if self.bytes.spell(ids).tobytes() == b" " + whole.encode():
+                ends = np.cumsum([2, *[len(u.encode()) + 1 for u in part]])  # bytes up to the line feed behind each
+                borders = np.searchsorted(np.cumsum(self.bytes.sizes[ids]), ends)
+                self.units.put_all(part, ids, borders[:-1] + 1, borders[1:] - borders[:-1] - 1)
                 continue
-            borders, raw = np.searchsorted(places, ends), ids.astype("<u4").tobytes()
-            self.known.update((u, raw[4 * a + 4 : 4 * b]) for u, a, b in zip(part, borders[:-1].tolist(), borders[1:].tolist(), strict=True))
-
-    def encode(self, texts: pa.Array) -> list[bytes]:
-        """Little-endian uint32 ids of space + text."""
-        if len(self.known) > UNITS:
-            self.known = {k: self.known[k] for k in ("\n", "")}
+            for unit in part:
+                own = np.array(self.model.encode("\n" + unit, num_threads=1)[2:], "<u4")
+                if self.bytes.spell(own).tobytes() == unit.encode():
+                    self.units.put(unit, own.tolist())
+                else:
+                    self.units[unit] = -1
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids one after the other, number of ids of each text, whether they spell it) of space + text."""
+        if len(self.units) > UNITS:
+            self._start()
         marked = pc.replace_substring_regex(_spaced(texts), r"([^ \n]+|\n)", "\\1\x00")
         # A unit is its spaces and what follows them; spaces before a line feed, or at the end, are a unit too.
         marked = pc.replace_substring_regex(marked, r"( )\n", "\\1\x00\n")
         lists = pc.split_pattern(marked, "\x00")
         offsets = np.asarray(lists.offsets, np.int64)
-        coded = lists.values.slice(int(offsets[0]), int(offsets[-1] - offsets[0])).dictionary_encode()
+        offsets = offsets - offsets[0]
+        coded = lists.flatten().dictionary_encode()
         units = coded.dictionary.to_pylist()
-        if new := [u for u in units if u not in self.known]:
+        if new := [u for u in units if u not in self.units]:
             self._learn(new)
-        made = np.array([self.known[u] for u in units], object)[np.asarray(coded.indices)]
-        marks = (offsets - offsets[0]).tolist()
-        return [b"".join(made[a:b]) for a, b in zip(marks, marks[1:], strict=False)]
+        places = np.fromiter(map(self.units.__getitem__, units), np.int64, len(units))[np.asarray(coded.indices)]
+        bad = np.concatenate([[0], np.cumsum(places < 0)])
+        ids, ends = self.units.gather(np.where(places < 0, 0, places))
+        marks = np.concatenate([[0], ends])[offsets]
+        return ids, np.diff(marks), np.diff(bad[offsets]) == 0
 
 
 class Aligner:
@@ -146,71 +156,76 @@ class Aligner:
                 spelt[at] = bytes([letters[c] for c in token])
         self.a_bytes = Bytes(spelt)
         # Decimal ids with the sign that follows: "," within a side, "|" after the last of A, ";" after the last of B.
-        digits = [str(i).encode() for i in range(max(size, len(self.b.bytes.sizes)))]
-        self.written = {sign: Bytes([d + sign for d in digits]) for sign in (b",", b"|", b";")}
+        self.ids = max(size, len(self.b.bytes.sizes))
+        written = [str(i).encode() + sign for sign in (b",", b"|", b";") for i in range(self.ids)]
+        self.written, self.widths = np.array(written), np.array([len(x) for x in written])
 
     def chunk(self, number: int, keys: pa.Array, texts: pa.Array) -> pa.RecordBatch:
         """The row of CHUNKS for some documents."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        rows = len(texts)
-        spaced = _spaced(texts)
-        raw = np.frombuffer(b"".join(spaced.cast(pa.large_binary()).to_pylist()), np.uint8)
+        rows, spaced = len(texts), _spaced(texts)
         sizes = np.asarray(pc.binary_length(spaced), np.int64)
-        ends = np.cumsum(sizes)
         own = np.asarray(pc.binary_length(texts)) > 0
-        # A NUL parts units below, so texts that have one go through the model whole.
-        odd = np.asarray(pc.match_substring(texts, "\x00"))
         a_ids = self.a.encode(spaced)
-        b_raw = [b""] * rows
-        plain = np.flatnonzero(~odd)
-        for i, ids in zip(plain.tolist(), self.b.encode(texts.take(pa.array(plain))) if len(plain) else [], strict=True):
-            b_raw[i] = ids
-        for i in np.flatnonzero(odd).tolist():
-            b_raw[i] = np.array(self.b.model.encode(texts[i].as_py(), num_threads=1), "<u4").tobytes()
-        for i in range(rows):
-            if own[i]:
-                b_ids = np.frombuffer(b_raw[i], "<u4")
-                have = raw[ends[i] - sizes[i] : ends[i]]
-                own[i] = all(len(s) == len(have) and (s == have).all() for s in (self.a_bytes.spell(a_ids[i]), self.b.bytes.spell(b_ids)))
-        use = np.flatnonzero(own).tolist()
-        a = np.concatenate([a_ids[i] for i in use]).astype(np.int64) if use else np.zeros(0, np.int64)
-        b = np.frombuffer(b"".join([b_raw[i] for i in use]), "<u4").astype(np.int64)
-        n_a, n_b = np.zeros(rows, np.int64), np.zeros(rows, np.int64)
-        n_a[use], n_b[use] = [len(a_ids[i]) for i in use], [len(b_raw[i]) // 4 for i in use]
-        a_ends, b_ends = np.cumsum(self.a_bytes.sizes[a]), np.cumsum(self.b.bytes.sizes[b])
-        doc_ends = np.cumsum(np.where(own, sizes, 0))  # every document's end is an end of both
-        cuts = np.intersect1d(a_ends, b_ends, assume_unique=True)
-        every = np.union1d(a_ends, b_ends)
-        code = b[np.searchsorted(b_ends, every)] << BITS | a[np.searchsorted(a_ends, every)]
-        distinct, links, counts = _dealt(code)
-        n_groups, n_links = (np.diff(np.searchsorted(x, doc_ends, side="right"), prepend=0) for x in (cuts, every))
+        n_a = np.array([len(x) for x in a_ids], np.int64)
+        a = np.concatenate(a_ids).astype(np.int64) if rows else np.zeros(0, np.int64)
+        b, n_b, own = self._pieces(texts, own)
+        # Byte-level tokens spell any text, so their bytes are as many as the text's; pieces were compared unit by unit.
+        own &= _sums(self.a_bytes.sizes[a], n_a) == sizes
+        a, b = a[np.repeat(own, n_a)], b[np.repeat(own, n_b)].astype(np.int64)
+        n_a, n_b = np.where(own, n_a, 0), np.where(own, n_b, 0)
+        # Marks at the bytes where tokens end; every document's end is an end of both.
+        a_ends, b_ends, doc_ends = np.cumsum(self.a_bytes.sizes[a]), np.cumsum(self.b.bytes.sizes[b]), np.cumsum(np.where(own, sizes, 0))
+        ends = np.zeros((2, int(doc_ends[-1] if rows else 0) + 1), bool)
+        ends[0, a_ends] = ends[1, b_ends] = True
+        before = np.cumsum(ends, 1, dtype=np.int32)
+        every = np.flatnonzero(ends[0] | ends[1])
+        codes = b[before[1, every] - ends[1, every]] << BITS | a[before[0, every] - ends[0, every]]
+        distinct, links, counts = _dealt(codes)
+        n_links = np.diff(np.searchsorted(every, doc_ends, side="right"), prepend=0)
+        digests, n_groups = self._digests(a, b, a_ends, b_ends, doc_ends, ends, before, n_a + n_b)
         columns = [
-            pa.array([number]), _one(keys), *[_one(pa.array(v)) for v in (n_a, n_b, n_groups, n_links)], _one(pa.array(self._digests(a, b, a_ends, b_ends, cuts, n_a, n_b, own))),
+            pa.array([number]), _one(keys), *[_one(pa.array(v)) for v in (n_a, n_b, n_groups, n_links)], _one(pa.array(digests, pa.string())),
             pa.array([_packed(distinct)], pa.binary()), pa.array([_packed(counts)], pa.binary()), pa.array([_sorted_runs(links, n_links)], pa.binary()),
         ]
         return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in CHUNKS.split(", ")])
 
-    def _digests(self, a, b, a_ends, b_ends, cuts, n_a, n_b, own) -> list[str]:
-        """The digest of each document's groups as text."""
-        a_group, b_group = np.searchsorted(cuts, a_ends), np.searchsorted(cuts, b_ends)
+    def _pieces(self, texts: pa.Array, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(piece ids one after the other, how many a text has, whether they spell it) of texts that are ``own``."""
+        # A NUL parts units, so texts that have one go through the model whole.
+        odd = np.asarray(pc.match_substring(texts, "\x00"))
+        if not odd.any():
+            ids, n, spelt = self.b.encode(texts)
+            return ids, n, own & spelt
+        ids, n, spelt = self.b.encode(pc.if_else(pa.array(odd), pa.scalar("", pa.large_string()), texts))
+        parts, own = np.split(ids, np.cumsum(n)[:-1]), own & spelt
+        for i in np.flatnonzero(odd).tolist():
+            parts[i] = np.array(self.b.model.encode(texts[i].as_py(), num_threads=1), "<u4")
+            own[i] = self.b.bytes.spell(parts[i]).tobytes() == b" " + texts[i].as_py().encode()
+        return np.concatenate(parts), np.array([len(x) for x in parts], np.int64), own
+
+    def _digests(self, a, b, a_ends, b_ends, doc_ends, ends, before, n) -> tuple[list[str], np.ndarray]:
+        """The digest of each document's groups as text, and the number of its groups."""
+        both = ends[0] & ends[1]
+        cuts, group = np.flatnonzero(both), np.cumsum(both, dtype=np.int32)
+        a_group, b_group = group[a_ends] - both[a_ends], group[b_ends] - both[b_ends]
         # In writing, a token of A stands behind the tokens of B of earlier groups, one of B behind those of A up to its own group.
-        a_at = np.arange(len(a)) + np.searchsorted(b_group, a_group, side="left")
-        b_at = np.arange(len(b)) + np.searchsorted(a_group, b_group, side="right")
-        size = len(a) + len(b)
-        starts, sizes = np.zeros(size, np.int64), np.zeros(size, np.int64)
-        comma, bar, semicolon = (self.written[s] for s in (b",", b"|", b";"))
-        shift = {b",": 0, b"|": len(comma.flat), b";": len(comma.flat) + len(bar.flat)}
-        flat = np.concatenate([comma.flat, bar.flat, semicolon.flat])
-        for ids, ends, at, group, last in ((a, a_ends, a_at, a_group, b"|"), (b, b_ends, b_at, b_group, b";")):
-            sizes[at] = comma.sizes[ids]  # all signs are one byte
-            starts[at] = comma.starts[ids] + np.where(ends == cuts[group], shift[last], 0)
-        begins = np.cumsum(sizes) - sizes
-        places = np.repeat(starts - begins, sizes)
-        places += np.arange(len(places))
-        text = flat[places].tobytes()
-        marks = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(n_a + n_b)])].tolist()
+        begins = np.concatenate([[0], cuts[:-1]]).astype(np.int64)
+        codes = np.empty(len(a) + len(b), np.int64)
+        codes[np.arange(len(a)) + before[1, begins[a_group]]] = a + np.where(both[a_ends], self.ids, 0)
+        codes[np.arange(len(b)) + before[0, cuts[b_group]]] = b + np.where(both[b_ends], 2 * self.ids, 0)
+        text = self.written[codes].tobytes().replace(b"\0", b"")
+        marks = np.concatenate([[0], np.cumsum(_sums(self.widths[codes], n))]).tolist()
         # The last sign of a document is no part of the text.
-        return [hashlib.sha256(text[p : q - 1]).hexdigest() if on else "" for p, q, on in zip(marks, marks[1:], own.tolist(), strict=False)]
+        digests = [hashlib.sha256(text[p : q - 1]).hexdigest() if q > p else "" for p, q in zip(marks, marks[1:], strict=False)]
+        return digests, np.diff(group[doc_ends], prepend=0)
+
+
+def _sums(values: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sums of runs of ``n`` values."""
+    ends = np.cumsum(n)
+    sums = np.concatenate([[0], np.cumsum(values)])
+    return sums[ends] - sums[ends - n]
 
 
 def _one(values: pa.Array) -> pa.ListArray:

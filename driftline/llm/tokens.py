@@ -44,21 +44,43 @@ def byte_letters() -> list[str]:
     return [chr(b if b in plain else next(others)) for b in range(256)]
 
 
-class _Ids(dict):
-    """Where the ids of a string stand in a pool: first place * 2^24 + number. Learns pre-tokens when they are asked for."""
+class Pool(dict):
+    """Where the ids of a string stand in a pool: first place * 2^24 + number."""
+
+    def __init__(self) -> None:
+        self.pool = array("I")
+
+    def put(self, text: str, ids: list[int]) -> None:
+        self[text] = len(self.pool) << 24 | len(ids)
+        self.pool.extend(ids)
+
+    def put_all(self, texts: list[str], ids: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> None:
+        """Strings whose ids are runs of ``ids``."""
+        places = (starts + len(self.pool)) << 24 | counts
+        self.pool.frombytes(ids.astype("<u4", copy=False).tobytes())
+        self.update(zip(texts, places.tolist(), strict=True))
+
+    def gather(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids at places, one after the other, and where those of each place end."""
+        starts, counts = places >> 24, places & 0xFFFFFF
+        ends = np.cumsum(counts)
+        at = np.repeat(starts - (ends - counts), counts)
+        at += np.arange(len(at))
+        return np.frombuffer(self.pool, "<u4")[at], ends
+
+
+class _Ids(Pool):
+    """Ids of pre-tokens; learns them when they are asked for."""
 
     def __init__(self, tokenizer):
-        self.tokenizer, self.pool = tokenizer, array("I")
+        super().__init__()
+        self.tokenizer = tokenizer
         self.letters = dict(enumerate(byte_letters()))
         self.opens = np.zeros(tokenizer.get_vocab_size(), bool)  # ids of tokens that begin with a space
         for token, at in tokenizer.get_vocab().items():
             self.opens[at] = token.startswith("\u0120")
         self[""] = 0
 
-    def put(self, text: str, ids: list[int]) -> None:
-        self[text] = len(self.pool) << 24 | len(ids)
-        self.pool.extend(ids)
-
     def _learn(self, pieces: list[str]) -> None:
         """Encodes distinct pre-tokens. Those that begin with a space go through the library many at once: a pre-token each."""
         behind = [p for p in pieces if p[0] == " " and not p[1:2].isspace() and len(p) > 1]
@@ -69,9 +91,7 @@ class _Ids(dict):
             at = np.flatnonzero(self.opens[ids])
             if len(at) != len(part):
                 raise AssertionError("a pre-token without a token of its own")
-            places = (at + len(self.pool)) << 24 | np.diff(at, append=len(ids))
-            self.pool.frombytes(ids.tobytes())
-            self.update(zip(part, places.tolist(), strict=True))
+            self.put_all(part, ids, at, np.diff(at, append=len(ids)))
         tokenize = self.tokenizer.model.tokenize
         for piece in pieces:
             if piece not in self:
@@ -83,14 +103,6 @@ class _Ids(dict):
             self._learn(new)
         return np.fromiter(map(self.__getitem__, pieces), np.int64, len(pieces))
 
-    def gather(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids at places, one after the other, and where those of each place end."""
-        starts, counts = places >> 24, places & 0xFFFFFF
-        ends = np.cumsum(counts)
-        at = np.repeat(starts - (ends - counts), counts)
-        at += np.arange(len(at))
-        return np.frombuffer(self.pool, "<u4")[at], ends
-
 
 class Encoder:
     """Encodes texts to uint32 ids; one for each worker process and vocabulary file. Without ``special``, strings of special
