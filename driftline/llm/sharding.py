@@ -2,23 +2,24 @@
 
 A node that has to make k shards is split into floor(k/2) and ceil(k/2): along its widest metadata dimension (spread of
 the scaled coordinate), at the weighted quantile of bytes that goes with k. The quantile is found by histograms over the
-cluster: each round narrows the interval of every open node by a factor of ``BUCKETS``, and the driver sees at most
-``BUCKETS`` numbers a node and round.
+cluster: each round narrows the interval of every open node by a factor of ``BUCKETS``, the buckets are added up in the cluster,
+and the driver sees one row a node and round. What rows have to know of their node comes by a join with the table of nodes,
+one row a node, so it has at most as many rows as there are shards.
 
-Rows are ordered within a dimension by (coordinate, hash of the text), so equal texts with equal metadata stay together.
-Where a quantile falls into such a group, a light group goes to one side whole; a heavy one (a group of copies may hold a
-third of all rows) is split by a hash of the identifier, as a hot key has to be.
+Equal texts have one key: the least coordinate of all rows with the text in each dimension, then a hash of the text. So they
+stay together whatever their metadata. Where a quantile falls into such a group, a light group goes to one side whole; a
+heavy one (a group of copies may hold a third of all rows) is split by a hash of the identifier, as a hot key has to be.
 
-Only DataFrame operations are used. Defined results: null texts count one byte and hash as empty; null metadata are the
-least coordinate; repeated rows are separate rows; an empty table gives an empty table; the input's other columns are
-not touched.
+Only DataFrame operations are used. Defined results: null texts count one byte and are equal to empty ones; null metadata are the
+least coordinate; repeated rows, and rows with a null identifier, are separate rows; an empty table gives an empty table; the
+input's other columns are not touched.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.llm.common import Scratch, with_slots
@@ -28,7 +29,9 @@ BUCKETS = 4096
 #: Bits of a coordinate, of the text hash that orders equal coordinates, and of the identifier hash.
 COORDINATE_BITS, TEXT_BITS, ID_BITS = 24, 24, 24
 #: A group under this share of the bytes of a shard goes to one side whole.
-LIGHT = 0.002
+LIGHT = 0.02
+#: Texts with at least this share of all rows get their coordinates by a broadcast; there are at most 1 / COMMON of them.
+COMMON = 0.001
 
 
 @dataclass
@@ -50,51 +53,42 @@ def _coordinate(value: Column, kind: str) -> Column:
     return F.coalesce(F.least(F.floor(logs / 40 * top), F.lit(top)), F.lit(0)).cast("long")
 
 
-def _pick(nodes: dict[int, _Node], f) -> Column:
-    """A column that depends on the node of a row (its first shard)."""
-    out = F.lit(None)
-    for node in nodes.values():
-        out = F.when(F.col("shard") == node.first, f(node)).otherwise(out)
-    return out
+def _nodes(table: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
+    """The rows of ``table`` that are in one of the given nodes, with what is said of it: one row a node, at most as many as shards."""
+    return table.join(F.broadcast(table.sparkSession.createDataFrame(rows, f"shard int, {schema}")), "shard")
 
 
-def _quantiles(table: DataFrame, nodes: dict[int, _Node], key: Column, bits: int, want: dict[int, float]) -> dict[int, tuple[int, int, int]]:
-    """For each node the key at which the bytes so far reach ``want``: (key, bytes below it, bytes at it)."""
-    low = dict.fromkeys(nodes, 0)
-    below = dict.fromkeys(nodes, 0)
-    at = dict.fromkeys(nodes, 0)
+def _quantiles(table: DataFrame, bits: int, want: dict[int, float]) -> dict[int, tuple[int, int, int]]:
+    """For each node the ``key`` at which the bytes so far reach ``want``: (key, bytes below it, bytes at it)."""
+    low, below, at = dict.fromkeys(want, 0), dict.fromkeys(want, 0), dict.fromkeys(want, 0)
+    so_far = Window.partitionBy("shard").orderBy("b")
     while bits > 0:
         step = min(bits, BUCKETS.bit_length() - 1)
         bits -= step
-        rows = table.select("shard", "size", key.alias("key")).withColumn("low", _pick(nodes, lambda n: F.lit(low[n.first])))
-        bucket = F.shiftright(F.col("key") - F.col("low"), bits)
-        found = rows.withColumn("b", bucket).where(f"low is not null and b between 0 and {(1 << step) - 1}").groupBy("shard", "b").agg(F.sum("size").alias("s")).collect()
-        for first in nodes:
-            for b, s in sorted((r["b"], r["s"]) for r in found if r["shard"] == first):
-                at[first] = s
-                last = low[first] + (b << bits)
-                if below[first] + s >= want[first]:
-                    break
-                below[first] += s
-            else:
-                below[first] -= at[first]
-            low[first] = last
-    return {f: (low[f], below[f], at[f]) for f in nodes}
+        rows = _nodes(table, [(f, low[f], float(w - below[f])) for f, w in want.items()], "low long, rest double")
+        rows = rows.withColumn("b", F.shiftright(F.col("key") - F.col("low"), bits)).where(f"b between 0 and {(1 << step) - 1}")
+        sums = rows.groupBy("shard", "b").agg(F.sum("size").alias("s"), F.first("rest").alias("rest"))
+        sums = sums.withColumn("c", F.sum("s").over(so_far))  # no more than BUCKETS rows a node
+        place = F.struct("b", (F.col("c") - F.col("s")).alias("before"), "s")
+        reached = F.coalesce(F.min(F.when(F.col("c") >= F.col("rest"), place)), F.max(place))
+        for r in sums.groupBy("shard").agg(reached.alias("p")).collect():
+            f, p = r["shard"], r["p"]
+            low[f], below[f], at[f] = low[f] + (p["b"] << bits), below[f] + p["before"], p["s"]
+    return {f: (low[f], below[f], at[f]) for f in want}
 
 
 def _split(table: DataFrame, nodes: dict[int, _Node], dims: int) -> DataFrame:
     """Splits every open node once; rows to the right get the first shard of the right child."""
-    stats = table.where(F.col("shard").isin(list(nodes))).groupBy("shard").agg(F.sum("size").alias("s"), *[(F.max(f"d{i}") - F.min(f"d{i}")).alias(f"w{i}") for i in range(dims)]).collect()
-    for r in stats:
+    spread = [(F.max(f"d{i}") - F.min(f"d{i}")).alias(f"w{i}") for i in range(dims)]
+    for r in _nodes(table, [(f, n.k) for f, n in nodes.items()], "k int").groupBy("shard").agg(F.sum("size").alias("s"), *spread).collect():
         node = nodes[r["shard"]]
         node.bytes, node.dim = r["s"], max(range(dims), key=lambda i: (r[f"w{i}"], -i))
     live = {f: n for f, n in nodes.items() if n.bytes}
+    key = F.shiftleft(F.array(*[f"d{i}" for i in range(dims)])[F.col("dim")], TEXT_BITS).bitwiseOR(F.col("text_hash"))
+    keyed = _nodes(table, [(f, n.dim) for f, n in live.items()], "dim int").select("shard", "size", "id_hash", key.alias("key"))
     want = {f: n.bytes * (n.k // 2) / n.k for f, n in live.items()}
-    coordinate = _pick(live, lambda n: F.col(f"d{n.dim}"))
-    key = F.shiftleft(coordinate, TEXT_BITS).bitwiseOR(F.col("text_hash"))
-    cuts = _quantiles(table, live, key, COORDINATE_BITS + TEXT_BITS, want)
-    heavy = {}
-    limit = {}  # keys below it go left
+    cuts = _quantiles(keyed, COORDINATE_BITS + TEXT_BITS, want)
+    heavy, limit = {}, {}  # keys below the limit go left
     for f, (k, below, at) in cuts.items():
         if at <= LIGHT * live[f].bytes / live[f].k:
             limit[f] = k + 1 if below + at - want[f] <= want[f] - below else k
@@ -102,14 +96,29 @@ def _split(table: DataFrame, nodes: dict[int, _Node], dims: int) -> DataFrame:
             limit[f], heavy[f] = k, want[f] - below
     inner = {}
     if heavy:
-        group = table.where(key == _pick({f: live[f] for f in heavy}, lambda n: F.lit(cuts[n.first][0])))
-        inner = _quantiles(group, {f: live[f] for f in heavy}, F.col("id_hash"), ID_BITS, heavy)
-    left = key < _pick(live, lambda n: F.lit(limit[n.first]))
-    if inner:
-        mine = {f: live[f] for f in inner}
-        left = left | F.coalesce((key == _pick(mine, lambda n: F.lit(cuts[n.first][0]))) & (F.col("id_hash") <= _pick(mine, lambda n: F.lit(inner[n.first][0]))), F.lit(False))
-    right = _pick(live, lambda n: F.lit(n.first + n.k // 2))
-    return table.withColumn("shard", F.when(F.col("shard").isin(list(live)) & ~left, right).otherwise(F.col("shard")))
+        group = _nodes(keyed, [(f, cuts[f][0]) for f in heavy], "cut long").where("key = cut").select("shard", "size", F.col("id_hash").alias("key"))
+        inner = _quantiles(group, ID_BITS, heavy)
+    rows = [(f, n.dim, limit[f], cuts[f][0] if f in inner else None, inner[f][0] if f in inner else None, f + n.k // 2) for f, n in live.items()]
+    told = F.broadcast(table.sparkSession.createDataFrame(rows, "shard int, dim int, _limit long, _cut long, _inner long, _right int"))
+    left = (key < F.col("_limit")) | F.coalesce((key == F.col("_cut")) & (F.col("id_hash") <= F.col("_inner")), F.lit(False))
+    moved = F.when(F.col("_right").isNotNull() & ~left, F.col("_right")).otherwise(F.col("shard"))
+    return table.join(told, "shard", "left").withColumn("shard", moved).select(*table.columns)
+
+
+def _together(table: DataFrame, dims: int) -> DataFrame:
+    """Gives all rows of one text (``_text``) the least coordinate of them in each dimension."""
+    names = [f"d{i}" for i in range(dims)]
+    least = [F.min(n).alias(f"_{n}") for n in names]
+    unequal = " or ".join(f"min({n}) < max({n})" for n in names)
+    groups = table.groupBy("_text").agg(F.count(F.lit(1)).alias("_n"), F.expr(unequal).alias("_unequal"), *least).where("_unequal").drop("_unequal")
+    # Texts of very many rows are at most 1 / COMMON; joined by a broadcast they don't meet in one task.
+    total = table.count()
+    common = F.broadcast(groups.where(F.col("_n") >= max(2.0, COMMON * total)).drop("_n"))
+    rest = groups.where(F.col("_n") < max(2.0, COMMON * total)).drop("_n")
+    is_common = table.join(common.withColumn("_common", F.lit(True)), "_text", "left")
+    others = is_common.where("_common is null").drop("_common", *[f"_{n}" for n in names]).join(rest, "_text", "left")
+    both = is_common.where("_common").drop("_common").unionByName(others)
+    return both.withColumns({n: F.coalesce(f"_{n}", n) for n in names}).drop("_text", *[f"_{n}" for n in names])
 
 
 def shard(documents: DataFrame, target_bytes: int | None = None, n_shards: int | None = None, dimensions: tuple[tuple[str, str], ...] = (("size", "number"), ("n_chars", "number"), ("lang", "string")), key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -122,13 +131,16 @@ def shard(documents: DataFrame, target_bytes: int | None = None, n_shards: int |
     body = F.coalesce(F.col(text), F.lit(""))
     size = (F.octet_length(body) + 1).cast("long")
     dims = [_coordinate(size if c == "size" else F.col(c), kind).alias(f"d{i}") for i, (c, kind) in enumerate(dimensions)]
-    table = scratch.write(
-        "rows",
+    read = scratch.write(
+        "read",
         documents.select(
             F.col(key).cast("long").alias("doc_id"), size.alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"),
             F.shiftrightunsigned(F.xxhash64(body), 64 - TEXT_BITS).alias("text_hash"), F.shiftrightunsigned(F.xxhash64(F.col(key).cast("long"), F.lit("shard")), 64 - ID_BITS).alias("id_hash"), *dims,
+            F.struct(F.xxhash64(body).alias("a"), F.xxhash64(F.lit("text"), body).alias("b")).alias("_text"),
         ),
     )
+    table = scratch.write("rows", _together(read, len(dimensions)))
+    scratch.drop("read")
     total, rows = table.agg(F.sum("size"), F.count(F.lit(1))).first()
     n = n_shards or max(1, -(-(total or 0) // target_bytes))
     nodes = {0: _Node(0, n)}
