@@ -8,8 +8,8 @@ offset (u64), frame length (u64) and number of ids (u64); so any record is read
 Files go to a folder that executors share, under names of their own for each attempt; the manifest, a Parquet table that
 Spark commits, names the files that count. So a lost executor leaves files nobody reads, never a torn data set.
 
-Defined results: null and empty texts are records of the end id alone; equal keys lie side by side; an empty table makes
-an empty manifest; other columns are not read.
+Defined results: null and empty texts are records of the end id alone; equal keys lie side by side; a null key is written as
+-2^63, so it comes first and is read back as null; an empty table makes an empty manifest; other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftline.llm.common import Scratch, partitions, small_batches
@@ -35,6 +35,10 @@ _MASK = 0xA282EAD8
 
 #: Documents that are encoded at once.
 ROWS = 2000
+#: Stands for a null key.
+NO_KEY = -(1 << 63)
+#: Files whose counts are summed at once.
+FILES = 1024
 
 MANIFEST = "part long, records_file string, index_file string, n_records long, n_tokens long, first_key long, last_key long, bytes long"
 
@@ -139,7 +143,7 @@ def write(documents: DataFrame, folder: str, tokenizer: str, end_id: int, key: s
             row = (part, f"{name}.rec", f"{name}.idx", len(index), tokens, *keys, at)
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names)
 
-    rows = documents.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("body"))
+    rows = documents.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("body"))
     ordered = rows.repartitionByRange(parts or partitions(spark, documents), "id").sortWithinPartitions("id")
     made = ordered.mapInArrow(run, MANIFEST)
     with small_batches(spark):
@@ -149,14 +153,16 @@ def write(documents: DataFrame, folder: str, tokenizer: str, end_id: int, key: s
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32, ids) of every record, checked; ``start`` counts the ids of all records before it."""
-    manifest = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
-    # One row for each file, so the numbering of files is small; ids before a file are the counts of the files before it.
-    files = manifest.orderBy("part").collect()
-    starts = np.cumsum([0, *[f["n_tokens"] for f in files]]).tolist()
-    plan = [(f["records_file"], f["index_file"], s) for f, s in zip(files, starts, strict=False)]
+    manifest = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").withColumn("group", F.floor(F.col("part") / FILES))
+    # Ids before a file: those of the groups of files before its own (the driver sees one row for FILES files), and of the files before it in the group.
+    groups = manifest.groupBy("group").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("files")).orderBy("group").collect()
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary"
-    if not plan:
+    if not groups:
         return spark.createDataFrame([], schema)
+    begins = np.cumsum([0, *[g["n"] for g in groups]]).tolist()
+    bases = F.broadcast(spark.createDataFrame([(g["group"], b) for g, b in zip(groups, begins, strict=False)], "group long, base long"))
+    before = F.sum("n_tokens").over(Window.partitionBy("group").orderBy("part")) - F.col("n_tokens")
+    todo = manifest.withColumn("before", before).join(bases, "group").select("records_file", "index_file", (F.col("base") + F.col("before")).alias("start"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, base = _store(folder)
@@ -165,15 +171,15 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                 out, held = [], 0
                 for doc, ids in read_records(store, f"{base}/{records}", f"{base}/{index}"):
                     raw = ids.tobytes()
-                    out.append((doc, start, len(ids), zlib.crc32(raw), raw))
+                    out.append((None if doc == NO_KEY else doc, start, len(ids), zlib.crc32(raw), raw))
                     start, held = start + len(ids), held + len(raw)
                     if held > 8 << 20:
-                        yield pd.DataFrame(out, columns=["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
+                        yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
                         out, held = [], 0
-                yield pd.DataFrame(out, columns=["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
+                yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
 
-    todo = spark.createDataFrame(plan, "records_file string, index_file string, start long").repartition(len(plan), "records_file")
-    return todo.mapInPandas(run, schema)
+    names = ["doc_id", "start", "n_tokens", "ids_crc32", "ids"]
+    return todo.repartition(sum(g["files"] for g in groups), "records_file").mapInPandas(run, schema)
 
 
 def round_trip(documents: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
