@@ -13,7 +13,8 @@ best for each class, then all that still join two components.
 
 Defined results: null, empty and word-free texts have an empty set and are linked with nothing; texts with fewer words
 than a shingle have one shingle, the whole sequence; repeated texts share a component; a null identifier is the least one
-(-2^63 stands for it); an empty table gives an empty table; only the key and the text of the input are read.
+(-2^63 stands for it); rows that share an identifier but not the shingles are documents of their own, each linked by its own text,
+and a component's identifier is the least of all its rows (such rows go by a hash of identifier and text inside); an empty table gives an empty table; only the key and the text of the input are read.
 """
 
 from __future__ import annotations
@@ -104,6 +105,11 @@ def linked(both: int, a: int, b: int, percent: int) -> bool:
     return 100 * both >= percent * (a + b - both)
 
 
+def _own() -> Column:
+    """An identifier of a row by its identifier and text."""
+    return F.xxhash64("id", "body")
+
+
 def _known(name: str) -> Column:
     return F.when(F.col(name) != NO_KEY, F.col(name))
 
@@ -126,12 +132,23 @@ class ChosenPathJoin:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 out = []
-                for doc, items in zip(batch["id"], shingle_sets(batch["body"].tolist(), n), strict=True):
+                for doc, own, items in zip(batch["id"], batch["own"], shingle_sets(batch["body"].tolist(), n), strict=True):
                     digest = hashlib.blake2b(items.tobytes(), digest_size=16).digest()
-                    out.append((doc, len(items), digest, sketch(items, n_tokens).tobytes()))
-                yield pd.DataFrame(out, columns=["id", "n", "digest", "sketch"])
-
-        return self.base.mapInPandas(run, "id long, n long, digest binary, sketch binary")
+                    out.append((doc, own, len(items), digest, sketch(items, n_tokens).tobytes()))
+                yield pd.DataFrame(out, columns=["id", "own", "n", "digest", "sketch"])
+
+        return self.base.select("id", _own().alias("own"), "body").mapInPandas(run, "id long, own long, n long, digest binary, sketch binary")
+
+    def _apart(self, docs: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+        """(documents, texts, whether an identifier stands for several sets): where one does, its rows get identifiers of their own;
+        ``doc`` keeps the given one."""
+        several = docs.groupBy("id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo < hi").select("id")
+        several = self.scratch.write("several", several.withColumn("_several", F.lit(True)))
+        if several.isEmpty():
+            return docs.withColumn("doc", F.col("id")), self.base, False
+        docs = docs.join(several, "id", "left").withColumn("doc", F.col("id")).withColumn("id", F.when(F.col("_several"), F.col("own")).otherwise(F.col("id"))).drop("_several")
+        base = self.base.join(several, "id", "left").select(F.when(F.col("_several"), _own()).otherwise(F.col("id")).alias("id"), "body")
+        return self.scratch.write("apart", docs), base, True
 
     def _nodes(self, classes: DataFrame, depth: int) -> DataFrame:
         """(node, rep): a row for each class and tree."""
@@ -253,8 +270,8 @@ class ChosenPathJoin:
     def components(self) -> DataFrame:
         s = self.scratch
         # Confirmation reads texts by identifier several times: in buckets they move once, and joins bring only identifiers.
-        self.texts = s.buckets("texts", self.base, "id")
-        docs = s.write("sketches", self._sketched())
+        docs, base, apart = self._apart(s.write("sketches", self._sketched()))
+        self.texts = s.buckets("texts", base, "id")
         groups = docs.groupBy("digest").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.first("sketch").alias("sketch"))
         classes = s.write("classes", groups.where("n > 0").select("rep", "n", "digest", "sketch").repartition(partitions(self.spark)))
         star = self._confirmed(self._star(classes), "star")
@@ -285,8 +302,10 @@ class ChosenPathJoin:
             comps = self._components(links.union(more), "all-comp")
         s.drop("texts")
         wide = classes.select("digest", "rep").join(comps, "rep", "left").select("digest", F.coalesce("comp", "rep").alias("component_id"))
-        out = docs.select("id", "n", "digest").join(wide, "digest", "left")
-        out = out.select("id", "n", F.coalesce("component_id", "id").alias("to"))
+        out = docs.select("id", "doc", "n", "digest").join(wide, "digest", "left")
+        out = out.select("id", "doc", "n", F.coalesce("component_id", "id").alias("to"))
+        if apart:  # the least given identifier of each component
+            out = out.join(s.write("least", out.groupBy("to").agg(F.min("doc").alias("least"))), "to").select(F.col("doc").alias("id"), "n", F.col("least").alias("to"))
         return out.select(_known("id").alias("doc_id"), F.col("n").alias("n_shingles"), _known("to").alias("component_id"), (F.col("id") == F.col("to")).alias("kept"))
 
 
