@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 import numpy as np
 
+from driftline.functions.ascent import coordinate_ascent
 from driftline.functions.dists import Affine
 
 
@@ -142,26 +143,27 @@ def align_markov_counts(initial: np.ndarray, transitions: np.ndarray, max_sweeps
     ``initial`` (S, K), ``transitions`` (S, K, K). Sweeps re-match one session at a time against the others' pool.
     """
     s, k = initial.shape
-    anchor = int(np.argmax(transitions.sum((1, 2)) + initial.sum(1)))
-    perms = np.tile(np.arange(k), (s, 1))
+    total = transitions.sum((1, 2)) + initial.sum(1)
+    anchor = int(np.argmax(total))
 
-    def score(p: np.ndarray) -> float:
-        i = sum(initial[x][p[x]] for x in range(s)) + 1e-8
-        t = sum(transitions[x][np.ix_(p[x], p[x])] for x in range(s)) + 1e-8
+    def permuted(x: int, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return initial[x][p], transitions[x][np.ix_(p, p)]
+
+    def score(state: tuple) -> float:
+        i, t = state[1] + 1e-8, state[2] + 1e-8
         return float((i * np.log(i / i.sum())).sum() + (t * np.log(t / t.sum(-1, keepdims=True))).sum())
 
-    for _ in range(max_sweeps):
-        before = perms.copy()
-        for x in range(s):
-            if x == anchor:
-                continue
-
-            def objective(p: np.ndarray, x: int = x) -> float:
-                return score(np.concatenate([perms[:x], p[None], perms[x + 1 :]]))
-
-            new = best_permutation(objective, k) if k <= 6 else random_permutation(objective, perms[x], seed, restarts)
-            if objective(new) > objective(perms[x]) + 1e-12:
-                perms[x] = new
-        if (perms == before).all():
-            break
-    return perms
+    def put(state: tuple, x: int, p: np.ndarray) -> tuple:
+        """The pools with one session's counts moved; the other sessions aren't added up again."""
+        perms, i, t = state
+        old, new = permuted(x, perms[x]), permuted(x, p)
+        moved = perms.copy()
+        moved[x] = p
+        return moved, i - old[0] + new[0], t - old[1] + new[1]
+
+    def propose(rng: np.random.Generator, objective: Callable[[np.ndarray], float], now: np.ndarray) -> np.ndarray:
+        return best_permutation(objective, k) if k <= 6 else random_permutation(objective, now, int(rng.integers(1 << 31)), restarts)
+
+    state = (np.tile(np.arange(k), (s, 1)), initial.sum(0), transitions.sum(0))
+    active = [x != anchor and total[x] > 0 for x in range(s)]
+    return coordinate_ascent(state, s, score, lambda state, x: state[0][x], put, propose, active, max_sweeps, seed)[0][0]

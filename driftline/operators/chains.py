@@ -29,13 +29,21 @@ def symmetric(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class DiscretePosterior:
-    """gamma (B, T, K), xi (B, T-1, K, K), filtered (B, T, K), log_normalizer (B,); zero beyond each length."""
+    """gamma (B, T, K), xi (B, T-1, K, K), filtered (B, T, K), log_normalizer (B,); zero beyond each length.
+
+    A block of time (:func:`discrete_block`) has one pair more, with the step behind it, where there is one.
+    """
 
     gamma: np.ndarray
     xi: np.ndarray
     filtered: np.ndarray
     log_normalizer: np.ndarray
     lengths: np.ndarray
+    more: np.ndarray | None = None
+
+    def pairs(self) -> np.ndarray:
+        """(B,) number of pairs of steps."""
+        return np.maximum(self.lengths - 1, 0) if self.more is None else self.lengths - 1 + self.more
 
     def entropy(self) -> np.ndarray:
         """(B,) entropy of the whole path."""
@@ -51,30 +59,62 @@ def _xlogx(x: np.ndarray) -> np.ndarray:
 
 
 def discrete_chain(initial: np.ndarray, transition: np.ndarray, local: np.ndarray, lengths: np.ndarray) -> DiscretePosterior:
-    """Forward-backward over ``local`` log factors (B, T, K); ``transition`` is (K, K) or (B, T-1, K, K)."""
+    """Forward-backward over ``local`` log factors (B, T, K); ``transition`` is (K, K) or (B, T-1, K, K), ``initial`` (K,) or (B, K)."""
+    return _forward_backward(initial, transition, local, lengths)[0]
+
+
+def discrete_block(before: np.ndarray, transition: np.ndarray, local: np.ndarray, lengths: np.ndarray, ahead: np.ndarray) -> DiscretePosterior:
+    """Forward-backward over blocks of time of longer sequences: ``before`` (B, K) are state probabilities of each first step given all
+    steps before it, ``ahead`` (B, K) log weights of the states of the step behind, or NaN at the end of a sequence.
+
+    The normalizer is that of the block's own steps given all before them, so those of a sequence's blocks add up.
+    """
+    b, t, k = local.shape
+    lengths, more = np.asarray(lengths), ~np.isnan(ahead).all(1)
+    longer = np.concatenate([local, np.zeros((b, 1, k))], 1)
+    longer[np.flatnonzero(more), lengths[more]] = ahead[more]
+    post, score = _forward_backward(before, transition, longer, lengths + more)
+    own = valid(lengths, t)
+    return DiscretePosterior(np.where(own[..., None], post.gamma[:, :t], 0.0), post.xi, post.filtered[:, :t], (score[:, :t] * own).sum(1), lengths, more)
+
+
+def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
+    """log sum exp over an axis; -inf where all are."""
+    top = x.max(axis, keepdims=True)
+    top = np.where(np.isfinite(top), top, 0.0)
+    with np.errstate(divide="ignore"):
+        return np.log(np.exp(x - top).sum(axis)) + top.squeeze(axis)
+
+
+def _forward_backward(initial: np.ndarray, transition: np.ndarray, local: np.ndarray, lengths: np.ndarray) -> tuple[DiscretePosterior, np.ndarray]:
+    """The posterior, and the log probability (B, T) of each step given those before it."""
     b, t, k = local.shape
     lengths = np.asarray(lengths)
     on = valid(lengths, t)
-    step = transition if transition.ndim == 4 else np.broadcast_to(transition, (b, max(t - 1, 0), k, k))
-    top = local.max(-1) if t else np.zeros((b, 0))
-    scaled = np.exp(local - top[..., None])
-    filtered, score = np.zeros((b, t, k)), np.zeros((b, t))
+    with np.errstate(divide="ignore"):
+        move = np.log(transition)
+        prior = np.broadcast_to(np.log(initial), (b, k))
+    move = move if move.ndim == 4 else np.broadcast_to(move, (b, max(t - 1, 0), k, k))
+    # Everything is kept as logarithms: the only states that are possible may be less likely than any float by far.
+    filtered, score = np.full((b, t, k), -np.inf), np.zeros((b, t))
     for i in range(t):
-        prior = np.broadcast_to(initial, (b, k)) if i == 0 else np.einsum("bi,bij->bj", filtered[:, i - 1], step[:, i - 1])
-        joint = prior * scaled[:, i]
-        total = np.maximum(joint.sum(-1), TINY)
-        filtered[:, i] = np.where(on[:, i, None], joint / total[:, None], 0.0)
-        score[:, i] = np.where(on[:, i], np.log(total) + top[:, i], 0.0)
-    back, gamma, xi = np.ones((b, t, k)), np.zeros((b, t, k)), np.zeros((b, max(t - 1, 0), k, k))
+        if i:
+            prior = _log_sum(filtered[:, i - 1, :, None] + move[:, i - 1], 1)
+        joint = prior + local[:, i]
+        total = _log_sum(joint, 1)
+        total = np.where(np.isfinite(total), total, np.log(TINY))
+        filtered[:, i] = np.where(on[:, i, None], joint - total[:, None], -np.inf)
+        score[:, i] = np.where(on[:, i], total, 0.0)
+    back, xi = np.zeros((b, t, k)), np.zeros((b, max(t - 1, 0), k, k))
     for i in range(t - 2, -1, -1):
         both = on[:, i + 1]
-        ahead = scaled[:, i + 1] * back[:, i + 1] * np.where(both, np.exp(np.minimum(top[:, i + 1] - score[:, i + 1], 700)), 0.0)[:, None]
-        xi[:, i] = np.where(both[:, None, None], filtered[:, i, :, None] * step[:, i] * ahead[:, None, :], 0.0)
-        back[:, i] = np.where(both[:, None], np.einsum("bij,bj->bi", step[:, i], ahead), 1.0)
+        ahead = move[:, i] + (local[:, i + 1] + back[:, i + 1] - score[:, i + 1, None])[:, None, :]
+        xi[:, i] = np.where(both[:, None, None], np.exp(filtered[:, i, :, None] + ahead), 0.0)
+        back[:, i] = np.where(both[:, None], _log_sum(ahead, 2), 0.0)
+    gamma, filtered = np.exp(filtered + back), np.exp(filtered)
     if t:
-        gamma = filtered * back
         gamma = np.where(on[..., None], gamma / np.maximum(gamma.sum(-1, keepdims=True), TINY), 0.0)
-    return DiscretePosterior(gamma, xi, filtered, score.sum(1), lengths)
+    return DiscretePosterior(gamma, xi, filtered, score.sum(1), lengths), score
 
 
 @dataclass
@@ -166,15 +206,20 @@ def gaussian_chain(f: GaussianFactors) -> GaussianPosterior:
     return GaussianPosterior(mean, cov, np.where(on[:, 1:, None, None], cross, 0.0), total, f.lengths)
 
 
-def linear_factors(mean0: np.ndarray, cov0: np.ndarray, a: np.ndarray, bias: np.ndarray, q: np.ndarray, steps: int, lengths: np.ndarray) -> GaussianFactors:
-    """Prior chain x_0 ~ N(mean0, cov0), x_t ~ N(a x_t-1 + bias_t, q); ``a`` (B, T-1, D, D), ``bias`` (B, T-1, D), ``q`` likewise."""
+def linear_factors(mean0: np.ndarray, cov0: np.ndarray, a: np.ndarray, bias: np.ndarray, q: np.ndarray, steps: int, lengths: np.ndarray, begins: np.ndarray | None = None) -> GaussianFactors:
+    """Prior chain x_0 ~ N(mean0, cov0), x_t ~ N(a x_t-1 + bias_t, q); ``a`` (B, T-1, D, D), ``bias`` (B, T-1, D), ``q`` likewise.
+
+    ``begins`` (B,) says which rows begin a sequence; others are blocks of time and have no initial factor.
+    """
     b, d = len(lengths), mean0.shape[-1]
     diag, info, const = np.zeros((b, steps, d, d)), np.zeros((b, steps, d)), np.zeros(b)
     on = valid(lengths, steps)
     p0 = np.linalg.inv(cov0)
     some = np.asarray(lengths) > 0
-    diag[:, 0] += p0
-    info[:, 0] += p0 @ mean0
+    if begins is not None:
+        some = some & begins
+    diag[:, 0] += p0 if begins is None else p0 * begins[:, None, None]
+    info[:, 0] += p0 @ mean0 if begins is None else (p0 @ mean0) * begins[:, None]
     const += np.where(some, -0.5 * (mean0 @ p0 @ mean0 + np.linalg.slogdet(cov0)[1] + d * LOG_2PI), 0.0)
     if steps < 2:
         return GaussianFactors(diag, np.zeros((b, 0, d, d)), info, const, lengths)
@@ -199,28 +244,25 @@ def add_gaussian_emissions(f: GaussianFactors, y: np.ndarray, weight: np.ndarray
     return GaussianFactors(f.diag + weight[..., None, None] * (c.T @ p @ c), f.lower, f.info + weight[..., None] * (pe @ c), f.const + const.sum(1), f.lengths)
 
 
-def poisson_log_prob(y: np.ndarray, weight: np.ndarray, x: np.ndarray, c: np.ndarray, d: np.ndarray, log_factorial: np.ndarray) -> np.ndarray:
-    """(B,) sum of log Poisson(y; exp(C x + d)) over visible steps."""
-    eta = x @ c.T + d
-    return (np.where(weight[..., None] > 0, y * eta - np.exp(eta) - log_factorial, 0.0)).sum((1, 2))
-
+def laplace_chain(prior: GaussianFactors, y: np.ndarray, weight: np.ndarray, c: np.ndarray, d: np.ndarray, likelihood, start: np.ndarray | None = None, max_steps: int = 50, tolerance: float = 1e-6) -> tuple[GaussianPosterior, np.ndarray]:
+    """Posterior of a chain with a ``likelihood`` of C x + d at its mode, by Newton steps that are halved until the objective doesn't fall.
 
-def laplace_chain(prior: GaussianFactors, y: np.ndarray, weight: np.ndarray, c: np.ndarray, d: np.ndarray, log_factorial: np.ndarray, start: np.ndarray | None = None, max_steps: int = 50, tolerance: float = 1e-6) -> tuple[GaussianPosterior, np.ndarray]:
-    """Posterior of a Poisson chain at its mode, by Newton steps that are halved until the objective doesn't fall.
-
-    Returns the posterior, whose log_normalizer is that of the quadratic model at the mode, and the mode.
+    Returns the posterior, whose log_normalizer is that of the quadratic model at the mode, and the mode. Steps are done where no
+    coordinate moves further than ``tolerance`` of its size.
     """
     x = np.zeros_like(prior.info) if start is None else start.copy()
+    seen = weight[..., None] > 0
+
+    def terms(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return tuple(np.where(seen, v, 0.0) for v in likelihood.terms(y, z @ c.T + d))
 
     def objective(z: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore", invalid="ignore"):
-            return prior.value(z) + poisson_log_prob(y, weight, z, c, d, log_factorial)
+            return prior.value(z) + terms(z)[0].sum((1, 2))
 
     def quadratic(z: np.ndarray) -> GaussianPosterior:
-        rate = np.exp(z @ c.T + d) * weight[..., None]
-        curve = np.einsum("oi,bto,oj->btij", c, rate, c)
-        slope = (np.where(weight[..., None] > 0, y, 0.0) - rate) @ c
-        value = poisson_log_prob(y, weight, z, c, d, log_factorial)
+        value, slope, curve = terms(z)
+        value, slope, curve = value.sum((1, 2)), slope @ c, np.einsum("oi,bto,oj->btij", c, curve, c)
         info = slope + np.einsum("btij,btj->bti", curve, z)
         const = value - np.einsum("bti,bti->b", slope, z) - 0.5 * np.einsum("bti,btij,btj->b", z, curve, z)
         return gaussian_chain(GaussianFactors(prior.diag + curve, prior.lower, prior.info + info, prior.const + const, prior.lengths))
@@ -247,11 +289,12 @@ def laplace_chain(prior: GaussianFactors, y: np.ndarray, weight: np.ndarray, c:
 
 @dataclass
 class SwitchingPosterior:
-    """q(z) q(x) with its lower bound (B,)."""
+    """q(z) q(x) with its lower bound (B,), and the bound after every round (B, rounds)."""
 
     states: DiscretePosterior
     latents: GaussianPosterior
     bound: np.ndarray
+    trace: np.ndarray
 
 
 def switching_chain(initial: np.ndarray, transition: np.ndarray, mean0: np.ndarray, cov0: np.ndarray, a: np.ndarray, bias: np.ndarray, q: np.ndarray, lengths: np.ndarray, steps: int, emit: Callable[[GaussianFactors, GaussianPosterior | None], tuple[GaussianPosterior, Callable[[GaussianPosterior], np.ndarray]]], iterations: int = 10, start: np.ndarray | None = None) -> SwitchingPosterior:
@@ -265,17 +308,17 @@ def switching_chain(initial: np.ndarray, transition: np.ndarray, mean0: np.ndarr
     weight = np.broadcast_to(initial, (b, steps, k)).copy() if start is None else start
     parts = [linear_factors(mean0[j], cov0[j], np.broadcast_to(a[j], (b, max(steps - 1, 0), d, d)), bias[:, :, j], np.broadcast_to(q[j], (b, max(steps - 1, 0), d, d)), steps, lengths) for j in range(k)]
     firsts = [linear_factors(mean0[j], cov0[j], np.zeros((b, 0, d, d)), np.zeros((b, 0, d)), np.zeros((b, 0, d, d)), 1, np.minimum(lengths, 1)) for j in range(k)]
-    latents, states, expected = None, None, None
+    latents, states, bounds = None, None, []
     for _ in range(max(1, iterations)):
         prior = _mixed(parts, firsts, weight, a, bias, q, on)
         latents, score = emit(prior, latents)
         local = _expected_steps(latents, mean0, cov0, a, bias, q) * on[..., None]
         states = discrete_chain(initial, transition, local, lengths)
         weight = states.gamma
-        expected = score(latents)
-    inner = (states.gamma * local).sum((1, 2))
-    log_p = (states.gamma[:, 0] * np.log(np.maximum(initial, TINY))).sum(-1) * (lengths > 0) + (states.xi * np.log(np.maximum(transition, TINY))).sum((1, 2, 3))
-    return SwitchingPosterior(states, latents, log_p + inner + expected + states.entropy() + latents.entropy())
+        inner = (states.gamma * local).sum((1, 2))
+        log_p = (states.gamma[:, 0] * np.log(np.maximum(initial, TINY))).sum(-1) * (lengths > 0) + (states.xi * np.log(np.maximum(transition, TINY))).sum((1, 2, 3))
+        bounds.append(log_p + inner + score(latents) + states.entropy() + latents.entropy())
+    return SwitchingPosterior(states, latents, bounds[-1], np.stack(bounds, 1))
 
 
 def _mixed(parts: list[GaussianFactors], firsts: list[GaussianFactors], weight: np.ndarray, a: np.ndarray, bias: np.ndarray, q: np.ndarray, on: np.ndarray) -> GaussianFactors:

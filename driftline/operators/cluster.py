@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,12 +32,18 @@ def kmeans(rows: DataFrame, y: Column, centers: np.ndarray, steps: int = 20) ->
     """Centers after exactly ``steps`` Lloyd steps; an empty cluster keeps its center. Each step is one partial aggregation."""
     centers = np.asarray(centers, float)
     d = centers.shape[1]
-    table = rows.select(y.alias("y"))
-    for _ in range(steps):
-        got = table.groupBy(assign(F.col("y"), centers).alias("k")).agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col("y")[i]).alias(f"s{i}") for i in range(d)]).collect()
-        centers = centers.copy()
-        for r in got:
-            centers[r["k"]] = [r[f"s{i}"] / r["n"] for i in range(d)]
+    table = rows.select(y.alias("y")).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        for _ in range(steps):
+            got = table.groupBy(assign(F.col("y"), centers).alias("k")).agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col("y")[i]).alias(f"s{i}") for i in range(d)]).collect()
+            moved = centers.copy()
+            for r in got:
+                moved[r["k"]] = [r[f"s{i}"] / r["n"] for i in range(d)]
+            still, centers = np.array_equal(moved, centers), moved
+            if still:  # the steps left would not move a center either
+                break
+    finally:
+        table.unpersist()
     return centers
 
 
@@ -91,16 +99,16 @@ def spread_centers(rows: DataFrame, k: int, seed: int = 0) -> dict[int, np.ndarr
 def cluster_sums(rows: DataFrame, centers: dict[int, np.ndarray], second: bool = True) -> dict[int, dict[str, np.ndarray]]:
     """n (K,), s (K, D) and q (K, D, D) of the rows (session, y) nearest to each center of their session."""
 
-    def pieces(frames: Iterator[pd.DataFrame]):
-        for frame in frames:
-            for session, own in frame.groupby("session"):
+    def pieces(parts: Iterator[pa.RecordBatch]):
+        for part in parts:
+            for session, own in part.to_pandas().groupby("session"):
                 y = np.vstack(own["y"].to_numpy()).astype(float)
                 nearest = np.argmin([((y - c) ** 2).sum(1) for c in centers[session]], axis=0)
                 parts = [y[nearest == k] for k in range(len(centers[session]))]
                 found = {"n": np.array([float(len(v)) for v in parts]), "s": np.array([v.sum(0) for v in parts])}
-                yield session, found | ({"q": np.array([v.T @ v for v in parts])} if second else {})
+                yield 0, session, found | ({"q": np.array([v.T @ v for v in parts])} if second else {})
 
-    return learning.total(rows.select("session", "y"), pieces)
+    return learning.total(rows.select("session", "y"), pieces).get(0, {})
 
 
 def partition(rows: DataFrame, k: int, seed: int = 0, steps: int = 20, centers: dict[int, np.ndarray] | None = None) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:

@@ -9,9 +9,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.functions import columns
-from driftline.operators import align, cluster, grid, learning, moments, structure
+from driftline.functions.dists import Affine
+from driftline.operators import align, cluster, grid, learning, moments, posteriors, structure
+from driftline.functions.observations import BernoulliLikelihood, CategoricalStates, NegativeBinomialLikelihood
+from driftline.functions.processes import HermiteBasis
 from driftline.plans import starts
+from driftline.plans.collections import Collection, SessionRestarts
+from driftline.plans.curves import CurveModel
 from driftline.plans.models import ARHMM, HMM, LDS, POISSON, SLDS
+from driftline.plans.walks import GatedWalk
 from driftline.sources import sequences as source
 
 PI, P = [0.6, 0.4], np.array([[0.9, 0.1], [0.2, 0.8]])
@@ -665,3 +671,279 @@ def chain_entropy(spark, sf_dir):
 
     return learning.rows(learning.packed(seqs(spark, sf_dir)), "session int, seq long, entropy double", make).select("seq", r("entropy", "entropy", 4))
 
+
+# One sequence over many tasks
+
+_ONE = "o AS (SELECT (row_number() OVER (ORDER BY ts, event_id) - 1)::INT AS t, value AS y, event_type <> 'error' AS visible FROM events)"
+#: Doublings of the SQL that checks blocked inference: sequences of up to 2^18 steps.
+_DOUBLINGS = 18
+
+
+def one(spark, sf_dir) -> DataFrame:
+    """All events in order of time as one sequence."""
+    return source.single(events(spark, sf_dir), ["ts", "event_id"], F.array("value"), hidden=F.col("event_type") == "error")
+
+
+def _products_sql(name: str, rows: str, step: int) -> str:
+    """Running products of 2 x 2 matrices (a b; c d) by doubling, each divided by its largest entry; ``step`` 1 runs forward, -1 backward."""
+    parts, now = [f"{name}0 AS MATERIALIZED ({rows})"], f"{name}0"
+    for k in range(_DOUBLINGS):
+        # The earlier step's matrix stands on the left in both directions.
+        left, right = ("y", "x") if step > 0 else ("x", "y")
+        cells = {"a": ("a", "a", "b", "c"), "b": ("a", "b", "b", "d"), "c": ("c", "a", "d", "c"), "d": ("c", "b", "d", "d")}
+        made = ", ".join(f"CASE WHEN y.t IS NULL THEN x.{v} ELSE {left}.{p} * {right}.{q} + {left}.{r_} * {right}.{s} END AS {v}" for v, (p, q, r_, s) in cells.items())
+        parts.append(f"{name}{k + 1} AS MATERIALIZED (SELECT t, a / m AS a, b / m AS b, c / m AS c, d / m AS d FROM (SELECT *, greatest(a, b, c, d) AS m FROM (SELECT x.t, {made} FROM {now} x LEFT JOIN {now} y ON y.t = x.t - {step * 2**k})))")
+        now = f"{name}{k + 1}"
+    return ", ".join(parts)
+
+
+_BLOCKED = f"""WITH {_ONE}, l AS MATERIALIZED (SELECT t, exp(l0 - greatest(l0, l1)) AS e0, exp(l1 - greatest(l0, l1)) AS e1 FROM (SELECT t, {_L[0]} AS l0, {_L[1]} AS l1 FROM o)),
+    {_products_sql("f", f"SELECT t, CASE WHEN t = 0 THEN {PI[0]} ELSE {float(P[0, 0])} END * e0 AS a, CASE WHEN t = 0 THEN {PI[1]} ELSE {float(P[0, 1])} END * e1 AS b, CASE WHEN t = 0 THEN {PI[0]} ELSE {float(P[1, 0])} END * e0 AS c, CASE WHEN t = 0 THEN {PI[1]} ELSE {float(P[1, 1])} END * e1 AS d FROM l", 1)},
+    {_products_sql("b", f"SELECT t, {float(P[0, 0])} * e0 AS a, {float(P[0, 1])} * e1 AS b, {float(P[1, 0])} * e0 AS c, {float(P[1, 1])} * e1 AS d FROM l WHERE t > 0", -1)}"""
+
+
+@query(f"""{_BLOCKED} SELECT f.t, round(f.a * coalesce(b.a + b.b, 1) / (f.a * coalesce(b.a + b.b, 1) + f.b * coalesce(b.c + b.d, 1)), 6) + 0.0 AS g0,
+    round(f.b * coalesce(b.c + b.d, 1) / (f.a * coalesce(b.a + b.b, 1) + f.b * coalesce(b.c + b.d, 1)), 6) + 0.0 AS g1 FROM f{_DOUBLINGS} f LEFT JOIN b{_DOUBLINGS} b ON b.t = f.t + 1""")
+def hmm_gamma_blocked(spark, sf_dir):
+    """State probabilities of one sequence of all events; blocks of time are inferred side by side."""
+    return hmm().infer(one(spark, sf_dir), block=2048).select("t", r(F.col("gamma")[0], "g0"), r(F.col("gamma")[1], "g1"))
+
+
+@query(f"""{_kalman_sql(False).replace(E, "e AS MATERIALIZED (SELECT 0 AS seq, (row_number() OVER (ORDER BY ts, event_id) - 1)::INT AS t, value AS y, event_type <> 'error' AS visible FROM events)")}
+    SELECT t, round(sm, 4) + 0.0 AS mean, round(sv, 4) + 0.0 AS variance, round(cross_next, 4) + 0.0 AS cross_next FROM s""")
+def lds_smooth_blocked(spark, sf_dir):
+    """Smoothed latents of one sequence of all events; blocks of time are smoothed side by side."""
+    rows = lds().infer(one(spark, sf_dir), block=2048)
+    return rows.select("t", r(F.col("mean")[0], "mean", 4), r(F.col("cov")[0][0], "variance", 4), F.coalesce(r(F.col("cross_next")[0][0], "c", 4), F.lit(0.0)).alias("cross_next"))
+
+
+# Many models side by side
+
+#: Sessions, and factors by which the starts scale the means of the states.
+_SESSIONS, _SCALES = 20, (0.5, 1.0, 1.5)
+
+
+def _em_sql(steps: int) -> str:
+    """Log-likelihood of two-state Gaussian models (key k) before and after each of ``steps`` EM steps.
+
+    Rows d (k, seq, t, y, visible) and start p0 (k, i0, i1, p00, p01, p10, p11, m0, m1, v0, v1) stand before it.
+    """
+    parts = []
+    for j in range(steps + 1):
+        score = [f"CASE WHEN visible THEN -0.5 * ((y - m{i}) * (y - m{i}) / v{i} + ln(v{i}) + {columns.LOG_2PI!r}) ELSE 0 END" for i in range(2)]
+        move = [f"(a0 * p0{i} + a1 * p1{i}) * l.e{i}" for i in range(2)]
+        parts.append(f"""l{j} AS MATERIALIZED (SELECT *, exp(s0 - top) AS e0, exp(s1 - top) AS e1 FROM (SELECT *, greatest(s0, s1) AS top FROM (SELECT d.k, seq, t, y, visible, {score[0]} AS s0, {score[1]} AS s1, i0, i1, p00, p01, p10, p11 FROM d JOIN p{j} USING (k)))),
+    f{j} AS MATERIALIZED (WITH RECURSIVE f AS (SELECT k, seq, t, top, e0, e1, p00, p01, p10, p11, i0 * e0 + i1 * e1 AS c, i0 * e0 / (i0 * e0 + i1 * e1) AS a0, i1 * e1 / (i0 * e0 + i1 * e1) AS a1 FROM l{j} WHERE t = 0
+        UNION ALL SELECT k, seq, t, top, e0, e1, p00, p01, p10, p11, w0 + w1, w0 / (w0 + w1), w1 / (w0 + w1) FROM (SELECT l.*, {move[0]} AS w0, {move[1]} AS w1 FROM (SELECT k, seq, t, a0, a1 FROM f) f JOIN l{j} l ON l.k = f.k AND l.seq = f.seq AND l.t = f.t + 1)) SELECT * FROM f),
+    o{j} AS (SELECT k, sum(ln(c) + top) AS objective FROM f{j} GROUP BY k)""")
+        if j == steps:
+            continue
+        pair = [f"sum(a{a} * p{a}{b} * ne{b} * nb{b} / nc) AS x{a}{b}" for a in range(2) for b in range(2)]
+        parts.append(f"""b{j} AS MATERIALIZED (WITH RECURSIVE b AS (SELECT k, seq, max(t) AS t, 1.0::DOUBLE AS b0, 1.0::DOUBLE AS b1 FROM f{j} GROUP BY k, seq
+        UNION ALL SELECT f.k, f.seq, f.t - 1, (p00 * e0 * b0 + p01 * e1 * b1) / c, (p10 * e0 * b0 + p11 * e1 * b1) / c FROM b JOIN f{j} f ON f.k = b.k AND f.seq = b.seq AND f.t = b.t WHERE f.t > 0) SELECT * FROM b),
+    g{j} AS MATERIALIZED (SELECT f.*, b0, b1, a0 * b0 / (a0 * b0 + a1 * b1) AS g0, a1 * b1 / (a0 * b0 + a1 * b1) AS g1, lead(e0) OVER w AS ne0, lead(e1) OVER w AS ne1, lead(b0) OVER w AS nb0, lead(b1) OVER w AS nb1, lead(c) OVER w AS nc
+        FROM f{j} f JOIN b{j} USING (k, seq, t) WINDOW w AS (PARTITION BY k, seq ORDER BY t)),
+    c{j} AS (SELECT k, sum(g0) FILTER (t = 0) AS i0, sum(g1) FILTER (t = 0) AS i1, {", ".join(pair)} FROM g{j} GROUP BY k),
+    w{j} AS (SELECT k, sum(g0) AS n0, sum(g1) AS n1, sum(g0 * y) / sum(g0) AS m0, sum(g1 * y) / sum(g1) AS m1, sum(g0 * y * y) / sum(g0) AS q0, sum(g1 * y * y) / sum(g1) AS q1 FROM g{j} JOIN d USING (k, seq, t) WHERE visible GROUP BY k),
+    p{j + 1} AS MATERIALIZED (SELECT k, i0 / (i0 + i1) AS i0, i1 / (i0 + i1) AS i1, x00 / (x00 + x01) AS p00, x01 / (x00 + x01) AS p01, x10 / (x10 + x11) AS p10, x11 / (x10 + x11) AS p11, m0, m1, (q0 - m0 * m0) * (1 + 1e-6) AS v0, (q1 - m1 * m1) * (1 + 1e-6) AS v1
+        FROM c{j} JOIN w{j} USING (k))""")
+    return ", ".join(parts)
+
+
+def _start_sql(key: str, scale: str = "1") -> str:
+    p = [float(v) for v in P.ravel()]
+    return f"SELECT {key} AS k, {PI[0]} AS i0, {PI[1]} AS i1, {p[0]} AS p00, {p[1]} AS p01, {p[2]} AS p10, {p[3]} AS p11, {MEAN[0]} * {scale} AS m0, {MEAN[1]} * {scale} AS m1, {VAR[0]} AS v0, {VAR[1]} AS v1"
+
+
+def _trace_sql(steps: int) -> str:
+    return " UNION ALL ".join(f"SELECT k, {j} AS iter, objective FROM o{j}" for j in range(steps + 1))
+
+
+@query(f"""WITH {E}, x AS (SELECT i::INT AS i, s FROM (VALUES {", ".join(f"({i}, {s})" for i, s in enumerate(_SCALES))}) v(i, s)),
+    d AS MATERIALIZED (SELECT (seq % {_SESSIONS}) * {len(_SCALES)} + i AS k, seq, t, y, visible FROM e, x), p0 AS MATERIALIZED ({_start_sql(f"n * {len(_SCALES)} + i", "s")} FROM range({_SESSIONS}) r(n), x), {_em_sql(2)}
+    SELECT (k // {len(_SCALES)})::INT AS session, (k % {len(_SCALES)})::INT AS start, iter::INT AS iter, round(objective, 3) + 0.0 AS objective FROM ({_trace_sql(2)})""")
+def hmm_many_fits(spark, sf_dir):
+    """Models of every session from several starts, two EM steps each: all in the same jobs."""
+    e = seqs(spark, sf_dir).withColumn("session", (F.col("seq") % _SESSIONS).cast("int"))
+    own = hmm().params["emissions"][0]
+    several = [hmm().replace(emissions=[own | {"mean": own["mean"] * s}]) for s in _SCALES]
+    found = SessionRestarts.fit(e, {r["session"]: several for r in e.select("session").distinct().collect()}, 2)
+    rows = [(s, i, k, float(v)) for s, runs in found.runs.items() for i, fit in enumerate(runs.runs) for k, v in enumerate(fit.trace)]
+    return spark.createDataFrame(rows, "session int, start int, iter int, objective double").withColumn("objective", r("objective", "objective", 3))
+
+
+@query(f"WITH {E}, d AS MATERIALIZED (SELECT 0 AS k, seq, t, y, visible FROM e), p0 AS MATERIALIZED ({_start_sql('0')}), {_em_sql(4)} SELECT iter::INT AS iter, round(objective, 3) + 0.0 AS objective FROM ({_trace_sql(4)})")
+def hmm_fit_trace_given(spark, sf_dir):
+    """Objective of every EM step from given parameters."""
+    out = hmm().fit(seqs(spark, sf_dir), 4).trace_table(spark)
+    return out.select("iter", r("objective", "objective", 3))
+
+
+@query(f"{_HMM}, q AS (SELECT seq % {_SESSIONS} AS s, sum(ln(c) + m) AS v FROM f GROUP BY ALL) SELECT s::INT AS session, round(v, 3) + 0.0 AS log_likelihood FROM q")
+def collection_objective(spark, sf_dir):
+    """Log-likelihood of every session under a model of its own, in one pass."""
+    e = seqs(spark, sf_dir).withColumn("session", (F.col("seq") % _SESSIONS).cast("int"))
+    found = Collection({s: hmm() for s in range(_SESSIONS)}).objective(e)
+    return found.groupBy("session").agg(F.sum("objective").alias("v")).select("session", r("v", "log_likelihood", 3))
+
+
+# Observations of one's own
+
+_TYPES = ("click", "error", "purchase", "signup", "view")
+_PROBS = [[0.5, 0.1, 0.1, 0.1, 0.2], [0.1, 0.2, 0.2, 0.2, 0.3]]
+_CODE = f"list_position([{', '.join(repr(x) for x in _TYPES)}], event_type) - 1"
+_TYPED = f"""e AS (SELECT user_id AS seq, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::INT AS t, {_CODE} AS c FROM events)"""
+
+
+def _typed(spark, sf_dir) -> DataFrame:
+    code = F.array_position(F.array(*map(F.lit, _TYPES)), F.col("event_type")) - 1
+    return source.from_events(events(spark, sf_dir), F.array(code.cast("double")), hidden=F.lit(False))
+
+
+def categorical() -> HMM:
+    return HMM({"initial_probs": PI, "transition_probs": P, "emissions": [{"probs": np.array(_PROBS)}]}, CategoricalStates(len(_TYPES)))
+
+
+_TYPED_L = [f"ln([{', '.join(map(repr, row))}][c + 1])" for row in _PROBS]
+_TYPED_HMM = f"WITH RECURSIVE {_TYPED}, {_chain_sql(*_TYPED_L)}"
+
+
+@query(f"{_TYPED_HMM} SELECT seq, round(sum(ln(f.c) + f.m), 4) + 0.0 AS log_likelihood FROM f GROUP BY ALL")
+def hmm_categorical_ll(spark, sf_dir):
+    """Log-likelihood of each user's event types."""
+    return categorical().objective(_typed(spark, sf_dir)).select("seq", r("objective", "log_likelihood", 4))
+
+
+@query(f"""{_TYPED_HMM}, w AS (SELECT e.c, sum(g0) AS w0, sum(g1) AS w1 FROM g JOIN e USING (seq, t) GROUP BY e.c) SELECT c::INT AS symbol, round(w0 / sum(w0) OVER (), 5) + 0.0 AS p0, round(w1 / sum(w1) OVER (), 5) + 0.0 AS p1 FROM w""")
+def hmm_categorical_step(spark, sf_dir):
+    """Probabilities of event types in each state after one EM step."""
+    probs = categorical().fit(_typed(spark, sf_dir), 1).model.params["emissions"][0]["probs"]
+    return spark.createDataFrame([(c, round(float(a), 5), round(float(b), 5)) for c, (a, b) in enumerate(probs.T)], "symbol int, p0 double, p1 double")
+
+
+#: A scalar system of a yes-or-no observation: initial mean and variance, dynamics, coefficient and bias of the log odds.
+_BERNOULLI = {"m0": 0.2, "s0": 2.0, "a": 0.9, "b": 0.0, "q": 0.3, "c": 1.5, "d": -0.4}
+
+
+def bernoulli() -> LDS:
+    p = _BERNOULLI
+    return LDS({"initial_mean": [p["m0"]], "initial_covariance": [[p["s0"]]], "dynamics_coefficients": [[p["a"]]], "dynamics_bias": [p["b"]], "dynamics_covariance": [[p["q"]]], "emissions": [{"coefficients": [[p["c"]]], "bias": [p["d"]]}]}, BernoulliLikelihood())
+
+
+def _large(spark, sf_dir) -> DataFrame:
+    return source.from_events(events(spark, sf_dir), F.array((F.col("value") > 50).cast("double")))
+
+
+@query()
+def bernoulli_lds_mode(spark, sf_dir):
+    """Laplace posterior of whether values are large."""
+    return bernoulli().infer(_large(spark, sf_dir)).select("seq", "t", F.col("mean")[0].alias("x"), F.col("cov")[0][0].alias("variance"))
+
+
+@query("""WITH RECURSIVE {e}, n AS (SELECT seq, visible, (y > 50)::INT AS z, {m0}::DOUBLE AS x, 0 AS i FROM e WHERE t = 0
+    UNION ALL SELECT seq, visible, z, x - ((x - {m0}) / {s0} - CASE WHEN visible THEN {c} * (z - 1 / (1 + exp(-({c} * x + {d})))) ELSE 0 END)
+        / (1 / {s0} + CASE WHEN visible THEN {c} * {c} * (1 / (1 + exp(-({c} * x + {d})))) * (1 - 1 / (1 + exp(-({c} * x + {d})))) ELSE 0 END), i + 1 FROM n WHERE i < 30)
+    SELECT seq, round(x, 5) + 0.0 AS x FROM n WHERE i = 30""".format(e=E, **_BERNOULLI))
+def bernoulli_first_mode(spark, sf_dir):
+    """Mode of the first latent given the first observation alone."""
+    return bernoulli().infer(structure.select_time(_large(spark, sf_dir), 0, 1)).select("seq", r(F.col("mean")[0], "x", 5))
+
+
+@query()
+def negbin_lds_fit(spark, sf_dir):
+    """Objective of a system of overdispersed counts over two steps."""
+    e = _counts2(spark, sf_dir)
+    return LDS.initialize(e, 2, NegativeBinomialLikelihood(3.0)).fit(e, 2).trace_table(spark)
+
+
+# Stored posteriors in other coordinates
+
+
+@query(f"{_kalman_sql(False)} SELECT seq, t, round(0.5 * sm - 10, 4) + 0.0 AS mean, round(0.25 * sv, 4) + 0.0 AS variance, round(0.25 * cross_next, 4) + 0.0 AS cross_next FROM s")
+def posterior_align(spark, sf_dir):
+    """Smoothed latents in the coordinates x / 2 - 10, from the posterior as it stands."""
+    rows = posteriors.aligned(lds().infer(seqs(spark, sf_dir)), Affine(np.array([[0.5]]), np.array([-10.0])))
+    return rows.select("seq", "t", r(F.col("mean")[0], "mean", 4), r(F.col("cov")[0][0], "variance", 4), F.coalesce(r(F.col("cross_next")[0][0], "c", 4), F.lit(0.0)).alias("cross_next"))
+
+
+@query(f"""{_HMM} SELECT x.seq, x.t, round(x.g1, 6) + 0.0 AS g0, CASE WHEN x.g1 >= x.g0 THEN 0 ELSE 1 END::INT AS state, round(x.a1 * {float(P[1, 0])} * y.e0 * y.b0 / y.c, 6) + 0.0 AS x01
+    FROM g x JOIN g y ON x.seq = y.seq AND y.t = x.t + 1""")
+def posterior_permute(spark, sf_dir):
+    """State probabilities and pairs with the two states' labels exchanged."""
+    rows = posteriors.permuted_states(hmm().infer(seqs(spark, sf_dir)), [1, 0]).where("xi_next is not null")
+    return rows.select("seq", "t", r(F.col("gamma")[0], "g0"), "state", r(F.col("xi_next")[0][1], "x01"))
+
+
+@query(f"""{_kalman_sql(False)}, n AS (SELECT seq, t, sm, sv, lead(sm) OVER w AS nm, lead(sv) OVER w AS nv FROM s WINDOW w AS (PARTITION BY seq ORDER BY t))
+    SELECT seq, (4 * t + j)::BIGINT AS i, round(CASE WHEN j = 0 THEN sm ELSE sm + j / 4 * (nm - sm) END, 4) + 0.0 AS mean, round(CASE WHEN j = 0 THEN sv ELSE sv + j / 4 * (nv - sv) END, 4) + 0.0 AS variance
+    FROM n, range(4) v(j) WHERE j = 0 OR nm IS NOT NULL""".replace(", n AS (SELECT seq, t, sm", ", z AS (SELECT seq, t, sm").replace("FROM n, range", "FROM z, range"))
+def posterior_upsample(spark, sf_dir):
+    """Marginals of smoothed latents at four times the rate."""
+    rows = posteriors.upsampled(lds().infer(seqs(spark, sf_dir)), 4)
+    return rows.select("seq", "i", r(F.col("mean")[0], "mean", 4), r(F.col("cov")[0][0], "variance", 4))
+
+
+# Curves and gated walks
+
+_CURVE = CurveModel(2, 0.01, 1e-4, 400.0)
+
+
+def _solve_sql(size: int) -> str:
+    """Elimination of the equations a0_0 .. x a0_n of each seq, unknown by unknown; x0 .. come out."""
+    parts, now = [], "n0"
+    for k in range(size):
+        cells = []
+        for i in range(size):
+            for j in range(k + 1, size + 1):
+                cells.append(f"a{k}_{j} / a{k}_{k} AS a{k}_{j}" if i == k else f"a{i}_{j} - a{i}_{k} * a{k}_{j} / a{k}_{k} AS a{i}_{j}")
+        parts.append(f"n{k + 1} AS (SELECT seq, {', '.join(cells)} FROM {now})")
+        now = f"n{k + 1}"
+    return ", ".join(parts)
+
+
+def _curve_sql() -> str:
+    m, basis = _CURVE, HermiteBasis(_CURVE.knots)
+    precision, integrals = m._prior()
+    precision = precision - m.amplitude * np.outer(integrals, integrals)
+    b = ["(1 - 3 * s * s + 2 * s * s * s)", "(s - 2 * s * s + s * s * s)", "(3 * s * s - 2 * s * s * s)", "(s * s * s - s * s)"]
+    assert basis.raw(np.array([0.3])).shape == (1, len(b))
+    cells = [f"{float(precision[i, j])!r} + sum({b[i]} * {b[j]}) / {m.noise} AS a{i}_{j}" for i in range(4) for j in range(4)]
+    cells += [f"sum({b[i]} * y) / {m.noise} AS a{i}_4" for i in range(4)]
+    return f"""p AS (SELECT seq, y, visible, t / max(t) OVER (PARTITION BY seq) AS s FROM e), n0 AS (SELECT seq, {', '.join(cells)} FROM p WHERE visible GROUP BY seq), {_solve_sql(4)}"""
+
+
+@query(f"WITH {E}, {_curve_sql()} SELECT seq, round(a0_4, 4) + 0.0 AS v0, round(a1_4, 3) + 0.0 AS s0, round(a2_4, 4) + 0.0 AS v1, round(a3_4, 3) + 0.0 AS s1 FROM n4")
+def curve_fit(spark, sf_dir):
+    """Values and slopes at both ends of a cubic fitted to every user's values."""
+    rows, c = _CURVE.fit(seqs(spark, sf_dir)), F.col("coefficients")
+    return rows.select("seq", r(c[0], "v0", 4), r(c[1], "s0", 3), r(c[2], "v1", 4), r(c[3], "s1", 3))
+
+
+@query()
+def curve_values(spark, sf_dir):
+    """Curves of twelve knots with their variance at every step of every user."""
+    model, e = CurveModel(12, 0.01, 1e-6, 400.0), seqs(spark, sf_dir)
+    return model.values(e, model.fit(e)).select("seq", "t", "mean", "variance")
+
+
+def gated_walk() -> GatedWalk:
+    return GatedWalk({
+        "initial_probs": PI, "transition_probs": P, "start_mean": [LDS1["m0"]], "start_covariance": [[LDS1["s0"]]], "innovations": [[[25.0]], [[LDS1["q"]]]],
+        "emissions": [{"coefficients": [[1.0]], "bias": [0.0], "covariance": [[LDS1["r"]]]}],
+    })
+
+
+@query()
+def gated_walk_bounds(spark, sf_dir):
+    """Lower bounds of every user's walk after each round of mean field."""
+    return gated_walk().bounds(seqs(spark, sf_dir)).select("seq", "iteration", "bound")
+
+
+@query("""WITH RECURSIVE {e}, k AS (SELECT seq, t, {u} FROM (SELECT seq, t, y, visible, {m0}::DOUBLE AS pm, {s0}::DOUBLE AS pv FROM e WHERE t = 0)
+    UNION ALL SELECT seq, t, {u} FROM (SELECT e.seq, e.t, e.y, e.visible, m AS pm, v + {q} AS pv FROM k JOIN e ON e.seq = k.seq AND e.t = k.t + 1))
+    SELECT seq, round(sum(ll), 3) + 0.0 AS bound FROM k GROUP BY seq""".format(e=E, m0=LDS1["m0"], s0=LDS1["s0"], q=LDS1["q"], u="""CASE WHEN visible THEN pm + pv / (pv + {r}) * (y - pm) ELSE pm END AS m, CASE WHEN visible THEN pv * {r} / (pv + {r}) ELSE pv END AS v,
+        CASE WHEN visible THEN -0.5 * ((y - pm) * (y - pm) / (pv + {r}) + ln(pv + {r}) + {c!r}) ELSE 0 END AS ll""".format(r=LDS1["r"], c=columns.LOG_2PI)))
+def gated_walk_open(spark, sf_dir):
+    """With both gates as wide as each other the bound is the log-likelihood of a plain walk."""
+    one = gated_walk().replace(dynamics_covariances=np.full((2, 1, 1), LDS1["q"]))
+    return one.objective(seqs(spark, sf_dir)).select("seq", r("objective", "bound", 3))

@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftline.functions import fits
-from driftline.operators import align
-from driftline.operators.learning import Packed
-from driftline.plans.models import HMM, Fit, Model
+from driftline.operators import align, learning
+from driftline.operators.learning import Batch, Packed
+from driftline.plans.models import HMM, Fit, Model, fit_models
 
 
 def session_rows(sequences: DataFrame, session: int) -> DataFrame:
@@ -22,17 +22,22 @@ def session_rows(sequences: DataFrame, session: int) -> DataFrame:
 
 
 class Collection:
-    """``models`` by session; each has emissions of one session only."""
+    """``models`` by session; each has emissions of one session only. All models go through the same jobs, however many there are."""
 
     def __init__(self, models: dict[int, Model]):
         self.models = dict(sorted(models.items()))
 
     @classmethod
     def from_sessions(cls, sequences: DataFrame, make: Callable[[DataFrame], Model]) -> Collection:
-        """``make`` builds the model of one session's rows."""
+        """``make`` builds the model of one session's rows; it runs once a session."""
         sessions = [r[0] for r in sequences.select("session").distinct().collect()]
         return cls({s: make(session_rows(sequences, s)) for s in sessions})
 
+    @classmethod
+    def split(cls, model: Model) -> Collection:
+        """A model of several sessions as one model for each: all share the start, and are independent from here on."""
+        return cls({s: model.replace(emissions=[e]) for s, e in model.params["emissions"].items()})
+
     def get(self, session: int | None = None) -> Model:
         if session is None and len(self.models) != 1:
             raise ValueError("name a session: there isn't exactly one")
@@ -41,18 +46,31 @@ class Collection:
     def map(self, f: Callable[[int, Model], Model]) -> Collection:
         return Collection({s: f(s, m) for s, m in self.models.items()})
 
-    def _each(self, sequences: DataFrame, f: Callable[[Model, DataFrame], DataFrame]) -> DataFrame:
-        parts = [f(m, session_rows(sequences, s)).withColumn("session", F.lit(s).cast("int")) for s, m in self.models.items()]
-        return reduce(DataFrame.unionByName, parts)
+    def _own(self, sequences: DataFrame) -> DataFrame:
+        """Rows of the sessions that have models."""
+        return sequences.where(F.col("session").isin(list(self.models)))
+
+    def _rows(self, sequences: DataFrame, schema: str, make: Callable[[Model, Batch], pd.DataFrame]) -> DataFrame:
+        models = self.models
+
+        def each(b: Batch) -> pd.DataFrame:
+            return make(models[b.session], b.as_session(0)).assign(session=np.int32(b.session))
+
+        return learning.rows(learning.packed(self._own(sequences)), schema, each)
 
     def infer(self, sequences: DataFrame) -> DataFrame:
-        return self._each(sequences, lambda m, rows: m.infer(rows))
+        """Posterior rows of every session under its own model, in one pass."""
+        schema = next(iter(self.models.values())).posterior_schema
+        return self._rows(sequences, f"session int, seq long, t int, {schema}", lambda m, b: m._posterior(b, m._infer(b)[0]))
 
     def objective(self, sequences: DataFrame) -> DataFrame:
-        return self._each(sequences, lambda m, rows: m.objective(rows))
+        make = lambda m, b: pd.DataFrame({"session": np.int32(0), "seq": b.seq, "objective": m._infer(b)[1]})
+        return self._rows(sequences, "session int, seq long, objective double", make)
 
-    def fit(self, sequences: DataFrame, num_iters: int = 10) -> dict[int, Fit]:
-        return {s: m.fit(session_rows(sequences, s), num_iters) for s, m in self.models.items()}
+    def fit(self, sequences: DataFrame, num_iters: int = 10, tolerance: float | None = None) -> dict[int, Fit]:
+        """Each session's model on its own rows; a step is one aggregation for all sessions. With ``tolerance`` converged ones leave."""
+        with Packed(self._own(sequences)) as data:
+            return fit_models(self.models, data, num_iters, {s: [s] for s in self.models}, tolerance)
 
     def permute_states(self, orders: dict[int, np.ndarray]) -> Collection:
         return self.map(lambda s, m: m.permute_states(orders[s]))
@@ -61,15 +79,12 @@ class Collection:
 
     def _counts(self, sequences: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         """Expected initial (S, K) and transition counts (S, K, K) of each session under its own model."""
-        first, pairs = [], []
-        for s, m in self.models.items():
-            if not isinstance(m, HMM):
-                raise TypeError("states of chains only can be aligned")
-            with Packed(session_rows(sequences, s)) as data:
-                sums = data.sums(_chain_counts(m))[0]
-            first.append(sums["first"])
-            pairs.append(sums["pairs"])
-        return np.array(first), np.array(pairs)
+        if not all(isinstance(m, HMM) for m in self.models.values()):
+            raise TypeError("states of chains only can be aligned")
+        models = self.models
+        with Packed(self._own(sequences)) as data:
+            sums = data.sums(lambda b: _chain_counts(models[b.session], b.as_session(0)))
+        return np.array([sums[s]["first"] for s in models]), np.array([sums[s]["pairs"] for s in models])
 
     def align_states(self, sequences: DataFrame, restarts: int = 10, seed: int = 0) -> Collection:
         """States relabelled so that the sessions' pooled Markov chain is likeliest."""
@@ -88,12 +103,9 @@ class Collection:
         return self.align_states(sequences, restarts, seed).compose(sequences)
 
 
-def _chain_counts(model: HMM):
-    def count(batch) -> dict[str, np.ndarray]:
-        post = model._infer(batch)[0]
-        return {"first": post.gamma[:, 0].sum(0), "pairs": post.xi.sum((0, 1))}
-
-    return count
+def _chain_counts(model: HMM, batch: Batch) -> dict[str, np.ndarray]:
+    post = model._infer(batch)[0]
+    return {"first": post.gamma[:, 0].sum(0), "pairs": post.xi.sum((0, 1))}
 
 
 @dataclass
@@ -103,8 +115,11 @@ class Restarts:
     runs: list[Fit]
 
     @classmethod
-    def fit(cls, sequences: DataFrame, starts: Iterable[Model], num_iters: int = 10) -> Restarts:
-        return cls([m.fit(sequences, num_iters) for m in starts])
+    def fit(cls, sequences: DataFrame, starts: Iterable[Model], num_iters: int = 10, tolerance: float | None = None) -> Restarts:
+        """All starts side by side: a step is one aggregation, however many there are."""
+        models = dict(enumerate(starts))
+        with Packed(sequences) as data:
+            return cls(list(fit_models(models, data, num_iters, tolerance=tolerance).values()))
 
     def is_valid(self) -> list[bool]:
         """Whether each objective is a number throughout."""
@@ -122,3 +137,25 @@ class Restarts:
 
     def best(self) -> Fit:
         return self.runs[self.best_index()]
+
+
+@dataclass
+class SessionRestarts:
+    """Fits of several starts for every session, each session by itself."""
+
+    runs: dict[int, Restarts]
+
+    @classmethod
+    def fit(cls, sequences: DataFrame, starts: dict[int, list[Model]], num_iters: int = 10, tolerance: float | None = None) -> SessionRestarts:
+        """``starts`` has the models of each session; all sessions and starts go through the same jobs."""
+        numbered = [(s, m) for s, own in sorted(starts.items()) for m in own]
+        owners: dict[int, list[int]] = {}
+        for r, (s, _) in enumerate(numbered):
+            owners.setdefault(s, []).append(r)
+        with Packed(sequences.where(F.col("session").isin(list(owners)))) as data:
+            fits_ = fit_models({r: m for r, (_, m) in enumerate(numbered)}, data, num_iters, owners, tolerance)
+        return cls({s: Restarts([fits_[r] for r in own]) for s, own in owners.items()})
+
+    def best(self) -> Collection:
+        """The best fit of every session."""
+        return Collection({s: r.best().model for s, r in self.runs.items()})

@@ -1,12 +1,15 @@
-"""Model families over sequence tables: HMM, AR-HMM, LDS and SLDS, each with Gaussian or Poisson observations.
+"""Model families over sequence tables: HMM, AR-HMM, LDS and SLDS, each with Gaussian or Poisson observations; HMM, LDS and SLDS
+with observations of one's own too (:mod:`driftline.functions.observations`).
 
 Sessions share latent and dynamics parameters; emissions are one set for each session. Parameters are plain dictionaries
 of arrays (``params``); inference returns DataFrames; fitting runs exactly ``num_iters`` steps and keeps a trace with the
-initial objective first.
+initial objective first. With ``block``, chains of states and Gaussian chains go through blocks of that many steps, so that
+a sequence of any length is spread over tasks.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -16,16 +19,14 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.functions import fits
-from driftline.functions.dists import Affine, Gaussian, LinearGaussian, LinearPoisson, Poisson, log_factorial
-from driftline.operators import align, chains, cluster, learning, moments
+from driftline.functions import fits, observations as kinds
+from driftline.functions.dists import Affine, LinearGaussian, LinearPoisson
+from driftline.functions.observations import GAUSSIAN, POISSON
+from driftline.operators import align, blocked, chains, cluster, learning, moments
 from driftline.operators.learning import Batch, Packed
 from driftline.operators.structure import lagged
 from driftline.sources import params as storage
 
-GAUSSIAN, POISSON = "gaussian", "poisson"
-
-
 @dataclass
 class Fit:
     """A fitted model and its objective before and after every step."""
@@ -75,9 +76,8 @@ class Model:
     offset = 0
     noises = ("dynamics_covariance", "dynamics_covariances")
 
-    def __init__(self, params: dict, observations: str = GAUSSIAN, diagonal: bool = False):
-        if observations not in (GAUSSIAN, POISSON):
-            raise ValueError(observations)
+    def __init__(self, params: dict, observations: str | kinds.StateObservations | kinds.Likelihood = GAUSSIAN, diagonal: bool = False):
+        self._of(observations)
         self.params = {k: (v if k == "emissions" else np.asarray(v, float)) for k, v in params.items()}
         self.params["emissions"] = Emissions(params["emissions"])
         self.observations, self.diagonal = observations, diagonal
@@ -86,6 +86,11 @@ class Model:
                 if (np.abs(c * (1 - np.eye(c.shape[-1]))) > 0).any():
                     raise ValueError("a diagonal covariance has off-diagonal entries")
 
+    def _of(self, observations) -> None:
+        """Refuses observations that the family doesn't know."""
+        if observations not in (GAUSSIAN, POISSON):
+            raise ValueError(observations)
+
     @classmethod
     def from_params(cls, params: dict, observations: str = GAUSSIAN, diagonal: bool = False) -> Model:
         return cls(params, observations, diagonal)
@@ -94,14 +99,14 @@ class Model:
         return self.params
 
     def save(self, spark: SparkSession, path: str, overwrite: bool = False) -> None:
-        kind = f"{self.observations}-{self.family}{'-diagonal' if self.diagonal else ''}"
+        kind = f"{getattr(self.observations, 'name', self.observations)}-{self.family}{'-diagonal' if self.diagonal else ''}"
         storage.save_params(spark, path, kind, self.params | {"emissions": {str(s): e for s, e in self.params["emissions"].items()}}, overwrite)
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Model:
         name, params = storage.load_params(spark, path)
         observations, family, *more = name.split("-")
-        return FAMILIES[family](params, observations, "diagonal" in more)
+        return _families()[family](params, kinds.KINDS.get(observations, observations), "diagonal" in more)
 
     # What a family defines
 
@@ -112,9 +117,14 @@ class Model:
     def _statistics(self, batch: Batch, posterior) -> dict[str, np.ndarray]:
         raise NotImplementedError
 
-    def _maximise(self, sums: dict[int, dict[str, np.ndarray]], data: Packed) -> Model:
+    def _maximise(self, sums: learning.Sums, newer: dict) -> Model:
+        """The next model from the sums of each session; ``newer`` has regressions (coefficients, bias) of those that need Newton steps."""
         raise NotImplementedError
 
+    def _regresses(self) -> Callable | None:
+        """What measures the regressions of emissions, where they aren't closed."""
+        return None
+
     def _posterior(self, batch: Batch, posterior) -> pd.DataFrame:
         raise NotImplementedError
 
@@ -125,32 +135,29 @@ class Model:
 
     # Facade
 
-    def infer(self, sequences: DataFrame) -> DataFrame:
+    def _table(self, sequences: DataFrame, block: int | None) -> DataFrame:
+        if block is None:
+            return learning.packed(self._check(sequences))
+        return blocked.Blocked(self._check(sequences), block, self._overlap(), keep=False).under(self)
+
+    def _overlap(self) -> int:
+        """Steps that a block of time shares with the next one; TypeError where a family can't go by blocks."""
+        raise TypeError(f"{self.family} with these observations has no inference by blocks")
+
+    def infer(self, sequences: DataFrame, block: int | None = None) -> DataFrame:
         """Posterior rows for every step of every sequence."""
-        table = learning.packed(self._check(sequences))
-        return learning.rows(table, f"session int, seq long, t int, {self.posterior_schema}", lambda b: self._posterior(b, self._infer(b)[0]))
+        return learning.rows(self._table(sequences, block), f"session int, seq long, t int, {self.posterior_schema}", lambda b: self._posterior(b, self._infer(b)[0]))
 
-    def objective(self, sequences: DataFrame) -> DataFrame:
+    def objective(self, sequences: DataFrame, block: int | None = None) -> DataFrame:
         """(session, seq, objective): exact log-likelihood, Laplace normalizer or lower bound, by family."""
-        table = learning.packed(self._check(sequences))
-        return learning.rows(table, "session int, seq long, objective double", lambda b: pd.DataFrame({"session": np.int32(b.session), "seq": b.seq, "objective": self._infer(b)[1]}))
+        found = learning.rows(self._table(sequences, block), "session int, seq long, objective double", lambda b: pd.DataFrame({"session": np.int32(b.session), "seq": b.seq, "objective": self._infer(b)[1]}))
+        return found if block is None else found.groupBy("session", "seq").agg(F.sum("objective").alias("objective"))
 
-    def fit(self, sequences: DataFrame, num_iters: int = 10) -> Fit:
+    def fit(self, sequences: DataFrame, num_iters: int = 10, block: int | None = None) -> Fit:
         """Exactly ``num_iters`` steps of (variational, Laplace) expectation-maximization."""
-        model, trace = self, []
-        with Packed(self._check(sequences)) as data:
-            for k in range(num_iters + 1):
-                current = model
-
-                def statistics(b: Batch, current: Model = current, last: bool = k == num_iters) -> dict[str, np.ndarray]:
-                    posterior, objective = current._infer(b)
-                    return {"objective": objective.sum()} | ({} if last else current._statistics(b, posterior))
-
-                sums = data.sums(lambda b, f=statistics: f(b))
-                trace.append(float(sum(s["objective"] for s in sums.values())))
-                if k < num_iters:
-                    model = model._maximise(sums, data)
-        return Fit(model, trace)
+        data = Packed(self._check(sequences)) if block is None else blocked.Blocked(self._check(sequences), block, self._overlap())
+        with data:
+            return fit_models({0: self}, data, num_iters)[0]
 
     def sample(self, spark: SparkSession, lengths: dict[int, list[int]] | None = None, seed: int = 0, inputs: DataFrame | None = None, history: np.ndarray | None = None) -> DataFrame:
         """Sequences of the model with the lengths of each session, and their latent truth; one random stream a sequence.
@@ -187,14 +194,56 @@ class Model:
     def _noisy(self, rng: np.random.Generator, session: int, x: np.ndarray) -> np.ndarray:
         e = self.params["emissions"][session]
         eta = x @ e["coefficients"].T + e["bias"]
-        if self.observations == POISSON:
-            return rng.poisson(np.exp(eta)).astype(float)
+        if self.likelihood is not None:
+            return self.likelihood.sample(rng, eta)
         return eta + rng.standard_normal(eta.shape) @ np.linalg.cholesky(e["covariance"]).T
 
     def replace(self, **changes) -> Model:
         return type(self)(self.params | changes, self.observations, self.diagonal)
 
 
+def fit_models(models: dict[int, Model], data: Packed | blocked.Blocked, num_iters: int = 10, owners: dict[int, list[int]] | None = None, tolerance: float | None = None) -> dict[int, Fit]:
+    """Fits models side by side: whatever their number, a step is one aggregation, and so is a Newton move of those that need any.
+
+    Without ``owners`` every model learns from all sessions. ``owners`` names the models of each session; such a model sees its
+    session as session 0. With ``tolerance``, a model whose objective rises by less than that share of it is left as it is.
+    """
+    now, traces, live = dict(models), {r: [] for r in models}, set(models)
+    if isinstance(data, blocked.Blocked) and len(models) > 1:
+        raise ValueError("blocks have the messages of one model")
+    for k in range(num_iters + 1):
+        current, last = {r: now[r] for r in sorted(live)}, k == num_iters
+        if isinstance(data, blocked.Blocked):
+            data.under(current[0])
+
+        def statistics(b: Batch, current: dict[int, Model] = current, last: bool = last) -> Iterator[tuple[int, int, dict[str, np.ndarray]]]:
+            for r, own in _views(b, current, owners):
+                posterior, objective = current[r]._infer(own)
+                yield r, own.session, {"objective": objective.sum()} | ({} if last else current[r]._statistics(own, posterior))
+
+        sums = data.all_sums(statistics)
+        for r in current:
+            traces[r].append(float(sum(s["objective"] for s in sums.get(r, {}).values())))
+            gain = traces[r][-1] - traces[r][-2] if k else np.inf
+            if last or (tolerance is not None and abs(gain) <= tolerance * (1 + abs(traces[r][-1]))):
+                live.discard(r)
+        if not live:
+            break
+        moving = {r: current[r] for r in sorted(live)}
+        regressing = {r: m for r, m in moving.items() if m._regresses() is not None}
+        newer = _regressions(regressing, data, owners) if regressing else {}
+        for r, m in moving.items():
+            now[r] = m._maximise(sums.get(r, {}), newer.get(r, {}))
+    return {r: Fit(now[r], traces[r]) for r in models}
+
+
+def _views(b: Batch, models: dict[int, Model], owners: dict[int, list[int]] | None) -> Iterator[tuple[int, Batch]]:
+    """The models that a batch is for, and the batch as each sees it."""
+    if owners is None:
+        return ((r, b) for r in models)
+    return ((r, b.as_session(0)) for r in owners.get(b.session, []) if r in models)
+
+
 def draw_states(rng: np.random.Generator, initial: np.ndarray, transition: np.ndarray, steps: int) -> np.ndarray:
     z = np.zeros(steps, np.int32)
     for t in range(steps):
@@ -209,25 +258,42 @@ class HMM(Model):
     family = "hmm"
     posterior_schema = "gamma array<double>, state int, xi_next array<array<double>>"
 
-    def _local(self, batch: Batch) -> np.ndarray:
-        e = self.params["emissions"][batch.session]
-        dist = Poisson(e["log_rates"]) if self.observations == POISSON else Gaussian(e["mean"], e["covariance"])
+    def _of(self, observations) -> None:
+        self.kind = kinds.state_kind(observations)
+
+    def _overlap(self) -> int:
+        return self.offset
+
+    def scan(self) -> blocked.DiscreteScan:
+        return blocked.DiscreteScan(self.params["initial_probs"], self.params["transition_probs"])
+
+    def elements(self, batch: Batch) -> np.ndarray:
+        return blocked.DiscreteScan.element(self.params["transition_probs"], *self._local(batch))
+
+    def _local(self, batch: Batch) -> tuple[np.ndarray, np.ndarray]:
+        """Log factors (B, R, K) of the chain's steps, and how many count."""
         seen = batch.weight[..., None] > 0
-        return np.where(seen, dist.log_prob(np.where(seen, batch.y, 0.0)), 0.0)
+        return np.where(seen, self.kind.log_prob(self.params["emissions"][batch.session], np.where(seen, batch.y, 0.0)), 0.0), batch.lengths
 
     def _infer(self, batch: Batch):
-        post = chains.discrete_chain(self.params["initial_probs"], self.params["transition_probs"], self._local(batch), batch.lengths)
+        local, lengths = self._local(batch)
+        if batch.before is None:
+            post = chains.discrete_chain(self.params["initial_probs"], self.params["transition_probs"], local, lengths)
+            return post, post.log_normalizer
+        post = chains.discrete_block(np.exp(batch.before), self.params["transition_probs"], local, lengths, batch.ahead)
         return post, post.log_normalizer
 
+    def _firsts(self, batch: Batch, gamma: np.ndarray) -> np.ndarray:
+        """Posterior of the first steps of sequences, added up."""
+        begins = np.ones(len(gamma), bool) if batch.block is None else batch.block == 0
+        return gamma[begins, 0].sum(0)
+
     def _statistics(self, batch: Batch, post: chains.DiscretePosterior) -> dict[str, np.ndarray]:
         w = post.gamma * batch.weight[..., None]
         y = np.where(batch.weight[..., None] > 0, batch.y, 0.0)
-        out = {"first": post.gamma[:, 0].sum(0), "pairs": post.xi.sum((0, 1)), "n": w.sum((0, 1)), "s": np.einsum("btk,btd->kd", w, y)}
-        if self.observations == GAUSSIAN:
-            out["q"] = np.einsum("btk,btd,bte->kde", w, y, y)
-        return out
+        return {"first": self._firsts(batch, post.gamma), "pairs": post.xi.sum((0, 1)), "n": w.sum((0, 1))} | self.kind.sums(w, y)
 
-    def _chain_step(self, sums: dict[int, dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    def _chain_step(self, sums: learning.Sums) -> dict[str, np.ndarray]:
         first = sum(s["first"] for s in sums.values())
         pairs = sum(s["pairs"] for s in sums.values())
         return {
@@ -235,26 +301,16 @@ class HMM(Model):
             "transition_probs": fits.categorical(pairs, self.params["transition_probs"], fits.MIN_OCCUPANCY),
         }
 
-    def _maximise(self, sums: dict[int, dict[str, np.ndarray]], data: Packed) -> HMM:
-        emissions = {}
-        for session, old in self.params["emissions"].items():
-            s = sums.get(session)
-            if s is None:
-                emissions[session] = old
-            elif self.observations == POISSON:
-                emissions[session] = {"log_rates": fits.poisson(s["n"], s["s"], old["log_rates"])}
-            else:
-                mean, cov = fits.gaussian(s["n"], s["s"], s["q"], (old["mean"], old["covariance"]), diagonal=self.diagonal)
-                emissions[session] = {"mean": mean, "covariance": cov}
+    def _maximise(self, sums: learning.Sums, newer: dict) -> HMM:
+        emissions = {session: self.kind.maximise(sums[session], old, self.diagonal) if session in sums else old for session, old in self.params["emissions"].items()}
         return self.replace(**self._chain_step(sums), emissions=emissions)
 
     def _posterior(self, batch: Batch, post: chains.DiscretePosterior) -> pd.DataFrame:
-        steps = batch.steps - self.offset
         lengths = np.maximum(batch.lengths - self.offset, 0)
         out = learning.step_rows(batch, {"gamma": post.gamma, "state": post.gamma.argmax(-1).astype(np.int32)}, self.offset, lengths)
-        on = np.arange(steps)[None, :] < lengths[:, None]
-        b, t = np.nonzero(on)
-        out["xi_next"] = [post.xi[i, j].tolist() if j + 1 < lengths[i] else None for i, j in zip(b, t, strict=True)]
+        b, t = np.nonzero(chains.valid(lengths, batch.steps - self.offset))
+        pairs = post.pairs()
+        out["xi_next"] = [x if on else None for x, on in zip(post.xi[b, np.minimum(t, post.xi.shape[1] - 1)].tolist() if post.xi.shape[1] else [None] * len(b), t < pairs[b], strict=True)]
         return out
 
     def decode(self, sequences: DataFrame) -> DataFrame:
@@ -274,16 +330,13 @@ class HMM(Model):
         """(session, seq, t, mean): posterior mean of the observation of each step."""
 
         def make(b: Batch) -> pd.DataFrame:
-            e = self.params["emissions"][b.session]
-            means = np.exp(e["log_rates"]) if self.observations == POISSON else e["mean"]
-            return learning.step_rows(b, {"mean": self._infer(b)[0].gamma @ means})
+            return learning.step_rows(b, {"mean": self._infer(b)[0].gamma @ self.kind.means(self.params["emissions"][b.session])})
 
         return learning.rows(learning.packed(self._check(sequences)), "session int, seq long, t int, mean array<double>", make)
 
     def _state_means(self, batch: Batch) -> np.ndarray:
         """(B, R, K, D) mean observation of every state at each step."""
-        e = self.params["emissions"][batch.session]
-        means = np.exp(e["log_rates"]) if self.observations == POISSON else e["mean"]
+        means = self.kind.means(self.params["emissions"][batch.session])
         return np.broadcast_to(means, (len(batch.seq), batch.steps, *means.shape))
 
     def state_means(self, sequences: DataFrame) -> DataFrame:
@@ -314,29 +367,19 @@ class HMM(Model):
 
     def match_states(self, means: np.ndarray, session: int = 0) -> HMM:
         """States in the order that brings the session's means closest to ``means``."""
-        e = self.params["emissions"][session]
-        return self.permute_states(align.match_by_mean(np.exp(e["log_rates"]) if self.observations == POISSON else e["mean"], np.asarray(means, float)))
+        return self.permute_states(align.match_by_mean(self.kind.means(self.params["emissions"][session]), np.asarray(means, float)))
 
     @classmethod
-    def initialize(cls, sequences: DataFrame, num_states: int, observations: str = GAUSSIAN, seed: int = 0, steps: int = 20, centers: dict[int, np.ndarray] | None = None, diagonal: bool = False) -> HMM:
+    def initialize(cls, sequences: DataFrame, num_states: int, observations: str | kinds.StateObservations = GAUSSIAN, seed: int = 0, steps: int = 20, centers: dict[int, np.ndarray] | None = None, diagonal: bool = False) -> HMM:
         """Uniform initial and sticky transition probabilities; emissions from K-means of each session's visible observations."""
-        emissions = {}
-        for session, (n, s, q) in _partition(sequences, sequences.where("visible").select("session", "y"), num_states, seed, steps, centers).items():
-            if observations == POISSON:
-                emissions[session] = {"log_rates": fits.poisson(n, s)}
-            else:
-                mean, cov = fits.gaussian(n, s, q, floor=fits.INIT_FLOOR, diagonal=diagonal)
-                emissions[session] = {"mean": mean, "covariance": cov}
+        kind = kinds.state_kind(observations)
+        rows = sequences.where("visible").select("session", kind.features(F.col("y")).alias("y"))
+        emissions = {session: kind.start(n, s, q, diagonal) for session, (n, s, q) in _partition(sequences, rows, num_states, seed, steps, centers).items()}
         return cls({"initial_probs": np.full(num_states, 1 / num_states), "transition_probs": sticky(num_states), "emissions": emissions}, observations, diagonal)
 
     def _sample(self, rng, session, steps, u, history):
         z = draw_states(rng, self.params["initial_probs"], self.params["transition_probs"], steps)
-        e = self.params["emissions"][session]
-        if self.observations == POISSON:
-            y = rng.poisson(np.exp(e["log_rates"][z])).astype(float)
-        else:
-            y = Gaussian(e["mean"][z], e["covariance"][z]).sample(rng)
-        return z, np.zeros((steps, 0)), y
+        return z, np.zeros((steps, 0)), self.kind.sample(rng, self.params["emissions"][session], z)
 
 
 def _sessions(sequences: DataFrame) -> list[int]:
@@ -379,6 +422,9 @@ class ARHMM(HMM):
         e = next(iter(self.params["emissions"]))
         self.offset = e["coefficients"].shape[-1] // e["coefficients"].shape[-2]
 
+    def _of(self, observations) -> None:
+        Model._of(self, observations)
+
     def windows(self, batch: Batch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Targets (B, R, D), histories (B, R, L * D), weights and lengths of the compact timeline."""
         lags, t = self.offset, batch.steps
@@ -388,38 +434,36 @@ class ARHMM(HMM):
             w *= batch.weight[:, lags - k : t - k]
         return batch.y[:, lags:], past, w, np.maximum(batch.lengths - lags, 0)
 
-    def _infer(self, batch: Batch):
+    def _local(self, batch: Batch) -> tuple[np.ndarray, np.ndarray]:
         if (batch.lengths <= self.offset).any():
             raise ValueError("a sequence has no step beyond its history")
         y, x, w, lengths = self.windows(batch)
         e = self.params["emissions"][batch.session]
         dist = LinearPoisson(e["coefficients"], e["bias"]) if self.observations == POISSON else LinearGaussian(e["coefficients"], e["bias"], e["covariance"])
         seen = w[..., None] > 0
-        local = np.where(seen, dist.log_prob(np.where(seen, y, 0.0), np.where(seen, x, 0.0)), 0.0)
-        post = chains.discrete_chain(self.params["initial_probs"], self.params["transition_probs"], local, lengths)
-        return post, post.log_normalizer
+        return np.where(seen, dist.log_prob(np.where(seen, y, 0.0), np.where(seen, x, 0.0)), 0.0), lengths
 
     def _statistics(self, batch: Batch, post):
         y, x, w, _ = self.windows(batch)
-        out = {"first": post.gamma[:, 0].sum(0), "pairs": post.xi.sum((0, 1)), "n": (post.gamma * w[..., None]).sum((0, 1))}
+        out = {"first": self._firsts(batch, post.gamma), "pairs": post.xi.sum((0, 1)), "n": (post.gamma * w[..., None]).sum((0, 1))}
         if self.observations == GAUSSIAN:
             v = np.where(w[..., None] > 0, np.concatenate([x, y], -1), 0.0)
             g = post.gamma * w[..., None]
             out |= {"s": np.einsum("btk,btd->kd", g, v), "q": np.einsum("btk,btd,bte->kde", g, v, v)}
         return out
 
-    def _maximise(self, sums, data: Packed) -> ARHMM:
+    def _regresses(self) -> Callable | None:
+        return fits.poisson_statistics if self.observations == POISSON else None
+
+    def _maximise(self, sums: learning.Sums, newer: dict) -> ARHMM:
         emissions = {}
-        newer = None
-        if self.observations == POISSON:
-            newer = _poisson_regressions(self, data)
         for session, old in self.params["emissions"].items():
             s = sums.get(session)
             if s is None:
                 emissions[session] = old
                 continue
             weak = s["n"] < fits.MIN_OCCUPANCY
-            if newer is not None:
+            if self.observations == POISSON:
                 w, b = newer[session]
                 emissions[session] = {"coefficients": np.where(weak[:, None, None], old["coefficients"], w), "bias": np.where(weak[:, None], old["bias"], b)}
             else:
@@ -449,10 +493,12 @@ class ARHMM(HMM):
         return learning.rows(learning.packed(self._check(sequences)), "session int, seq long, t int, mean array<double>", make)
 
     @classmethod
-    def initialize(cls, sequences: DataFrame, num_states: int, lags: int = 1, observations: str = GAUSSIAN, seed: int = 0, steps: int = 20, diagonal: bool = False) -> ARHMM:
-        """States from K-means of (observation, history); regressions within each."""
+    def initialize(cls, sequences: DataFrame, num_states: int, lags: int = 1, observations: str = GAUSSIAN, seed: int = 0, steps: int = 20, diagonal: bool = False, pooled: bool = False) -> ARHMM:
+        """States from K-means of (observation, history); regressions within each. With ``pooled`` all sessions are taken as session 0."""
         emissions = {}
         rows = lagged(sequences, lags).where("visible").select("session", F.concat(F.flatten("lags"), "y").alias("y"))
+        if pooled:
+            sequences, rows = (x.withColumn("session", F.lit(0)) for x in (sequences, rows))
         for session, (n, s, q) in _partition(sequences, rows, num_states, seed, steps).items():
             size = s.shape[1]
             inputs = size * lags // (lags + 1)
@@ -476,65 +522,92 @@ class ARHMM(HMM):
         return z, np.zeros((steps, 0)), y
 
 
-def _poisson_regressions(model, data: Packed) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Poisson regressions under a posterior: its rows are kept, and every Newton step is one aggregation over them.
-
-    All sessions and states move together; each output is halved by itself.
-    """
-    schema = "session int, w array<double>, x array<double>, y array<double>, spread array<double>"
+def _regressions(models: dict[int, Model], data: Packed | blocked.Blocked, owners: dict[int, list[int]] | None) -> dict[int, dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """Regressions under the posteriors of models that use one kind of measure: their rows are kept, and every Newton step is one aggregation."""
+    schema = "run int, session int, w array<double>, x array<double>, y array<double>, spread array<double>"
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def make(b: Batch) -> pd.DataFrame:
-        r = model.regressors(b)
-        n = len(r["x"])
-        flat = [[]] * n if r["spread"] is None else r["spread"].reshape(n, -1).tolist()
-        return pd.DataFrame({"session": np.full(n, b.session, np.int32), "w": r["w"].tolist(), "x": r["x"].tolist(), "y": r["y"].tolist(), "spread": flat})
+        frames = []
+        for r, own in _views(b, models, owners):
+            found = models[r].regressors(own)
+            n = len(found["x"])
+            flat = [[]] * n if found["spread"] is None else found["spread"].reshape(n, -1).tolist()
+            frames.append(pd.DataFrame({"run": np.full(n, r, np.int32), "session": np.full(n, own.session, np.int32), "w": found["w"].tolist(), "x": found["x"].tolist(), "y": found["y"].tolist(), "spread": flat}))
+        return pd.concat(frames) if frames else pd.DataFrame({n: [] for n in names})
 
     table = learning.rows(data.table, schema, make).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return regress_counts(table, {s: (e["coefficients"], e["bias"]) for s, e in model.params["emissions"].items() if s in data.sessions})
+        seen = {(r, s) for r in models for s in ((0,) if owners is not None else data.sessions)}
+        old = {(r, s): (e["coefficients"], e["bias"]) for r, m in models.items() for s, e in m.params["emissions"].items() if (r, s) in seen}
+        out: dict[int, dict] = defaultdict(dict)
+        for (r, s), found in regress(table, old, {r: m._regresses() for r, m in models.items()}).items():
+            out[r][s] = found
+        return dict(out)
     finally:
         table.unpersist()
 
 
-def regress_counts(table: DataFrame, old: dict[int, tuple[np.ndarray, np.ndarray]], steps: int = 5) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Poisson regressions of rows (session, w, x, y, spread), from the coefficients and biases ``old`` of each session."""
-    shapes = {s: (np.atleast_3d(w).shape if w.ndim == 3 else (1, *w.shape)) for s, (w, _) in old.items()}
-    start = np.concatenate([np.concatenate([w.reshape(shapes[s]), b.reshape(shapes[s][:2])[..., None]], -1).reshape(-1, shapes[s][2] + 1) for s, (w, b) in old.items()])
+def regress_counts(table: DataFrame, old: dict[int, tuple[np.ndarray, np.ndarray]], steps: int = 5, statistics: Callable = fits.poisson_statistics) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Regressions of rows (session, w, x, y, spread), from the coefficients and biases ``old`` of each session."""
+    found = regress(table.withColumn("run", F.lit(0)), {(0, s): v for s, v in old.items()}, {0: statistics}, steps)
+    return {s: v for (_, s), v in found.items()}
+
 
-    def parts(theta: np.ndarray) -> dict[int, np.ndarray]:
+def regress(table: DataFrame, old: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]], statistics: dict[int, Callable], steps: int = 5) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
+    """Regressions of rows (run, session, w, x, y, spread), from the coefficients and biases ``old`` of each run and session.
+
+    All move together, a step or half step being one aggregation; each output is halved by itself. A session without rows keeps its own.
+    """
+    shapes = {k: (np.atleast_3d(w).shape if w.ndim == 3 else (1, *w.shape)) for k, (w, _) in old.items()}
+    inputs = {p for _, _, p in shapes.values()}
+    if len(inputs) != 1:  # as many runs of Newton steps as there are sizes
+        each = [regress(table.where(F.size("x") == p), {k: v for k, v in old.items() if shapes[k][2] == p}, statistics, steps) for p in sorted(inputs)]
+        return {k: v for found in each for k, v in found.items()}
+    start = np.concatenate([np.concatenate([w.reshape(shapes[k]), b.reshape(shapes[k][:2])[..., None]], -1).reshape(-1, shapes[k][2] + 1) for k, (w, b) in old.items()])
+
+    def parts(theta: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
         out, at = {}, 0
-        for s, (k, o, p) in shapes.items():
-            out[s] = theta[at : at + k * o].reshape(k, o, p + 1)
+        for key, (k, o, p) in shapes.items():
+            out[key] = theta[at : at + k * o].reshape(k, o, p + 1)
             at += k * o
         return out
 
     def measure(theta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         now = parts(theta)
 
-        def pieces(frames: Iterator[pd.DataFrame]):
-            for frame in frames:
-                for session, own in frame.groupby("session"):
+        def pieces(batches):
+            for batch in batches:
+                for (run, session), own in batch.to_pandas().groupby(["run", "session"]):
                     w, x, y = (np.array(own[c].tolist(), float) for c in ("w", "x", "y"))
+                    x = x.reshape(len(own), -1)
                     spread = np.array(own["spread"].tolist(), float)
                     spread = spread.reshape(len(x), x.shape[1], x.shape[1]) if spread.size else None
                     for k in range(w.shape[1]):
-                        v, g, h = fits.poisson_statistics(now[session][k, :, :-1], now[session][k, :, -1], y, x, w[:, k], spread)
-                        yield session, {f"v{k}": v, f"g{k}": g, f"h{k}": h, f"n{k}": w[:, k].sum(), f"m{k}": (w[:, k, None] * x**2).sum(0)}
+                        theta = now[run, session][k]
+                        v, g, h = statistics[run](theta[:, :-1], theta[:, -1], y, x, w[:, k], spread)
+                        yield run, session, {f"v{k}": v, f"g{k}": g, f"h{k}": h, f"n{k}": w[:, k].sum(), f"m{k}": (w[:, k, None] * x**2).sum(0)}
 
         got = learning.total(table, pieces)
         value, gradient, hessian = [], [], []
-        for s, (k, o, p) in shapes.items():
+        for (run, session), (k, o, p) in shapes.items():
+            found = got.get(run, {}).get(session)
             for j in range(k):
-                scale = max(got[s][f"m{j}"].mean(), np.finfo(float).tiny) if p else 1.0
+                if found is None:
+                    value.append(np.zeros(o))
+                    gradient.append(np.zeros((o, p + 1)))
+                    hessian.append(np.tile(-np.eye(p + 1), (o, 1, 1)))
+                    continue
+                scale = max(found[f"m{j}"].mean(), np.finfo(float).tiny) if p else 1.0
                 rho = fits.RIDGE * scale + 1e-8
-                c = now[s][j, :, :p]
-                value.append(got[s][f"v{j}"] - 0.5 * rho * (c**2).sum(-1))
-                gradient.append(got[s][f"g{j}"] - rho * np.concatenate([c, np.zeros((o, 1))], 1))
-                hessian.append(got[s][f"h{j}"] - rho * np.diag([1.0] * p + [0.0]))
+                c = now[run, session][j, :, :p]
+                value.append(found[f"v{j}"] - 0.5 * rho * (c**2).sum(-1))
+                gradient.append(found[f"g{j}"] - rho * np.concatenate([c, np.zeros((o, 1))], 1))
+                hessian.append(found[f"h{j}"] - rho * np.diag([1.0] * p + [0.0]))
         return np.concatenate(value), np.concatenate(gradient), np.concatenate(hessian)
 
     found = parts(fits.newton(start, measure, steps=steps, tolerance=1e-6))
-    return {s: (found[s][..., :-1].reshape(old[s][0].shape), found[s][..., -1].reshape(old[s][1].shape)) for s in found}
+    return {k: (found[k][..., :-1].reshape(old[k][0].shape), found[k][..., -1].reshape(old[k][1].shape)) for k in found}
 
 
 class LDS(Model):
@@ -546,6 +619,33 @@ class LDS(Model):
     family = "lds"
     posterior_schema = "mean array<double>, cov array<array<double>>, cross_next array<array<double>>"
 
+    def _of(self, observations) -> None:
+        self.likelihood = kinds.likelihood_kind(observations)
+
+    def _overlap(self) -> int:
+        if self.likelihood is not None:
+            return super()._overlap()
+        return 1
+
+    def scan(self) -> blocked.GaussianScan:
+        return blocked.GaussianScan(len(self.params["initial_mean"]))
+
+    def elements(self, batch: Batch) -> np.ndarray:
+        return self.scan().element(self._factors(batch))
+
+    @staticmethod
+    def _own(batch: Batch) -> np.ndarray:
+        """(B, T) steps that belong to a batch: a block's first step belongs to the block before it, but in the first block."""
+        on = chains.valid(batch.lengths, batch.steps)
+        if batch.block is not None and batch.steps:
+            on[:, 0] &= batch.block == 0
+        return on
+
+    def _factors(self, batch: Batch) -> chains.GaussianFactors:
+        """Prior and emissions of a batch."""
+        e = self.params["emissions"][batch.session]
+        return chains.add_gaussian_emissions(self._prior(batch), batch.y, batch.weight * self._own(batch), e["coefficients"], e["bias"], e["covariance"])
+
     def _drive(self, batch: Batch) -> np.ndarray:
         p = self.params
         bias = np.broadcast_to(p["dynamics_bias"], (len(batch.seq), max(batch.steps - 1, 0), len(p["dynamics_bias"])))
@@ -554,41 +654,46 @@ class LDS(Model):
     def _prior(self, batch: Batch) -> chains.GaussianFactors:
         p = self.params
         shape = (len(batch.seq), max(batch.steps - 1, 0), *p["dynamics_covariance"].shape)
-        return chains.linear_factors(p["initial_mean"], p["initial_covariance"], np.broadcast_to(p["dynamics_coefficients"], shape), self._drive(batch), np.broadcast_to(p["dynamics_covariance"], shape), batch.steps, batch.lengths)
+        return chains.linear_factors(p["initial_mean"], p["initial_covariance"], np.broadcast_to(p["dynamics_coefficients"], shape), self._drive(batch), np.broadcast_to(p["dynamics_covariance"], shape), batch.steps, batch.lengths, None if batch.block is None else batch.block == 0)
 
     def _infer(self, batch: Batch):
         e = self.params["emissions"][batch.session]
-        prior = self._prior(batch)
-        if self.observations == POISSON:
+        if self.likelihood is not None:
             y = np.where(batch.weight[..., None] > 0, batch.y, 0.0)
-            post, _ = chains.laplace_chain(prior, y, batch.weight, e["coefficients"], e["bias"], log_factorial(y))
+            post, _ = chains.laplace_chain(self._prior(batch), y, batch.weight, e["coefficients"], e["bias"], self.likelihood)
+        elif batch.before is None:
+            post = chains.gaussian_chain(self._factors(batch))
         else:
-            post = chains.gaussian_chain(chains.add_gaussian_emissions(prior, batch.y, batch.weight, e["coefficients"], e["bias"], e["covariance"]))
+            # Every block's normalizer is that of the whole sequence; the first block stands for all.
+            post = chains.gaussian_chain(self.scan().with_messages(self._factors(batch), batch.before, batch.ahead))
+            return post, np.where(batch.block == 0, post.log_normalizer, 0.0)
         return post, post.log_normalizer
 
     def _statistics(self, batch: Batch, post: chains.GaussianPosterior) -> dict[str, np.ndarray]:
-        on = chains.valid(batch.lengths, batch.steps)
+        on = self._own(batch)
         out = _latent_statistics(batch, post, np.ones((len(batch.seq), batch.steps, 1)), "dynamics_input_coefficients" in self.params)
         out |= {"all_n": on.sum(), "all_s": (post.mean * on[..., None]).sum((0, 1)), "all_q": (post.second() * on[..., None, None]).sum((0, 1))}
-        if self.observations == GAUSSIAN:
-            out |= _emission_statistics(batch, post)
+        if self.likelihood is None:
+            out |= _emission_statistics(batch, post, on)
         return out
 
-    def _emissions(self, sums, data: Packed) -> dict[int, dict[str, np.ndarray]]:
-        newer = _poisson_regressions(self, data) if self.observations == POISSON else {}
+    def _regresses(self) -> Callable | None:
+        return None if self.likelihood is None else self.likelihood.statistics
+
+    def _emissions(self, sums: learning.Sums, newer: dict) -> dict[int, dict[str, np.ndarray]]:
         out = {}
         for session, old in self.params["emissions"].items():
             s = sums.get(session)
             if s is None:
                 out[session] = old
-            elif self.observations == POISSON:
+            elif self.likelihood is not None:
                 out[session] = {"coefficients": newer[session][0], "bias": newer[session][1]}
             else:
                 w, b, c = fits.regression(s["en"], s["es"], s["eq"], old["coefficients"].shape[-1], diagonal=self.diagonal)
                 out[session] = {"coefficients": w, "bias": b, "covariance": c} if s["en"] > 0 else old
         return out
 
-    def _maximise(self, sums, data: Packed) -> LDS:
+    def _maximise(self, sums: learning.Sums, newer: dict) -> LDS:
         p = self.params
         add = {k: sum(s[k] for s in sums.values()) for k in ("xn", "xs", "xq", "tn", "ts", "tq", "all_n", "all_s", "all_q")}
         mean, cov = fits.moments(add["xn"][0], add["xs"][0], add["xq"][0])
@@ -601,7 +706,7 @@ class LDS(Model):
             changes |= {"dynamics_coefficients": w[:, :d], "dynamics_bias": b, "dynamics_covariance": q}
             if "dynamics_input_coefficients" in p:
                 changes["dynamics_input_coefficients"] = w[:, d:]
-        return self.replace(**changes, emissions=self._emissions(sums, data))
+        return self.replace(**changes, emissions=self._emissions(sums, newer))
 
     def regressors(self, batch: Batch) -> dict[str, np.ndarray]:
         post = self._infer(batch)[0]
@@ -610,9 +715,12 @@ class LDS(Model):
         return {"w": np.ones((int(on.sum()), 1)), "x": post.mean[on], "y": batch.y[on], "spread": post.cov[on]}
 
     def _posterior(self, batch: Batch, post: chains.GaussianPosterior) -> pd.DataFrame:
-        out = learning.step_rows(batch, {"mean": post.mean, "cov": post.cov})
-        b, t = np.nonzero(chains.valid(batch.lengths, batch.steps))
-        out["cross_next"] = [post.cross[i, j].tolist() if j + 1 < batch.lengths[i] else None for i, j in zip(b, t, strict=True)]
+        # A block's last step is the next block's first one, and comes with its cross covariance there.
+        lengths = batch.lengths if batch.ahead is None else batch.lengths - ~np.isnan(batch.ahead).all(1)
+        out = learning.step_rows(batch, {"mean": post.mean, "cov": post.cov}, lengths=lengths)
+        b, t = np.nonzero(chains.valid(lengths, batch.steps))
+        pairs = post.cross[b, np.minimum(t, post.cross.shape[1] - 1)].tolist() if post.cross.shape[1] else [None] * len(b)
+        out["cross_next"] = [x if on else None for x, on in zip(pairs, t + 1 < batch.lengths[b], strict=True)]
         return out
 
     def elbo(self, sequences: DataFrame) -> DataFrame:
@@ -620,10 +728,10 @@ class LDS(Model):
 
         def make(b: Batch) -> pd.DataFrame:
             post, objective = self._infer(b)
-            if self.observations == POISSON:
+            if self.likelihood is not None:
                 prior = self._prior(b)
                 inner = prior.value(post.mean) - 0.5 * np.einsum("btij,btji->b", np.where(chains.valid(b.lengths, b.steps)[..., None, None], prior.diag, 0.0), post.cov) - np.einsum("btij,btji->b", prior.lower, post.cross)
-                objective = inner + _expected_poisson(b, post, self.params["emissions"][b.session]) + post.entropy()
+                objective = inner + _expected(b, post, self.params["emissions"][b.session], self.likelihood) + post.entropy()
             return pd.DataFrame({"session": np.int32(b.session), "seq": b.seq, "elbo": objective, "entropy": post.entropy()})
 
         return learning.rows(learning.packed(sequences), "session int, seq long, elbo double, entropy double", make)
@@ -651,8 +759,8 @@ class LDS(Model):
             post = getattr(post, "latents", post)
             e = self.params["emissions"][b.session]
             eta = post.mean @ e["coefficients"].T + e["bias"]
-            if self.observations == POISSON:
-                eta = np.exp(eta + 0.5 * np.einsum("oi,btij,oj->bto", e["coefficients"], post.cov, e["coefficients"]))
+            if self.likelihood is not None:
+                eta = self.likelihood.expected_mean(eta, np.einsum("oi,btij,oj->bto", e["coefficients"], post.cov, e["coefficients"]))
             return learning.step_rows(b, {"mean": eta})
 
         return learning.rows(learning.packed(sequences), "session int, seq long, t int, mean array<double>", make)
@@ -675,11 +783,12 @@ class LDS(Model):
         return self.align(Affine(w, np.zeros(len(w))))
 
     @classmethod
-    def initialize(cls, sequences: DataFrame, latent_dim: int, observations: str = GAUSSIAN, diagonal: bool = False) -> LDS:
-        """Principal components of each session's visible observations (log(1 + count) for counts); damped identity dynamics."""
+    def initialize(cls, sequences: DataFrame, latent_dim: int, observations: str | kinds.Likelihood = GAUSSIAN, diagonal: bool = False) -> LDS:
+        """Principal components of each session's visible observations (as their likelihood links them); damped identity dynamics."""
         emissions = {}
+        likelihood = kinds.likelihood_kind(observations)
         rows = sequences.where("visible")
-        sums = moments.vector_sums(rows.withColumn("y", F.transform("y", F.log1p)) if observations == POISSON else rows, "y", "session")
+        sums = moments.vector_sums(rows if likelihood is None else rows.withColumn("y", F.transform("y", likelihood.link)), "y", "session")
         for session in _sessions(sequences):
             if session not in sums:
                 raise ValueError(f"nothing visible to start from in session {session}")
@@ -691,7 +800,7 @@ class LDS(Model):
             w = np.zeros((size, latent_dim))
             w[:, : len(scale)] = directions * scale
             e = {"coefficients": w, "bias": mean}
-            if observations == GAUSSIAN:
+            if likelihood is None:
                 rest = max(1e-2 * float(variances.sum()), 1e-6)
                 e["covariance"] = rest * np.eye(size)
             emissions[session] = e
@@ -715,7 +824,7 @@ def _composed(emissions: Emissions, back: Affine) -> Emissions:
 
 def _latent_statistics(batch: Batch, post: chains.GaussianPosterior, weight: np.ndarray, inputs: bool) -> dict[str, np.ndarray]:
     """Initial sums (xn, xs, xq) and joint sums of ([x_t-1, u_t], x_t) (tn, ts, tq) for each of the K columns of ``weight``."""
-    first = weight[:, 0] * (batch.lengths > 0)[:, None]
+    first = weight[:, 0] * ((batch.lengths > 0) & (True if batch.block is None else batch.block == 0))[:, None]
     second = post.second()
     w = weight[:, 1:] * chains.valid(batch.lengths, batch.steps)[:, 1:, None]
     u = batch.u[:, 1:, : None if inputs else 0]
@@ -732,9 +841,9 @@ def _latent_statistics(batch: Batch, post: chains.GaussianPosterior, weight: np.
     }
 
 
-def _emission_statistics(batch: Batch, post: chains.GaussianPosterior) -> dict[str, np.ndarray]:
-    """Joint sums of (x, y) of visible steps."""
-    w = batch.weight
+def _emission_statistics(batch: Batch, post: chains.GaussianPosterior, on: np.ndarray) -> dict[str, np.ndarray]:
+    """Joint sums of (x, y) of visible steps that are ``on``."""
+    w = batch.weight * on
     v = np.concatenate([post.mean, np.where(w[..., None] > 0, batch.y, 0.0)], -1)
     d = post.mean.shape[-1]
     q = np.einsum("bt,bti,btj->ij", w, v, v)
@@ -742,11 +851,10 @@ def _emission_statistics(batch: Batch, post: chains.GaussianPosterior) -> dict[s
     return {"en": w.sum(), "es": np.einsum("bt,bti->i", w, v), "eq": q}
 
 
-def _expected_poisson(b: Batch, post: chains.GaussianPosterior, e: dict) -> np.ndarray:
+def _expected(b: Batch, post: chains.GaussianPosterior, e: dict, likelihood: kinds.Likelihood) -> np.ndarray:
     y = np.where(b.weight[..., None] > 0, b.y, 0.0)
-    eta = post.mean @ e["coefficients"].T + e["bias"]
-    half = 0.5 * np.einsum("oi,btij,oj->bto", e["coefficients"], post.cov, e["coefficients"])
-    return (np.where(b.weight[..., None] > 0, y * eta - np.exp(eta + half) - log_factorial(y), 0.0)).sum((1, 2))
+    value = likelihood.expected(y, post.mean @ e["coefficients"].T + e["bias"], np.einsum("oi,btij,oj->bto", e["coefficients"], post.cov, e["coefficients"]))[0]
+    return (np.where(b.weight[..., None] > 0, value, 0.0)).sum((1, 2))
 
 
 def _expected_gaussian(b: Batch, post: chains.GaussianPosterior, e: dict) -> np.ndarray:
@@ -766,6 +874,11 @@ class SLDS(LDS):
     family = "slds"
     posterior_schema = "gamma array<double>, state int, mean array<double>, cov array<array<double>>"
     inference_iters = 5
+    #: Whether mean field starts with all states alike at every step, or with the initial probabilities.
+    even_start = False
+
+    def _overlap(self) -> int:
+        return Model._overlap(self)
 
     def _infer(self, batch: Batch):
         p = self.params
@@ -774,26 +887,27 @@ class SLDS(LDS):
         if "dynamics_input_coefficients" in p:
             bias = bias + np.einsum("kdi,bti->btkd", p["dynamics_input_coefficients"], batch.u[:, 1:])
         y = np.where(batch.weight[..., None] > 0, batch.y, 0.0)
-        counts = log_factorial(y) if self.observations == POISSON else None
 
         def emit(prior: chains.GaussianFactors, before: chains.GaussianPosterior | None) -> tuple[chains.GaussianPosterior, Callable]:
-            if self.observations == POISSON:
-                post, _ = chains.laplace_chain(prior, y, batch.weight, e["coefficients"], e["bias"], counts, None if before is None else before.mean)
-                return post, lambda x: _expected_poisson(batch, x, e)
+            if self.likelihood is not None:
+                post, _ = chains.laplace_chain(prior, y, batch.weight, e["coefficients"], e["bias"], self.likelihood, None if before is None else before.mean)
+                return post, lambda x: _expected(batch, x, e, self.likelihood)
             return chains.gaussian_chain(chains.add_gaussian_emissions(prior, batch.y, batch.weight, e["coefficients"], e["bias"], e["covariance"])), lambda x: _expected_gaussian(batch, x, e)
 
-        post = chains.switching_chain(p["initial_probs"], p["transition_probs"], p["latent_initial_means"], p["latent_initial_covariances"], p["dynamics_coefficients"], bias, p["dynamics_covariances"], batch.lengths, batch.steps, emit, self.inference_iters)
+        k = len(p["initial_probs"])
+        start = np.full((len(batch.seq), batch.steps, k), 1 / k) if self.even_start else None
+        post = chains.switching_chain(p["initial_probs"], p["transition_probs"], p["latent_initial_means"], p["latent_initial_covariances"], p["dynamics_coefficients"], bias, p["dynamics_covariances"], batch.lengths, batch.steps, emit, self.inference_iters, start)
         return post, post.bound
 
     def _statistics(self, batch: Batch, post: chains.SwitchingPosterior) -> dict[str, np.ndarray]:
         on = chains.valid(batch.lengths, batch.steps)
         out = {"first": post.states.gamma[:, 0].sum(0), "pairs": post.states.xi.sum((0, 1))} | _latent_statistics(batch, post.latents, post.states.gamma, "dynamics_input_coefficients" in self.params)
         out |= {"all_n": on.sum(), "all_s": (post.latents.mean * on[..., None]).sum((0, 1)), "all_q": (post.latents.second() * on[..., None, None]).sum((0, 1))}
-        if self.observations == GAUSSIAN:
-            out |= _emission_statistics(batch, post.latents)
+        if self.likelihood is None:
+            out |= _emission_statistics(batch, post.latents, on)
         return out
 
-    def _maximise(self, sums, data: Packed) -> SLDS:
+    def _maximise(self, sums: learning.Sums, newer: dict) -> SLDS:
         p = self.params
         add = {k: sum(s[k] for s in sums.values()) for k in ("first", "pairs", "xn", "xs", "xq", "tn", "ts", "tq", "all_n", "all_s", "all_q")}
         mean, cov = fits.moments(add["xn"], add["xs"], add["xq"])
@@ -810,7 +924,7 @@ class SLDS(LDS):
         }
         if "dynamics_input_coefficients" in p:
             changes["dynamics_input_coefficients"] = np.where(weak[:, None, None], p["dynamics_input_coefficients"], w[..., d:])
-        return self.replace(**changes, emissions=self._emissions(sums, data))
+        return self.replace(**changes, emissions=self._emissions(sums, newer))
 
     def _posterior(self, batch: Batch, post: chains.SwitchingPosterior) -> pd.DataFrame:
         g = post.states.gamma
@@ -861,4 +975,7 @@ class SLDS(LDS):
         return z, x, self._noisy(rng, session, x)
 
 
-FAMILIES = {c.family: c for c in (HMM, ARHMM, LDS, SLDS)}
+def _families() -> dict[str, type[Model]]:
+    from driftline.plans.walks import GatedWalk
+
+    return {c.family: c for c in (HMM, ARHMM, LDS, SLDS, GatedWalk)}

@@ -17,15 +17,19 @@ from driftline.functions import fits
 from driftline.functions.dists import Affine, floored
 from driftline.operators import chains, cluster, learning, moments
 from driftline.operators.structure import interpolated, order
-from driftline.plans.models import ARHMM, GAUSSIAN, LDS, POISSON, SLDS, Emissions, _sessions, regress_counts
+from driftline.functions.observations import GAUSSIAN, POISSON, Likelihood, likelihood_kind
+from driftline.plans.models import ARHMM, LDS, SLDS, Emissions, _sessions, fit_models, regress_counts
 
 #: Fixed value: counts below it are raised to it before the logarithm.
 COUNT_FLOOR = 0.1
 
 
-def link(y: Column, observations: str, count_floor: float = COUNT_FLOOR) -> Column:
-    """Observations as principal components see them: counts by their floored logarithm."""
-    return F.transform(y, lambda v: F.log(F.greatest(v, F.lit(count_floor)))) if observations == POISSON else y
+def link(y: Column, observations: str | Likelihood, count_floor: float = COUNT_FLOOR) -> Column:
+    """Observations as principal components see them: counts by their floored logarithm, others by their likelihood's link."""
+    if observations == POISSON:
+        return F.transform(y, lambda v: F.log(F.greatest(v, F.lit(count_floor))))
+    kind = likelihood_kind(observations)
+    return y if kind is None else F.transform(y, kind.link)
 
 
 def projections(sequences: DataFrame, latent_dim: int, observations: str = GAUSSIAN) -> dict[int, Affine]:
@@ -90,8 +94,8 @@ def emissions_from_latents(rows: DataFrame, observations: str = GAUSSIAN, diagon
         return Emissions(out)
     table = seen.select("session", F.array(F.lit(1.0)).alias("w"), "x", "y", F.array().cast("array<double>").alias("spread")).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        begin = {s: (np.zeros((len(first) - d, d)), fits.poisson(np.asarray(n), first[d:])) for s, (n, first, _) in sums.items()}
-        return Emissions({s: {"coefficients": w, "bias": b} for s, (w, b) in regress_counts(table, begin, steps=20).items()})
+        begin = {s: (np.zeros((len(first) - d, d)), fits.poisson(np.asarray(n), first[d:]) if observations == POISSON else np.zeros(len(first) - d)) for s, (n, first, _) in sums.items()}
+        return Emissions({s: {"coefficients": w, "bias": b} for s, (w, b) in regress_counts(table, begin, 20, likelihood_kind(observations).statistics).items()})
     finally:
         table.unpersist()
 
@@ -134,12 +138,14 @@ def slds_from_arhmm(arhmm: ARHMM, latents: DataFrame, emissions: Emissions, obse
     """A switching system whose chain and dynamics are those of an AR-HMM of one lag over ``latents`` (:func:`as_observations`).
 
     State occupancy gives the initial probabilities, and latents that count give each state's initial Gaussian; states
-    with too little weight take the Gaussian of all. Dynamics are shared, so the AR-HMM has one session.
+    with too little weight take the Gaussian of all. All sessions of ``latents`` are pooled: dynamics are shared, so the AR-HMM
+    has the regression of one session, which stands for all.
     """
     if arhmm.offset != 1 or arhmm.observations != GAUSSIAN or len(arhmm.params["emissions"]) != 1:
         raise ValueError("an AR-HMM of one lag, Gaussian observations and one session is needed")
 
     def statistics(b: learning.Batch) -> dict[str, np.ndarray]:
+        b = b.as_session(own)
         gamma = arhmm._infer(b)[0].gamma
         y, _, w, lengths = arhmm.windows(b)
         y = np.where(w[..., None] > 0, y, 0.0)
@@ -147,6 +153,7 @@ def slds_from_arhmm(arhmm: ARHMM, latents: DataFrame, emissions: Emissions, obse
         on = chains.valid(lengths, y.shape[1])
         return {"counts": (gamma * on[..., None]).sum((0, 1)), "n": g.sum((0, 1)), "s": np.einsum("btk,btd->kd", g, y), "q": np.einsum("btk,btd,bte->kde", g, y, y)}
 
+    own = next(s for s, _ in arhmm.params["emissions"].items())
     with learning.Packed(latents) as data:
         sums = list(data.sums(statistics).values())
     counts, n, s, q = (sum(x[k] for x in sums) for k in ("counts", "n", "s", "q"))
@@ -164,17 +171,18 @@ def slds_from_arhmm(arhmm: ARHMM, latents: DataFrame, emissions: Emissions, obse
 def slds_via_arhmm(sequences: DataFrame, num_states: int, latent_dim: int, observations: str = GAUSSIAN, num_iters: int = 10, seed: int = 0, diagonal: bool = False) -> SLDS:
     """Pseudo-latents, an AR-HMM of them fitted for ``num_iters`` steps, and the switching system it gives.
 
-    For one session without inputs (``Collection.from_sessions`` for more); every sequence needs two steps.
+    Sessions are projected each by itself and then pooled, whatever their widths. Inputs have no part in the AR-HMM; their
+    coefficients start at zero, and fits of the system learn them. Every sequence needs two steps.
     """
-    if len(_sessions(sequences)) != 1:
-        raise ValueError("sessions share no pseudo-latents: one at a time")
     rows = pseudo_latents(sequences, latent_dim, observations).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        if _sizes(rows)[1]:
-            raise ValueError("inputs have no part in an AR-HMM of latents")
+        _, inputs = _sizes(rows)
         latents = as_observations(rows)
-        arhmm = ARHMM.initialize(latents, num_states, 1, seed=seed).fit(latents, num_iters).model
-        return slds_from_arhmm(arhmm, latents, emissions_from_latents(rows, observations, diagonal), observations, diagonal)
+        start = ARHMM.initialize(latents, num_states, 1, seed=seed, pooled=True)
+        with learning.Packed(latents) as data:
+            arhmm = fit_models({0: start}, data, num_iters, {s: [0] for s in data.sessions})[0].model
+        found = slds_from_arhmm(arhmm, latents, emissions_from_latents(rows, observations, diagonal), observations, diagonal)
+        return found.replace(dynamics_input_coefficients=np.zeros((num_states, latent_dim, inputs))) if inputs else found
     finally:
         rows.unpersist()
 

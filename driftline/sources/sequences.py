@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +32,34 @@ def from_events(events: DataFrame, observation: Column | None = None, session: C
     )
 
 
+def numbered(rows: DataFrame, order: list[str], number: str = "t") -> DataFrame:
+    """Adds ``number``: gapless from 0 in ``order`` over the whole table, without bringing it into one task.
+
+    Rows are sorted by ranges; each range is numbered by itself and moved by the counts of the ranges before it, of which the
+    driver sees one number a range. The sorted rows are held in memory and on disk, as both passes have to see the same ranges;
+    ``order`` has to tell all rows apart.
+    """
+    place = F.monotonically_increasing_id()  # range * 2^33 + place within it
+    kept = rows.orderBy(*order).withColumn("_place", place).persist(StorageLevel.MEMORY_AND_DISK)
+    counts = kept.groupBy(F.shiftright("_place", 33).alias("_range")).count().orderBy("_range").collect()
+    moved, before = [], 0
+    for r in counts:
+        moved.append((r["_range"], before))
+        before += r["count"]
+    begins = rows.sparkSession.createDataFrame(moved, "_range long, _before long")
+    inner = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    joined = kept.withColumn("_range", F.shiftright("_place", 33)).join(F.broadcast(begins), "_range")  # one row a range
+    return joined.withColumn(number, F.col("_before") + inner).drop("_place", "_range", "_before")
+
+
+def single(events: DataFrame, order: list[str], observation: Column, inputs: Column | None = None, hidden: Column | None = None) -> DataFrame:
+    """All rows of a table as one sequence, in ``order``; it may be longer than a task can hold (see ``block`` of the models)."""
+    rows = numbered(events, order)
+    visible = F.lit(True) if hidden is None else ~hidden
+    u = F.array().cast("array<double>") if inputs is None else inputs
+    return rows.select(F.lit(0).alias("session"), F.lit(0).cast("long").alias("seq"), F.col("t").cast("int").alias("t"), observation.alias("y"), u.alias("u"), (visible & observation.isNotNull()).alias("visible"))
+
+
 def from_arrays(spark: SparkSession, sessions: Sequence[Sequence[np.ndarray]], inputs: Sequence[Sequence[np.ndarray]] | None = None, visible: Sequence[Sequence[np.ndarray]] | None = None) -> DataFrame:
     """Sequences of in-memory arrays: ``sessions[s][n]`` is (T, D); for small data and tests."""
     rows = []
