@@ -9,7 +9,7 @@ import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from driftline.llm import mixing, near_dedup, packing, records, sharding  # noqa: E402
+from driftline.llm import mixing, near_dedup, packing, records, sharding, substring_dedup  # noqa: E402
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -192,3 +192,79 @@ def test_mixing_against_exact_least_squares(spark):
     exact = merged @ rates
     assert loss < 1e-12
     np.testing.assert_allclose(share, exact / exact.sum(), atol=5e-3)
+
+
+# Passages
+
+
+def vocabulary(rng, n):
+    return ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(n)]
+
+
+def passage_texts(spark, texts):
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+
+
+@pytest.mark.parametrize("parts", [3, 2])
+def test_passages_whose_parts_stand_in_many_other_documents(spark, parts):
+    """Pairs share a passage of 120 words; each of its parts, too short to report, also stands in an older document, in documents
+    between the two, and in a younger one. At least nine in ten pairs are found."""
+    rng = np.random.default_rng(11)
+    words = vocabulary(rng, 5000)
+    size = 40 if parts == 3 else 45
+    around = lambda inner: " ".join([*rng.choice(words, 25), *inner, *rng.choice(words, 25)])
+    texts, want, old, between, late = [], [], [], [], []
+    passages = [[list(rng.choice(words, size)) for _ in range(parts)] for _ in range(30)]
+    for own in passages:
+        old += [around(p) for p in own]
+        between += [around(p) for p in own for _ in range(2)]
+        late += [around(p) for p in own]
+    first = [around(sum(own, [])) for own in passages]
+    second = [around(sum(own, [])) for own in passages]
+    texts = old + first + between + second + late
+    begin = len(old), len(old) + len(first) + len(between)
+    want = {(begin[0] + k, begin[1] + k) for k in range(30)}
+    got = {(r["match_doc_id"], r["doc_id"]) for r in substring_dedup.repeated_passages(passage_texts(spark, texts)).collect()}
+    assert len(got & want) >= 27, len(got & want)
+    assert got <= want
+
+
+def test_short_passages_at_the_least_identity(spark):
+    """Isolated pairs with 50 to 55 words of which eight in ten are equal: at least nine in ten of those that have such a passage are found."""
+    rng = np.random.default_rng(12)
+    words = vocabulary(rng, 5000)
+    texts, want = [], set()
+    for k in range(100):
+        passage = list(rng.choice(words, int(rng.integers(50, 56))))
+        edited = list(passage)
+        for at in rng.choice(len(passage), int(0.2 * len(passage)), replace=False):
+            edited[at] = f"new{rng.integers(0, 10**6)}"
+        texts += [" ".join([*rng.choice(words, 30), *own, *rng.choice(words, 30)]) for own in (passage, edited)]
+        want.add((2 * k, 2 * k + 1))
+    got = {(r["match_doc_id"], r["doc_id"]): r for r in substring_dedup.repeated_passages(passage_texts(spark, texts)).collect()}
+    assert set(got) <= want and len(got) >= 90, len(got)
+    for r in got.values():
+        assert r["n_words"] >= 50 and r["identity"] >= 0.8
+
+
+def test_contexts_order_seeds_by_what_follows():
+    seeds = np.array([5, 9, 7, 5, 9, 8, 5], np.uint64) << np.uint64(40)
+    text, at = np.array([0, 0, 0, 1, 1, 1, 2]), np.array([0, 3, 6, 10, 13, 16, 4])
+    keys = substring_dedup.contexts(seeds, text, at)
+    assert (keys >> np.uint64(16) == seeds >> np.uint64(16)).all()
+    low = keys & np.uint64(0xFFFF)
+    assert low[0] >> np.uint64(12) == low[3] >> np.uint64(12) and low[0] != low[3]  # one seed in common behind it, then another
+    assert low[2] == low[5] == low[6] == 0  # nothing follows
+    assert len(substring_dedup.contexts(seeds[:0], text[:0], at[:0])) == 0
+
+
+def test_completed_passages_take_the_words_that_were_trimmed():
+    a = np.arange(100)
+    b = np.where(np.isin(a, [40, 42, 58, 60]), -1, a)
+    start, end, match, match_end, equal = substring_dedup.completed(a, b, (43, 58, 43, 58, 15), 18, 0.8)
+    assert end - start >= 18 and a[start] == b[match] and a[end - 1] == b[match_end - 1] and equal == (a[start:end] == b[match:match_end]).sum()
+    assert substring_dedup.completed(a, b, (43, 58, 43, 58, 15), 18, 0.99) == (43, 58, 43, 58, 15)  # not alike enough
+    assert substring_dedup.completed(a, b, (0, 100, 0, 100, 96), 50, 0.8) == (0, 100, 0, 100, 96)
+    assert substring_dedup.completed(a[:10], b[:10], (2, 8, 2, 8, 6), 50, 0.8) == (2, 8, 2, 8, 6)  # no room
+    other = np.where((a >= 43) & (a < 58), a, -1 - a)
+    assert substring_dedup.completed(a, other, (43, 58, 43, 58, 15), 16, 0.8) == (43, 58, 43, 58, 15)  # it just ends there
