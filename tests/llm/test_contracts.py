@@ -267,4 +267,4 @@ def test_completed_passages_take_the_words_that_were_trimmed():
     assert substring_dedup.completed(a, b, (0, 100, 0, 100, 96), 50, 0.8) == (0, 100, 0, 100, 96)
     assert substring_dedup.completed(a[:10], b[:10], (2, 8, 2, 8, 6), 50, 0.8) == (2, 8, 2, 8, 6)  # no room
     other = np.where((a >= 43) & (a < 58), a, -1 - a)
-    assert substring_dedup.completed(a, other, (43, 58, 43, 58, 15), 16, 0.8) == (43, 58, 43, 58, 15)  # it just ends there
+    assert substring_dedup.completed(a, other, (43, 58, 43, 58, 15), 18, 0.8) == (43, 58, 43, 58, 15)  # it just ends there
