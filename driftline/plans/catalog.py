@@ -13,7 +13,7 @@ from driftline.functions.dists import Affine
 from driftline.operators import align, cluster, grid, learning, moments, posteriors, structure
 from driftline.functions.observations import BernoulliLikelihood, CategoricalStates, NegativeBinomialLikelihood
 from driftline.functions.processes import HermiteBasis
-from driftline.plans import starts
+from driftline.plans import starts, truth
 from driftline.plans.collections import Collection, SessionRestarts
 from driftline.plans.curves import CurveModel
 from driftline.plans.models import ARHMM, HMM, LDS, POISSON, SLDS
@@ -947,3 +947,87 @@ def gated_walk_open(spark, sf_dir):
     """With both gates as wide as each other the bound is the log-likelihood of a plain walk."""
     one = gated_walk().replace(dynamics_covariances=np.full((2, 1, 1), LDS1["q"]))
     return one.objective(seqs(spark, sf_dir)).select("seq", r("objective", "bound", 3))
+
+
+# All coordinates, given tables
+
+
+@query("""WITH x AS (SELECT label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS c FROM embeddings)
+    SELECT label, c::INT AS coordinate, count(*) AS n, round(avg(v), 6) + 0.0 AS mean, round(var_pop(v), 6) + 0.0 AS variance FROM x GROUP BY ALL""")
+def class_moments_all(spark, sf_dir):
+    """Mean and variance of every coordinate of the embeddings of each label."""
+    sums = moments.vector_sums(table(spark, sf_dir, "embeddings"), "embedding", "label")
+    rows = []
+    for label, (n, first, second) in sums.items():
+        mean = first / n
+        rows += [(label, c, int(n), round(float(m), 6) + 0.0, round(float(q / n - m * m), 6) + 0.0) for c, (m, q) in enumerate(zip(mean, np.diag(second), strict=True))]
+    return spark.createDataFrame(rows, "label int, coordinate int, n long, mean double, variance double")
+
+
+@query("""WITH x AS (SELECT unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS c FROM embeddings), m AS (SELECT c, var_pop(v) AS v FROM x GROUP BY c) SELECT round(sum(v), 5) + 0.0 AS total FROM m""")
+def pca_all_total(spark, sf_dir):
+    """Sum of the variances of all principal components of the embeddings."""
+    n, first, second = moments.vector_sums(table(spark, sf_dir, "embeddings").withColumn("k", F.lit(0)), "embedding", "k")[0]
+    mean = first / n
+    _, values = cluster.leading(second / n - np.outer(mean, mean), len(mean))
+    return spark.createDataFrame([(round(float(values.sum()), 5),)], "total double")
+
+
+@query(f"WITH {E} SELECT session::INT AS session, seq, count(*) AS n_steps, count(*) FILTER (u IS NOT NULL) AS n_driven FROM e GROUP BY ALL")
+def sample_driven(spark, sf_dir):
+    """Sequences drawn from a system that the inputs of the events drive: as long as these, every step observed."""
+    drawn = lds(True).sample(spark, seed=3, inputs=seqs(spark, sf_dir).select("session", "seq", "t", "u"))
+    return drawn.where("visible and not isnan(y[0])").groupBy("session", "seq").agg(F.count(F.lit(1)).alias("n_steps"), F.sum((F.size("u") == 1).cast("long")).alias("n_driven"))
+
+
+@query(f"""{_kalman_sql(False)}, z AS (SELECT sm, u FROM s JOIN e USING (seq, t)), w AS (SELECT covar_pop(sm, u) / var_pop(sm) AS a, avg(sm) AS m, avg(u) AS n FROM z)
+    SELECT round(a, 5) + 0.0 AS coefficient, round(n - a * m, 4) + 0.0 AS bias FROM w""")
+def latent_map(spark, sf_dir):
+    """The least-squares map of smoothed latents onto known values, here the inputs."""
+    e = seqs(spark, sf_dir)
+    f = truth.latent_map(lds().infer(e), e.select("session", "seq", "t", F.col("u").alias("x")))
+    return spark.createDataFrame([(round(float(f.coefficients[0, 0]), 5) + 0.0, round(float(f.bias[0]), 4) + 0.0)], "coefficient double, bias double")
+
+
+@query(f"""{_HMM}, w AS (SELECT sum(g0) FILTER (y <= 50) AS low0, sum(g1) FILTER (y <= 50) AS low1, sum(g0) FILTER (y > 50) AS high0, sum(g1) FILTER (y > 50) AS high1 FROM g JOIN e USING (seq, t))
+    SELECT k::INT AS true_state, CASE WHEN low0 + high1 >= low1 + high0 THEN k ELSE 1 - k END::INT AS state FROM w, range(2) r(k)""")
+def truth_order(spark, sf_dir):
+    """The state that meets each known label most: values up to 50, and above."""
+    e = seqs(spark, sf_dir)
+    order = truth.state_order(hmm().infer(e), e.select("session", "seq", "t", (F.col("y")[0] > 50).cast("int").alias("z")))
+    return spark.createDataFrame(list(enumerate(map(int, order))), "true_state int, state int")
+
+
+# A switching system with two states in SQL
+
+
+def _mean_field_sql(rounds: int) -> str:
+    """Mean field of a walk with two gates on the first two steps of every sequence: Gaussian factors of two latents, gate weights and bounds.
+
+    Gates start even; each round solves the 2 x 2 Gaussian chain, then the two-step chain of gates.
+    """
+    (q0, q1), ((p00, p01), (p10, p11)) = gated_walk().params["dynamics_covariances"][:, 0, 0].tolist(), P.tolist()
+    m0, s0, r_, l2 = LDS1["m0"], LDS1["s0"], LDS1["r"], columns.LOG_2PI
+    parts = [
+        "y AS (SELECT a.seq, a.y AS ya, a.visible::INT AS wa, b.y AS yb, b.visible::INT AS wb FROM e a JOIN e b ON b.seq = a.seq AND a.t = 0 AND b.t = 1)",
+        "r0 AS (SELECT *, 0.5::DOUBLE AS z1 FROM y)",  # weight of the wide gate at the second step
+    ]
+    for k in range(rounds):
+        precision = f"((1 - z1) / {q0} + z1 / {q1})"
+        parts.append(f"""a{k} AS (SELECT seq, ya, wa, yb, wb, z1, 1 / {s0} + w + wa / {r_} AS j0, w + wb / {r_} AS j1, -w AS l, {m0} / {s0} + wa * ya / {r_} AS h0, wb * yb / {r_} AS h1 FROM (SELECT *, {precision} AS w FROM r{k})),
+        b{k} AS (SELECT *, j0 * j1 - l * l AS det, (h0 * j1 - l * h1) / (j0 * j1 - l * l) AS x0, (j0 * h1 - l * h0) / (j0 * j1 - l * l) AS x1, j1 / (j0 * j1 - l * l) AS v0, j0 / (j0 * j1 - l * l) AS v1, -l / (j0 * j1 - l * l) AS c FROM a{k}),
+        d{k} AS (SELECT *, (x1 - x0) * (x1 - x0) + v0 + v1 - 2 * c AS step, -0.5 * (((x0 - {m0}) * (x0 - {m0}) + v0) / {s0} + ln({s0}) + {l2!r}) AS start FROM b{k}),
+        f{k} AS (SELECT *, -0.5 * (step / {q0} + ln({q0}) + {l2!r}) AS e0, -0.5 * (step / {q1} + ln({q1}) + {l2!r}) AS e1 FROM d{k}),
+        h{k} AS (SELECT *, {PI[0]} * {p00} * exp(e0) + {PI[1]} * {p10} * exp(e0) AS n0, {PI[0]} * {p01} * exp(e1) + {PI[1]} * {p11} * exp(e1) AS n1 FROM f{k}),
+        r{k + 1} AS (SELECT seq, ya, wa, yb, wb, n1 / (n0 + n1) AS z1, start + ln(n0 + n1) + 0.5 * (2 * (1 + {l2!r}) - ln(det))
+            - 0.5 * wa * (((ya - x0) * (ya - x0) + v0) / {r_} + ln({r_}) + {l2!r}) - 0.5 * wb * (((yb - x1) * (yb - x1) + v1) / {r_} + ln({r_}) + {l2!r}) AS bound FROM h{k})""")
+    return ", ".join(parts)
+
+
+@query(f"WITH {E}, {_mean_field_sql(8)} SELECT seq, round(z1, 6) + 0.0 AS wide, round(bound, 4) + 0.0 AS bound FROM r8")
+def gated_walk_two_steps(spark, sf_dir):
+    """Gate of the second step and bound of every user's first two steps, two gates, eight rounds of mean field."""
+    e, m = structure.select_time(seqs(spark, sf_dir), 0, 2), gated_walk()
+    gates = m.infer(e).where("t = 1").select("seq", r(F.col("gamma")[1], "wide"))
+    bounds = m.bounds(e).where(F.col("iteration") == m.inference_iters - 1).select("seq", r("bound", "bound", 4))
+    return gates.join(bounds, "seq")
