@@ -19,6 +19,7 @@ from driftline.plans.curves import CurveModel
 from driftline.plans.models import ARHMM, HMM, LDS, POISSON, SLDS
 from driftline.plans.walks import GatedWalk
 from driftline.sources import sequences as source
+from driftline.streaming import online
 
 PI, P = [0.6, 0.4], np.array([[0.9, 0.1], [0.2, 0.8]])
 MEAN, VAR = [20.0, 90.0], [400.0, 3600.0]
@@ -1031,3 +1032,18 @@ def gated_walk_two_steps(spark, sf_dir):
     gates = m.infer(e).where("t = 1").select("seq", r(F.col("gamma")[1], "wide"))
     bounds = m.bounds(e).where(F.col("iteration") == m.inference_iters - 1).select("seq", r("bound", "bound", 4))
     return gates.join(bounds, "seq")
+
+
+# Streams
+
+
+@query(f"""WITH RECURSIVE {E.replace("AS t, value AS y", "AS t, ts, value AS y")}, {_chain_sql(*[_gauss_sql("y", m, v) for m, v in zip(MEAN, VAR, strict=True)])}
+    SELECT seq, ts, CASE WHEN a0 >= a1 THEN 0 ELSE 1 END::INT AS state, round(greatest(a0, a1), 6) + 0.0 AS probability,
+        round(sum(ln(c) + m) OVER (PARTITION BY seq ORDER BY t), 4) + 0.0 AS log_likelihood FROM f JOIN (SELECT seq, t, ts FROM e) USING (seq, t)""")
+def hmm_filter_stream(spark, sf_dir):
+    """The likeliest state of every event given those before it, from a stream of the events."""
+    at = f"{sf_dir}/events.parquet"
+    # A pattern, as a stream takes folders or patterns and the table may be one file.
+    stream = spark.readStream.schema(spark.read.parquet(at).schema).parquet(f"{at[:-1]}[{at[-1]}]").selectExpr("user_id seq", "ts", "value")
+    rows = online.drained(online.filter_stream(stream, np.array(PI), P, np.array(MEAN), np.array(VAR)))
+    return rows.select("seq", "ts", "state", r("probability", "probability"), r("log_likelihood", "log_likelihood", 4))

@@ -6,11 +6,13 @@ for its sequence is late and is dropped and counted (``late``); with ``idle_ms``
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUTPUT = "seq long, ts timestamp, state int, probability double, log_likelihood double, late long"
@@ -53,3 +55,24 @@ def filter_stream(events: DataFrame, initial: np.ndarray, transition: np.ndarray
         yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
 
     return events.groupBy("seq").applyInPandasWithState(run, OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir; a local one where that is unset and all is one process (tests)."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"spark.checkpoint.dir has to name a folder that the executors of {master} share")
+        base = "file://" + tempfile.mkdtemp(prefix="driftline-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+def drained(stream: DataFrame) -> DataFrame:
+    """What a stream gives for all that its source has now: written batch by batch to a shared folder, and read back."""
+    spark = stream.sparkSession
+    folder = shared_folder(spark)
+    query = stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/log").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
