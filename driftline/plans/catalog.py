@@ -1047,3 +1047,73 @@ def hmm_filter_stream(spark, sf_dir):
     stream = spark.readStream.schema(spark.read.parquet(at).schema).parquet(f"{at[:-1]}[{at[-1]}]").selectExpr("user_id seq", "ts", "value")
     rows = online.drained(online.filter_stream(stream, np.array(PI), P, np.array(MEAN), np.array(VAR)))
     return rows.select("seq", "ts", "state", r("probability", "probability"), r("log_likelihood", "log_likelihood", 4))
+
+
+# Fits from given parameters, step by step in SQL
+
+
+def _ar_em_sql(steps: int) -> str:
+    """As :func:`_em_sql` for regressions on the last observation: rows d (k, seq, t, x, y, visible), start p0 with a0, a1, b0, b1 for the means."""
+    sql = _em_sql(steps)
+    for i in range(2):
+        sql = sql.replace(f"(y - m{i}) * (y - m{i})", f"(y - a{i} * x - b{i}) * (y - a{i} * x - b{i})")
+    sql = sql.replace("SELECT d.k, seq, t, y, visible,", "SELECT d.k, seq, t, x, y, visible,").replace("SELECT l.*, ", "SELECT l.k, l.seq, l.t, l.top, l.e0, l.e1, l.p00, l.p01, l.p10, l.p11, ")
+    for j in range(steps):
+        sums = ", ".join(f"sum(g{i} * {v}) / sum(g{i}) AS {n}{i}" for i in range(2) for n, v in (("mx", "x"), ("my", "y"), ("xx", "x * x"), ("xy", "x * y"), ("yy", "y * y")))
+        inner = f"SELECT k, {sums} FROM g{j} JOIN d USING (k, seq, t) WHERE visible GROUP BY k"
+        inner = f"SELECT k, mx0, mx1, my0, my1, {', '.join(f'xx{i} - mx{i} * mx{i} AS xx{i}, xy{i} - mx{i} * my{i} AS xy{i}, yy{i} - my{i} * my{i} AS yy{i}' for i in range(2))} FROM ({inner})"
+        inner = f"SELECT *, {', '.join(f'xy{i} / (xx{i} * (1 + 1e-6)) AS a{i}' for i in range(2))} FROM ({inner})"
+        fitted = ", ".join(f"a{i}, my{i} - a{i} * mx{i} AS b{i}, yy{i} - 2 * a{i} * xy{i} + a{i} * a{i} * xx{i} + 1e-6 * yy{i} AS v{i}" for i in range(2))
+        begin, end = sql.index(f"w{j} AS (SELECT k, sum(g0)"), sql.index(f"p{j + 1} AS MATERIALIZED")
+        sql = sql[:begin] + f"w{j} AS (SELECT k, {fitted} FROM ({inner})), " + sql[end:]
+        sql = sql.replace("m0, m1, (q0 - m0 * m0) * (1 + 1e-6) AS v0, (q1 - m1 * m1) * (1 + 1e-6) AS v1", "a0, a1, b0, b1, v0, v1", 1)
+    return sql
+
+
+_AR_START = _start_sql("0").replace(f"{MEAN[0]} * 1 AS m0, {MEAN[1]} * 1 AS m1, {VAR[0]} AS v0, {VAR[1]} AS v1", ", ".join(f"{AR[n][i]} AS {c}{i}" for n, c in (("coefficients", "a"), ("bias", "b"), ("variance", "v")) for i in range(2)))
+
+
+@query(f"WITH {E}, {_AR_ROWS}, d AS MATERIALIZED (SELECT 0 AS k, seq, t, x, y, visible FROM a), p0 AS MATERIALIZED ({_AR_START}), {_ar_em_sql(3)} SELECT iter::INT AS iter, round(objective, 3) + 0.0 AS objective FROM ({_trace_sql(3)})")
+def arhmm_fit_trace_given(spark, sf_dir):
+    """Objective of every EM step of an AR-HMM from given parameters."""
+    return arhmm().fit(seqs(spark, sf_dir), 3).trace_table(spark).select("iter", r("objective", "objective", 3))
+
+
+def _lds_em_sql(steps: int) -> str:
+    """Log-likelihood of a scalar LDS before and after each of ``steps`` EM steps."""
+    p = LDS1
+    parts = ["ev AS (SELECT seq, t, y, visible FROM e)", f"p0 AS MATERIALIZED (SELECT {p['m0']}::DOUBLE AS m0, {p['s0']}::DOUBLE AS s0, {p['a']}::DOUBLE AS a, {p['b']}::DOUBLE AS b, {p['q']}::DOUBLE AS q, {p['c']}::DOUBLE AS c, {p['d']}::DOUBLE AS d, {p['r']}::DOUBLE AS r)"]
+    update = f"""CASE WHEN visible THEN pm + pv * c / (c * c * pv + r) * (y - c * pm - d) ELSE pm END AS m, CASE WHEN visible THEN pv * r / (c * c * pv + r) ELSE pv END AS v,
+        CASE WHEN visible THEN -0.5 * ((y - c * pm - d) * (y - c * pm - d) / (c * c * pv + r) + ln(c * c * pv + r) + {columns.LOG_2PI!r}) ELSE 0 END AS ll, a, b, q, c, d, r"""
+    for j in range(steps + 1):
+        parts.append(f"""k{j} AS MATERIALIZED (WITH RECURSIVE k AS (SELECT seq, t, pm, pv, {update} FROM (SELECT seq, t, y, visible, m0 AS pm, s0 AS pv, a, b, q, c, d, r FROM ev, p{j} WHERE t = 0)
+        UNION ALL SELECT seq, t, pm, pv, {update} FROM (SELECT ev.seq, ev.t, ev.y, ev.visible, a * m + b AS pm, a * a * v + q AS pv, a, b, q, c, d, r FROM k JOIN ev ON ev.seq = k.seq AND ev.t = k.t + 1)) SELECT * FROM k),
+    o{j} AS (SELECT 0 AS k, sum(ll) AS objective FROM k{j})""")
+        if j == steps:
+            continue
+        parts.append(f"""s{j} AS MATERIALIZED (WITH RECURSIVE s AS (SELECT k.seq, k.t, m AS sm, v AS sv, 0.0::DOUBLE AS cross_next FROM k{j} k JOIN (SELECT seq, max(t) AS last FROM ev GROUP BY ALL) n ON k.seq = n.seq AND k.t = last
+        UNION ALL SELECT seq, t, m + g * (sm - npm), v + g * g * (sv - npv), g * sv FROM (
+            SELECT k.seq, k.t, k.m, k.v, s.sm, s.sv, x.pm AS npm, x.pv AS npv, k.v * k.a / x.pv AS g FROM s JOIN k{j} k ON k.seq = s.seq AND k.t = s.t - 1 JOIN k{j} x ON x.seq = s.seq AND x.t = s.t)) SELECT * FROM s),
+    z{j} AS (SELECT avg(x.sm) AS mx, avg(y.sm) AS my, avg(x.sv + x.sm * x.sm) - avg(x.sm) * avg(x.sm) AS xx, avg(y.sv + y.sm * y.sm) - avg(y.sm) * avg(y.sm) AS yy, avg(x.cross_next + x.sm * y.sm) - avg(x.sm) * avg(y.sm) AS xy
+        FROM s{j} x JOIN s{j} y ON x.seq = y.seq AND y.t = x.t + 1),
+    v{j} AS (SELECT avg(sm) AS mx, avg(y) AS my, avg(sv + sm * sm) - avg(sm) * avg(sm) AS xx, avg(y * y) - avg(y) * avg(y) AS yy, avg(sm * y) - avg(sm) * avg(y) AS xy FROM s{j} JOIN ev USING (seq, t) WHERE visible),
+    i{j} AS (SELECT avg(sm) FILTER (t = 0) AS m0, avg(sv + sm * sm) FILTER (t = 0) - avg(sm) FILTER (t = 0) * avg(sm) FILTER (t = 0) AS s0, avg(sv + sm * sm) - avg(sm) * avg(sm) AS spread FROM s{j}),
+    p{j + 1} AS MATERIALIZED (SELECT m0, s0 + 1e-6 * spread AS s0, za AS a, z.my - za * z.mx AS b, z.yy - 2 * za * z.xy + za * za * z.xx + 1e-6 * z.yy AS q, vc AS c, v.my - vc * v.mx AS d, v.yy - 2 * vc * v.xy + vc * vc * v.xx + 1e-6 * v.yy AS r
+        FROM (SELECT *, xy / (xx * (1 + 1e-6)) AS za FROM z{j}) z, (SELECT *, xy / (xx * (1 + 1e-6)) AS vc FROM v{j}) v, i{j})""")
+    return ", ".join(parts)
+
+
+@query(f"WITH {E}, {_lds_em_sql(3)} SELECT iter::INT AS iter, round(objective, 3) + 0.0 AS objective FROM ({_trace_sql(3)})")
+def lds_fit_trace_given(spark, sf_dir):
+    """Objective of every EM step of a scalar LDS from given parameters."""
+    return lds().fit(seqs(spark, sf_dir), 3).trace_table(spark).select("iter", r("objective", "objective", 3))
+
+
+@query("""WITH RECURSIVE {e}, n AS (SELECT seq, visible, c AS y, 0.5::DOUBLE AS x, 0 AS i FROM e WHERE t = 0
+    UNION ALL SELECT seq, visible, y, x - ((x - 0.5) / 0.8 - CASE WHEN visible THEN 0.7 * (y - exp(0.7 * x + 0.2)) ELSE 0 END) / (1 / 0.8 + CASE WHEN visible THEN 0.49 * exp(0.7 * x + 0.2) ELSE 0 END), i + 1 FROM n WHERE i < 60)
+    SELECT seq, round(x, 5) + 0.0 AS x, round(1 / (1 / 0.8 + CASE WHEN visible THEN 0.49 * exp(0.7 * x + 0.2) ELSE 0 END), 6) + 0.0 AS variance FROM n WHERE i = 60""".format(e=E))
+def poisson_first_mode(spark, sf_dir):
+    """Mode and Laplace variance of the first latent given the first count alone."""
+    m = LDS({"initial_mean": [0.5], "initial_covariance": [[0.8]], "dynamics_coefficients": [[0.9]], "dynamics_bias": [0.0], "dynamics_covariance": [[0.3]], "emissions": [{"coefficients": [[0.7]], "bias": [0.2]}]}, POISSON)
+    rows = m.infer(structure.select_time(seqs(spark, sf_dir, counts=True), 0, 1))
+    return rows.select("seq", r(F.col("mean")[0], "x", 5), r(F.col("cov")[0][0], "variance"))
