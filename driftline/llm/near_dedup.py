@@ -134,10 +134,11 @@ class ChosenPathJoin:
                 out = []
                 for doc, own, items in zip(batch["id"], batch["own"], shingle_sets(batch["body"].tolist(), n), strict=True):
                     digest = hashlib.blake2b(items.tobytes(), digest_size=16).digest()
-                    out.append((doc, own, len(items), digest, sketch(items, n_tokens).tobytes()))
-                yield pd.DataFrame(out, columns=["id", "own", "n", "digest", "sketch"])
+                    found = sketch(items, n_tokens)
+                    out.append((doc, own, len(items), digest, found.tobytes(), (found[:SKETCH] & 255).astype(np.uint8).tobytes()))
+                yield pd.DataFrame(out, columns=["id", "own", "n", "digest", "sketch", "bytes"])
 
-        return self.base.select("id", _own().alias("own"), "body").mapInPandas(run, "id long, own long, n long, digest binary, sketch binary")
+        return self.base.select("id", _own().alias("own"), "body").mapInPandas(run, "id long, own long, n long, digest binary, sketch binary, bytes binary")
 
     def _apart(self, docs: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
         """(documents, texts, whether an identifier stands for several sets): where one does, its rows get identifiers of their own;
@@ -167,9 +168,10 @@ class ChosenPathJoin:
     def _confirmed(self, pairs: DataFrame, name: str) -> DataFrame:
         """Pairs (a, b) whose full sets are similar enough."""
         pairs = self.scratch.write(f"{name}-pairs", pairs.distinct())
-        wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        bodies = self.scratch.write(f"{name}-bodies", self.texts.join(wanted, "id"))
-        both = pairs.join(bodies.select(F.col("id").alias("a"), F.col("body").alias("x")), "a").join(bodies.select(F.col("id").alias("b"), F.col("body").alias("y")), "b")
+        # Texts lie in buckets: pairs come to those of b, whose texts move on to the distinct ones of a. A common a may be split there,
+        # as both sides are shuffled.
+        heads = self.scratch.write(f"{name}-heads", self.texts.join(pairs.select(F.col("a").alias("id")).distinct(), "id").select(F.col("id").alias("a"), F.col("body").alias("x")))
+        both = pairs.join(self.texts.select(F.col("id").alias("b"), F.col("body").alias("y")), "b").join(heads, "a")
         n, percent = self.words, self.percent
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -183,7 +185,7 @@ class ChosenPathJoin:
                 yield batch.loc[keep, ["a", "b"]]
 
         out = self.scratch.write(name, both.select("a", "b", "x", "y").mapInPandas(run, "a long, b long"))
-        self.scratch.drop(f"{name}-bodies")
+        self.scratch.drop(f"{name}-heads")
         return out
 
     def _components(self, links: DataFrame, name: str) -> DataFrame:
@@ -230,7 +232,8 @@ class ChosenPathJoin:
     def _small(self, members: DataFrame, classes: DataFrame) -> DataFrame:
         """(a, b, agree) of the candidates within small nodes."""
         least = self.least
-        full = members.join(classes.select("rep", F.substring("sketch", 1, 4 * SKETCH).alias("sketch")), "rep")
+        # One byte of each token goes along: equal tokens have equal bytes, so no candidate is lost, and one place in 256 agrees by chance.
+        full = members.join(classes.select("rep", "bytes"), "rep").withColumnRenamed("bytes", "sketch")
         grouped = full.groupBy("node").agg(F.collect_list(F.struct("rep", "comp", "sketch")).alias("m"))
         lists = grouped.select(F.col("m.rep").alias("rep"), F.col("m.comp").alias("comp"), F.col("m.sketch").alias("sketch"))
 
@@ -238,7 +241,7 @@ class ChosenPathJoin:
             for batch in batches:
                 out = []
                 for rep, comp, raw in batch.itertuples(index=False):
-                    own = np.frombuffer(b"".join(raw), np.uint32).reshape(-1, SKETCH)
+                    own = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, SKETCH)
                     i, j = np.triu_indices(len(own), 1)
                     apart = comp[i] != comp[j]
                     i, j = i[apart], j[apart]
@@ -272,8 +275,8 @@ class ChosenPathJoin:
         # Confirmation reads texts by identifier several times: in buckets they move once, and joins bring only identifiers.
         docs, base, apart = self._apart(s.write("sketches", self._sketched()))
         self.texts = s.buckets("texts", base, "id")
-        groups = docs.groupBy("digest").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.first("sketch").alias("sketch"))
-        classes = s.write("classes", groups.where("n > 0").select("rep", "n", "digest", "sketch").repartition(partitions(self.spark)))
+        groups = docs.groupBy("digest").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bytes").alias("bytes"))
+        classes = s.write("classes", groups.where("n > 0").select("rep", "n", "digest", "sketch", "bytes").repartition(partitions(self.spark)))
         star = self._confirmed(self._star(classes), "star")
         comps = self._components(star, "star-comp")
         links = star
