@@ -8,7 +8,8 @@ ranks into sequences and offsets.
 
 Defined results: a null or empty text is the end id alone; documents over the capacity are cut into full pieces, the
 first piece taking what is left over; repeated rows are pieces of their own (ties of length go by identifier, then
-piece); an empty table gives an empty table.
+piece); rows with a null identifier, or with one that repeats, are documents of their own; an empty table gives an empty table;
+other columns are not read.
 """
 
 from __future__ import annotations

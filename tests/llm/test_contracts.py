@@ -9,7 +9,7 @@ import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from driftline.llm import mixing, near_dedup, packing, records, sharding, substring_dedup  # noqa: E402
+from driftline.llm import language_id, mixing, near_dedup, packing, quality_model, quality_rules, records, sharding, substring_dedup  # noqa: E402
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -268,3 +268,53 @@ def test_completed_passages_take_the_words_that_were_trimmed():
     assert substring_dedup.completed(a[:10], b[:10], (2, 8, 2, 8, 6), 50, 0.8) == (2, 8, 2, 8, 6)  # no room
     other = np.where((a >= 43) & (a < 58), a, -1 - a)
     assert substring_dedup.completed(a, other, (43, 58, 43, 58, 15), 18, 0.8) == (43, 58, 43, 58, 15)  # it just ends there
+
+
+# Odd rows of the scoring operators
+
+LONG = "Many words stand in this rather long text, and they go on. " * 400
+
+
+def odd_rows():
+    rows = [(None, "a text without an identifier", "en"), (None, None, "en"), (3, "repeated", None), (3, "repeated", None), (3, "another one", "de"), (4, "", "en"), (5, LONG, "en"), (6, "\x00 odd \u2028 signs \U0001f600", "de")]
+    return [(*r, "clash", 1.5, 7, False) for r in rows]
+
+
+def odd_documents(spark, *clashing):
+    names = ["doc_id long", "text string", "lang string", *[f"{c} {t}" for c, t in zip(clashing, ("string", "double", "int", "boolean"), strict=False)]]
+    return spark.createDataFrame([r[: len(names)] for r in odd_rows()], ", ".join(names)).repartition(3)
+
+
+def ids(df):
+    return collections.Counter(r["doc_id"] for r in df.select("doc_id").collect())
+
+
+def test_scores_of_odd_rows(spark):
+    want = collections.Counter(r[0] for r in odd_rows())
+    train = [(i, f"good fine words number {i}" if i % 2 else f"bad poor phrases item {i}", "en" if i % 2 else "de") for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(None, 1), (7, None)], "doc_id long, quality int")
+    labelled = spark.createDataFrame(train, "doc_id long, text string, lang string")
+    out = quality_model.fit(labelled, labels).transform(odd_documents(spark, "score", "predicted").select("doc_id", "text"))
+    assert ids(out) == want and all(0 <= r["score"] <= 1 for r in out.collect())
+    out = language_id.CompressionClassifier.fit(labelled).transform(odd_documents(spark, "lang_pred", "score").select("doc_id", "text"))
+    assert ids(out) == want and {r["lang_pred"] for r in out.collect() if r["text"] in (None, "")} == {"und"}
+
+
+def test_rules_and_packing_of_odd_rows(spark):
+    want = collections.Counter(r[0] for r in odd_rows())
+    docs = odd_documents(spark, "n_words", "word_chars", "kept")
+    got = quality_rules.apply(docs)
+    assert ids(got) == want
+    assert {(r["doc_id"], r["n_words"]) for r in got.collect()} >= {(5, 400 * 12), (4, 0), (None, 0)}
+    pieces = packing.pack(odd_documents(spark, "piece", "sequence_id", "length"), PATH, capacity=512).collect()
+    assert {r["doc_id"] for r in pieces} == set(want)
+    assert sum(r["piece"] == 0 for r in pieces) == sum(want.values())
+    by_sequence = collections.defaultdict(list)
+    for r in pieces:
+        by_sequence[r["sequence_id"]].append((r["offset"], r["length"]))
+    for own in by_sequence.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 512
