@@ -21,7 +21,7 @@ from driftline.sources.sequences import packed
 
 SUMS = "run int, session int, name string, place int, value double"
 #: Sequences that the kernels work on at once, and steps that they may have together.
-BATCH_SEQUENCES = 256
+BATCH_SEQUENCES = 512
 BATCH_STEPS = 1 << 17
 
 Sums = dict[int, dict[str, np.ndarray]]
@@ -78,6 +78,46 @@ def _padded(column: pa.Array, steps: int) -> np.ndarray:
     return out
 
 
+def nested(values: np.ndarray, present: np.ndarray | None = None) -> pa.Array:
+    """Rows (N, ...) of an array as lists, or lists of lists; null where they aren't ``present``."""
+    values = np.asarray(values, float)
+    if values.ndim == 1:
+        return pa.array(values)
+    n, width = values.shape[:2]
+    inner = nested(values.reshape(n * width, *values.shape[2:]))
+    mask = None if present is None else pa.array(~np.asarray(present, bool))
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * np.int32(width)), inner, mask=mask)
+
+
+def vectors(column: pa.Array) -> Iterator[np.ndarray | None]:
+    """(steps, width) of each list of vectors; None where there is no list, ValueError where vectors differ in size."""
+    sizes = np.asarray(column.flatten().value_lengths().fill_null(0), np.int64)
+    values = column.flatten().flatten().to_numpy(zero_copy_only=False).astype(float)
+    counts = column.value_lengths().to_pylist()
+    at = begin = 0
+    for n in counts:
+        if n is None:
+            yield None
+            continue
+        own = sizes[at : at + n]
+        width = int(own[0]) if n else 0
+        if (own != width).any():
+            raise ValueError(f"vectors of {np.unique(own).tolist()} entries in one sequence")
+        yield values[begin : begin + n * width].reshape(n, width)
+        at, begin = at + n, begin + n * width
+
+
+def held(values: pa.Array) -> pd.arrays.ArrowExtensionArray:
+    """An Arrow array as a column of a data frame, as it is."""
+    return pd.arrays.ArrowExtensionArray(values)
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    """(N, width) of a column of lists of one size."""
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(float)
+    return values.reshape(len(column), -1 if len(column) else 0)
+
+
 def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[Batch]:
     """Sequences of one session each, of like lengths, so that padding stays small."""
     for part in parts:
@@ -136,13 +176,13 @@ def total(table: DataFrame, pieces: Callable[[Iterator[pa.RecordBatch]], Iterato
     """Adds (run, session, named arrays) of all Arrow batches, by run and session."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int, str], np.ndarray] = {}
+        added: dict[tuple[int, int, str], np.ndarray] = {}
         for number, session, found in pieces(parts):
             for name, value in found.items():
                 value = np.asarray(value, float)
                 key = (number, session, f"{name}|{','.join(map(str, value.shape))}")
-                held[key] = held[key] + value if key in held else value
-        for (number, session, name), value in held.items():
+                added[key] = added[key] + value if key in added else value
+        for (number, session, name), value in added.items():
             n = value.size
             columns = [np.full(n, number, np.int32), np.full(n, session, np.int32), np.full(n, name, object), np.arange(n, dtype=np.int32), value.ravel()]
             yield pa.RecordBatch.from_arrays([pa.array(c) if c.dtype != object else pa.array(c, pa.string()) for c in columns], ["run", "session", "name", "place", "value"])
@@ -186,5 +226,5 @@ def step_rows(batch: Batch, columns: dict[str, np.ndarray], offset: int = 0, len
     out = {"session": np.full(len(b), batch.session, np.int32), "seq": batch.seq[b], "t": (t + offset + (0 if batch.start is None else batch.start[b])).astype(np.int32)}
     for name, value in columns.items():
         picked = value[b, t]
-        out[name] = list(picked.tolist()) if picked.ndim > 1 else picked
+        out[name] = held(nested(picked)) if picked.ndim > 1 else picked
     return pd.DataFrame(out)

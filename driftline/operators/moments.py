@@ -6,11 +6,12 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.functions import fits
+from driftline.operators import learning
 
 
 def weighted_moments(rows: DataFrame, values: list[Column], weight: Column, keys: list[str]) -> DataFrame:
@@ -53,18 +54,24 @@ def vector_sums(rows: DataFrame, vector: str, key: str) -> dict[object, tuple[fl
     """
     whole = rows.where(F.col(key).isNotNull() & F.col(vector).isNotNull() & ~F.exists(vector, lambda v: v.isNull()))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[object, np.ndarray] = {}
+        kept = None
         for batch in batches:
-            for k, own in batch.groupby("k"):
-                x = np.stack(own["x"].to_numpy()).astype(float)
+            kept, coded = batch.schema, batch.column("k").dictionary_encode()
+            which = coded.indices.to_numpy()
+            for at, k in enumerate(coded.dictionary.to_pylist()):
+                own = batch.column("x") if len(coded.dictionary) == 1 else batch.column("x").take(pa.array(np.flatnonzero(which == at)))
+                if len(np.unique(own.value_lengths())) != 1:
+                    raise ValueError(f"vectors of several sizes under {k!r}")
+                x = learning.matrix(own)
                 x = np.hstack([np.ones((len(x), 1)), x])
                 sums[k] = sums.get(k, 0.0) + x.T @ x
         if sums:
-            yield pd.DataFrame({"k": list(sums), "s": [s.ravel() for s in sums.values()]})
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), kept.field("k").type), pa.array([s.ravel() for s in sums.values()], pa.list_(pa.float64()))], ["k", "s"])
 
     kind = rows.schema[key].dataType.simpleString()
-    parts = whole.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("x")).mapInPandas(run, f"k {kind}, s array<double>")
+    parts = whole.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("x")).mapInArrow(run, f"k {kind}, s array<double>")
     added = parts.select("k", F.posexplode("s").alias("at", "v")).groupBy("k", "at").agg(F.sum("v").alias("v"))
     out = {}
     for r in added.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("at", "v"))).alias("s")).collect():

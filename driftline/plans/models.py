@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -310,7 +311,7 @@ class HMM(Model):
         out = learning.step_rows(batch, {"gamma": post.gamma, "state": post.gamma.argmax(-1).astype(np.int32)}, self.offset, lengths)
         b, t = np.nonzero(chains.valid(lengths, batch.steps - self.offset))
         pairs = post.pairs()
-        out["xi_next"] = [x if on else None for x, on in zip(post.xi[b, np.minimum(t, post.xi.shape[1] - 1)].tolist() if post.xi.shape[1] else [None] * len(b), t < pairs[b], strict=True)]
+        out["xi_next"] = learning.held(learning.nested(post.xi[b, np.minimum(t, post.xi.shape[1] - 1)], t < pairs[b])) if post.xi.shape[1] else [None] * len(b)
         return out
 
     def decode(self, sequences: DataFrame) -> DataFrame:
@@ -532,8 +533,9 @@ def _regressions(models: dict[int, Model], data: Packed | blocked.Blocked, owner
         for r, own in _views(b, models, owners):
             found = models[r].regressors(own)
             n = len(found["x"])
-            flat = [[]] * n if found["spread"] is None else found["spread"].reshape(n, -1).tolist()
-            frames.append(pd.DataFrame({"run": np.full(n, r, np.int32), "session": np.full(n, own.session, np.int32), "w": found["w"].tolist(), "x": found["x"].tolist(), "y": found["y"].tolist(), "spread": flat}))
+            flat = np.zeros((n, 0)) if found["spread"] is None else found["spread"].reshape(n, int(np.prod(found["spread"].shape[1:])))
+            columns = {c: learning.held(learning.nested(v)) for c, v in (("w", found["w"]), ("x", found["x"]), ("y", found["y"]), ("spread", flat))}
+            frames.append(pd.DataFrame({"run": np.full(n, r, np.int32), "session": np.full(n, own.session, np.int32)} | columns))
         return pd.concat(frames) if frames else pd.DataFrame({n: [] for n in names})
 
     table = learning.rows(data.table, schema, make).persist(StorageLevel.MEMORY_AND_DISK)
@@ -578,10 +580,11 @@ def regress(table: DataFrame, old: dict[tuple[int, int], tuple[np.ndarray, np.nd
 
         def pieces(batches):
             for batch in batches:
-                for (run, session), own in batch.to_pandas().groupby(["run", "session"]):
-                    w, x, y = (np.array(own[c].tolist(), float) for c in ("w", "x", "y"))
-                    x = x.reshape(len(own), -1)
-                    spread = np.array(own["spread"].tolist(), float)
+                keys = np.stack([np.asarray(batch.column(c), np.int64) for c in ("run", "session")], 1)
+                found, which = np.unique(keys, axis=0, return_inverse=True)
+                for at, (run, session) in enumerate(found.tolist()):
+                    own = batch if len(found) == 1 else batch.take(pa.array(np.flatnonzero(which == at)))
+                    w, x, y, spread = (learning.matrix(own.column(c)) for c in ("w", "x", "y", "spread"))
                     spread = spread.reshape(len(x), x.shape[1], x.shape[1]) if spread.size else None
                     for k in range(w.shape[1]):
                         theta = now[run, session][k]
@@ -719,8 +722,7 @@ class LDS(Model):
         lengths = batch.lengths if batch.ahead is None else batch.lengths - ~np.isnan(batch.ahead).all(1)
         out = learning.step_rows(batch, {"mean": post.mean, "cov": post.cov}, lengths=lengths)
         b, t = np.nonzero(chains.valid(lengths, batch.steps))
-        pairs = post.cross[b, np.minimum(t, post.cross.shape[1] - 1)].tolist() if post.cross.shape[1] else [None] * len(b)
-        out["cross_next"] = [x if on else None for x, on in zip(pairs, t + 1 < batch.lengths[b], strict=True)]
+        out["cross_next"] = learning.held(learning.nested(post.cross[b, np.minimum(t, post.cross.shape[1] - 1)], t + 1 < batch.lengths[b])) if post.cross.shape[1] else [None] * len(b)
         return out
 
     def elbo(self, sequences: DataFrame) -> DataFrame:

@@ -62,7 +62,8 @@ def pseudo_latents(sequences: DataFrame, latent_dim: int, observations: str = GA
         return F.aggregate(F.zip_with(row, y, lambda a, v: a * v), F.lit(0.0), lambda s, v: s + v) + bias
 
     x = F.when(F.col("visible"), F.zip_with("_w", "_b", coordinate)).otherwise(F.transform("_b", lambda _: F.lit(0.0)))
-    return sequences.join(table, "session").withColumn("x", x).drop("_w", "_b")
+    # Broadcast, as a join with a constant session would be a product of all partitions of both sides.
+    return sequences.join(F.broadcast(table), "session").withColumn("x", x).drop("_w", "_b")
 
 
 def as_observations(rows: DataFrame) -> DataFrame:

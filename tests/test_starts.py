@@ -185,3 +185,25 @@ def test_steps_of_a_grid_average_to_its_occupancy(spark):
 def test_dense_precision_of_a_chain():
     prior = chains.linear_factors(np.zeros(1), np.eye(1), np.full((1, 2, 1, 1), 0.5), np.zeros((1, 2, 1)), np.ones((1, 2, 1, 1)), 3, np.array([3]))
     np.testing.assert_allclose(np.linalg.inv(prior.dense_precision(0)), [[1, 0.5, 0.25], [0.5, 1.25, 0.625], [0.25, 0.625, 1.3125]])
+
+
+def test_pseudo_latents_keep_the_partitions(spark):
+    """A constant session doesn't make the join with the projections a product of partitions, each with a Python task a Newton step."""
+    rows = spark.range(400).select(F.lit(0).alias("session"), (F.col("id") % 20).alias("seq"), F.floor(F.col("id") / 20).cast("int").alias("t"), F.array(F.col("id") % 7 + 0.0, F.col("id") % 5 + 0.0).alias("y"), F.array().cast("array<double>").alias("u"), F.lit(True).alias("visible"))
+    e = rows.repartition(6, "seq")
+    assert starts.pseudo_latents(e, 2, "poisson").rdd.getNumPartitions() <= 6
+
+
+def test_samples_draw_their_noise_at_once(monkeypatch):
+    """The draws are those of one multivariate_normal a step, with one factorization a covariance."""
+    cov, a = np.array([[2.0, 0.5], [0.5, 1.0]]), np.array([[0.8, 0.1], [0.0, 0.7]])
+    model = LDS({"initial_mean": [1, 2], "initial_covariance": cov, "dynamics_coefficients": a, "dynamics_bias": [0.1, 0.2], "dynamics_covariance": 0.3 * cov, "dynamics_input_coefficients": [[0.5], [1.0]], "emissions": [{"coefficients": a, "bias": [0, 1], "covariance": cov}]})
+    u, rng = np.random.default_rng(9).random((40, 1)), np.random.default_rng([3, 0, 5])
+    x = [rng.multivariate_normal([1, 2], cov)]
+    for t in range(1, 40):
+        x.append(rng.multivariate_normal(a @ x[-1] + [0.1, 0.2] + u[t] * [0.5, 1.0], 0.3 * cov))
+    calls = []
+    monkeypatch.setattr(np.linalg, "svd", lambda m, g=np.linalg.svd, **k: calls.append(1) or g(m, **k))
+    drawn = model._sample(np.random.default_rng([3, 0, 5]), 0, 40, u, None)[1]
+    np.testing.assert_allclose(drawn, x, rtol=1e-12, atol=1e-12)
+    assert len(calls) == 2
