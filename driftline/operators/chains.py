@@ -161,10 +161,14 @@ class GaussianFactors:
     def value(self, x: np.ndarray) -> np.ndarray:
         """(B,) log factor at the path ``x``."""
         on = valid(self.lengths, x.shape[1])
-        own = -0.5 * np.einsum("bti,btij,btj->bt", x, self.diag, x) + np.einsum("bti,bti->bt", self.info, x)
-        pair = -np.einsum("bti,btij,btj->bt", x[:, 1:], self.lower, x[:, :-1])
+        own = (x * (self.info - 0.5 * (self.diag @ x[..., None])[..., 0])).sum(-1)
+        pair = -(x[:, 1:] * (self.lower @ x[:, :-1, :, None])[..., 0]).sum(-1)
         return (own * on).sum(1) + (pair * valid(self.lengths - 1, pair.shape[1])).sum(1) + self.const
 
+    def of(self, rows: np.ndarray) -> GaussianFactors:
+        """The factors of some sequences."""
+        return GaussianFactors(self.diag[rows], self.lower[rows], self.info[rows], self.const[rows], np.asarray(self.lengths)[rows])
+
     def dense_precision(self, sequence: int) -> np.ndarray:
         """The precision (T * D, T * D) of one sequence as a whole."""
         n, d = int(self.lengths[sequence]), self.info.shape[-1]
@@ -251,40 +255,49 @@ def laplace_chain(prior: GaussianFactors, y: np.ndarray, weight: np.ndarray, c:
     coordinate moves further than ``tolerance`` of its size.
     """
     x = np.zeros_like(prior.info) if start is None else start.copy()
-    seen = weight[..., None] > 0
+    outer = (c[:, :, None] * c[:, None, :]).reshape(len(c), -1)
 
-    def terms(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return tuple(np.where(seen, v, 0.0) for v in likelihood.terms(y, z @ c.T + d))
+    def terms(own: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        seen = weight[own][..., None] > 0
+        return tuple(np.where(seen, v, 0.0) for v in likelihood.terms(y[own], z @ c.T + d))
 
-    def objective(z: np.ndarray) -> np.ndarray:
+    def objective(own: np.ndarray, chain: GaussianFactors, z: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore", invalid="ignore"):
-            return prior.value(z) + terms(z)[0].sum((1, 2))
-
-    def quadratic(z: np.ndarray) -> GaussianPosterior:
-        value, slope, curve = terms(z)
-        value, slope, curve = value.sum((1, 2)), slope @ c, np.einsum("oi,bto,oj->btij", c, curve, c)
-        info = slope + np.einsum("btij,btj->bti", curve, z)
-        const = value - np.einsum("bti,bti->b", slope, z) - 0.5 * np.einsum("bti,btij,btj->b", z, curve, z)
-        return gaussian_chain(GaussianFactors(prior.diag + curve, prior.lower, prior.info + info, prior.const + const, prior.lengths))
-
-    best = objective(x)
+            return chain.value(z) + terms(own, z)[0].sum((1, 2))
+
+    def quadratic(own: np.ndarray, chain: GaussianFactors, z: np.ndarray) -> GaussianPosterior:
+        value, slope, curve = terms(own, z)
+        value, slope, curve = value.sum((1, 2)), slope @ c, (curve @ outer).reshape(chain.diag.shape)
+        pull = (curve @ z[..., None])[..., 0]
+        const = value - (slope * z).sum((1, 2)) - 0.5 * (z * pull).sum((1, 2))
+        return gaussian_chain(GaussianFactors(chain.diag + curve, chain.lower, chain.info + slope + pull, chain.const + const, chain.lengths))
+
+    every = np.arange(len(x))
+    own, chain = every, prior  # sequences that still move: done ones cost nothing
+    best = objective(own, chain, x)
     for _ in range(max_steps):
-        move = quadratic(x).mean - x
-        size = np.ones(len(x))
-        todo = np.ones(len(x), bool)
+        z = x[own]
+        move = quadratic(own, chain, z).mean - z
+        size = np.ones(len(z))
+        todo = np.ones(len(z), bool)
         for _ in range(30):
-            trial = objective(x + size[:, None, None] * move)
+            trial = objective(own, chain, z + size[:, None, None] * move)
             todo = ~(np.isfinite(trial) & (trial >= best - 1e-12 * np.abs(best)))
             if not todo.any():
                 break
             size[todo] /= 2
-        size[todo] = 0.0
-        x = x + size[:, None, None] * move
-        best = objective(x)
-        change = np.sqrt(((size[:, None, None] * move) ** 2).sum((1, 2))) / (1 + np.sqrt((x**2).sum((1, 2))))
-        if (change <= tolerance).all():
+        if todo.any():
+            size[todo] = 0.0
+            trial = objective(own, chain, z + size[:, None, None] * move)
+        x[own] = z + size[:, None, None] * move
+        best = trial
+        change = np.sqrt(((size[:, None, None] * move) ** 2).sum((1, 2))) / (1 + np.sqrt((x[own] ** 2).sum((1, 2))))
+        moving = change > tolerance
+        if not moving.any():
             break
-    return quadratic(x), x
+        if not moving.all():
+            own, best, chain = own[moving], best[moving], chain.of(moving)
+    return quadratic(every, prior, x), x
 
 
 @dataclass

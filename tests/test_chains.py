@@ -5,6 +5,7 @@ import itertools
 import numpy as np
 import pytest
 
+from driftline.functions.observations import PoissonLikelihood
 from driftline.operators import chains
 
 PI = np.array([0.6, 0.4])
@@ -131,3 +132,44 @@ def test_laplace_mode_has_no_slope():
         e = np.zeros_like(mode)
         e[i] = 1e-4
         assert abs((objective(mode + e) - objective(mode - e))[i[0]] / 2e-4) < 1e-3
+
+
+def test_two_coordinates_need_no_factorization_a_step(monkeypatch):
+    """Chains of one and two coordinates go by closed forms; before, every step called LAPACK twice."""
+    rng = np.random.default_rng(4)
+    for d in (1, 2):
+        a, q = np.full((3, 6, d, d), 0.2) + 0.4 * np.eye(d), np.tile(0.5 * np.eye(d) + 0.1, (3, 6, 1, 1))
+        f = chains.linear_factors(np.ones(d), np.eye(d), a, rng.normal(size=(3, 6, d)), q, 7, np.array([7, 4, 1]))
+        calls = []
+        with monkeypatch.context() as m:
+            m.setattr(np.linalg, "inv", lambda x, g=np.linalg.inv: calls.append(1) or g(x))
+            m.setattr(np.linalg, "slogdet", lambda x, g=np.linalg.slogdet: calls.append(1) or g(x))
+            post = chains.gaussian_chain(f)
+            entropy = post.entropy()
+        assert not calls
+        for i, n in enumerate((7, 4, 1)):
+            cov = np.linalg.inv(f.dense_precision(i))
+            np.testing.assert_allclose(post.mean[i, :n].ravel(), cov @ f.info[i, :n].ravel(), rtol=1e-10)
+            np.testing.assert_allclose(post.cov[i, n - 1], cov[-d:, -d:], rtol=1e-10)
+            np.testing.assert_allclose(entropy[i], 0.5 * (n * d * (1 + chains.LOG_2PI) + np.linalg.slogdet(cov)[1]), rtol=1e-10)
+
+
+def test_done_sequences_leave_the_newton_steps():
+    """Steps of one slow sequence don't move or cost the others of its batch."""
+    rows = []
+
+    class Counting(PoissonLikelihood):
+        def terms(self, y, eta):
+            rows.append(len(eta))
+            return super().terms(y, eta)
+
+    rng, n = np.random.default_rng(5), 40
+    y = rng.poisson(1.0, (n, 5, 1)).astype(float)
+    y[0] = 3e6  # far from the start
+    a = np.full((n, 4, 1, 1), 0.8)
+    prior = chains.linear_factors(np.zeros(1), np.eye(1), a, np.zeros((n, 4, 1)), np.ones((n, 4, 1, 1)), 5, np.full(n, 5))
+    _, mode = chains.laplace_chain(prior, y, np.ones((n, 5)), np.eye(1), np.zeros(1), Counting())
+    assert rows[-2] < n  # the last steps are those of the slow one
+    for i in (0, 1, n - 1):
+        _, alone = chains.laplace_chain(prior.of(np.array([i])), y[i : i + 1], np.ones((1, 5)), np.eye(1), np.zeros(1), PoissonLikelihood())
+        np.testing.assert_allclose(mode[i], alone[0], rtol=1e-6, atol=1e-8)
