@@ -27,6 +27,39 @@ def symmetric(x: np.ndarray) -> np.ndarray:
     return (x + transpose(x)) / 2
 
 
+def inverted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Inverses and log determinants of symmetric matrices (..., D, D)."""
+    out, logdet = _inverted(np.moveaxis(x, (-2, -1), (0, 1)))
+    return np.moveaxis(out, (0, 1), (-2, -1)), logdet
+
+
+def _inverted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of symmetric matrices (D, D, ...); positive ones of up to two coordinates in closed form."""
+    d, first = len(x), x[0, 0]
+    if d == 1 and (first > 0).all():
+        return 1 / x, np.log(first)
+    if d == 2 and (first > 0).all():
+        ratio = x[0, 1] / first
+        rest = x[1, 1] - ratio * x[0, 1]
+        if (rest > 0).all():
+            out = np.empty(x.shape)
+            out[1, 1] = 1 / rest
+            out[0, 1] = out[1, 0] = cross = -ratio * out[1, 1]
+            out[0, 0] = 1 / first - ratio * cross
+            return out, np.log(first * rest)
+    x = np.moveaxis(x, (0, 1), (-2, -1))
+    return np.moveaxis(symmetric(np.linalg.inv(x)), (-2, -1), (0, 1)), np.linalg.slogdet(x)[1]
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of matrices (I, J, B) with matrices (J, K, B) or vectors (J, B)."""
+    wide = b.ndim == 3
+    out = a[:, 0, None] * b[0] if wide else a[:, 0] * b[0]
+    for j in range(1, len(b)):
+        out += a[:, j, None] * b[j] if wide else a[:, j] * b[j]
+    return out
+
+
 @dataclass
 class DiscretePosterior:
     """gamma (B, T, K), xi (B, T-1, K, K), filtered (B, T, K), log_normalizer (B,); zero beyond each length.
@@ -78,42 +111,44 @@ def discrete_block(before: np.ndarray, transition: np.ndarray, local: np.ndarray
     return DiscretePosterior(np.where(own[..., None], post.gamma[:, :t], 0.0), post.xi, post.filtered[:, :t], (score[:, :t] * own).sum(1), lengths, more)
 
 
-def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
-    """log sum exp over an axis; -inf where all are."""
-    top = x.max(axis, keepdims=True)
+def _log_sum(x: np.ndarray) -> np.ndarray:
+    """log sum exp over the first axis; -inf where all are."""
+    top = x.max(0)
     top = np.where(np.isfinite(top), top, 0.0)
     with np.errstate(divide="ignore"):
-        return np.log(np.exp(x - top).sum(axis)) + top.squeeze(axis)
+        return np.log(np.exp(x - top).sum(0)) + top
 
 
 def _forward_backward(initial: np.ndarray, transition: np.ndarray, local: np.ndarray, lengths: np.ndarray) -> tuple[DiscretePosterior, np.ndarray]:
     """The posterior, and the log probability (B, T) of each step given those before it."""
     b, t, k = local.shape
     lengths = np.asarray(lengths)
-    on = valid(lengths, t)
+    on = np.ascontiguousarray(valid(lengths, t).T)
     with np.errstate(divide="ignore"):
         move = np.log(transition)
-        prior = np.broadcast_to(np.log(initial), (b, k))
-    move = move if move.ndim == 4 else np.broadcast_to(move, (b, max(t - 1, 0), k, k))
+        prior = np.broadcast_to(np.log(initial), (b, k)).T
+    # Sequences come last, so that every step works on whole runs of them: (T, K, B), and moves (T-1, K, K, B or 1).
+    move = np.ascontiguousarray(np.moveaxis(move, 0, -1)) if move.ndim == 4 else np.broadcast_to(move[..., None], (max(t - 1, 0), k, k, 1))
+    local = np.ascontiguousarray(np.moveaxis(local, 0, -1))
     # Everything is kept as logarithms: the only states that are possible may be less likely than any float by far.
-    filtered, score = np.full((b, t, k), -np.inf), np.zeros((b, t))
+    filtered, score = np.full((t, k, b), -np.inf), np.zeros((t, b))
     for i in range(t):
         if i:
-            prior = _log_sum(filtered[:, i - 1, :, None] + move[:, i - 1], 1)
-        joint = prior + local[:, i]
-        total = _log_sum(joint, 1)
+            prior = _log_sum(filtered[i - 1, :, None] + move[i - 1])
+        joint = prior + local[i]
+        total = _log_sum(joint)
         total = np.where(np.isfinite(total), total, np.log(TINY))
-        filtered[:, i] = np.where(on[:, i, None], joint - total[:, None], -np.inf)
-        score[:, i] = np.where(on[:, i], total, 0.0)
-    back, xi = np.zeros((b, t, k)), np.zeros((b, max(t - 1, 0), k, k))
+        filtered[i] = np.where(on[i], joint - total, -np.inf)
+        score[i] = np.where(on[i], total, 0.0)
+    back, xi = np.zeros((t, k, b)), np.zeros((max(t - 1, 0), k, k, b))
     for i in range(t - 2, -1, -1):
-        both = on[:, i + 1]
-        ahead = move[:, i] + (local[:, i + 1] + back[:, i + 1] - score[:, i + 1, None])[:, None, :]
-        xi[:, i] = np.where(both[:, None, None], np.exp(filtered[:, i, :, None] + ahead), 0.0)
-        back[:, i] = np.where(both[:, None], _log_sum(ahead, 2), 0.0)
+        ahead = move[i] + (local[i + 1] + back[i + 1] - score[i + 1])
+        xi[i] = np.where(on[i + 1], np.exp(filtered[i, :, None] + ahead), 0.0)
+        back[i] = np.where(on[i + 1], _log_sum(np.swapaxes(ahead, 0, 1)), 0.0)
     gamma, filtered = np.exp(filtered + back), np.exp(filtered)
     if t:
-        gamma = np.where(on[..., None], gamma / np.maximum(gamma.sum(-1, keepdims=True), TINY), 0.0)
+        gamma = np.where(on[:, None], gamma / np.maximum(gamma.sum(1, keepdims=True), TINY), 0.0)
+    gamma, filtered, xi, score = (np.ascontiguousarray(np.moveaxis(x, -1, 0)) for x in (gamma, filtered, xi, score))
     return DiscretePosterior(gamma, xi, filtered, score.sum(1), lengths), score
 
 
@@ -139,12 +174,13 @@ class GaussianPosterior:
         """(B,) entropy of the whole path."""
         d = self.mean.shape[-1]
         unit = d * (1 + LOG_2PI)
-        out = np.where(self.lengths > 0, unit + np.linalg.slogdet(self.cov[:, 0])[1], 0.0)
+        inverse, logdet = inverted(self.cov)
+        out = np.where(self.lengths > 0, unit + logdet[:, 0], 0.0)
         if self.mean.shape[1] > 1:
             on = valid(self.lengths - 1, self.cross.shape[1])
-            inner = self.cov[:, 1:] - transpose(self.cross) @ np.linalg.solve(self.cov[:, :-1], self.cross)
+            inner = symmetric(self.cov[:, 1:] - transpose(self.cross) @ (inverse[:, :-1] @ self.cross))
             inner = np.where(on[..., None, None], inner, np.eye(d))
-            out = out + np.where(on, unit + np.linalg.slogdet(inner)[1], 0.0).sum(1)
+            out = out + np.where(on, unit + inverted(inner)[1], 0.0).sum(1)
         return out / 2
 
 
@@ -186,27 +222,28 @@ def gaussian_chain(f: GaussianFactors) -> GaussianPosterior:
     b, t, d = f.info.shape
     on = valid(f.lengths, t)
     eye = np.eye(d)
-    diag = np.where(on[..., None, None], f.diag, eye)
-    lower = np.where(on[:, 1:, None, None], f.lower, 0.0)
-    info = np.where(on[..., None], f.info, 0.0)
-    inverse, offset, gain, logdet = np.zeros((b, t, d, d)), np.zeros((b, t, d)), np.zeros((b, max(t - 1, 0), d, d)), np.zeros((b, t))
-    now, h = diag[:, 0] if t else None, info[:, 0] if t else None
+    # Sequences come last, so that every step works on whole runs of them.
+    diag, lower, info = (np.ascontiguousarray(np.moveaxis(x, 0, -1)) for x in (np.where(on[..., None, None], f.diag, eye), np.where(on[:, 1:, None, None], f.lower, 0.0), np.where(on[..., None], f.info, 0.0)))
+    inverse, offset, gain, logdet = np.zeros((t, d, d, b)), np.zeros((t, d, b)), np.zeros((max(t - 1, 0), d, d, b)), np.zeros((t, b))
+    now, h = diag[0] if t else None, info[0] if t else None
     for i in range(t):
-        inverse[:, i] = symmetric(np.linalg.inv(now))
-        logdet[:, i] = np.linalg.slogdet(now)[1]
-        offset[:, i] = np.einsum("bij,bj->bi", inverse[:, i], h)
+        inverse[i], logdet[i] = _inverted(now)
+        offset[i] = _times(inverse[i], h)
         if i + 1 < t:
-            gain[:, i] = -inverse[:, i] @ transpose(lower[:, i])
-            now = symmetric(diag[:, i + 1] + lower[:, i] @ gain[:, i])
-            h = info[:, i + 1] - np.einsum("bij,bj->bi", lower[:, i], offset[:, i])
+            gain[i] = -_times(inverse[i], np.swapaxes(lower[i], 0, 1))
+            now = diag[i + 1] + _times(lower[i], gain[i])
+            now = (now + np.swapaxes(now, 0, 1)) / 2
+            h = info[i + 1] - _times(lower[i], offset[i])
     mean, cov, cross = offset.copy(), inverse.copy(), np.zeros_like(gain)
     for i in range(t - 2, -1, -1):
-        mean[:, i] += np.einsum("bij,bj->bi", gain[:, i], mean[:, i + 1])
-        cross[:, i] = gain[:, i] @ cov[:, i + 1]
-        cov[:, i] = symmetric(inverse[:, i] + cross[:, i] @ transpose(gain[:, i]))
-    total = f.const + 0.5 * np.einsum("bti,bti->b", info, mean) - 0.5 * (logdet * on).sum(1) + 0.5 * f.lengths * d * LOG_2PI
+        mean[i] += _times(gain[i], mean[i + 1])
+        cross[i] = _times(gain[i], cov[i + 1])
+        now = inverse[i] + _times(cross[i], np.swapaxes(gain[i], 0, 1))
+        cov[i] = (now + np.swapaxes(now, 0, 1)) / 2
+    info, mean, cov, cross = (np.ascontiguousarray(np.moveaxis(x, -1, 0)) for x in (info, mean, cov, cross))
+    total = f.const + 0.5 * (info * mean).sum((1, 2)) - 0.5 * (logdet.T * on).sum(1) + 0.5 * f.lengths * d * LOG_2PI
     mean = np.where(on[..., None], mean, 0.0)
-    cov = np.where(on[..., None, None], cov, 0.0) + np.where(on[..., None, None], 0.0, eye)
+    cov = np.where(on[..., None, None], cov, eye)
     return GaussianPosterior(mean, cov, np.where(on[:, 1:, None, None], cross, 0.0), total, f.lengths)
 
 
@@ -319,11 +356,10 @@ def switching_chain(initial: np.ndarray, transition: np.ndarray, mean0: np.ndarr
     b, k, d = len(lengths), len(initial), mean0.shape[-1]
     on = valid(lengths, steps)
     weight = np.broadcast_to(initial, (b, steps, k)).copy() if start is None else start
-    parts = [linear_factors(mean0[j], cov0[j], np.broadcast_to(a[j], (b, max(steps - 1, 0), d, d)), bias[:, :, j], np.broadcast_to(q[j], (b, max(steps - 1, 0), d, d)), steps, lengths) for j in range(k)]
     firsts = [linear_factors(mean0[j], cov0[j], np.zeros((b, 0, d, d)), np.zeros((b, 0, d)), np.zeros((b, 0, d, d)), 1, np.minimum(lengths, 1)) for j in range(k)]
     latents, states, bounds = None, None, []
     for _ in range(max(1, iterations)):
-        prior = _mixed(parts, firsts, weight, a, bias, q, on)
+        prior = _mixed(firsts, weight, a, bias, q, on, lengths)
         latents, score = emit(prior, latents)
         local = _expected_steps(latents, mean0, cov0, a, bias, q) * on[..., None]
         states = discrete_chain(initial, transition, local, lengths)
@@ -334,7 +370,7 @@ def switching_chain(initial: np.ndarray, transition: np.ndarray, mean0: np.ndarr
     return SwitchingPosterior(states, latents, bounds[-1], np.stack(bounds, 1))
 
 
-def _mixed(parts: list[GaussianFactors], firsts: list[GaussianFactors], weight: np.ndarray, a: np.ndarray, bias: np.ndarray, q: np.ndarray, on: np.ndarray) -> GaussianFactors:
+def _mixed(firsts: list[GaussianFactors], weight: np.ndarray, a: np.ndarray, bias: np.ndarray, q: np.ndarray, on: np.ndarray, lengths: np.ndarray) -> GaussianFactors:
     """State-averaged prior: the first step weighs the initial factors, step t the dynamics into t."""
     b, t, _ = weight.shape
     d = a.shape[-1]
@@ -352,7 +388,7 @@ def _mixed(parts: list[GaussianFactors], firsts: list[GaussianFactors], weight:
         info[:, :-1] -= w[..., None] * (pb @ a[j])
         info[:, 1:] += w[..., None] * pb
         const += w0 * first.const + (w * -0.5 * (np.einsum("bti,bti->bt", bias[:, :, j], pb) + np.linalg.slogdet(q[j])[1] + d * LOG_2PI)).sum(1)
-    return GaussianFactors(diag, lower, info, const, parts[0].lengths)
+    return GaussianFactors(diag, lower, info, const, lengths)
 
 
 def _expected_steps(x: GaussianPosterior, mean0: np.ndarray, cov0: np.ndarray, a: np.ndarray, bias: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -360,12 +396,17 @@ def _expected_steps(x: GaussianPosterior, mean0: np.ndarray, cov0: np.ndarray, a
     b, t, d = x.mean.shape
     k = len(a)
     out = np.zeros((b, t, k))
+
+    def flat(m: np.ndarray) -> np.ndarray:
+        return m.reshape(*m.shape[:2], d * d)
+
     for j in range(k):
         p0 = np.linalg.inv(cov0[j])
         e = x.mean[:, 0] - mean0[j]
-        out[:, 0, j] = -0.5 * (np.einsum("bi,ij,bj->b", e, p0, e) + np.einsum("ij,bji->b", p0, x.cov[:, 0]) + np.linalg.slogdet(cov0[j])[1] + d * LOG_2PI)
+        out[:, 0, j] = -0.5 * (((e @ p0) * e).sum(-1) + np.einsum("ij,bji->b", p0, x.cov[:, 0]) + np.linalg.slogdet(cov0[j])[1] + d * LOG_2PI)
         p = np.linalg.inv(q[j])
         e = x.mean[:, 1:] - x.mean[:, :-1] @ a[j].T - bias[:, :, j]
-        spread = x.cov[:, 1:] - a[j] @ x.cross - transpose(a[j] @ x.cross) + a[j] @ x.cov[:, :-1] @ a[j].T
-        out[:, 1:, j] = -0.5 * (np.einsum("bti,ij,btj->bt", e, p, e) + np.einsum("ij,btji->bt", p, spread) + np.linalg.slogdet(q[j])[1] + d * LOG_2PI)
+        pa = p @ a[j]
+        spread = flat(x.cov[:, 1:]) @ p.ravel() - 2 * flat(x.cross) @ pa.T.ravel() + flat(x.cov[:, :-1]) @ (a[j].T @ pa).ravel()
+        out[:, 1:, j] = -0.5 * (((e @ p) * e).sum(-1) + spread + np.linalg.slogdet(q[j])[1] + d * LOG_2PI)
     return out
