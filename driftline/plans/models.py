@@ -9,6 +9,7 @@ a sequence of any length is spread over tasks.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -28,6 +29,11 @@ from driftline.operators.learning import Batch, Packed
 from driftline.operators.structure import lagged
 from driftline.sources import params as storage
 
+SAMPLED = "session int, seq long, t int, z int, x array<double>, y array<double>, u array<double>, visible boolean"
+#: Steps that a batch of drawn sequences has, about.
+SAMPLED_STEPS = 1 << 14
+
+
 @dataclass
 class Fit:
     """A fitted model and its objective before and after every step."""
@@ -173,13 +179,20 @@ class Model:
             if self.offset == 0 or history.ndim != 2 or len(history) != self.offset:
                 raise ValueError(f"a history has {self.offset} steps here")
 
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                for session, seq, steps, drive in frame.itertuples(index=False):
-                    rng = np.random.default_rng([seed, session, seq])
-                    u = np.zeros((steps, 0)) if drive is None else np.vstack([np.asarray(v, float) for v in drive])
-                    z, x, y = self._sample(rng, int(session), int(steps), u, history)
-                    yield pd.DataFrame({"session": np.int32(session), "seq": seq, "t": np.arange(steps, dtype=np.int32), "z": z, "x": x.tolist(), "y": y.tolist(), "u": u.tolist(), "visible": True})
+        def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in parts:
+                sessions, seqs, every = (np.asarray(part.column(c), np.int64).tolist() for c in ("session", "seq", "steps"))
+                drives = learning.vectors(part.column("u"))
+                drawn, rows = [], 0
+                for session, seq, steps, u in zip(sessions, seqs, every, drives, strict=True):
+                    u = np.zeros((steps, 0)) if u is None else u
+                    drawn.append((session, seq, steps, u, *self._sample(np.random.default_rng([seed, session, seq]), session, steps, u, history)))
+                    rows += steps
+                    if rows >= SAMPLED_STEPS:
+                        yield _drawn(drawn)
+                        drawn, rows = [], 0
+                if drawn:
+                    yield _drawn(drawn)
 
         if inputs is None:
             plan = [(s, n, t, None) for s, ts in lengths.items() for n, t in enumerate(ts)]
@@ -187,7 +200,7 @@ class Model:
         else:
             steps = F.sort_array(F.collect_list(F.struct("t", "u")))
             table = inputs.groupBy("session", "seq").agg(steps.alias("s")).select("session", "seq", F.size("s").alias("steps"), F.col("s.u").alias("u"))
-        return table.mapInPandas(run, "session int, seq long, t int, z int, x array<double>, y array<double>, u array<double>, visible boolean")
+        return table.mapInArrow(run, SAMPLED)
 
     def _sample(self, rng: np.random.Generator, session: int, steps: int, u: np.ndarray, history: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         raise NotImplementedError
@@ -203,6 +216,22 @@ class Model:
         return type(self)(self.params | changes, self.observations, self.diagonal)
 
 
+def _drawn(drawn: list[tuple]) -> pa.RecordBatch:
+    """One row a step of drawn sequences (session, seq, steps, u, z, x, y)."""
+    sessions, seqs, steps, us, zs, xs, ys = zip(*drawn, strict=True)
+    steps = np.array(steps, np.int64)
+    t = np.arange(steps.sum()) - np.repeat(np.cumsum(steps) - steps, steps)
+    lists = [pa.concat_arrays([learning.nested(v) for v in own]) for own in (xs, ys, us)]
+    columns = [pa.array(np.repeat(np.array(sessions, np.int32), steps)), pa.array(np.repeat(np.array(seqs, np.int64), steps)), pa.array(t.astype(np.int32)), pa.array(np.concatenate(zs).astype(np.int32)), *lists, pa.array(np.ones(len(t), bool))]
+    return pa.RecordBatch.from_arrays(columns, schema=learning.arrow_schema(SAMPLED))
+
+
+def factor(covariance: np.ndarray) -> np.ndarray:
+    """The factors F of covariances, as numpy's multivariate_normal has them: mean + F @ standard normal numbers."""
+    u, s, _ = np.linalg.svd(covariance)
+    return u * np.sqrt(s)[..., None, :]
+
+
 def fit_models(models: dict[int, Model], data: Packed | blocked.Blocked, num_iters: int = 10, owners: dict[int, list[int]] | None = None, tolerance: float | None = None) -> dict[int, Fit]:
     """Fits models side by side: whatever their number, a step is one aggregation, and so is a Newton move of those that need any.
 
@@ -246,11 +275,12 @@ def _views(b: Batch, models: dict[int, Model], owners: dict[int, list[int]] | No
 
 
 def draw_states(rng: np.random.Generator, initial: np.ndarray, transition: np.ndarray, steps: int) -> np.ndarray:
-    z = np.zeros(steps, np.int32)
-    for t in range(steps):
-        p = initial if t == 0 else transition[z[t - 1]]
-        z[t] = np.searchsorted(np.cumsum(p), rng.random() * p.sum())
-    return z
+    sums, totals = np.cumsum(transition, -1).tolist(), transition.sum(-1).tolist()
+    now, total, z = np.cumsum(initial).tolist(), float(initial.sum()), []
+    for chance in rng.random(steps).tolist():
+        z.append(bisect_left(now, chance * total))
+        now, total = sums[z[-1]], totals[z[-1]]
+    return np.array(z, np.int32)
 
 
 class HMM(Model):
@@ -516,9 +546,11 @@ class ARHMM(HMM):
         e = self.params["emissions"][session]
         d = e["bias"].shape[-1]
         y, past = np.zeros((steps, d)), np.zeros((self.offset, d)) if history is None else history
+        counts = self.observations == POISSON
+        noise = None if counts else (factor(e["covariance"])[z] @ rng.standard_normal((steps, d, 1)))[..., 0]
         for t in range(steps):
             eta = e["coefficients"][z[t]] @ past.ravel() + e["bias"][z[t]]
-            y[t] = rng.poisson(np.exp(eta)) if self.observations == POISSON else rng.multivariate_normal(eta, e["covariance"][z[t]])
+            y[t] = rng.poisson(np.exp(eta)) if counts else eta + noise[t]
             past = np.concatenate([y[t][None], past[:-1]])
         return z, np.zeros((steps, 0)), y
 
@@ -814,9 +846,11 @@ class LDS(Model):
         p = self.params
         x = np.zeros((steps, len(p["initial_mean"])))
         drive = u @ p["dynamics_input_coefficients"].T if "dynamics_input_coefficients" in p and u.shape[1] else np.zeros_like(x)
+        normal = rng.standard_normal(x.shape)
+        moves = p["dynamics_bias"] + drive + normal @ factor(p["dynamics_covariance"]).T
+        moves[:1] = p["initial_mean"] + normal[:1] @ factor(p["initial_covariance"]).T
         for t in range(steps):
-            mean, cov = (p["initial_mean"], p["initial_covariance"]) if t == 0 else (p["dynamics_coefficients"] @ x[t - 1] + p["dynamics_bias"] + drive[t], p["dynamics_covariance"])
-            x[t] = rng.multivariate_normal(mean, cov)
+            x[t] = moves[t] if t == 0 else p["dynamics_coefficients"] @ x[t - 1] + moves[t]
         return np.zeros(steps, np.int32), x, self._noisy(rng, session, x)
 
 
@@ -970,10 +1004,11 @@ class SLDS(LDS):
         z = draw_states(rng, p["initial_probs"], p["transition_probs"], steps)
         x = np.zeros((steps, p["latent_initial_means"].shape[-1]))
         drive = np.einsum("tdi,ti->td", p["dynamics_input_coefficients"][z], u) if "dynamics_input_coefficients" in p and u.shape[1] else np.zeros_like(x)
+        normal = rng.standard_normal(x.shape)[..., None]
+        moves = p["dynamics_bias"][z] + drive + (factor(p["dynamics_covariances"])[z] @ normal)[..., 0]
+        moves[:1] = p["latent_initial_means"][z[:1]] + (factor(p["latent_initial_covariances"])[z[:1]] @ normal[:1])[..., 0]
         for t in range(steps):
-            k = z[t]
-            mean, cov = (p["latent_initial_means"][k], p["latent_initial_covariances"][k]) if t == 0 else (p["dynamics_coefficients"][k] @ x[t - 1] + p["dynamics_bias"][k] + drive[t], p["dynamics_covariances"][k])
-            x[t] = rng.multivariate_normal(mean, cov)
+            x[t] = moves[t] if t == 0 else p["dynamics_coefficients"][z[t]] @ x[t - 1] + moves[t]
         return z, x, self._noisy(rng, session, x)
 
 
