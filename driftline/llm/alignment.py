@@ -32,14 +32,15 @@ from driftline.llm.common import Scratch, partitions
 from driftline.llm.tokens import Encoder, Pool, byte_letters
 
 #: Bytes of text and documents of a chunk (about; one document at least).
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 CHUNK_ROWS = 20_000
 #: Stripes of B ids.
 STRIPES = 512
 #: Chunks whose pairs meet the scored pairs of a stripe in one group.
 MEETING = 256
-#: Units of text whose piece ids a worker keeps; it starts anew beyond them.
-UNITS = 700_000
+#: Units of text whose ids of either kind a worker keeps; it starts anew beyond them. A worker has both tables, so they are smaller
+#: than that of the operators with one tokenizer.
+UNITS = 200_000
 #: Bits of an A id in a pair's code.
 BITS = 20
 _MASK = (1 << BITS) - 1
@@ -148,6 +149,7 @@ class Aligner:
 
     def __init__(self, a: str, b: str):
         self.a, self.b = Encoder.of(a, special=False), Pieces.of(b)
+        self.a.least = UNITS
         letters = {c: k for k, c in enumerate(byte_letters())}
         size = self.a.tokenizer.get_vocab_size()
         spelt = [b""] * size
@@ -282,7 +284,9 @@ def chunks(documents: DataFrame, a: str, b: str, key: str = "doc_id", text: str
 
         def out() -> pa.RecordBatch:
             keys, texts = (pa.concat_arrays([h.column(c) for h in held]) for c in (0, 1))
-            return aligner.chunk(number, keys, texts)
+            made = aligner.chunk(number, keys, texts)
+            pa.default_memory_pool().release_unused()  # what a chunk needed is not kept beside the next worker's
+            return made
 
         for batch in batches:
             sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)

@@ -124,7 +124,7 @@ class Encoder:
             and isinstance(model, models.BPE) and not model.dropout and not model.continuing_subword_prefix and not model.end_of_word_suffix
             and all(x in known for x in byte_letters())
         )
-        self.ids = _Ids(self.tokenizer)
+        self.ids, self.least = _Ids(self.tokenizer), None
 
     @classmethod
     def of(cls, path: str, special: bool = True) -> Encoder:
@@ -132,12 +132,16 @@ class Encoder:
             cls._made[path, special] = cls(path, special)
         return cls._made[path, special]
 
+    def cache(self) -> int:
+        """Strings that the table holds at most: CACHE, or ``least`` where a worker has other tables too."""
+        return CACHE if self.least is None else min(self.least, CACHE)
+
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids if text else [], "<u4")
 
     def _plain(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of texts without strange characters or special tokens."""
-        if len(self.ids) > CACHE:
+        if len(self.ids) > self.cache():
             self.ids = _Ids(self.tokenizer)
         texts = pc.replace_substring_regex(texts, _LAST, "\\1\x00\\2")
         lists = pc.split_pattern(pc.replace_substring_regex(texts, _PIECE, "\\0\x00"), "\x00")
@@ -157,7 +161,7 @@ class Encoder:
         for at in range(0, len(chunks), CHUNKS):
             own = chunks[at : at + CHUNKS]
             new = [c for c in dict.fromkeys(own) if c not in self.ids]
-            if len(self.ids) + len(new) > CACHE:
+            if len(self.ids) + len(new) > self.cache():
                 self.ids, new = _Ids(self.tokenizer), list(dict.fromkeys(own))
             for i in range(0, len(new), 1024):
                 part = new[i : i + 1024]

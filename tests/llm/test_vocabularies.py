@@ -5,6 +5,7 @@ import hashlib
 import json
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -302,3 +303,14 @@ def test_cache_of_strange_texts_is_bounded(monkeypatch):
         (ids,) = e.encode_all([text])
         assert np.frombuffer(ids, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
         assert len(e.ids) <= 1001
+
+
+def test_both_tables_of_an_aligner_stay_small():
+    """Two tables of 700,000 strings in each of three workers took more than an executor's memory."""
+    aligner = alignment.Aligner(BYTES, PIECES)
+    for k in range(3):
+        texts = pa.array([" ".join(f"w{k}x{i}y{j}" for j in range(100)) for i in range(900)], pa.large_string())
+        aligner.a.encode(texts)
+        aligner.b.encode(texts)
+    assert max(aligner.a.cache(), alignment.UNITS) <= 200_000
+    assert len(aligner.a.ids) <= 2 * alignment.UNITS and len(aligner.b.units) <= 2 * alignment.UNITS
