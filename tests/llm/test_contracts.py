@@ -247,6 +247,51 @@ def test_short_passages_at_the_least_identity(spark):
         assert r["n_words"] >= 50 and r["identity"] >= 0.8
 
 
+def links_by_hand(spots):
+    """Unordered pairs of occurrences (id, copy, at): each with its neighbour in order and with the first document's."""
+    groups, want = {}, set()
+    for seed, *own in sorted(spots):
+        groups.setdefault(seed >> substring_dedup.CONTEXT, []).append(tuple(own))
+    for own in groups.values():
+        pairs = [*zip(own[1:], own, strict=False), *((x, min(own)) for x in own)]
+        want |= {(max(a, b), min(a, b)) for a, b in pairs if a[:2] != b[:2]}
+    return want
+
+
+@pytest.mark.parametrize(("rows", "least"), [(1 << 16, 4096), (7, 40), (1, 2)])
+def test_seeds_are_linked_across_ranges_whatever_their_number(spark, monkeypatch, rows, least):
+    monkeypatch.setattr(substring_dedup, "HOT_ROWS", rows)
+    monkeypatch.setattr(substring_dedup, "HOT_LEAST", least)
+    monkeypatch.setattr(substring_dedup, "partitions", lambda *_: 9)
+    rng = np.random.default_rng(13)
+    spots = set()
+    for group, n in [(5, 900), (-3, 300), (1 << 46, 60), *((int(g), int(rng.integers(1, 5))) for g in rng.integers(-(1 << 47), 1 << 47, 150))]:
+        for _ in range(n):
+            key = (group << substring_dedup.CONTEXT) | int(rng.integers(0, 3))
+            spots.add((key, int(rng.choice([substring_dedup.NO_KEY, *range(40)])), int(rng.integers(0, 2)), int(rng.integers(0, 50))))
+    spots = sorted({(x[0] >> substring_dedup.CONTEXT, *x[1:]): x for x in spots}.values())  # an occurrence has one context
+    frame = spark.createDataFrame([spots[i] for i in rng.permutation(len(spots)).tolist()], "seed long, id long, copy int, at int")
+    got = [((r[0], r[1], r[2]), (r[3], r[4], r[5])) for r in substring_dedup._links(substring_dedup._met(frame)).collect()]
+    assert len(got) == len(set(got)) and set(got) == links_by_hand(spots)
+
+
+def test_passages_do_not_depend_on_what_counts_as_frequent(spark, monkeypatch):
+    """Pairs share 120 words whose thirds stand in many other documents too; all documents share a line. Frequent seeds keep their neighbours."""
+    rng = np.random.default_rng(14)
+    words = vocabulary(rng, 4000)
+    line = list(rng.choice(words, 12))
+    around = lambda inner: " ".join([*rng.choice(words, 20), *line, *inner, *rng.choice(words, 20)])
+    passages = [[list(rng.choice(words, 40)) for _ in range(3)] for _ in range(6)]
+    old = [around(p) for own in passages for p in own]
+    texts = old + [around(sum(own, [])) for own in passages] + [around(p) for own in passages for p in own] + [around(sum(own, [])) for own in passages]
+    want = sorted(substring_dedup.repeated_passages(passage_texts(spark, texts)).collect())
+    pairs = {(r["match_doc_id"], r["doc_id"]) for r in want}
+    assert len(pairs & {(len(old) + k, 2 * len(old) + 6 + k) for k in range(6)}) >= 5
+    monkeypatch.setattr(substring_dedup, "HOT_ROWS", 1)
+    monkeypatch.setattr(substring_dedup, "HOT_LEAST", 2)
+    assert sorted(substring_dedup.repeated_passages(passage_texts(spark, texts)).collect()) == want
+
+
 def test_contexts_order_seeds_by_what_follows():
     seeds = np.array([5, 9, 7, 5, 9, 8, 5], np.uint64) << np.uint64(40)
     text, at = np.array([0, 0, 0, 1, 1, 1, 2]), np.array([0, 3, 6, 10, 13, 16, 4])
