@@ -292,6 +292,19 @@ def test_passages_do_not_depend_on_what_counts_as_frequent(spark, monkeypatch):
     assert sorted(substring_dedup.repeated_passages(passage_texts(spark, texts)).collect()) == want
 
 
+def test_words_are_not_moved_again_to_meet_their_pairs(spark):
+    """Both texts of a pair come from buckets as they lie; only those of crowded anchors are dealt out."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        out = substring_dedup.repeated_passages(passage_texts(spark, ["some text " * 40, "other text " * 40]))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(name, before)
+    assert plan.count("Bucketed: true") >= 3, plan
+
+
 def test_contexts_order_seeds_by_what_follows():
     seeds = np.array([5, 9, 7, 5, 9, 8, 5], np.uint64) << np.uint64(40)
     text, at = np.array([0, 0, 0, 1, 1, 1, 2]), np.array([0, 3, 6, 10, 13, 16, 4])
