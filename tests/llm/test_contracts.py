@@ -305,6 +305,14 @@ def test_words_are_not_moved_again_to_meet_their_pairs(spark):
     assert plan.count("Bucketed: true") >= 3, plan
 
 
+def test_rows_without_identifier_lie_in_many_buckets(spark):
+    """So a pair of them doesn't meet the words of all others; the first row of an identifier stays by it."""
+    rows = [(substring_dedup.NO_KEY, bytes([k]), 1) for k in range(50)] + [(7, b"a", 1), (7, b"b", 1), (8, b"c", 1)]
+    got = substring_dedup._numbered(spark.createDataFrame(rows, "id long, words binary, n long")).collect()
+    assert len({r["bucket"] for r in got}) == len(rows)
+    assert all((r["bucket"] == r["id"]) == (r["copy"] == 0) for r in got)
+
+
 def test_contexts_order_seeds_by_what_follows():
     seeds = np.array([5, 9, 7, 5, 9, 8, 5], np.uint64) << np.uint64(40)
     text, at = np.array([0, 0, 0, 1, 1, 1, 2]), np.array([0, 3, 6, 10, 13, 16, 4])
