@@ -275,6 +275,22 @@ def test_seeds_are_linked_across_ranges_whatever_their_number(spark, monkeypatch
     assert len(got) == len(set(got)) and set(got) == links_by_hand(spots)
 
 
+@pytest.mark.parametrize("parts", [2, 9])
+def test_links_of_one_seed_grow_with_its_occurrences(spark, monkeypatch, parts):
+    """A seed in n documents makes two links an occurrence at most, in however many ranges it lies and whether or not they are open."""
+    monkeypatch.setattr(substring_dedup, "partitions", lambda *_: parts)
+    rng = np.random.default_rng(15)
+    made = []
+    for n in (500, 1000, 2000):
+        spots = [((7 << substring_dedup.CONTEXT) | int(c), k, 0, 3) for k, c in enumerate(rng.integers(0, 1 << substring_dedup.CONTEXT, n).tolist())]
+        frame = spark.createDataFrame([spots[i] for i in rng.permutation(n).tolist()], "seed long, id long, copy int, at int")
+        met = substring_dedup._met(frame)
+        assert met.where(met.kind == substring_dedup.OPEN).count() == n
+        made.append(substring_dedup._links(met).count())
+        assert n - 1 <= made[-1] <= 2 * n, made
+    assert made[1] <= 2.1 * made[0] and made[2] <= 2.1 * made[1], made
+
+
 def test_passages_do_not_depend_on_what_counts_as_frequent(spark, monkeypatch):
     """Pairs share 120 words whose thirds stand in many other documents too; all documents share a line. Frequent seeds keep their neighbours."""
     rng = np.random.default_rng(14)
