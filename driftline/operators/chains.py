@@ -111,12 +111,12 @@ def discrete_block(before: np.ndarray, transition: np.ndarray, local: np.ndarray
     return DiscretePosterior(np.where(own[..., None], post.gamma[:, :t], 0.0), post.xi, post.filtered[:, :t], (score[:, :t] * own).sum(1), lengths, more)
 
 
-def _log_sum(x: np.ndarray) -> np.ndarray:
-    """log sum exp over the first axis; -inf where all are."""
-    top = x.max(0)
+def _log_sum(x: np.ndarray, axis: int = 0) -> np.ndarray:
+    """log sum exp over an axis; -inf where all are."""
+    top = x.max(axis)
     top = np.where(np.isfinite(top), top, 0.0)
     with np.errstate(divide="ignore"):
-        return np.log(np.exp(x - top).sum(0)) + top
+        return np.log(np.exp(x - np.expand_dims(top, axis)).sum(axis)) + top
 
 
 def _forward_backward(initial: np.ndarray, transition: np.ndarray, local: np.ndarray, lengths: np.ndarray) -> tuple[DiscretePosterior, np.ndarray]:

@@ -212,7 +212,9 @@ def rows(table: DataFrame, schema: str, make: Callable[[Batch], pd.DataFrame]) -
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(parts):
-            yield pa.RecordBatch.from_pandas(make(batch), arrow, preserve_index=False)
+            made = make(batch)
+            if len(made):  # a column of several frames has as many chunks, and an empty one may have no list type
+                yield from pa.Table.from_pandas(made, arrow, preserve_index=False).to_batches()
 
     return table.mapInArrow(run, schema)
 

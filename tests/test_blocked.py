@@ -1,6 +1,7 @@
 """Blocks of time against whole sequences, and the tree's elements against dense products."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -180,3 +181,41 @@ def test_batches_take_odd_rows(spark):
                 r = want[s, t]
                 assert b.weight[i, t] == float(r["visible"])
                 np.testing.assert_allclose(b.y[i, t], r["y"] if r["visible"] else [0.0, 0.0])
+
+
+@pytest.mark.parametrize("axis", [0, 1, 2, 3])
+def test_log_sums_over_every_axis(axis):
+    x = RNG(8).normal(size=(2, 3, 4, 5)) * 300
+    x[0, 0, 0] = -np.inf
+    x[:, 1, 2, 3] = -np.inf
+    np.testing.assert_allclose(chains._log_sum(x, axis), np.logaddexp.reduce(x, axis))
+
+
+def test_scan_steps_are_sums_over_paths():
+    """Products and messages of several elements at once, of as many elements as states and not, against dense matrices."""
+    rng = RNG(9)
+    for n in (1, 3, 4):
+        p, a, b = rng.dirichlet(np.ones(3), 3), rng.random((n, 3, 3)), rng.random((n, 3, 3))
+        before, ahead = rng.dirichlet(np.ones(3), n), rng.random((n, 3))
+        scan = blocked.DiscreteScan(np.ones(3) / 3, p)
+        flat = lambda x: np.log(x).reshape(n, -1)
+        np.testing.assert_allclose(scan.combine(flat(a), flat(b)), flat(a @ p @ b))
+        after = (before[:, None] @ a @ p)[:, 0]
+        np.testing.assert_allclose(np.exp(scan.forward(np.log(before), flat(a))), after / after.sum(1, keepdims=True))
+        for beyond, message in ((ahead @ p.T, np.log(ahead)), (np.ones((n, 3)), np.full((n, 3), np.nan))):
+            back = (a @ beyond[..., None])[..., 0]
+            np.testing.assert_allclose(np.exp(scan.backward(flat(a), message)), back / back.max(1, keepdims=True))
+
+
+@pytest.mark.parametrize("frames", [0, 1, 3])
+def test_rows_take_list_columns_of_several_frames(spark, frames):
+    def make(b):
+        each = [pd.DataFrame({"session": np.int32(b.session), "seq": b.seq, "x": learning.held(learning.nested(b.y[:, 0] + k))}) for k in range(frames)]
+        return pd.concat(each) if each else pd.DataFrame({"session": [], "seq": [], "x": []})
+
+    e = table(spark, [[3, 1, 2]])
+    got = sorted((r["seq"], r["x"]) for r in learning.rows(learning.packed(e), "session int, seq long, x array<double>", make).collect())
+    first = {r["seq"]: r["y"][0] if r["visible"] else 0.0 for r in e.where("t = 0").collect()}
+    assert [s for s, _ in got] == [s for s in range(3) for _ in range(frames)]
+    for i, (s, x) in enumerate(got):
+        assert np.isclose(x[0], first[s] + i % frames) or first[s] == 0.0
